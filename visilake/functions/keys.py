@@ -120,6 +120,18 @@ def domain_matches(url: ColumnOrName, domain: str, mode: str = "site") -> Column
     return found
 
 
+def domain_matches_column(url: ColumnOrName, domain: ColumnOrName, mode: str = "site") -> Column:
+    """:func:`domain_matches` for a domain that differs from row to row."""
+    host, ours = host_of(url), host_of(domain)
+    known = (host != "") & (ours != "")
+    if mode == "host":
+        return known & (host == ours)
+    whole_site = registrable_domain(domain) == ours
+    return known & F.when(whole_site, registrable_domain(url) == ours).otherwise(
+        (host == ours) | F.endswith(host, F.concat(F.lit("."), ours))
+    )
+
+
 def same_site(left: ColumnOrName, right: ColumnOrName) -> Column:
     """Equal hosts, or one is a child of the other."""
     a = F.regexp_replace(_url_host(_c(left)), r"^www\.", "")
@@ -305,7 +317,7 @@ def query_words(col: ColumnOrName) -> Column:
 
 def word_count(col: ColumnOrName) -> Column:
     """Runs of letters, or runs of digits."""
-    return F.regexp_count(_c(col), F.lit(r"(?U)[\p{L}\p{M}\p{No}\p{Nl}&&[^\d]]+|\d+"))
+    return F.regexp_count(_c(col), F.lit(r"[\p{L}\p{Nl}\p{No}]+|\p{Nd}+"))
 
 
 def slug(col: ColumnOrName) -> Column:
