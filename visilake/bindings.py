@@ -92,6 +92,7 @@ def page_lines(spark, sf_dir, by: str = "region") -> DataFrame:
         F.col("p_size").cast("bigint").alias("domain_doccount"),
         F.date_format("l_shipdate", "yyyyMMdd'T'HHmmss").alias("modtime"),
         (F.col("l_linestatus") == "F").alias("used"),
+        F.lit(None).cast("string").alias("passage"),
     )
 
 

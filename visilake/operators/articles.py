@@ -17,7 +17,7 @@ from .ranks import _last_two
 def article_queries(articles: DataFrame) -> DataFrame:
     """Target and extra queries of each article, trimmed, each once, in order."""
     extra = F.coalesce("extra_queries", F.array().cast("array<string>"))
-    asked = F.array_distinct(F.filter(F.transform(F.concat(F.array("target_query"), extra), F.trim), lambda q: q.isNotNull() & (q != "")))
+    asked = F.array_distinct(F.filter(F.transform(F.concat(F.array("target_query"), extra), lambda q: F.trim(q)), lambda q: q.isNotNull() & (q != "")))
     return articles.select("article_id", "url", F.col("target_query").alias("target_query"), F.posexplode(asked).alias("place", "query"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("pages", "owner", "ranks", "core")
+MODULES = ("pages", "owner", "ranks", "core", "articles")
 
 
 def registered() -> dict:
