@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("pages", "owner", "ranks", "core", "articles")
+MODULES = ("keys", "pages", "owner", "ranks", "core", "articles", "audit")
 
 
 def registered() -> dict:
