@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("keys", "pages", "owner", "ranks", "core", "articles", "audit")
+MODULES = ("keys", "pages", "owner", "ranks", "core", "articles", "audit", "answers", "plan")
 
 
 def registered() -> dict:
