@@ -161,7 +161,7 @@ def search_queries(spark, sf_dir) -> DataFrame:
     return rows.groupBy("host_id", "host_no", "k", "date_from", "date_to", "weekly").agg(
         F.count_if(F.col("event_type") == "view").alias("shows"),
         F.count_if(F.col("event_type") == "click").alias("clicks"),
-        F.expr("(10 + (sum(cast(round(value * 100) AS bigint)) div count(1)) % 2000 div 10) / 10.0D").alias("avg_show_position"),
+        F.expr("(10 + (sum(cast(round(value * 100) AS bigint)) div count(1) + k * 37) % 2000 div 10) / 10.0D").alias("avg_show_position"),
     ).select(
         "host_id",
         F.concat(F.lit("query "), F.col("k").cast("string")).alias("query"),
@@ -186,7 +186,7 @@ loads AS (
 search_queries AS (
   SELECT host_id, 'query ' || k AS query, k, date_from, date_to,
          count(*) FILTER (event_type = 'view') AS shows, count(*) FILTER (event_type = 'click') AS clicks,
-         CAST(10 + (CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) // count(*)) % 2000 // 10 AS DOUBLE) / 10 AS avg_show_position,
+         CAST(10 + (CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) // count(*) + k * 37) % 2000 // 10 AS DOUBLE) / 10 AS avg_show_position,
          CAST(date_to + CASE WHEN (host_no % 2 = 0) = weekly THEN 2 ELSE 1 END AS TIMESTAMP) AS fetched_at
   FROM loads GROUP BY host_id, host_no, k, date_from, date_to, weekly
 )"""

@@ -45,9 +45,22 @@ def bare_domain(col: ColumnOrName) -> Column:
     return F.regexp_replace(F.lower(F.coalesce(_c(col), F.lit(""))), r"^www\.", "")
 
 
+#: An ordinary address or bare domain: scheme, any ``www.``, host labels.
+_PLAIN_HOST = r"^(?:[a-z][a-z0-9+.\-]*://)?(?:www\.)*([\p{L}\p{N}_\-]+(?:\.[\p{L}\p{N}_\-]+)*)(?:[/?#].*)?$"
+
+
 def host_of(col: ColumnOrName) -> Column:
-    """Host of an address or a bare domain; empty string where there is none."""
+    """Host of an address or a bare domain; empty string where there is none.
+
+    Ordinary addresses take one pattern; ports, user names, IPv6 and stray dots the rest.
+    """
     text = F.trim(F.coalesce(_c(col), F.lit("")))
+    return let(
+        F.regexp_extract(F.lower(text), _PLAIN_HOST, 1), lambda plain: F.when(plain != "", plain).otherwise(_any_host(text))
+    )
+
+
+def _any_host(text: Column) -> Column:
     bare = F.regexp_replace(text, "^/+", "")
     bare_v6 = F.length(bare) - F.length(F.replace(bare, F.lit(":"))) > 1
     authority = (

@@ -84,8 +84,11 @@ def skipped_queries(items: DataFrame) -> DataFrame:
     return items.where("skipped IS NOT NULL").groupBy("site", "skipped").agg(F.count(F.lit(1)).alias("queries"))
 
 
-def _page_actions(items: DataFrame) -> DataFrame:
-    """One item per page and section: an edit of the page serves all of its queries."""
+def page_actions(items: DataFrame) -> DataFrame:
+    """One item per page and section: an edit of the page serves all of its queries.
+
+    Totals and evidence both read ``items``: store or checkpoint them first.
+    """
     rows = items.where("skipped IS NULL")
     keys = ["site", "section", "page_key"]
     place = F.when(F.col("source") == "tracker", F.col("position")).otherwise(99)
@@ -103,15 +106,15 @@ def _page_actions(items: DataFrame) -> DataFrame:
     return _action(
         joined, F.col("section"), rule, url=F.col("main.path"), query=F.col("main.query"), count=F.col("count"), evidence=F.col("evidence"),
         k1=-F.col("total"), k2=-F.coalesce("main.freq", F.lit(0)), tie=F.col("main.path"),
-    ).join(joined.select("site", "section", F.col("main.path").alias("url"), "page_key"), ["site", "section", "url"])
+    )
 
 
 def quick_wins(items: DataFrame) -> DataFrame:
-    return _page_actions(items.where("section = 'quick_wins'")).select(*ACTION)
+    return page_actions(items.where("section = 'quick_wins'"))
 
 
 def snippet_actions(items: DataFrame) -> DataFrame:
-    return _page_actions(items.where("section = 'snippet'")).select(*ACTION)
+    return page_actions(items.where("section = 'snippet'"))
 
 
 def page_sections(actions: DataFrame) -> DataFrame:

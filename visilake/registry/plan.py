@@ -17,7 +17,7 @@ from . import audit as AUDIT
 def _latest(spark, sf):
     """Latest load per site; the shows are scaled so that the published thresholds bite."""
     rows = WH.latest_window(B.search_queries(spark, sf), ["host_id"]).withColumnRenamed("host_id", "site")
-    return rows.withColumn("shows", F.col("shows") * 12)
+    return rows.withColumn("shows", F.col("shows") * 40)
 
 
 def _pages(spark, sf):
@@ -51,7 +51,7 @@ def _demand(spark, sf):
 
 def _items(spark, sf):
     tracker = _history(spark, sf).where("n = 1")
-    return P.query_items(_latest(spark, sf), _pages(spark, sf), tracker, _demand(spark, sf))
+    return checkpointed(P.query_items(_latest(spark, sf), _pages(spark, sf), tracker, _demand(spark, sf)))
 
 
 LATEST = B.SEARCH_QUERY_PAGES + """,
@@ -60,7 +60,7 @@ best AS (
     SELECT host_id, date_from, date_to, row_number() OVER (PARTITION BY host_id ORDER BY date_to DESC, max(fetched_at) DESC, date_from) AS rn
     FROM search_queries GROUP BY host_id, date_from, date_to) WHERE rn = 1
 ),
-latest AS (SELECT s.* REPLACE (s.shows * 12 AS shows) FROM search_queries s JOIN best USING (host_id, date_from, date_to)),
+latest AS (SELECT s.* REPLACE (s.shows * 40 AS shows) FROM search_queries s JOIN best USING (host_id, date_from, date_to)),
 page_map AS (
   SELECT * FROM (SELECT host_id, query, k, url, row_number() OVER (PARTITION BY host_id, query ORDER BY fetched_at DESC, date_from) AS rn
     FROM (SELECT *, max(date_to) OVER (PARTITION BY host_id, query) AS own FROM search_query_pages) WHERE date_to = own AND url IS NOT NULL) WHERE rn = 1
@@ -114,7 +114,7 @@ def snippet_actions(spark, sf):
 
 def pages_in_both(spark, sf):
     items = _items(spark, sf)
-    rows = P.page_sections(P.quick_wins(items).unionByName(P.snippet_actions(items)))
+    rows = P.page_sections(P.page_actions(items))
     return rows.groupBy("site", "section", "in_both").agg(F.count(F.lit(1)).alias("items"))
 
 
@@ -132,23 +132,23 @@ def _articles(spark, sf):
 def _report(spark, sf):
     """Every fifth article is replaced by the next page."""
     a = _articles(spark, sf).where("url LIKE 'https%'")
-    no = F.regexp_extract("url", r"page-(\d+)", 1).cast("int")
+    no = F.regexp_extract("url", r"page-(\d+)", 1).try_cast("int")
     return a.select("site", "url", "target_query", F.when(no % 5 == 0, L.REPLACED).otherwise(L.WORKS).alias("verdict"), F.concat(F.lit("/page-"), (no + 1).cast("string")).alias("ranking_url"), F.col("created_at").alias("checked_at"))
 
 
 def _own_docs(spark, sf):
     """Own documents of the newest snapshot of each query, spread over the sites by nation."""
     docs = P.newest_snapshots(B.docs(spark, sf, "nation"))
-    number = F.regexp_extract("domain", r"nation-(\d+)", 1).cast("int")
+    number = F.regexp_extract("domain", r"nation-(\d+)", 1).try_cast("int")
     return docs.where(~F.col("is_wizard")).select(F.concat(F.lit("https:site-"), (number % 10).cast("string"), F.lit(".example:443")).alias("site"), "query", "url", "position", "fetched_at")
 
 
 def _window_pages(spark, sf):
-    return WH.latest_window(B.search_query_pages(spark, sf), ["host_id"]).withColumnRenamed("host_id", "site").withColumn("shows", F.col("shows") * 12)
+    return WH.latest_window(B.search_query_pages(spark, sf), ["host_id"]).withColumnRenamed("host_id", "site").withColumn("shows", F.col("shows") * 40)
 
 
 def _evidence(spark, sf):
-    return P.cannibalization_evidence(_articles(spark, sf), _report(spark, sf), _window_pages(spark, sf), _own_docs(spark, sf), _history(spark, sf))
+    return checkpointed(P.cannibalization_evidence(_articles(spark, sf), _report(spark, sf), _window_pages(spark, sf), _own_docs(spark, sf), _history(spark, sf)))
 
 
 def cannibalization_evidence(spark, sf):
@@ -161,31 +161,31 @@ def cannibalization_actions(spark, sf):
 
 CANNIBAL = LATEST + "," + B.docs_cte("nation") + """,
 arts AS (
-  SELECT DISTINCT host_id AS site, '/page-' || (k % 41) AS page, k % 41 AS no, 'query ' || k AS q, k || ' query' AS stem, 'https://site.example/page-' || (k % 41) || '/' AS url FROM owner_events WHERE k < 60
-  UNION ALL SELECT DISTINCT host_id, '/post-' || k, NULL, k || ' query', k || ' query', '/post-' || k FROM owner_events WHERE k < 60 AND k % 7 = 0
+  SELECT DISTINCT host_id AS site, '/page-' || (k % 41) AS page, k % 41 AS no, 'query ' || k AS q, k || ' query' AS stem, 'https://site.example/page-' || (k % 41) || '/' AS url, '/page-' || (k % 41) || '/' AS path FROM owner_events WHERE k < 60
+  UNION ALL SELECT DISTINCT host_id, '/post-' || k, NULL, k || ' query', k || ' query', '/post-' || k, '/post-' || k FROM owner_events WHERE k < 60 AND k % 7 = 0
 ),
 disputed AS (SELECT site, stem FROM arts GROUP BY site, stem HAVING count(DISTINCT page) > 1),
 stray AS (
-  SELECT p.host_id AS site, p.k || ' query' AS stem, p.query AS q, rtrim(p.url, '/') AS page, (SELECT arg_min(a.page, a.url) FROM arts a WHERE a.site = p.host_id AND a.stem = p.k || ' query') AS claimed
+  SELECT p.host_id AS site, p.k || ' query' AS stem, p.query AS q, rtrim(p.url, '/') AS page, p.url AS path, (SELECT arg_min(a.path, a.url) FROM arts a WHERE a.site = p.host_id AND a.stem = p.k || ' query') AS claimed_path, (SELECT arg_min(a.page, a.url) FROM arts a WHERE a.site = p.host_id AND a.stem = p.k || ' query') AS claimed
   FROM search_query_pages p JOIN best b ON b.host_id = p.host_id AND b.date_from = p.date_from AND b.date_to = p.date_to
-  WHERE p.shows * 12 >= 10 AND p.url IS NOT NULL AND NOT EXISTS (SELECT 1 FROM arts a WHERE a.site = p.host_id AND a.stem = p.k || ' query' AND a.page = rtrim(p.url, '/'))
+  WHERE p.shows * 40 >= 10 AND p.url IS NOT NULL AND NOT EXISTS (SELECT 1 FROM arts a WHERE a.site = p.host_id AND a.stem = p.k || ' query' AND a.page = rtrim(p.url, '/'))
 ),
 newest AS (SELECT query, region, last(snapshot_id ORDER BY fetched_at, snapshot_id) AS snapshot_id FROM docs WHERE error IS NULL GROUP BY ALL),
 own_docs AS (
   SELECT 'https:site-' || (CAST(regexp_extract(domain, 'nation-(\\d+)', 1) AS INTEGER) % 10) || '.example:443' AS site, d.query AS q,
-         list_aggregate(list_sort(regexp_extract_all(lower(d.query), '[0-9a-z]+')), 'string_agg', ' ') AS stem, coalesce(nullif(rtrim(regexp_extract(d.url, '^https://[^/]+(.*)$', 1), '/'), ''), '/') AS page
+         list_aggregate(list_sort(regexp_extract_all(lower(d.query), '[0-9a-z]+')), 'string_agg', ' ') AS stem, coalesce(nullif(rtrim(regexp_extract(d.url, '^https://[^/]+(.*)$', 1), '/'), ''), '/') AS page, regexp_extract(d.url, '^https://[^/]+(.*)$', 1) AS path
   FROM docs d JOIN newest n ON n.snapshot_id = d.snapshot_id WHERE NOT is_wizard
 ),
 doubled AS (SELECT site, q FROM own_docs GROUP BY site, q HAVING count(DISTINCT page) > 1),
 moved AS (SELECT host_id AS site, k FROM last_ranks WHERE n <= 2 AND page IS NOT NULL GROUP BY ALL HAVING count(*) = 2 AND count(DISTINCT page) = 2),
 told AS (
-  SELECT a.site, a.stem, a.q, a.page, 'registry' AS rule, 0 AS ro FROM arts a JOIN disputed USING (site, stem)
-  UNION ALL SELECT site, stem, q, page, 'replaced', 1 FROM arts WHERE no % 5 = 0
-  UNION ALL SELECT site, stem, q, '/page-' || (no + 1), 'replaced', 1 FROM arts WHERE no % 5 = 0
-  UNION ALL SELECT site, stem, q, claimed, 'owner', 2 FROM stray WHERE claimed IS NOT NULL
-  UNION ALL SELECT site, stem, q, page, 'owner', 2 FROM stray WHERE claimed IS NOT NULL
-  UNION ALL SELECT o.site, o.stem, o.q, o.page, 'serp', 3 FROM own_docs o JOIN doubled USING (site, q)
-  UNION ALL SELECT l.host_id, l.k || ' query', l.query, l.page, 'tracker', 4 FROM last_ranks l JOIN moved m ON m.site = l.host_id AND m.k = l.k WHERE n <= 2
+  SELECT a.site, a.stem, a.q, a.page, a.path, 'registry' AS rule, 0 AS ro FROM arts a JOIN disputed USING (site, stem)
+  UNION ALL SELECT site, stem, q, page, path, 'replaced', 1 FROM arts WHERE no % 5 = 0
+  UNION ALL SELECT site, stem, q, '/page-' || (no + 1), '/page-' || (no + 1), 'replaced', 1 FROM arts WHERE no % 5 = 0
+  UNION ALL SELECT site, stem, q, claimed, claimed_path, 'owner', 2 FROM stray WHERE claimed IS NOT NULL
+  UNION ALL SELECT site, stem, q, page, path, 'owner', 2 FROM stray WHERE claimed IS NOT NULL
+  UNION ALL SELECT o.site, o.stem, o.q, o.page, o.path, 'serp', 3 FROM own_docs o JOIN doubled USING (site, q)
+  UNION ALL SELECT l.host_id, l.k || ' query', l.query, l.page, l.page || '/', 'tracker', 4 FROM last_ranks l JOIN moved m ON m.site = l.host_id AND m.k = l.k WHERE n <= 2
 )"""
 
 
@@ -252,7 +252,7 @@ def finding_actions_audit(spark, sf):
 
 def _actions(spark, sf):
     items = _items(spark, sf)
-    parts = P.quick_wins(items).unionByName(P.snippet_actions(items))
+    parts = P.page_actions(items)
     parts = parts.unionByName(P.cannibalization_actions(_evidence(spark, sf), _latest(spark, sf)))
     return parts.unionByName(P.gap_actions(*_gap_inputs(spark, sf)))
 
@@ -287,12 +287,12 @@ def list_audits(spark, sf):
     return R.list_audits(o, limit=20).withColumn("started_at", F.date_format("started_at", "yyyy-MM-dd"))
 
 
-_PAGE_ACTIONS = "SELECT site, section, CASE WHEN section = 'snippet' THEN 'shows_without_clicks' ELSE source || '_position_band' END AS rule, url, query, count, least(count, 5) AS evidence, -CAST(total AS DOUBLE) AS k1, -CAST(coalesce(freq, 0) AS DOUBLE) AS k2, CAST(0 AS DOUBLE) AS k3, CAST(0 AS DOUBLE) AS k4, url AS tie FROM grouped"
-_CANNIBAL_ACTIONS = """SELECT g.site, 'cannibalization' AS section, 'cannibalization:' || rules AS rule, paths AS url, g.query, pages AS count, least(n, 5) AS evidence, -CAST(coalesce(l.shows, 0) AS DOUBLE) AS k1,
+_PAGE_ACTIONS = "SELECT site, section, CASE WHEN section = 'snippet' THEN 'shows_without_clicks' ELSE source || '_position_band' END AS rule, url, query, count, least(count, 5) AS evidence, CAST(-total AS DOUBLE) AS k1, CAST(-coalesce(freq, 0) AS DOUBLE) AS k2, CAST(0 AS DOUBLE) AS k3, CAST(0 AS DOUBLE) AS k4, url AS tie FROM grouped"
+_CANNIBAL_ACTIONS = """SELECT g.site, 'cannibalization' AS section, 'cannibalization:' || rules AS rule, paths AS url, g.query, pages AS count, least(n, 5) AS evidence, CAST(-coalesce(l.shows, 0) AS DOUBLE) AS k1,
   CAST(0 AS DOUBLE) AS k2, CAST(0 AS DOUBLE) AS k3, CAST(0 AS DOUBLE) AS k4, g.query AS tie
   FROM (SELECT site, stem, count(*) AS n, count(DISTINCT page) AS pages, first(q ORDER BY ro, q) AS query, list_aggregate(list_transform(list_sort(list(DISTINCT ro || rule)), lambda r: r[2:]), 'string_agg', '+') AS rules FROM told GROUP BY site, stem) g
-  JOIN (SELECT site, stem, string_agg(shown_page, ' and ' ORDER BY rn) AS paths FROM (SELECT site, stem, page, shown_page, row_number() OVER (PARTITION BY site, stem ORDER BY ro, shown_page, page) AS rn
-        FROM (SELECT site, stem, page, min(ro) AS ro, arg_min(shown_page, (ro, shown_page)) AS shown_page FROM told_paths GROUP BY ALL)) WHERE rn <= 2 GROUP BY site, stem) p USING (site, stem)
+  JOIN (SELECT site, stem, string_agg(path, ' and ' ORDER BY rn) AS paths FROM (SELECT site, stem, path, row_number() OVER (PARTITION BY site, stem ORDER BY ro, path, page) AS rn
+        FROM (SELECT site, stem, page, first(ro ORDER BY ro, path) AS ro, first(path ORDER BY ro, path) AS path FROM told GROUP BY site, stem, page)) WHERE rn <= 2 GROUP BY site, stem) p USING (site, stem)
   LEFT JOIN (SELECT host_id AS site, query, max(shows) AS shows FROM latest GROUP BY ALL) l ON l.site = g.site AND l.query = lower(g.query)
   WHERE pages >= 2 AND rules <> 'serp'"""
 _GAP_ACTIONS = "SELECT site, 'competitor_gaps' AS section, 'rival_in_results' AS rule, first(url ORDER BY position, domain) AS url, query, count(*) AS count, least(count(*), 3) AS evidence, -CAST(max(freq) AS DOUBLE) AS k1, CAST(0 AS DOUBLE) AS k2, CAST(0 AS DOUBLE) AS k3, CAST(0 AS DOUBLE) AS k4, query AS tie FROM standing GROUP BY site, query"
@@ -303,7 +303,7 @@ QUERIES = {
     "snippet_candidates": (snippet_actions, f"WITH {LATEST} {_PAGE_ACTIONS} WHERE section = 'snippet'"),
     "pages_in_both": (pages_in_both, f"WITH {LATEST} SELECT site, section, n > 1 AS in_both, count(*) AS items FROM (SELECT *, count(*) OVER (PARTITION BY site, page_key) AS n FROM grouped) GROUP BY ALL"),
     "cannibalization_evidence": (cannibalization_evidence, f"WITH {CANNIBAL} SELECT site, stem AS stem_key, rule, count(*) AS rows, count(DISTINCT page) AS pages FROM told GROUP BY ALL"),
-    "cannibalization_actions": (cannibalization_actions, None),
+    "cannibalization_actions": (cannibalization_actions, f"WITH {CANNIBAL} {_CANNIBAL_ACTIONS}"),
     "gap_rivals": (gap_rivals, f"WITH {GAPS} SELECT * FROM rivals"),
     "gap_actions": (gap_actions, f"WITH {GAPS} {_GAP_ACTIONS}"),
     "finding_actions": (finding_actions, None),
