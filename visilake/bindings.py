@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .session import spread
+
 AS_OF = "2000-06-01 12:00:00"
 
 
@@ -16,6 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark, sf_dir) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
+
+
 # --- result pages: orders are snapshots, their lines are documents ---------------------
 
 
@@ -212,7 +218,7 @@ search_query_pages AS (
 
 
 def crawl(spark, sf_dir) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
+    pages = spread(table(spark, sf_dir, "pages"))
     host = F.lower(F.regexp_extract("url", "^https?://([^/]+)", 1))
     return pages.select(
         "page_id",

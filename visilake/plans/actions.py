@@ -211,11 +211,12 @@ def gap_rivals(candidates: DataFrame, docs: DataFrame, sites: DataFrame) -> Data
     return counts.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= L.GAP_MAX_COMPETITORS).drop("_n")
 
 
-def newest_snapshots(docs: DataFrame) -> DataFrame:
+def newest_snapshots(docs: DataFrame, snapshots: DataFrame) -> DataFrame:
     """Documents of the newest good snapshot of each query and region."""
-    good = docs.where("error IS NULL")
-    newest = good.groupBy("query", "region").agg(F.max_by("snapshot_id", F.struct("fetched_at", "snapshot_id")).alias("snapshot_id"))
-    return good.join(newest, ["query", "region", "snapshot_id"], "left_semi")
+    newest = snapshots.where("error IS NULL").groupBy("query", "region").agg(
+        F.max_by("snapshot_id", F.struct("fetched_at", "snapshot_id")).alias("snapshot_id")
+    )
+    return docs.join(newest.select("snapshot_id"), "snapshot_id", "left_semi")
 
 
 def gap_actions(

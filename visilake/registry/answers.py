@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import bindings as B
 from ..operators import visibility as V
+from ..session import checkpointed
 from ..sources import answers as AN
 
 DOMAIN = "nation-3.example"
@@ -135,7 +136,7 @@ def _checks(spark, sf):
 
 
 def citation_share(spark, sf):
-    out = V.citation_share(_checks(spark, sf))
+    out = V.citation_share(checkpointed(_checks(spark, sf).drop("sources", "text")))
     return out.withColumns({"rivals": F.coalesce(F.array_join("rivals", ","), F.lit("")), "last_run": F.date_format("last_run", "yyyy-MM-dd")})
 
 

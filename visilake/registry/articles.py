@@ -10,6 +10,7 @@ from ..operators import articles as A
 from ..operators import brief as BR
 from ..operators import ranks as R
 from ..operators import serp as S
+from ..session import checkpointed
 from ..plans.actions import newest_snapshots
 
 
@@ -44,7 +45,7 @@ pairs AS (
 
 def _runs(spark, sf):
     """Documents of the newest snapshot of each query and quarter: one run measures a query once."""
-    docs = B.docs(spark, sf, "nation").withColumn("run", F.date_trunc("quarter", "fetched_at"))
+    docs = checkpointed(B.docs(spark, sf, "nation")).withColumn("run", F.date_trunc("quarter", "fetched_at"))
     newest = B.snapshots(spark, sf).groupBy("query", F.date_trunc("quarter", "fetched_at").alias("run")).agg(
         F.max_by("snapshot_id", F.struct("fetched_at", "snapshot_id")).alias("snapshot_id")
     )
@@ -85,7 +86,7 @@ def _measured(spark, sf):
 
 def _report(spark, sf):
     articles = _articles(spark, sf).withColumn("target_query", F.trim("target_query"))
-    checks = _measured(spark, sf).withColumn("id", F.col("snapshot_id"))
+    checks = checkpointed(_measured(spark, sf).withColumn("id", F.col("snapshot_id")))
     return A.article_report(articles.select("article_id", "project_id", "url", "target_query"), checks)
 
 
@@ -161,7 +162,7 @@ def _expansions(spark, sf):
 
 
 BRIEFS = B.docs_cte("nation") + """,
-newest AS (SELECT query, region, last(snapshot_id ORDER BY fetched_at, snapshot_id) AS snapshot_id FROM docs WHERE error IS NULL GROUP BY query, region),
+newest AS (SELECT query, region, last(snapshot_id ORDER BY fetched_at, snapshot_id) AS snapshot_id FROM snapshots WHERE error IS NULL GROUP BY query, region),
 tops AS (SELECT d.* FROM docs d JOIN newest n ON n.snapshot_id = d.snapshot_id WHERE NOT is_wizard AND organic_position <= 10),
 facts AS (
   SELECT snapshot_id, query, region, count(*) AS pages, count(*) FILTER (regexp_matches(lower(title), '\\b(anvil|plate)')) AS cases,
@@ -184,7 +185,7 @@ asked AS (SELECT query, arg_min(phrase, rank) FILTER (contains(phrase, 'widget')
 
 
 def _newest(spark, sf):
-    return newest_snapshots(B.docs(spark, sf, "nation"))
+    return newest_snapshots(B.docs(spark, sf, "nation"), B.snapshots(spark, sf))
 
 
 def _facts(spark, sf):
@@ -216,7 +217,7 @@ def brief_recommendations(spark, sf):
 
 def build_briefs(spark, sf):
     freq = B.snapshots(spark, sf).groupBy("query").agg(F.count(F.lit(1)).alias("freq"))
-    docs = _newest(spark, sf)
+    docs = checkpointed(_newest(spark, sf))
     snaps = docs.select("snapshot_id", "query", "region", "fetched_at", "error").distinct()
     out = BR.build_briefs(docs, snaps, _expansions(spark, sf), freq, B.AS_OF, 10, "nation-3.example", PATTERNS, SALES, FORMATS, CASES, PRICE)
     return out.select("snapshot_id", "query", "region", "freq", "score", "band", "our_position", F.size("top_pages").alias("top_pages"), F.size("related").alias("related"), F.size("gaps").alias("gaps"), F.size("advice").alias("advice"))

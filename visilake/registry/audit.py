@@ -83,7 +83,7 @@ def incoming_links(spark, sf):
 
 
 def availability_findings(spark, sf):
-    return AU.availability_findings(_facts(spark, sf)).select("site", "severity", "code", "url")
+    return AU.availability_findings(_stored(spark, sf)).select("site", "severity", "code", "url")
 
 
 def contradiction_findings(spark, sf):
@@ -101,11 +101,11 @@ def page_rules(spark, sf):
 
 
 def orphan_pages(spark, sf):
-    return AU.orphan_findings(_facts(spark, sf)).select("site", "code", "url")
+    return AU.orphan_findings(_stored(spark, sf)).select("site", "code", "url")
 
 
 def links_to_check(spark, sf):
-    return AU.links_to_check(_facts(spark, sf), 20).select("site", "n", "source_url")
+    return AU.links_to_check(_stored(spark, sf), 20).select("site", "n", "source_url")
 
 
 def _all(spark, sf):
@@ -202,7 +202,7 @@ def _maps(spark, sf):
     body = F.when(F.col("page_id") % 5 == 0, index).when(F.col("page_id") % 11 == 0, dtd).otherwise(one)
     declared = c.select("site", F.concat("site", F.lit("map-"), key, F.lit(".xml")).alias("url"), body.alias("body"))
     nested = c.where("page_id % 5 = 0").select("site", F.concat("site", F.lit("nested-"), key, F.lit(".xml")).alias("url"), one.alias("body"))
-    parsed = SF.parse_sitemaps(declared.unionByName(nested))
+    parsed = checkpointed(SF.parse_sitemaps(declared.unionByName(nested)))
     return SF.expand_sitemaps(declared.select("site", "url"), parsed)
 
 
@@ -219,7 +219,7 @@ opened AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER B
 
 
 def _llms(spark, sf):
-    d = B.table(spark, sf, "documents")
+    d = B.documents(spark, sf)
     k = F.col("doc_id") % 6
     text = (
         F.when(k == 0, F.col("text")).when(k == 1, F.concat(F.lit("# Site\n> about\n## Pages\n- [a](/x): y\n"), "text"))

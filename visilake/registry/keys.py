@@ -30,13 +30,13 @@ def url_keys(spark, sf):
 
 
 def text_keys(spark, sf):
-    d = B.table(spark, sf, "documents")
+    d = B.documents(spark, sf)
     return d.select("doc_id", F.md5(K.clean_text("text", 160)).alias("clean"), K.word_count("text").cast("bigint").alias("words"), F.md5(WD.stem_key("text")).alias("stem_key"))
 
 
 def contains_query(spark, sf):
     """Do documents hold all significant words of their own first line."""
-    d = B.table(spark, sf, "documents").where("lang = 'en'")
+    d = B.documents(spark, sf).where("lang = 'en'")
     return d.select("doc_id", WD.contains_query("text", F.substring_index("text", ".", 1)).alias("own"), WD.contains_query("text", F.lit("thand erst")).alias("other"))
 
 

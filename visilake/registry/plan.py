@@ -138,7 +138,7 @@ def _report(spark, sf):
 
 def _own_docs(spark, sf):
     """Own documents of the newest snapshot of each query, spread over the sites by nation."""
-    docs = P.newest_snapshots(B.docs(spark, sf, "nation"))
+    docs = checkpointed(P.newest_snapshots(B.docs(spark, sf, "nation"), B.snapshots(spark, sf)))
     number = F.regexp_extract("domain", r"nation-(\d+)", 1).try_cast("int")
     return docs.where(~F.col("is_wizard")).select(F.concat(F.lit("https:site-"), (number % 10).cast("string"), F.lit(".example:443")).alias("site"), "query", "url", "position", "fetched_at")
 
@@ -170,7 +170,7 @@ stray AS (
   FROM search_query_pages p JOIN best b ON b.host_id = p.host_id AND b.date_from = p.date_from AND b.date_to = p.date_to
   WHERE p.shows * 40 >= 10 AND p.url IS NOT NULL AND NOT EXISTS (SELECT 1 FROM arts a WHERE a.site = p.host_id AND a.stem = p.k || ' query' AND a.page = rtrim(p.url, '/'))
 ),
-newest AS (SELECT query, region, last(snapshot_id ORDER BY fetched_at, snapshot_id) AS snapshot_id FROM docs WHERE error IS NULL GROUP BY ALL),
+newest AS (SELECT query, region, last(snapshot_id ORDER BY fetched_at, snapshot_id) AS snapshot_id FROM snapshots WHERE error IS NULL GROUP BY ALL),
 own_docs AS (
   SELECT 'https:site-' || (CAST(regexp_extract(domain, 'nation-(\\d+)', 1) AS INTEGER) % 10) || '.example:443' AS site, d.query AS q,
          list_aggregate(list_sort(regexp_extract_all(lower(d.query), '[0-9a-z]+')), 'string_agg', ' ') AS stem, coalesce(nullif(rtrim(regexp_extract(d.url, '^https://[^/]+(.*)$', 1), '/'), ''), '/') AS page, regexp_extract(d.url, '^https://[^/]+(.*)$', 1) AS path
@@ -205,7 +205,7 @@ def _candidates(spark, sf):
 
 def _gap_inputs(spark, sf):
     cand = _candidates(spark, sf)
-    docs = P.newest_snapshots(B.docs(spark, sf, "nation"))
+    docs = checkpointed(P.newest_snapshots(B.docs(spark, sf, "nation"), B.snapshots(spark, sf)))
     articles = cand.where("(length(query) + no) % 4 = 0").select("site", F.col("query").alias("target_query"))
     owner = cand.where("(length(query) + no) % 5 = 0").select("site", "query", F.lit(3).alias("shows"))
     pages = cand.where("(length(query) + no) % 7 = 0").select("site", K.squeezed("query").alias("query_key"))
@@ -224,7 +224,7 @@ def gap_actions(spark, sf):
 
 
 GAPS = B.docs_cte("nation") + """,
-newest AS (SELECT query, region, last(snapshot_id ORDER BY fetched_at, snapshot_id) AS snapshot_id FROM docs WHERE error IS NULL GROUP BY ALL),
+newest AS (SELECT query, region, last(snapshot_id ORDER BY fetched_at, snapshot_id) AS snapshot_id FROM snapshots WHERE error IS NULL GROUP BY ALL),
 top AS (SELECT d.query, domain, min(position) AS position, arg_min(url, position) AS url FROM docs d JOIN newest n ON n.snapshot_id = d.snapshot_id GROUP BY ALL),
 cand AS (SELECT n_name AS site, replace(lower(n_name), '_', '-') || '.example' AS own, n_nationkey AS no, q.query, q.freq FROM nation JOIN (SELECT query, region, count(*) AS freq FROM snapshots GROUP BY ALL) q ON q.region = n_regionkey),
 rival_counts AS (SELECT site, domain, count(*) AS queries FROM cand JOIN top USING (query) WHERE domain <> own GROUP BY ALL HAVING count(*) >= 2),

@@ -8,6 +8,7 @@ from .. import bindings as B
 from ..functions import lists as L
 from ..operators import ranks as R
 from ..operators import serp as S
+from ..session import checkpointed
 from ..sinks import warehouse as WH
 
 OURS, RIVAL = "europe.example", "asia.example"
@@ -68,7 +69,7 @@ latest AS (
 
 def _positions(spark, sf):
     chosen = R.representative_snapshot(_measured(spark, sf))
-    return R.record_positions(chosen, B.docs(spark, sf), [OURS], primary=OURS)
+    return checkpointed(R.record_positions(chosen, B.docs(spark, sf), [OURS], primary=OURS))
 
 
 def _day(df, *names):

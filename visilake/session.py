@@ -15,6 +15,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    # call sites of every column call cost more than small plans do
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
@@ -34,6 +36,16 @@ def local_session(cpus: int = 8, shuffle_partitions: int | None = None, memory:
     return spark
 
 
+def spread(df: DataFrame, per_core: int = 1) -> DataFrame:
+    """Give a small, badly split input as many partitions as there are cores.
+
+    For per-row work that costs far more than moving the rows (parsing, stemming). An input
+    that already has enough partitions, as any large table does, is returned unchanged.
+    """
+    wanted = df.sparkSession.sparkContext.defaultParallelism * per_core
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage through reliable storage.
 

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions import keys as K
 from ..functions import lists as L
+from ..session import checkpointed
 from . import xml
 
 _LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
@@ -149,7 +150,8 @@ def expand_sitemaps(starts: DataFrame, parsed: DataFrame, max_files: int = L.SIT
 
     An index opens its maps level by level up to the depth limit; a map of another
     registered domain is listed as foreign and not opened. Each level is one equi-join
-    with the parsed files.
+    with the parsed files (store those first); its lineage is cut, and the walk ends with
+    the first level that opened no index.
     """
     seen = None
     level = starts.select("site", "url", F.lit(0).alias("depth"))
@@ -160,7 +162,10 @@ def expand_sitemaps(starts: DataFrame, parsed: DataFrame, max_files: int = L.SIT
         opened = fresh.join(parsed, ["site", "url"], "left")
         for name, kind in (("is_index", "boolean"), ("locs", "array<string>"), ("error", "string")):
             opened = opened.withColumn(name, F.when(~F.col("foreign"), F.col(name)).cast(kind))
+        opened = checkpointed(opened)
         seen = opened if seen is None else seen.unionByName(opened)
+        if opened.where("is_index").isEmpty():
+            break
         level = opened.where("is_index").select("site", F.explode("locs").alias("url"), F.lit(depth + 1).alias("depth"))
     order = W.partitionBy("site", "foreign").orderBy("depth", "url")
     return seen.withColumn("_n", F.row_number().over(order)).where(F.col("foreign") | (F.col("_n") <= max_files)).drop("_n")
