@@ -7,6 +7,7 @@ so a registered query and its SQL twin start from equal inputs. Work grows with
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .session import spread
@@ -53,10 +54,8 @@ def lines(spark, sf_dir) -> DataFrame:
     """One line per (order, line number): a repeated delivery of a slot is dropped."""
     raw = table(spark, sf_dir, "lineitem")
     pick = ("l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", "l_shipdate")
-    return (
-        raw.groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct(*pick)).alias("l"))
-        .select("l_orderkey", "l_linenumber", *[F.col(f"l.{c}").alias(c) for c in pick])
-    )
+    first = W.partitionBy("l_orderkey", "l_linenumber").orderBy(*pick)
+    return raw.select("l_orderkey", "l_linenumber", *pick).withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
 
 
 LINES = """
@@ -104,8 +103,6 @@ def page_lines(spark, sf_dir, by: str = "region") -> DataFrame:
 
 def docs(spark, sf_dir, by: str = "region") -> DataFrame:
     """Documents with organic places; a snapshot has at most one document per line number (1..7)."""
-    from pyspark.sql import Window as W
-
     order = W.partitionBy("snapshot_id").orderBy("position")
     organic = F.count_if(~F.col("is_wizard")).over(order).cast("int")
     numbered = page_lines(spark, sf_dir, by).withColumn("organic_position", F.when(~F.col("is_wizard"), organic))

@@ -34,7 +34,9 @@ def doc_host() -> Column:
 def measure_articles(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Place of the very page, first place of any page of its site, and that page's address.
 
-    Wizard blocks do not count as pages but keep their slot in the numbering. Documents are
+    ``docs`` holds one run: a query is measured once however many articles claim it, so the
+    join adds one row per article, query and run. Wizard blocks do not count as pages but
+    keep their slot in the numbering. Documents are
     reduced to the first place per (query, snapshot, page key) before the join, so a hot
     query meets its articles with one row per page of the right host.
     """

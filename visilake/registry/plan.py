@@ -17,7 +17,7 @@ from . import audit as AUDIT
 def _latest(spark, sf):
     """Latest load per site; the shows are scaled so that the published thresholds bite."""
     rows = WH.latest_window(B.search_queries(spark, sf), ["host_id"]).withColumnRenamed("host_id", "site")
-    return rows.withColumn("shows", F.col("shows") * 40)
+    return checkpointed(rows.withColumn("shows", F.col("shows") * 40))
 
 
 def _pages(spark, sf):
@@ -41,7 +41,7 @@ def _history(spark, sf):
     from pyspark.sql import Window as W
 
     order = W.partitionBy("site", "query").orderBy(F.desc("checked_at"), F.desc("id"))
-    return _ranks(spark, sf).withColumn("n", F.row_number().over(order)).where("n <= 2")
+    return checkpointed(_ranks(spark, sf).withColumn("n", F.row_number().over(order)).where("n <= 2"))
 
 
 def _demand(spark, sf):
@@ -126,7 +126,7 @@ def _articles(spark, sf):
     e = B.owner_events(spark, sf).where("k < 60").select(F.col("host_id").alias("site"), "k").distinct()
     first = e.select("site", F.concat(F.lit("https://site.example/page-"), (F.col("k") % 41).cast("string"), F.lit("/")).alias("url"), F.concat(F.lit("query "), F.col("k").cast("string")).alias("target_query"))
     second = e.where("k % 7 = 0").select("site", F.concat(F.lit("/post-"), F.col("k").cast("string")).alias("url"), F.concat(F.col("k").cast("string"), F.lit(" query")).alias("target_query"))
-    return first.unionByName(second).withColumn("created_at", F.lit("2024-01-01").cast("timestamp"))
+    return checkpointed(first.unionByName(second).withColumn("created_at", F.lit("2024-01-01").cast("timestamp")))
 
 
 def _report(spark, sf):
@@ -144,7 +144,8 @@ def _own_docs(spark, sf):
 
 
 def _window_pages(spark, sf):
-    return WH.latest_window(B.search_query_pages(spark, sf), ["host_id"]).withColumnRenamed("host_id", "site").withColumn("shows", F.col("shows") * 40)
+    rows = WH.latest_window(B.search_query_pages(spark, sf), ["host_id"]).withColumnRenamed("host_id", "site")
+    return checkpointed(rows.withColumn("shows", F.col("shows") * 40))
 
 
 def _evidence(spark, sf):
@@ -225,12 +226,15 @@ def gap_actions(spark, sf):
 
 GAPS = B.docs_cte("nation") + """,
 newest AS (SELECT query, region, last(snapshot_id ORDER BY fetched_at, snapshot_id) AS snapshot_id FROM snapshots WHERE error IS NULL GROUP BY ALL),
+"""
+GAP_REST = """
 top AS (SELECT d.query, domain, min(position) AS position, arg_min(url, position) AS url FROM docs d JOIN newest n ON n.snapshot_id = d.snapshot_id GROUP BY ALL),
 cand AS (SELECT n_name AS site, replace(lower(n_name), '_', '-') || '.example' AS own, n_nationkey AS no, q.query, q.freq FROM nation JOIN (SELECT query, region, count(*) AS freq FROM snapshots GROUP BY ALL) q ON q.region = n_regionkey),
 rival_counts AS (SELECT site, domain, count(*) AS queries FROM cand JOIN top USING (query) WHERE domain <> own GROUP BY ALL HAVING count(*) >= 2),
 rivals AS (SELECT site, domain, queries FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY queries DESC, domain) AS n FROM rival_counts) WHERE n <= 5),
 free AS (SELECT * FROM cand c WHERE (length(query) + no) % 4 <> 0 AND (length(query) + no) % 5 <> 0 AND (length(query) + no) % 7 <> 0 AND NOT EXISTS (SELECT 1 FROM top t WHERE t.query = c.query AND t.domain = c.own)),
 standing AS (SELECT f.site, f.query, f.freq, t.domain, t.position, t.url FROM free f JOIN rivals r ON r.site = f.site JOIN top t ON t.query = f.query AND t.domain = r.domain)"""
+GAPS += GAP_REST
 
 
 # --- findings and the whole plan ----------------------------------------------------------
@@ -296,6 +300,12 @@ _CANNIBAL_ACTIONS = """SELECT g.site, 'cannibalization' AS section, 'cannibaliza
   LEFT JOIN (SELECT host_id AS site, query, max(shows) AS shows FROM latest GROUP BY ALL) l ON l.site = g.site AND l.query = lower(g.query)
   WHERE pages >= 2 AND rules <> 'serp'"""
 _GAP_ACTIONS = "SELECT site, 'competitor_gaps' AS section, 'rival_in_results' AS rule, first(url ORDER BY position, domain) AS url, query, count(*) AS count, least(count(*), 3) AS evidence, -CAST(max(freq) AS DOUBLE) AS k1, CAST(0 AS DOUBLE) AS k2, CAST(0 AS DOUBLE) AS k3, CAST(0 AS DOUBLE) AS k4, query AS tie FROM standing GROUP BY site, query"
+WHOLE = CANNIBAL + "," + GAP_REST + f""",
+every_action AS ({_PAGE_ACTIONS} UNION ALL {_CANNIBAL_ACTIONS} UNION ALL {_GAP_ACTIONS}),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY site ORDER BY list_position(['indexing', 'quick_wins', 'snippet', 'cannibalization', 'ai_search', 'competitor_gaps', 'other'], section), k1, k2, k3, k4, tie, rule, url) AS place
+  FROM every_action
+)"""
 QUERIES = {
     "quick_win_items": (quick_win_items, f"WITH {LATEST} SELECT site, section, query, shows, clicks, position, freq, source, coalesce(page, '/') AS path, skipped FROM items"),
     "skipped_queries": (skipped_queries, f"WITH {LATEST} SELECT site, skipped, count(*) AS queries FROM items WHERE skipped IS NOT NULL GROUP BY ALL"),
@@ -308,8 +318,8 @@ QUERIES = {
     "gap_actions": (gap_actions, f"WITH {GAPS} {_GAP_ACTIONS}"),
     "finding_actions": (finding_actions, None),
     "finding_actions_audit": (finding_actions_audit, f"WITH {AUDIT.FACTS}, {AUDIT._RULE_ROWS}, {AUDIT._EVERY} SELECT site, CASE WHEN severity = 'critical' THEN 'indexing' ELSE 'other' END AS section, 'audit:' || code AS rule, CAST(CASE severity WHEN 'critical' THEN 0 WHEN 'major' THEN 1 ELSE 2 END AS DOUBLE) AS k1, count(*) AS findings, CASE WHEN severity = 'critical' THEN count(*) ELSE 1 END AS items FROM every WHERE code NOT IN ('noindex-not-checked', 'robots-disallow-not-checked') GROUP BY site, severity, code"),
-    "plan_ranked": (plan_ranked, None),
-    "plan_hidden": (plan_hidden, None),
+    "plan_ranked": (plan_ranked, f"WITH {WHOLE} SELECT site, CAST(place AS INTEGER) AS place, section, rule, url, query, count, k1, k2 FROM placed WHERE place <= 10"),
+    "plan_hidden": (plan_hidden, f"WITH {WHOLE} SELECT site, section, count(*) AS total, count(*) FILTER (place > 10) AS hidden FROM placed GROUP BY site, section HAVING count(*) FILTER (place > 10) > 0"),
     "plan_missing": (plan_missing, None),
     "reusable_audits": (reusable_audits, "WITH r AS (SELECT 'https://c-' || o_custkey || '.example/' AS url, o_orderkey AS id, o_orderdate, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders WHERE o_orderstatus <> 'P') SELECT url, id, strftime(o_orderdate, '%Y-%m-%d') AS started_at, 30 AS pages, id % 9 AS findings, CAST(datediff('day', o_orderdate, TIMESTAMP '2001-08-02') AS DOUBLE) AS age_days, datediff('day', o_orderdate, TIMESTAMP '2001-08-02') <= 7 AS reusable FROM r WHERE rn = 1"),
     "list_audits": (list_audits, "SELECT o_orderkey AS id, 'c-' || o_custkey AS url, strftime(o_orderdate, '%Y-%m-%d') AS started_at FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 20"),

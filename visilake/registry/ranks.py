@@ -235,6 +235,9 @@ def latest_docs(spark, sf):
 
 
 D = "strftime({}, '%Y-%m-%d')".format
+PLANNED = LATEST + """,
+phrases AS (SELECT lower(trim(query)) AS query_key, arg_min(query, ord) AS query, min(ord) AS ord FROM (SELECT CASE WHEN snapshot_id % 2 = 0 THEN upper(query) ELSE query END AS query, snapshot_id AS ord FROM snapshots) GROUP BY 1), known AS (SELECT lower(trim(query)) AS query_key, last(position ORDER BY checked_at, query) AS position FROM latest GROUP BY 1),
+planned AS (SELECT p.query, p.query_key, p.ord, CASE WHEN k.query_key IS NULL THEN 'new' WHEN k.position IS NULL THEN 'cold' ELSE 'hot' END AS state, CASE WHEN k.query_key IS NOT NULL AND k.position IS NULL THEN 1 ELSE 3 END AS samples, 3 * CASE WHEN k.query_key IS NOT NULL AND k.position IS NULL THEN 1 ELSE 3 END AS calls FROM phrases p LEFT JOIN known k USING (query_key))"""
 QUERIES = {
     "rank_median": (rank_median, f"WITH {MEASURED}, hist AS (SELECT query, region, run_id, string_agg(CASE WHEN rank < {L.BEYOND} THEN CAST(rank AS VARCHAR) ELSE '-' END || 'x' || n, ',' ORDER BY rank) AS samples FROM (SELECT query, region, run_id, rank, count(*) AS n FROM sampled WHERE ok GROUP BY ALL) GROUP BY ALL) SELECT m.*, coalesce(h.samples, '') AS samples FROM medians m LEFT JOIN hist h USING (query, region, run_id)"),
     "rank_median_aggregate": (rank_median_aggregate, f"WITH {MEASURED} SELECT query, region, run_id, median FROM medians WHERE snapshots > 0"),
@@ -253,8 +256,8 @@ QUERIES = {
     "competitor_gap": (competitor_gap, f"WITH {B.docs_cte('nation')}, seen AS (SELECT domain, query, min(position) AS best, first(position ORDER BY fetched_at DESC, snapshot_id DESC, position) AS last FROM docs WHERE error IS NULL AND region = 3 AND domain IN ('nation-7.example', 'nation-3.example') GROUP BY domain, query) SELECT t.query, t.last AS their_position, o.last AS our_position, CASE WHEN o.last IS NULL THEN 'missing' WHEN o.last < t.last THEN 'we' WHEN o.last > t.last THEN 'they' ELSE 'equal' END AS ahead FROM seen t LEFT JOIN seen o ON o.query = t.query AND o.domain = 'nation-3.example' WHERE t.domain = 'nation-7.example'"),
     "keyword_metrics": (keyword_metrics, None),
     "calibration_report": (calibration_report, f"WITH {B.docs_cte()}, c AS (SELECT snapshot_id, fetched_at, min(position) FILTER (domain = '{OURS}') AS seen, min(organic_position) FILTER (domain = '{OURS}') AS api FROM docs WHERE error IS NULL GROUP BY ALL), d AS (SELECT *, CASE WHEN seen IS NOT NULL AND api IS NOT NULL THEN api - seen END AS diff FROM c) SELECT count(*) AS checks, count(diff) AS comparable, round(avg(diff), 1) AS avg_offset, first(diff ORDER BY diff IS NULL, abs(diff) DESC, fetched_at DESC, snapshot_id DESC) AS max_offset, count(diff) >= 5 AS trustworthy FROM d"),
-    "measurement_plan": (measurement_plan, f"WITH {LATEST}, phrases AS (SELECT lower(trim(query)) AS query_key, arg_min(query, ord) AS query, min(ord) AS ord FROM (SELECT CASE WHEN snapshot_id % 2 = 0 THEN upper(query) ELSE query END AS query, snapshot_id AS ord FROM snapshots) GROUP BY 1), known AS (SELECT lower(trim(query)) AS query_key, last(position ORDER BY checked_at, query) AS position FROM latest GROUP BY 1) SELECT p.query, p.query_key, p.ord, CASE WHEN k.query_key IS NULL THEN 'new' WHEN k.position IS NULL THEN 'cold' ELSE 'hot' END AS state, CASE WHEN k.query_key IS NOT NULL AND k.position IS NULL THEN 1 ELSE 3 END AS samples, 3 * CASE WHEN k.query_key IS NOT NULL AND k.position IS NULL THEN 1 ELSE 3 END AS calls FROM phrases p LEFT JOIN known k USING (query_key)"),
-    "run_gate": (run_gate, None),
+    "measurement_plan": (measurement_plan, f"WITH {PLANNED} SELECT * FROM planned"),
+    "run_gate": (run_gate, f"WITH {PLANNED}, totals AS (SELECT count(*) AS phrases, CAST(sum(samples) AS BIGINT) AS samples, CAST(sum(calls) AS BIGINT) AS calls, count(*) FILTER (state <> 'cold') AS hot, count(*) FILTER (state = 'cold') AS cold, count(*) FILTER (state = 'new') AS new FROM planned), last AS (SELECT max(checked_at) AS at_last FROM positions WHERE region = 3) SELECT t.*, strftime(at_last, '%Y-%m-%d') AS last_measured, CAST(datediff('day', at_last, TIMESTAMP '2001-08-10') AS DOUBLE) AS days_passed, datediff('day', at_last, TIMESTAMP '2001-08-10') >= 13 AS due, CASE WHEN datediff('day', at_last, TIMESTAMP '2001-08-10') < 13 THEN 'too_early' WHEN calls > 1000 THEN 'over_cap' END AS stopped, round(calls * CAST(0.0305 AS DOUBLE), 4) AS cost FROM totals t, last"),
     "tracking_targets": (tracking_targets, "SELECT p.project_id, n_name AS project, lower(n_name) || '.example' AS domain, t.query, t.inherited FROM (SELECT *, CAST(n_nationkey AS BIGINT) AS project_id FROM nation WHERE n_nationkey <> 4 AND n_regionkey = 3) p LEFT JOIN (SELECT CASE WHEN c_custkey % 10 > 0 THEN c_nationkey ELSE 8 END AS project_id, c_name AS query, c_custkey % 10 = 0 AS inherited FROM customer WHERE c_acctbal > 0) t ON t.project_id = p.project_id"),
     "latest_docs": (latest_docs, "SELECT l_orderkey AS snapshot_id, l_linenumber AS position, strftime(l_shipdate, '%Y-%m-%d') AS ingested_at, l_partkey, l_suppkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC, l_partkey DESC, l_suppkey DESC) AS rn FROM lineitem) WHERE rn = 1"),
 }

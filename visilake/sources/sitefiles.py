@@ -167,8 +167,9 @@ def expand_sitemaps(starts: DataFrame, parsed: DataFrame, max_files: int = L.SIT
         if opened.where("is_index").isEmpty():
             break
         level = opened.where("is_index").select("site", F.explode("locs").alias("url"), F.lit(depth + 1).alias("depth"))
-    order = W.partitionBy("site", "foreign").orderBy("depth", "url")
-    return seen.withColumn("_n", F.row_number().over(order)).where(F.col("foreign") | (F.col("_n") <= max_files)).drop("_n")
+    order = W.partitionBy("site").orderBy("depth", "url")
+    read = seen.where("NOT foreign").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= max_files).drop("_n")
+    return read.unionByName(seen.where("foreign"))
 
 
 def sitemap_urls(expanded: DataFrame) -> DataFrame:
