@@ -58,21 +58,17 @@ def resolve_citations(answers: DataFrame, domain: str | None = None, mode: str =
             (by_url | ((s["domain"] != "") & ours_in(s["domain"], mode))).alias("ours"),
         )
 
-    names = K.host_spellings(domain) if domain is not None else ()
     text = F.lower("text")
-    mentioned = F.lit(False)
-    if domain is not None:
-        for name in names:
-            mentioned = mentioned | (F.lit(name != "") & F.contains(text, F.lit(name)))
-        rows = answers.drop("domain")
-        own = F.lit(names[-1] if names else "")
-    else:
+    if domain is None:
         own = K.host_of("domain")
         mentioned = (own != "") & F.contains(text, own)
-        rows = answers
-    rows = rows.withColumn("sources", _distinct_sources(F.col("sources"))) if domain is not None else answers.withColumn(
-        "sources", _distinct_sources(F.col("sources"))
-    )
+    else:
+        names = K.host_spellings(domain)
+        own = F.lit(names[-1])
+        mentioned = F.lit(False)
+        for name in names:
+            mentioned = mentioned | (F.lit(name != "") & F.contains(text, F.lit(name)))
+    rows = answers.withColumn("sources", _distinct_sources(F.col("sources")))
     rows = rows.withColumn("sources", F.transform("sources", mark))
     hits = F.filter("sources", lambda s: s["ours"])
     best = F.get(F.filter("sources", lambda s: s["ours"] & (F.coalesce(s["used"], F.lit(True)))), F.lit(0))

@@ -14,7 +14,7 @@ _REGIONS = "struct<_error:string,results:array<struct<region:string,count:string
 
 def _whole(col):
     """A count that may come as text; unreadable is zero."""
-    return F.coalesce(F.expr("null").cast("bigint") if col is None else col.try_cast("bigint"), F.lit(0).cast("bigint"))
+    return F.coalesce(col.try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
 def keyword_frequencies_from_json(raw: DataFrame, payload: str = "response") -> DataFrame:
@@ -66,7 +66,7 @@ def latest_keyword_snapshot(spark, folder: str) -> DataFrame:
         F.from_json(F.trim("value"), row).alias("r"),
     )
     return (
-        lines.where("readable AND trim(value) <> '' AND r.response._error IS NULL" if False else "readable AND r.response._error IS NULL")
+        lines.where("readable AND r.response._error IS NULL")
         .groupBy(F.coalesce("r.seed", F.lit("")).alias("seed"))
         .agg(F.max_by(_whole(F.col("r.response.totalCount")), F.struct("block", "line")).alias("freq"))
     )

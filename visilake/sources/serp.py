@@ -256,11 +256,7 @@ def merge_serp_pages(pages: DataFrame, n: int) -> DataFrame:
         _problem(slots).alias("error"),
         raw_docs.alias("docs"),
     )
-    return snapshots.withColumn("docs", _first_of_each_url(_renumbered(F.col("docs"))))
-
-
-def _renumbered(docs: Column) -> Column:
-    return _numbered(docs)
+    return snapshots.withColumn("docs", _first_of_each_url(_numbered(F.col("docs"))))
 
 
 def snapshot_docs(snapshots: DataFrame) -> DataFrame:
