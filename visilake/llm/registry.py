@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language, shards
+from . import language, licences, secret_scan, shards
 from .twins import SHARD_SQL
 
 
@@ -18,7 +18,17 @@ def op3_byte_shards(spark, sf_dir):
     return shards.shard_by_bytes(documents(spark, sf_dir))
 
 
+def op5_licences(spark, sf_dir):
+    return licences.licence_rows(documents(spark, sf_dir))
+
+
+def op9_secret_owners(spark, sf_dir):
+    return secret_scan.secret_rows(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_language": (op1_language, None),
     "op3_byte_shards": (op3_byte_shards, SHARD_SQL),
+    "op5_licences": (op5_licences, None),
+    "op9_secret_owners": (op9_secret_owners, None),
 }
