@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import language, licences, secret_scan, shards
+import public_tokenizers
+
+from . import bitplane, language, licences, secret_scan, shards, simhash
 from .twins import SHARD_SQL
 
 
@@ -14,10 +16,18 @@ def op1_language(spark, sf_dir):
     return language.predict_languages(documents(spark, sf_dir))
 
 
+def op2_token_planes(spark, sf_dir, tokenizer=None):
+    return bitplane.token_rows(documents(spark, sf_dir), tokenizer or public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op3_byte_shards(spark, sf_dir):
     return shards.shard_by_bytes(documents(spark, sf_dir))
 
 
+def op4_simhash_vantage(spark, sf_dir):
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op5_licences(spark, sf_dir):
     return licences.licence_rows(documents(spark, sf_dir))
 
@@ -28,7 +38,9 @@ def op9_secret_owners(spark, sf_dir):
 
 QUERIES = {
     "op1_language": (op1_language, None),
+    "op2_token_planes": (op2_token_planes, None),
     "op3_byte_shards": (op3_byte_shards, SHARD_SQL),
+    "op4_simhash_vantage": (op4_simhash_vantage, None),
     "op5_licences": (op5_licences, None),
     "op9_secret_owners": (op9_secret_owners, None),
 }
