@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bitplane, language, licences, secret_scan, shards, simhash, windows
+from . import bitplane, language, licences, sampling, secret_scan, shards, simhash, windows
 from .twins import SHARD_SQL
 
 
@@ -32,6 +32,10 @@ def op5_licences(spark, sf_dir):
     return licences.licence_rows(documents(spark, sf_dir))
 
 
+def op6_weighted_sampling(spark, sf_dir):
+    return sampling.fingerprint_rows(documents(spark, sf_dir))
+
+
 def op7_word_windows(spark, sf_dir):
     return windows.repeat_rows(documents(spark, sf_dir))
 
@@ -46,6 +50,7 @@ QUERIES = {
     "op3_byte_shards": (op3_byte_shards, SHARD_SQL),
     "op4_simhash_vantage": (op4_simhash_vantage, None),
     "op5_licences": (op5_licences, None),
+    "op6_weighted_sampling": (op6_weighted_sampling, None),
     "op7_word_windows": (op7_word_windows, None),
     "op9_secret_owners": (op9_secret_owners, None),
 }
