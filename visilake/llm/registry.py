@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bitplane, language, licences, sampling, secret_scan, shards, simhash, windows
+from . import bitplane, contamination, language, licences, sampling, secret_scan, shards, simhash, windows
 from .twins import SHARD_SQL
 
 
@@ -40,6 +40,10 @@ def op7_word_windows(spark, sf_dir):
     return windows.repeat_rows(documents(spark, sf_dir))
 
 
+def op8_benchmark_leaks(spark, sf_dir):
+    return contamination.find(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op9_secret_owners(spark, sf_dir):
     return secret_scan.secret_rows(documents(spark, sf_dir))
 
@@ -52,5 +56,6 @@ QUERIES = {
     "op5_licences": (op5_licences, None),
     "op6_weighted_sampling": (op6_weighted_sampling, None),
     "op7_word_windows": (op7_word_windows, None),
+    "op8_benchmark_leaks": (op8_benchmark_leaks, None),
     "op9_secret_owners": (op9_secret_owners, None),
 }
