@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bitplane, contamination, language, licences, sampling, secret_scan, shards, simhash, windows
+from . import bitplane, contamination, language, lattice, licences, sampling, secret_scan, shards, simhash, windows
 from .twins import SHARD_SQL
 
 
@@ -48,6 +48,10 @@ def op9_secret_owners(spark, sf_dir):
     return secret_scan.secret_rows(documents(spark, sf_dir))
 
 
+def op10_piece_lattice(spark, sf_dir, model=None):
+    return lattice.encoded_rows(documents(spark, sf_dir), model or public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_language": (op1_language, None),
     "op2_token_planes": (op2_token_planes, None),
@@ -58,4 +62,5 @@ QUERIES = {
     "op7_word_windows": (op7_word_windows, None),
     "op8_benchmark_leaks": (op8_benchmark_leaks, None),
     "op9_secret_owners": (op9_secret_owners, None),
+    "op10_piece_lattice": (op10_piece_lattice, None),
 }
