@@ -1,8 +1,9 @@
 """SentencePiece encoding by a relational lattice, and decoding.
 
 Text is a model's usual form: a blank sign before it and for every blank, nothing else changed.
-It is cut into words (a blank sign and what follows it; line ends alone; at most ``WORD`` code
-points, so that a run without blanks stays bounded). Documents are dealt into blocks of about
+It is cut into words (a blank sign and what follows it, also before a mark that follows a letter,
+which no piece crosses; line ends alone; at most ``WORD`` code points, so that a run without blanks
+stays bounded). Documents are dealt into blocks of about
 ``BLOCK_BYTES`` of text. In each block every different word is taken once: its substrings up to
 the longest piece are exploded, equi-joined to the piece table, grouped again by word, and an
 aggregate over the word's places folds the best path (Viterbi): at each place the best of the
@@ -36,9 +37,11 @@ from .base import whole_text
 
 SIGN = "▁"
 WORD = 64
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 48 << 20
 MOST_PIECES = 1_000_000
-PATTERN = f"{SIGN}?[^{SIGN}\n]{{1,{WORD - 1}}}|{SIGN}|\n"
+#: no piece holds a letter before one of these marks (checked), so a cut there loses no path
+_LETTER, _MARK = "A-Za-zÀ-ÖØ-öø-ÿ", ".,;:!?|"
+PATTERN = f"{SIGN}?[{_LETTER}]{{1,{WORD - 1}}}(?=[{_MARK}])|{SIGN}?[^{SIGN}\n]{{1,{WORD - 1}}}|{SIGN}|\n"
 NEVER = -1e8
 
 
@@ -70,6 +73,8 @@ class Pieces:
                 if (scores[i] > NEVER or len(piece) == 1) and "\n" not in piece and SIGN not in piece[1:]:
                     self.rows.append((piece, i, -5 - math.log1p(min(-scores[i], n)) if ranks else scores[i]))
         self.longest = max(len(p) for p, _, _ in self.rows)
+        if any(re.search(f"[{_LETTER}][{_MARK}]", p) for p, _, _ in self.rows):
+            raise ValueError("a piece crosses from a letter to a mark: words can't be cut there")
 
 
 def _blocks(docs: DataFrame, text: str, block_bytes: int) -> int:
@@ -99,18 +104,19 @@ def word_ids(words: DataFrame, pieces: Pieces, *keys: str) -> DataFrame:
         pairs = F.sequence(F.lit(1), F.length(digits), F.lit(2))
         return F.transform(pairs, lambda p: F.get(byte_ids, F.conv(F.substring(digits, p, F.lit(2)), 16, 10).cast("int")))
 
-    path = "struct<score: double, size: int, ids: array<int>>"
+    path = "struct<score: double, ids: array<int>>"
 
     def step(best: Column, place: Column) -> Column:
         ending = F.filter("_edges", lambda e: e["end"] == place)
-        reached = F.transform(ending, lambda e: F.struct(
-            (F.get(best, place - e["size"])["score"] + e["score"]).alias("score"), e["size"].alias("size"),
-            F.concat(F.get(best, place - e["size"])["ids"], F.array(e["id"])).alias("ids")).cast(path))
+        reached = F.transform(ending, lambda e: F.struct((F.get(best, place - e["size"])["score"] + e["score"]).alias("score"), e["size"].alias("size"), e["id"].alias("id")))
+        # an array of one binds the winner, so that it is found once
+        won = F.transform(F.array(F.array_max(reached)), lambda w: F.when(w.isNotNull(), F.struct(
+            w["score"].alias("score"), F.concat(F.get(best, place - w["size"])["ids"], F.array(w["id"])).alias("ids")).cast(path)))
         before = F.get(best, place - 1)
-        spelled = F.struct((before["score"] + F.lit(NEVER)).alias("score"), F.lit(1).alias("size"), F.concat(before["ids"], fallback(place)).alias("ids")).cast(path)
-        return F.concat(best, F.array(F.coalesce(F.array_max(reached), spelled)))
+        spelled = F.struct((before["score"] + F.lit(NEVER)).alias("score"), F.concat(before["ids"], fallback(place)).alias("ids")).cast(path)
+        return F.concat(best, F.array(F.coalesce(F.get(won, F.lit(0)), spelled)))
 
-    begin = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("size"), F.array().cast("array<int>").alias("ids")).cast(path))
+    begin = F.array(F.struct(F.lit(0.0).alias("score"), F.array().cast("array<int>").alias("ids")).cast(path))
     places = F.sequence(F.lit(1), F.char_length("word"))
     folded = F.aggregate(places, begin, step, lambda best: F.element_at(best, -1)["ids"])
     return edges.select(*keys, "word", folded.alias("ids"))
