@@ -201,7 +201,9 @@ def _kept(rows: DataFrame, size: int) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_words, removed: array of word spans, kept_text), one row per document."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole_text(text).alias("text"))
+    # no alias where none is needed: Spark must see one and the same exchange of texts in each use
+    named_id = F.col(doc_id) if doc_id == "doc_id" and dict(docs.dtypes)[doc_id] == "bigint" else F.col(doc_id).cast("long").alias("doc_id")
+    rows = docs.select(named_id, whole_text(text).alias("text"))
     rows = rows.withColumn("row_key", F.xxhash64("doc_id", "text"))
     named = rows.where(F.col("doc_id").isNotNull())
     key = ["doc_id", "row_key"]
