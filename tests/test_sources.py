@@ -36,7 +36,7 @@ def raw(spark, pages, fetch="f"):
 
 
 def test_pages_for():
-    assert [SP.pages_for(n) for n in (5, 10, 11, 30, 50, 100, 0)] == [1, 1, 2, 3, 5, 5, 1]
+    assert [SP.pages_for(n) for n in (5, 10, 11, 30, 50, 100, 0)] == [1, 1, 2, 3, 5, 10, 1]
 
 
 def test_three_pages_number_through(spark):

@@ -83,15 +83,16 @@ def is_ip(host: Column) -> Column:
 def registrable_domain(col: ColumnOrName) -> Column:
     """The registered domain of a host: two labels, three under a listed suffix."""
 
-    def cut(host: Column) -> Column:
-        two = F.substring_index(host, ".", -2)
-        return (
-            F.when((host == "") | is_ip(host), host)
-            .when(two.isin(*L.TWO_LABEL_SUFFIXES), F.substring_index(host, ".", -3))
-            .otherwise(two)
-        )
+    return let(host_of(col), _registered)
+
 
-    return let(host_of(col), cut)
+def _registered(host: Column) -> Column:
+    two = F.substring_index(host, ".", -2)
+    return (
+        F.when((host == "") | is_ip(host), host)
+        .when(two.isin(*L.TWO_LABEL_SUFFIXES), F.substring_index(host, ".", -3))
+        .otherwise(two)
+    )
 
 
 def host_spellings(domain: str) -> tuple[str, ...]:
@@ -133,13 +134,27 @@ def domain_matches(url: ColumnOrName, domain: str, mode: str = "site") -> Column
     return found
 
 
-def domain_matches_column(url: ColumnOrName, domain: ColumnOrName, mode: str = "site") -> Column:
-    """:func:`domain_matches` for a domain that differs from row to row."""
-    host, ours = host_of(url), host_of(domain)
+def domain_matches_column(url: ColumnOrName, domain: ColumnOrName, mode: str = "site", spellings: tuple | None = None) -> Column:
+    """:func:`domain_matches` for a domain that differs from row to row.
+
+    Both spellings of an internationalised domain are tried. Inside a lambda function, where no
+    Python runs, pass the two as columns made by :func:`spellings_of`.
+    """
+    one, two = spellings or spellings_of(domain)
+    return _matches_host(url, one, mode) | _matches_host(url, two, mode)
+
+
+def spellings_of(domain: ColumnOrName) -> tuple[Column, Column]:
+    """The Unicode and the ASCII spelling of a domain column's hosts."""
+    return host_to_unicode(host_of(domain)), host_to_ascii(host_of(domain))
+
+
+def _matches_host(url: ColumnOrName, ours: Column, mode: str) -> Column:
+    host = host_of(url)
     known = (host != "") & (ours != "")
     if mode == "host":
         return known & (host == ours)
-    whole_site = registrable_domain(domain) == ours
+    whole_site = _registered(ours) == ours
     return known & F.when(whole_site, registrable_domain(url) == ours).otherwise(
         (host == ours) | F.endswith(host, F.concat(F.lit("."), ours))
     )

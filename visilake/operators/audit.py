@@ -75,7 +75,7 @@ def availability_findings(pages: DataFrame) -> DataFrame:
         [
             F.when(status.isNull(), _finding("critical", "page-unavailable", F.coalesce("error", F.lit("no answer")))),
             F.when(status >= 500, _finding("critical", "page-unavailable", F.concat(F.lit("HTTP "), status.cast("string")))),
-            F.when(hops > L.MAX_REDIRECT_HOPS, _finding("critical", "redirect-chain", F.concat(hops.cast("string"), F.lit(" hops: "), F.array_join("redirect_chain", " > ")))),
+            F.when(hops > L.MAX_REDIRECT_HOPS, _finding("critical", "redirect-chain", F.concat(hops.cast("string"), F.lit(" hops: "), F.concat_ws(" > ", "url", "redirect_chain")))),
         ],
     )
     gone = pages.where(status.between(400, 499)).select("site", "url", "page_key", "status")
@@ -102,8 +102,8 @@ def availability_findings(pages: DataFrame) -> DataFrame:
 
 
 def _first_five(rows: DataFrame, code: str, what: str) -> DataFrame:
-    """One summary row per site: how many pages, and the first five of them."""
-    counts = rows.groupBy("site").agg(F.countDistinct("page_key").alias("n"))
+    """One summary row per site: how many addresses, and the first five page names."""
+    counts = rows.groupBy("site").agg(F.countDistinct("url").alias("n"))
     order = W.partitionBy("site").orderBy("name", "page_key")
     names = (
         rows.select("site", "page_key", short_url("url").alias("name"))
@@ -127,9 +127,16 @@ def contradiction_findings(pages: DataFrame, sitemap: DataFrame, disallowed: Dat
     )
 
 
+def with_shown(pages: DataFrame) -> DataFrame:
+    """Readable pages with ``shown``: a page key that any of its addresses closes is closed."""
+    ok = pages.where(auditable())
+    shut = ok.where(closed()).select("site", "page_key").distinct().withColumn("_shut", F.lit(True))
+    return ok.join(shut, ["site", "page_key"], "left").withColumn("shown", F.col("_shut").isNull()).drop("_shut")
+
+
 def shown_pages(pages: DataFrame) -> DataFrame:
     """Pages that may enter the results."""
-    return pages.where(auditable() & ~closed())
+    return with_shown(pages).where("shown").drop("shown")
 
 
 def duplicate_groups(pages: DataFrame, field: str) -> DataFrame:
@@ -143,11 +150,18 @@ def duplicate_groups(pages: DataFrame, field: str) -> DataFrame:
     )
 
 
+def duplicate_members(pages: DataFrame, field: str) -> DataFrame:
+    """Members of every duplicate group: (site, field, value, url, pages); the value names the group."""
+    value = K.squeezed(field)
+    groups = duplicate_groups(pages, field).select("site", "value", "pages")
+    rows = shown_pages(pages).select("site", "url", value.alias("value"))
+    return rows.join(groups, ["site", "value"]).select("site", F.lit(field).alias("field"), "value", "url", "pages")
+
+
 def duplicate_findings(pages: DataFrame, field: str) -> DataFrame:
     """Each page of a duplicate group, with the group's size and another member.
 
-    The members of a group are the findings that share its value, so no page has to carry
-    the list of all the others.
+    No page carries the list of all the others: :func:`duplicate_members` has them.
     """
     value = K.squeezed(field)
     rows = shown_pages(pages).withColumn("value", value).join(duplicate_groups(pages, field), ["site", "value"])
@@ -165,12 +179,12 @@ def page_rule_findings(
     """Rules that need nothing but the page itself; closed pages skip the snippet rules."""
     if description_min > description_max:
         raise ValueError("lower description bound above the upper one")
-    shown = ~closed()
+    shown = F.col("shown")
     has_title = F.coalesce(F.col("title"), F.lit("")) != ""
     has_description = F.coalesce(F.col("description"), F.lit("")) != ""
     canonical = F.coalesce(F.col("canonical"), F.lit(""))
     og_missing = F.filter(K.strings(["og:title", "og:description", "og:image"]), lambda k: ~F.array_contains(F.map_keys("og"), k))
-    ok = pages.where(auditable())
+    ok = with_shown(pages)
     title_size = F.concat(F.col("title_len").cast("string"), F.lit(" chars"))
     description_size = F.concat(F.col("description_len").cast("string"), F.lit(" chars"))
     return _rows(
@@ -197,7 +211,7 @@ def page_rule_findings(
 
 def orphan_findings(pages: DataFrame) -> DataFrame:
     """Indexable pages other than the root that no page links to."""
-    targets = incoming_links(pages).select("site", F.col("target_key").alias("page_key"))
+    targets = link_counts(pages).select("site", F.col("target_key").alias("page_key"))
     candidates = shown_pages(pages).where(F.col("page_key") != K.dedup_key("site"))
     return _rows(
         candidates.join(targets, ["site", "page_key"], "left_anti"), [_finding("major", "orphan-page", F.lit("no incoming links"))]

@@ -421,20 +421,28 @@ def sync_pool(
 
     ``latest``: host_id, query, shows, clicks of the latest window; ``tracked``: host_id,
     query; ``core`` (host_id, phrase, verdict) and ``article_targets`` (host_id, query, url)
-    protect a phrase from retirement.
+    protect a phrase from retirement. ``limit`` bounds additions: a shown phrase of a lower
+    rank that is not tracked yet is skipped as over the limit, with its real shows; one that
+    is tracked stays.
     """
-    order = W.partitionBy("host_id").orderBy(F.desc("shows"), "query")
     fit = latest.where((F.coalesce("shows", F.lit(0)) >= min_shows) & ~is_junk("query", niche))
-    taken = fit.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= limit)
-    wanted = taken.groupBy("host_id", K.squeezed("query").alias("key")).agg(F.min_by(F.struct("query", "shows", "clicks"), "_n").alias("w"))
+    best = F.struct(-F.coalesce("shows", F.lit(0)), "query")
+    wanted = fit.groupBy("host_id", K.squeezed("query").alias("key")).agg(F.min_by(F.struct("query", "shows", "clicks"), best).alias("w"))
     have = tracked.groupBy("host_id", K.squeezed("query").alias("key")).agg(F.max("query").alias("original"))
     targets = article_targets.groupBy("host_id", K.squeezed("query").alias("key")).agg(F.min("url").alias("page"))
     goals = core.where(F.col("verdict") == L.CORE).select("host_id", K.squeezed("phrase").alias("key"), F.lit(True).alias("goal")).distinct()
-    rows = wanted.join(have, ["host_id", "key"], "full_outer").join(targets, ["host_id", "key"], "left").join(goals, ["host_id", "key"], "left")
-    shown, known = F.col("w").isNotNull(), F.col("original").isNotNull()
-    action = F.when(shown & known, "keep").when(shown, "add").when(F.col("page").isNotNull() | F.col("goal"), "keep").otherwise("retire")
+    # only the host's first ``limit`` phrases are ranked, before they meet the rest
+    order = W.partitionBy("host_id").orderBy(F.desc("w.shows"), "w.query")
+    within = wanted.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= limit).select("host_id", "key", F.lit(True).alias("within"))
+    rows = (
+        wanted.join(within, ["host_id", "key"], "left").join(have, ["host_id", "key"], "full_outer")
+        .join(targets, ["host_id", "key"], "left").join(goals, ["host_id", "key"], "left")
+    )
+    shown, known, over = F.col("w").isNotNull(), F.col("original").isNotNull(), F.col("within").isNull()
+    protected = F.col("page").isNotNull() | F.col("goal")
+    action = F.when(shown & known, "keep").when(shown & over, "skip").when(shown, "add").when(protected, "keep").otherwise("retire")
     reason = (
-        F.when(shown & known, "shown_and_tracked").when(shown, "shown_not_tracked")
+        F.when(shown & known, "shown_and_tracked").when(shown & over, "over_limit").when(shown, "shown_not_tracked")
         .when(F.col("page").isNotNull(), "article_target").when(F.col("goal"), "core_goal").otherwise("no_shows")
     )
     return rows.select(

@@ -151,8 +151,8 @@ def page_findings(facts: DataFrame, alternates: DataFrame | None = None) -> Data
 
 
 def ai_readiness(facts: DataFrame, files: DataFrame, paths: DataFrame | None = None, alternates: DataFrame | None = None) -> DataFrame:
-    """All readiness findings of all sites, most severe first."""
+    """All readiness findings of all sites; order them by severity_rank where they are shown."""
     robots = files.where("kind = 'robots'")
     robots = robots.withColumn("status", F.when((F.col("status") == 200) & _html_like(), 0).otherwise(F.col("status")))
     findings = file_findings(files).unionByName(page_findings(facts, alternates)).unionByName(bot_findings(bot_access(robots, paths)))
-    return findings.withColumn("severity_rank", severity_rank()).orderBy("site", "severity_rank", "code", "url")
+    return findings.withColumn("severity_rank", severity_rank())

@@ -131,7 +131,7 @@ def top_domains(docs: DataFrame, region=None, since=None, limit: int = 25) -> Da
     )
 
 
-def domain_queries(docs: DataFrame, domain: str, region=None, limit: int | None = 100) -> DataFrame:
+def domain_queries(docs: DataFrame, domain: str, region=None, limit: int | None = None) -> DataFrame:
     """Queries a domain was seen for: best and last place, last date, hits."""
     rows = docs.where(F.col("error").isNull() & (K.bare_domain("domain") == domain.lower().removeprefix("www.")))
     if region is not None:
@@ -146,20 +146,21 @@ def domain_queries(docs: DataFrame, domain: str, region=None, limit: int | None
     return out if limit is None else out.limit(limit)
 
 
-def competitor_gap(docs: DataFrame, ours: str, theirs: str, region=None, limit: int = 500) -> DataFrame:
-    """A rival's queries with our place beside it; what we miss comes first."""
-    their = domain_queries(docs, theirs, region, limit).select(
+def competitor_gap(docs: DataFrame, ours: str, theirs: str, region=None, limit: int | None = None) -> DataFrame:
+    """A rival's queries with our place beside it; what we miss comes first. A limit cuts the finished list."""
+    their = domain_queries(docs, theirs, region).select(
         "query", F.coalesce(F.nullif(F.col("last_position"), F.lit(0)), "best_position").alias("their_position")
     )
-    our = domain_queries(docs, ours, region, None).select("query", F.col("last_position").alias("our_position"))
+    our = domain_queries(docs, ours, region).select("query", F.col("last_position").alias("our_position"))
     ahead = (
         F.when(F.col("our_position").isNull(), "missing").when(F.col("our_position") < F.col("their_position"), "we")
         .when(F.col("our_position") > F.col("their_position"), "they").otherwise("equal")
     )
-    return (
+    gap = (
         their.join(our, "query", "left").withColumn("ahead", ahead)
         .orderBy(F.col("our_position").isNotNull(), F.coalesce("their_position", F.lit(999)), "query")
     )
+    return gap if limit is None else gap.limit(limit)
 
 
 def keyword_metrics(frequencies: DataFrame, competition: DataFrame, positions: DataFrame, min_freq: int = 0, limit: int | None = None) -> DataFrame:

@@ -11,6 +11,14 @@ from ..functions.keys import let
 from ..sources.answers import is_redirect
 
 
+def _with_spellings(rows: DataFrame) -> DataFrame:
+    """Both spellings of each row's own domain, worked out once per distinct domain."""
+    known = rows.select("domain").distinct()
+    one, two = K.spellings_of("domain")
+    known = known.select(F.col("domain").alias("_of"), one.alias("_unicode"), two.alias("_ascii"))
+    return rows.join(known, F.col("domain").eqNullSafe(F.col("_of")), "left").drop("_of")
+
+
 def _distinct_sources(sources: Column) -> Column:
     """Repeated sources folded into the first one; any use makes it used."""
     keyed = F.transform(
@@ -45,11 +53,14 @@ def _distinct_sources(sources: Column) -> Column:
 def resolve_citations(answers: DataFrame, domain: str | None = None, mode: str = "site") -> DataFrame:
     """Where our domain stands in each answer.
 
-    ``domain`` is a literal, or None to use the ``domain`` column. Everything is worked
-    out inside the answer row.
+    ``domain`` is a literal, or None to use the ``domain`` column; an internationalised
+    domain counts in either spelling. Everything is worked out inside the answer row.
     """
+    if domain is None:
+        answers = _with_spellings(answers)
+
     def ours_in(col: Column, how: str) -> Column:
-        return K.domain_matches(col, domain, how) if domain is not None else K.domain_matches_column(col, "domain", how)
+        return K.domain_matches(col, domain, how) if domain is not None else K.domain_matches_column(col, "domain", how, (F.col("_unicode"), F.col("_ascii")))
 
     def mark(s: Column) -> Column:
         by_url = (s["url"] != "") & ~is_redirect(s["url"]) & ours_in(s["url"], mode)
@@ -61,7 +72,7 @@ def resolve_citations(answers: DataFrame, domain: str | None = None, mode: str =
     text = F.lower("text")
     if domain is None:
         own = K.host_of("domain")
-        mentioned = (own != "") & F.contains(text, own)
+        mentioned = (own != "") & (F.contains(text, F.col("_unicode")) | F.contains(text, F.col("_ascii")))
     else:
         names = K.host_spellings(domain)
         own = F.lit(names[-1])
@@ -72,7 +83,7 @@ def resolve_citations(answers: DataFrame, domain: str | None = None, mode: str =
     rows = rows.withColumn("sources", F.transform("sources", mark))
     hits = F.filter("sources", lambda s: s["ours"])
     best = F.get(F.filter("sources", lambda s: s["ours"] & (F.coalesce(s["used"], F.lit(True)))), F.lit(0))
-    keep = [c for c in rows.columns if c not in ("sources", "domain")]
+    keep = [c for c in rows.columns if c not in ("sources", "domain", "_unicode", "_ascii")]
     return rows.select(
         *keep,
         own.alias("domain"),
@@ -89,11 +100,12 @@ def resolve_citations(answers: DataFrame, domain: str | None = None, mode: str =
 
 def rival_domains(resolved: DataFrame, n: int = 3) -> DataFrame:
     """Domains of the used sources other than ours, most frequent first, ``n`` per answer."""
+    resolved = _with_spellings(resolved)
     others = F.transform(
         F.filter(
             "sources",
             lambda s: F.coalesce(s["used"], F.lit(True)) & (s["domain"] != "") & (s["domain"] != F.col("domain"))
-            & ~K.domain_matches_column(s["domain"], "domain"),
+            & ~K.domain_matches_column(s["domain"], "domain", spellings=(F.col("_unicode"), F.col("_ascii"))),
         ),
         lambda s: s["domain"],
     )
@@ -109,7 +121,7 @@ def rival_domains(resolved: DataFrame, n: int = 3) -> DataFrame:
         )
 
     ranked = F.transform(F.slice(let(others, rank), 1, n), lambda r: F.struct(r["domain"].alias("domain"), (-r["minus"]).alias("count")))
-    return resolved.withColumn("rivals", ranked)
+    return resolved.withColumn("rivals", ranked).drop("_unicode", "_ascii")
 
 
 def visibility_history(checks: DataFrame, domain=None, query=None, provider=None, limit: int = 50) -> DataFrame:

@@ -65,7 +65,8 @@ edges AS (
     regexp_extract(url, '^(https?://[^/]+)', 1) || replace(replace(url_encode(href), '%2F', '/'), '%2C', ',') AS target_key
     FROM (SELECT *, unnest(hrefs) AS href FROM facts)) WHERE target_key <> page_key
 ),
-ok AS (SELECT *, NOT closed AS shown FROM facts WHERE status = 200),
+shut AS (SELECT DISTINCT site, page_key FROM facts WHERE status = 200 AND closed),
+ok AS (SELECT *, NOT EXISTS (SELECT 1 FROM shut s WHERE s.site = facts.site AND s.page_key = facts.page_key) AS shown FROM facts WHERE status = 200),
 listed AS (SELECT DISTINCT site, page_key FROM facts WHERE page_id % 2 = 0),
 barred AS (SELECT * FROM facts WHERE contains(url, '/de/'))"""
 
@@ -91,9 +92,24 @@ def contradiction_findings(spark, sf):
 
 
 def duplicate_titles(spark, sf):
-    """The title is cut to its first word so that pages of a site share it."""
-    f = _stored(spark, sf).withColumn("title", F.substring_index("title", " ", 1))
-    return AU.duplicate_findings(f, "title").select("site", "code", "url", F.substring_index("evidence", " ", 1).cast("int").alias("pages"))
+    """Whole titles; the pages under two shop sections get their section's title, so that some are shared."""
+    return AU.duplicate_findings(_shared_titles(spark, sf), "title").select("site", "code", "url", F.substring_index("evidence", " ", 1).cast("int").alias("pages"))
+
+
+def _shared_titles(spark, sf):
+    """Every third page of a site carries its host's title, the others their own."""
+    own = F.concat(F.lit("Catalogue of "), F.regexp_extract("url", "^https?://([^/]+)", 1))
+    return _stored(spark, sf).withColumn("title", F.when(F.col("page_id") % 3 == 0, own).otherwise(F.col("title")))
+
+
+def duplicate_members(spark, sf):
+    return AU.duplicate_members(_shared_titles(spark, sf), "title").select("site", "field", F.md5("value").alias("value"), "url", "pages")
+
+
+def duplicate_descriptions(spark, sf):
+    """No test page has a description: its host stands in, and the page number for odd ones."""
+    told = F.concat(F.lit("About "), F.regexp_extract("url", "^https?://([^/]+)", 1), F.when(F.col("page_id") % 2 == 0, "").otherwise(F.col("page_id").cast("string")))
+    return AU.duplicate_findings(_stored(spark, sf).withColumn("description", told), "description").select("site", "code", "url", F.substring_index("evidence", " ", 1).cast("int").alias("pages"))
 
 
 def page_rules(spark, sf):
@@ -215,7 +231,7 @@ reached AS (
   SELECT site, 0 AS depth, site || 'map-' || page_id || '.xml' AS url, regexp_replace(crawl.url, '[?#].*$', '') AS loc, page_id % 5 = 0 AS is_index, page_id % 5 <> 0 AND page_id % 11 = 0 AS refused FROM crawl
   UNION ALL SELECT site, 1, site || 'nested-' || page_id || '.xml', regexp_replace(crawl.url, '[?#].*$', ''), false, false FROM crawl WHERE page_id % 5 = 0
 ),
-opened AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY depth, url) AS n FROM reached) WHERE n <= 51)"""
+opened AS (SELECT * FROM reached)"""
 
 
 def _llms(spark, sf):
@@ -295,13 +311,21 @@ def ai_readiness(spark, sf):
     return RD.ai_readiness(facts, files, robots.select("site", "paths")).select("site", "severity", "code", "url", "evidence", "severity_rank")
 
 
-_HIDDEN_TITLES = FACTS + ", firsts AS (SELECT *, lower(split_part(title, ' ', 1)) AS w FROM ok WHERE shown AND title <> '')"
+_SHARED = FACTS + """,
+retitled AS (SELECT *, CASE WHEN page_id % 3 = 0 THEN 'Catalogue of ' || regexp_extract(norm_url, '^https?://([^/]+)', 1) ELSE title END AS shared FROM ok WHERE shown),
+grouped AS (SELECT *, trim(regexp_replace(lower(shared), '\\s+', ' ', 'g')) AS value FROM retitled),
+sized AS (SELECT *, count(*) OVER (PARTITION BY site, value) AS n FROM grouped WHERE value <> '')"""
+_TOLD = FACTS + """,
+told AS (SELECT *, trim(regexp_replace(lower('About ' || regexp_extract(norm_url, '^https?://([^/]+)', 1) || CASE WHEN page_id % 2 = 0 THEN '' ELSE CAST(page_id AS VARCHAR) END), '\\s+', ' ', 'g')) AS value FROM ok WHERE shown),
+sized AS (SELECT *, count(*) OVER (PARTITION BY site, value) AS n FROM told)"""
 QUERIES = {
     "page_facts": (page_facts, f"WITH {FACTS} SELECT page_id, site, norm_url AS url, page_key, status, title, CAST(length(title) AS INTEGER) AS title_len, h1, word_count, len(hrefs) AS internal_links, CASE WHEN closed THEN 'X-Robots-Tag: noindex, nofollow' ELSE '' END AS robots_meta FROM facts"),
     "incoming_links": (incoming_links, f"WITH {FACTS} SELECT site, target_key, count(*) AS links, min(source_url) AS first_source FROM edges GROUP BY site, target_key"),
     "availability_findings": (availability_findings, f"WITH {FACTS} {_AVAILABLE}"),
     "contradiction_findings": (contradiction_findings, f"WITH {FACTS} {_CONTRADICTIONS}"),
-    "duplicate_titles": (duplicate_titles, f"WITH {_HIDDEN_TITLES} SELECT site, 'duplicate-title' AS code, norm_url AS url, CAST(n AS INTEGER) AS pages FROM (SELECT *, count(*) OVER (PARTITION BY site, w) AS n FROM firsts) WHERE n > 1"),
+    "duplicate_titles": (duplicate_titles, f"WITH {_SHARED} SELECT site, 'duplicate-title' AS code, norm_url AS url, CAST(n AS INTEGER) AS pages FROM sized WHERE n > 1"),
+    "duplicate_members": (duplicate_members, f"WITH {_SHARED} SELECT site, 'title' AS field, md5(value) AS value, norm_url AS url, n AS pages FROM sized WHERE n > 1"),
+    "duplicate_descriptions": (duplicate_descriptions, f"WITH {_TOLD} SELECT site, 'duplicate-description' AS code, norm_url AS url, CAST(n AS INTEGER) AS pages FROM sized WHERE n > 1"),
     "page_rules": (page_rules, f"WITH {FACTS}, {_RULE_ROWS} SELECT * FROM rule_rows"),
     "orphan_pages": (orphan_pages, f"WITH {FACTS} SELECT site, code, url FROM ({_ORPHANS})"),
     "links_to_check": (links_to_check, f"WITH {FACTS}, missing AS (SELECT site, target_key, min(source_url) AS source_url FROM (SELECT site, norm_url AS source_url, regexp_extract(url, '^(https?://[^/]+)', 1) || replace(replace(url_encode(href), '%2F', '/'), '%2C', ',') AS target_key FROM (SELECT *, unnest(hrefs) AS href FROM facts)) e WHERE NOT EXISTS (SELECT 1 FROM facts f WHERE f.site = e.site AND f.page_key = e.target_key) GROUP BY site, target_key) SELECT site, CAST(n AS INTEGER) AS n, source_url FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY source_url) AS n FROM missing) WHERE n <= 20"),

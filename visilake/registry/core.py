@@ -287,12 +287,12 @@ best AS (
     FROM search_queries GROUP BY host_id, date_from, date_to) WHERE rn = 1
 ),
 latest AS (SELECT s.* FROM search_queries s JOIN best USING (host_id, date_from, date_to)),
-taken AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY host_id ORDER BY shows DESC, query) AS n FROM latest WHERE shows >= 1 AND NOT regexp_matches(query, 'query 1\\d$')) WHERE n <= 25),
+taken AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY host_id ORDER BY shows DESC, query) AS n FROM latest WHERE shows >= 1 AND NOT regexp_matches(query, 'query 1\\d$'))),
 tracked AS (SELECT host_id, ' Query ' || k AS query, 'query ' || k AS key FROM (SELECT host_id, k, count(*) AS n FROM owner_events GROUP BY ALL) WHERE (k + n) % 3 = 0),
 pages AS (SELECT DISTINCT host_id, 'query ' || k AS key, '/page-' || k AS page FROM owner_events WHERE k >= 80),
 synced AS (
   SELECT coalesce(w.host_id, t.host_id) AS host_id, coalesce(w.query, t.query) AS query, coalesce(w.shows, 0) AS shows, coalesce(w.clicks, 0) AS clicks,
-    w.query IS NOT NULL AS shown, t.query IS NOT NULL AS known, coalesce(w.query, t.key) AS key
+    w.query IS NOT NULL AS shown, t.query IS NOT NULL AS known, coalesce(w.n > 25, false) AS beyond, coalesce(w.query, t.key) AS key
   FROM taken w FULL JOIN tracked t ON t.host_id = w.host_id AND t.key = w.query
 )"""
 
@@ -313,6 +313,6 @@ QUERIES = {
     "relabel_core": (relabel_core, f"WITH {REJUDGED} SELECT phrase, kind, CASE WHEN service AND thing THEN 'target' ELSE 'adjacent' END AS new_kind, freq FROM rejudged WHERE kind <> 'brand' AND NOT named AND kind <> CASE WHEN service AND thing THEN 'target' ELSE 'adjacent' END"),
     "domain_profile": (domain_profile, f"WITH {NEWEST} SELECT * FROM profile"),
     "core_verdict": (core_verdict, f"WITH {NEWEST}, ours AS (SELECT query AS phrase, min(organic_position) AS our_position FROM tops WHERE domain = 'nation-7.example' GROUP BY query), c AS (SELECT s.query AS phrase, s.region, s.freq, p.docs, p.specialized > p.educational AND p.clients * 2 < p.docs AS commercial, p.clients * 2 >= p.docs AS client_heavy, o.our_position FROM (SELECT query, region, count(*) AS freq FROM snapshots GROUP BY ALL) s LEFT JOIN profile p ON p.phrase = s.query LEFT JOIN ours o ON o.phrase = s.query) SELECT phrase, freq, CASE WHEN region = 0 THEN 'brand' WHEN region < 3 AND (docs IS NULL OR commercial OR client_heavy) THEN 'target' ELSE 'adjacent' END AS kind, CASE WHEN docs IS NULL THEN 'периферия' WHEN region = 0 AND our_position > 0 THEN 'ядро' WHEN region BETWEEN 1 AND 2 AND commercial THEN 'ядро' ELSE 'периферия' END AS verdict, CASE WHEN docs IS NULL THEN 'no_usable_documents' WHEN region = 0 THEN CASE WHEN our_position > 0 THEN 'we_rank' ELSE 'brand_ambiguous' END WHEN region < 3 THEN CASE WHEN commercial THEN 'commercial_top' WHEN client_heavy THEN 'client_top' ELSE 'educational_top' END WHEN commercial THEN 'adjacent_commercial' ELSE 'adjacent_educational' END AS reason, commercial, our_position FROM c"),
-    "sync_pool": (sync_pool, f"WITH {SYNC} SELECT s.host_id, s.query, shows, clicks, CASE WHEN shown AND known THEN 'keep' WHEN shown THEN 'add' WHEN page IS NOT NULL OR length(s.query) = 8 THEN 'keep' ELSE 'retire' END AS action, CASE WHEN shown AND known THEN 'shown_and_tracked' WHEN shown THEN 'shown_not_tracked' WHEN page IS NOT NULL THEN 'article_target' WHEN length(s.query) = 8 THEN 'core_goal' ELSE 'no_shows' END AS reason, CASE WHEN NOT shown THEN page END AS page FROM synced s LEFT JOIN pages p ON p.host_id = s.host_id AND p.key = s.key"),
+    "sync_pool": (sync_pool, f"WITH {SYNC} SELECT s.host_id, s.query, shows, clicks, CASE WHEN shown AND known THEN 'keep' WHEN shown AND beyond THEN 'skip' WHEN shown THEN 'add' WHEN page IS NOT NULL OR length(s.query) = 8 THEN 'keep' ELSE 'retire' END AS action, CASE WHEN shown AND known THEN 'shown_and_tracked' WHEN shown AND beyond THEN 'over_limit' WHEN shown THEN 'shown_not_tracked' WHEN page IS NOT NULL THEN 'article_target' WHEN length(s.query) = 8 THEN 'core_goal' ELSE 'no_shows' END AS reason, CASE WHEN NOT shown THEN page END AS page FROM synced s LEFT JOIN pages p ON p.host_id = s.host_id AND p.key = s.key"),
     "sync_dropped": (sync_dropped, f"WITH {SYNC} SELECT host_id, count(*) AS queries, count(*) FILTER (shows < 1) AS below_shows, count(*) FILTER (shows >= 1 AND regexp_matches(query, 'query 1\\d$')) AS junk, greatest(count(*) FILTER (shows >= 1 AND NOT regexp_matches(query, 'query 1\\d$')) - 25, 0) AS over_limit FROM latest GROUP BY host_id"),
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,8 +27,33 @@ def append_snapshots(rows: DataFrame, path: str, time_column: str, partition: st
     rows.withColumn(partition, F.to_date(time_column)).write.mode("append").partitionBy(partition).parquet(path)
 
 
-def append_docs(docs: DataFrame, path: str, time_column: str = "fetched_at", ingest: str = "ingested_at") -> None:
-    append_snapshots(latest_docs(docs, ingest), path, time_column)
+def stored_rows(spark, path: str) -> DataFrame | None:
+    """The stored table, or None before its first load."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as problem:
+        if problem.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
+def append_docs(docs: DataFrame, path: str, time_column: str = "fetched_at", ingest: str = "ingested_at", partition: str = "dt") -> None:
+    """Append documents; a (snapshot, position) slot delivered again replaces the stored one.
+
+    A slot stays in the partition of its first delivery, and only partitions that hold a
+    slot of the new rows' snapshots are rewritten.
+    """
+    new = docs.withColumn(partition, F.to_date(time_column))
+    old = stored_rows(docs.sparkSession, path)
+    if old is not None:
+        held = old.join(new.select("snapshot_id").distinct(), "snapshot_id", "left_semi").select(partition).distinct()
+        days = held.unionByName(new.select(partition).distinct()).distinct()
+        new = old.join(days, partition, "left_semi").select(new.columns).unionByName(new)
+    first = F.min(partition).alias(partition)
+    rest = [c for c in new.columns if c not in ("snapshot_id", "position", partition)]
+    newest = F.max(F.struct(ingest, *[c for c in rest if c != ingest])).alias("d")
+    rows = new.groupBy("snapshot_id", "position").agg(newest, first).select("snapshot_id", "position", *[F.col(f"d.{c}").alias(c) for c in rest], partition)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
 
 # --- upserts --------------------------------------------------------------------------
@@ -48,9 +74,9 @@ def upsert_window(base: DataFrame, new: DataFrame, keys: list[str], newest: str
 
 def save_window(spark, path: str, new: DataFrame, keys: list[str], partition: str = "date_to", newest: str = "fetched_at") -> None:
     """Upsert into a partitioned table, touching only the partitions the new rows fall in."""
-    stored = spark.read.parquet(path)
-    touched = stored.join(new.select(partition).distinct(), partition, "left_semi")
-    merged = upsert_window(touched, new, keys, newest)
+    stored = stored_rows(spark, path)
+    base = new.limit(0) if stored is None else stored.join(new.select(partition).distinct(), partition, "left_semi")
+    merged = upsert_window(base, new, keys, newest)
     merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
 

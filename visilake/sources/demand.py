@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import checkpointed
+
 _PHRASES = "array<struct<phrase:string,count:string>>"
 _ANSWER = f"struct<_error:string,totalCount:string,results:{_PHRASES},associations:{_PHRASES}>"
 _SERIES = "struct<_error:string,results:array<struct<date:string,count:string,share:string>>>"
@@ -52,7 +54,7 @@ def latest_keyword_snapshot(spark, folder: str) -> DataFrame:
     """Demand by seed from the newest JSONL file of a folder, newest by file name.
 
     Unreadable lines and error rows are left out; the last line of a seed counts. The
-    file name filter reaches the scan through ``_metadata``, so older files stay unread.
+    driver picks the newest path from a listing of names; older files stay unread.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "wordstat-*.jsonl").load(folder)
     newest = files.agg(F.max_by("path", F.element_at(F.split("path", "/"), -1))).first()[0]
@@ -101,24 +103,23 @@ def demand_by_region(raw: DataFrame, names: DataFrame | None = None, payload: st
     return out.join(names.select(F.col("id").alias("region_id"), "label"), "region_id", "left")
 
 
-def flatten_region_tree(raw: DataFrame, payload: str = "response", depth: int = 12) -> DataFrame:
-    """All (id, label) pairs of a nested tree, whatever its depth up to the bound."""
-    raw.where(f"get_json_object({payload}, '$._error') IS NULL").select(
-        F.try_parse_json(F.col(payload)).alias("tree")
-    ).createOrReplaceTempView("_region_tree_payload")
-    return raw.sparkSession.sql(
-        f"""
-        WITH RECURSIVE nodes(node, lvl) MAX RECURSION LEVEL {depth + 2} AS (
-          SELECT n.value, 1 FROM _region_tree_payload,
-                 LATERAL variant_explode(variant_get(tree, '$.regions', 'variant')) AS n
-          UNION ALL
-          SELECT c.value, p.lvl + 1
-          FROM nodes p, LATERAL variant_explode(variant_get(p.node, '$.children', 'variant')) AS c
-          WHERE p.lvl < {depth}
-        )
-        SELECT coalesce(try_variant_get(node, '$.id', 'string'), '') AS id,
-               coalesce(try_variant_get(node, '$.label', 'string'), '') AS label,
-               lvl AS level
-        FROM nodes
-        """
-    )
+def flatten_region_tree(raw: DataFrame, payload: str = "response") -> DataFrame:
+    """All (id, label, level) of a nested tree of any depth, beside the other columns of ``raw``.
+
+    One step a level, lineage cut at each; the walk ends with the first level without nodes.
+    """
+    tvf = raw.sparkSession.tvf
+    keep = [c for c in raw.columns if c != payload]
+
+    def below(rows: DataFrame, path: str, level: int) -> DataFrame:
+        nodes = rows.lateralJoin(tvf.variant_explode(F.variant_get(F.col("_node").outer(), path, "variant")))
+        return checkpointed(nodes.select(*keep, F.col("value").alias("_node"), F.lit(level).alias("level")))
+
+    depth, found = 1, None
+    level = below(raw.where(f"get_json_object({payload}, '$._error') IS NULL").select(*keep, F.try_parse_json(F.col(payload)).alias("_node")), "$.regions", 1)
+    while found is None or not level.isEmpty():
+        found = level if found is None else found.unionByName(level)
+        depth += 1
+        level = below(level, "$.children", depth)
+    text = lambda path: F.coalesce(F.try_variant_get("_node", path, "string"), F.lit(""))
+    return found.select(*keep, text("$.id").alias("id"), text("$.label").alias("label"), "level")

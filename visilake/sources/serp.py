@@ -158,8 +158,7 @@ def page_docs(pages: DataFrame) -> DataFrame:
 
 def pages_for(n: int) -> int:
     """Pages a depth costs."""
-    depth = max(1, min(int(n), L.MAX_DEPTH))
-    return -(-depth // L.DOCS_PER_PAGE)
+    return -(-max(1, int(n)) // L.DOCS_PER_PAGE)
 
 
 def _numbered(docs: Column) -> Column:
@@ -191,19 +190,21 @@ def _page_slots(pages: DataFrame, n: int) -> tuple[DataFrame, list[str]]:
     """One row per fetch with the needed pages side by side.
 
     A page slot is a bounded aggregate (at most ``n`` documents), combined before the
-    shuffle, so repeated deliveries of one fetch cannot pile up in a task.
+    shuffle, so repeated deliveries of one fetch cannot pile up in a task. Of several
+    deliveries of a page a good one wins over a failed one, then the later one.
     """
     need = pages_for(n)
     slots = [f"_p{i}" for i in range(need)]
     page = F.struct(
-        F.col("error").isNotNull().alias("failed"), "error", "found_all",
-        F.slice(F.coalesce("docs", F.array().cast(T.ArrayType(PAGE_DOC))), 1, max(1, min(n, L.MAX_DEPTH))).alias("docs"),
+        "error", "found_all",
+        F.slice(F.coalesce("docs", F.array().cast(T.ArrayType(PAGE_DOC))), 1, max(1, n)).alias("docs"),
         F.col("fetched_at"),
     )
+    newest = F.struct(F.col("error").isNull(), "fetched_at", F.xxhash64("error", "found_all", "docs"))
     return (
         pages.where(F.col("page_no") < need)
         .groupBy("fetch_id", "query", "region")
-        .agg(*[F.min(F.when(F.col("page_no") == i, page)).alias(s) for i, s in enumerate(slots)]),
+        .agg(*[F.max_by(F.when(F.col("page_no") == i, page), F.when(F.col("page_no") == i, newest)).alias(s) for i, s in enumerate(slots)]),
         slots,
     )
 
@@ -247,7 +248,7 @@ def merge_serp_pages(pages: DataFrame, n: int) -> DataFrame:
         so_far = so_far & ok
         usable.append(F.when(so_far, F.col(slot)))
     kept = slotted.withColumn("_pages", F.array_compact(F.array(*usable)))
-    depth = max(1, min(int(n), L.MAX_DEPTH))
+    depth = max(1, int(n))
     raw_docs = F.slice(F.flatten(F.col("_pages.docs")), 1, depth)
     snapshots = kept.select(
         F.col("fetch_id").alias("snapshot_id"), "query", "region",

@@ -78,17 +78,18 @@ _MAP = T.StructType(
 )
 
 
-def _unpacked(body: bytes) -> bytes:
+def _unpacked(body: bytes, max_bytes: int) -> bytes:
     if body[:2] != b"\x1f\x8b":
         return body
     reader = zlib.decompressobj(31)
-    out = reader.decompress(body, L.SITEMAP_UNPACKED_LIMIT + 1)
-    if len(out) > L.SITEMAP_UNPACKED_LIMIT:
-        raise OverflowError(f"more than {L.SITEMAP_UNPACKED_LIMIT} bytes unpacked")
+    out = reader.decompress(body, max_bytes + 1)
+    if len(out) > max_bytes:
+        raise OverflowError(f"more than {max_bytes} bytes unpacked")
     return out
 
 
-def _read_map(body) -> dict:
+def _read_map(body, max_bytes: int = L.SITEMAP_UNPACKED_LIMIT, max_nodes: int = xml.MAX_NODES) -> dict:
+    """What a map lists; of a map that breaks off at a bound, what was read before, with the error."""
     path: list[str] = []
     found = {"root": None}
     locs: list[str] = []
@@ -122,22 +123,25 @@ def _read_map(body) -> dict:
     if not body:
         return {**empty, "error": None}
     try:
-        xml.walk(_unpacked(body) if isinstance(body, bytes) else body, start, end, text)
+        xml.walk(_unpacked(body, max_bytes) if isinstance(body, bytes) else body, start, end, text, max_nodes)
     except (xml.Refused, OverflowError) as problem:
-        return {**empty, "error": str(problem)}
+        return {"is_index": found["root"] == "sitemapindex", "locs": locs, "error": str(problem)}
     except (expat.ExpatError, zlib.error, ValueError):
         return {**empty, "error": None}
     return {"is_index": found["root"] == "sitemapindex", "locs": locs, "error": None}
 
 
-@F.pandas_udf(_MAP)
-def _parse_maps(bodies: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_read_map(b) for b in bodies], columns=_MAP.fieldNames())
+def parse_sitemaps(maps: DataFrame, max_bytes: int = L.SITEMAP_UNPACKED_LIMIT, max_nodes: int = xml.MAX_NODES) -> DataFrame:
+    """Parse each sitemap file once: (site, url, is_index, locs, error).
 
+    The bounds guard the task that unpacks a file; a file beyond them carries an error.
+    """
+
+    @F.pandas_udf(_MAP)
+    def parse(bodies: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_read_map(b, max_bytes, max_nodes) for b in bodies], columns=_MAP.fieldNames())
 
-def parse_sitemaps(maps: DataFrame) -> DataFrame:
-    """Parse each sitemap file once: (site, url, is_index, locs, error)."""
-    return maps.select("site", "url", _parse_maps(F.col("body")).alias("_m")).select("site", "url", "_m.*")
+    return maps.select("site", "url", parse(F.col("body")).alias("_m")).select("site", "url", "_m.*")
 
 
 def _own(url, site):
@@ -145,31 +149,32 @@ def _own(url, site):
     return F.lower(url).rlike("^https?://") & (own != "") & (own == K.registrable_domain(site))
 
 
-def expand_sitemaps(starts: DataFrame, parsed: DataFrame, max_files: int = L.SITEMAP_FILES) -> DataFrame:
+def expand_sitemaps(starts: DataFrame, parsed: DataFrame) -> DataFrame:
     """Maps reached from the starting ones: (site, url, depth, foreign, is_index, locs, error).
 
-    An index opens its maps level by level up to the depth limit; a map of another
-    registered domain is listed as foreign and not opened. Each level is one equi-join
-    with the parsed files (store those first); its lineage is cut, and the walk ends with
-    the first level that opened no index.
+    An index opens its maps level by level, however many and however deep; a map of another
+    registered domain is listed as foreign and not opened. The walk carries addresses only,
+    each level one equi-join with the parsed files (store those first) and a lineage cut; it
+    ends with the first level that reached nothing new. Lists are joined once at the end.
     """
-    seen = None
-    level = starts.select("site", "url", F.lit(0).alias("depth"))
-    for depth in range(L.SITEMAP_DEPTH + 1):
-        fresh = level.distinct().withColumn("foreign", ~_own(F.col("url"), F.col("site")))
+    links = parsed.where("is_index").select("site", "url", F.explode(F.array_distinct("locs")).alias("next"))
+    level, seen, depth = starts.select("site", "url"), None, 0
+    while True:
+        fresh = level.distinct()
         if seen is not None:
             fresh = fresh.join(seen.select("site", "url"), ["site", "url"], "left_anti")
-        opened = fresh.join(parsed, ["site", "url"], "left")
-        for name, kind in (("is_index", "boolean"), ("locs", "array<string>"), ("error", "string")):
-            opened = opened.withColumn(name, F.when(~F.col("foreign"), F.col(name)).cast(kind))
-        opened = checkpointed(opened)
-        seen = opened if seen is None else seen.unionByName(opened)
-        if opened.where("is_index").isEmpty():
+        fresh = checkpointed(fresh.select("site", "url", F.lit(depth).alias("depth"), (~_own(F.col("url"), F.col("site"))).alias("foreign")))
+        if fresh.isEmpty():
             break
-        level = opened.where("is_index").select("site", F.explode("locs").alias("url"), F.lit(depth + 1).alias("depth"))
-    order = W.partitionBy("site").orderBy("depth", "url")
-    read = seen.where("NOT foreign").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= max_files).drop("_n")
-    return read.unionByName(seen.where("foreign"))
+        seen = fresh if seen is None else seen.unionByName(fresh)
+        level = fresh.where("NOT foreign").join(links, ["site", "url"]).select("site", F.col("next").alias("url"))
+        depth += 1
+    if seen is None:
+        seen = fresh
+    reached = seen.join(parsed, ["site", "url"], "left")
+    for name, kind in (("is_index", "boolean"), ("locs", "array<string>"), ("error", "string")):
+        reached = reached.withColumn(name, F.when(~F.col("foreign"), F.col(name)).cast(kind))
+    return reached.select("site", "url", "depth", "foreign", "is_index", "locs", "error")
 
 
 def sitemap_urls(expanded: DataFrame) -> DataFrame:

@@ -1,10 +1,10 @@
-"""Guarded reading of foreign XML inside a task: no DTD, bounded number of nodes."""
+"""Guarded reading of foreign XML inside a task: no DTD, and a bound on nodes that callers can set."""
 
 from __future__ import annotations
 
 from xml.parsers import expat
 
-#: Nodes one document may hold (fixed value).
+#: Nodes one document may hold unless the caller says otherwise (fixed value).
 MAX_NODES = 500_000
 
 
