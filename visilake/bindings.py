@@ -51,19 +51,27 @@ snapshots AS (
 
 
 def lines(spark, sf_dir) -> DataFrame:
-    """One line per (order, line number): a repeated delivery of a slot is dropped."""
+    """Every line of an order in one running order, with its place and its place among sites.
+
+    One window gives both, so the largest table is shuffled once.
+    """
     raw = table(spark, sf_dir, "lineitem")
     pick = ("l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", "l_shipdate")
-    first = W.partitionBy("l_orderkey", "l_linenumber").orderBy(*pick)
-    return raw.select("l_orderkey", "l_linenumber", *pick).withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    order = W.partitionBy("l_orderkey").orderBy("l_linenumber", *pick)
+    site = F.col("l_returnflag") != "R"
+    so_far = F.count_if(site).over(order.rowsBetween(W.unboundedPreceding, 0)).cast("int")
+    return raw.select("l_orderkey", "l_linenumber", *pick).select(
+        "l_orderkey", *pick, F.row_number().over(order).alias("place"), F.when(site, so_far).alias("organic_place")
+    )
 
 
 LINES = """
 lines AS (
-  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus, l_shipdate FROM (
-    SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber
-              ORDER BY l_partkey, l_suppkey, l_returnflag, l_linestatus, l_shipdate) AS rn FROM lineitem)
-  WHERE rn = 1
+  SELECT l_orderkey, l_partkey, l_suppkey, l_returnflag, l_linestatus, l_shipdate,
+         CAST(row_number() OVER w AS INTEGER) AS place,
+         CASE WHEN l_returnflag <> 'R' THEN CAST(count(*) FILTER (l_returnflag <> 'R') OVER w AS INTEGER) END AS organic_place
+  FROM lineitem
+  WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus, l_shipdate ROWS UNBOUNDED PRECEDING)
 )"""
 
 
@@ -73,7 +81,7 @@ def _domain(by: str) -> Column:
 
 
 def page_lines(spark, sf_dir, by: str = "region") -> DataFrame:
-    """Documents before they are numbered."""
+    """Numbered documents of orders; up to thirteen each."""
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_brand", "p_size")
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
@@ -87,7 +95,8 @@ def page_lines(spark, sf_dir, by: str = "region") -> DataFrame:
     path = F.when(F.col("p_size") <= 5, "/").otherwise(F.concat(F.lit("/"), F.replace(F.lower("p_brand"), F.lit("#"), F.lit("-")), F.lit("/"), F.col("p_size").cast("string")))
     return joined.select(
         F.col("l_orderkey").alias("snapshot_id"),
-        F.col("l_linenumber").alias("position"),
+        F.col("place").alias("position"),
+        F.col("organic_place").alias("organic_position"),
         (F.col("l_returnflag") == "R").alias("is_wizard"),
         F.concat(F.lit("https://"), "domain", path).alias("url"),
         "domain",
@@ -102,11 +111,8 @@ def page_lines(spark, sf_dir, by: str = "region") -> DataFrame:
 
 
 def docs(spark, sf_dir, by: str = "region") -> DataFrame:
-    """Documents with organic places; a snapshot has at most one document per line number (1..7)."""
-    order = W.partitionBy("snapshot_id").orderBy("position")
-    organic = F.count_if(~F.col("is_wizard")).over(order).cast("int")
-    numbered = page_lines(spark, sf_dir, by).withColumn("organic_position", F.when(~F.col("is_wizard"), organic))
-    return numbered.join(snapshots(spark, sf_dir), "snapshot_id")
+    """Documents with their snapshots."""
+    return page_lines(spark, sf_dir, by).join(snapshots(spark, sf_dir), "snapshot_id")
 
 
 def docs_cte(by: str = "region") -> str:
@@ -114,7 +120,7 @@ def docs_cte(by: str = "region") -> str:
     return (
         SNAPSHOTS + "," + LINES + f""",
 page_lines AS (
-  SELECT l_orderkey AS snapshot_id, l_linenumber AS position, l_returnflag = 'R' AS is_wizard,
+  SELECT l_orderkey AS snapshot_id, place AS position, organic_place AS organic_position, l_returnflag = 'R' AS is_wizard,
          'https://' || {domain} || '.example' ||
            CASE WHEN p_size <= 5 THEN '/' ELSE '/' || replace(lower(p_brand), '#', '-') || '/' || p_size END AS url,
          {domain} || '.example' AS domain, p_name || ' ' || p_type AS title,
@@ -124,9 +130,7 @@ page_lines AS (
        JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
 ),
 docs AS (
-  SELECT p.*, CASE WHEN NOT is_wizard THEN
-           CAST(count(*) FILTER (NOT is_wizard) OVER (PARTITION BY p.snapshot_id ORDER BY position) AS INTEGER) END AS organic_position,
-         s.query, s.region, s.fetched_at, s.error, s.run_id
+  SELECT p.*, s.query, s.region, s.fetched_at, s.error, s.run_id
   FROM page_lines p JOIN snapshots s ON p.snapshot_id = s.snapshot_id
 )"""
     )

@@ -183,7 +183,7 @@ QUERIES = {
     "missing_goals": (missing_goals, "SELECT DISTINCT lower(p_type) AS goal FROM part WHERE lower(p_type) NOT IN (SELECT event_type FROM events)"),
     "latest_window": (latest_window, f"WITH {WINDOWS} SELECT s.* REPLACE ({D('s.date_from')} AS date_from, {D('s.date_to')} AS date_to, {D('fetched_at')} AS fetched_at) FROM search_queries s JOIN best b ON s.host_id = b.host_id AND s.date_from = b.date_from AND s.date_to = b.date_to"),
     "window_totals": (window_totals, f"WITH {WINDOWS} SELECT s.host_id, {D('s.date_from')} AS date_from, {D('s.date_to')} AS date_to, {D('max(fetched_at)')} AS fetched_at, count(*) AS queries, CAST(sum(shows) AS BIGINT) AS shows, CAST(sum(clicks) AS BIGINT) AS clicks FROM search_queries s JOIN best b ON s.host_id = b.host_id AND s.date_from = b.date_from AND s.date_to = b.date_to GROUP BY s.host_id, s.date_from, s.date_to"),
-    "warehouse_stats": (warehouse_stats, f"WITH {WINDOWS}, t AS (SELECT CAST(sum(shows) AS BIGINT) AS s, CAST(sum(clicks) AS BIGINT) AS c FROM search_queries JOIN best USING (host_id, date_from, date_to)) SELECT 'snapshots' AS metric, CAST(count(*) AS VARCHAR) AS value FROM orders UNION ALL SELECT 'docs', CAST(count(*) AS VARCHAR) FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) UNION ALL SELECT 'projects', CAST(count(*) AS VARCHAR) FROM nation UNION ALL SELECT 'first_snapshot', strftime(min(o_orderdate), '%Y-%m-%d') FROM orders UNION ALL SELECT 'last_snapshot', strftime(max(o_orderdate), '%Y-%m-%d') FROM orders UNION ALL SELECT 'shows_all_hosts', CAST(s AS VARCHAR) FROM t UNION ALL SELECT 'clicks_all_hosts', CAST(c AS VARCHAR) FROM t"),
+    "warehouse_stats": (warehouse_stats, f"WITH {WINDOWS}, t AS (SELECT CAST(sum(shows) AS BIGINT) AS s, CAST(sum(clicks) AS BIGINT) AS c FROM search_queries JOIN best USING (host_id, date_from, date_to)) SELECT 'snapshots' AS metric, CAST(count(*) AS VARCHAR) AS value FROM orders UNION ALL SELECT 'docs', CAST(count(*) AS VARCHAR) FROM lineitem UNION ALL SELECT 'projects', CAST(count(*) AS VARCHAR) FROM nation UNION ALL SELECT 'first_snapshot', strftime(min(o_orderdate), '%Y-%m-%d') FROM orders UNION ALL SELECT 'last_snapshot', strftime(max(o_orderdate), '%Y-%m-%d') FROM orders UNION ALL SELECT 'shows_all_hosts', CAST(s AS VARCHAR) FROM t UNION ALL SELECT 'clicks_all_hosts', CAST(c AS VARCHAR) FROM t"),
     "pages_by_query_latest": (pages_by_query_latest, f"WITH {WINDOWS} SELECT host_id, query AS query_key, query, k, shows, clicks, avg_position, url, {D('date_from')} AS date_from, {D('date_to')} AS date_to, {D('fetched_at')} AS fetched_at FROM (SELECT *, row_number() OVER (PARTITION BY host_id, query ORDER BY fetched_at DESC, date_from) AS rn FROM (SELECT *, max(date_to) OVER (PARTITION BY host_id, query) AS own FROM search_query_pages) WHERE date_to = own AND url IS NOT NULL) WHERE rn = 1"),
     "upsert_window": (upsert_window, f"WITH {WINDOWS} SELECT host_id, query, {D('date_from')} AS date_from, {D('date_to')} AS date_to, CASE WHEN day(date_from) % 3 > 0 THEN CASE WHEN shows <> 1 THEN shows ELSE 1 END ELSE nullif(shows, 0) END AS shows, clicks, avg_position, strftime(CASE WHEN day(date_from) % 3 > 0 THEN fetched_at ELSE fetched_at - INTERVAL 1 DAY END, '%Y-%m-%d') AS fetched_at, url FROM search_query_pages"),
     "landing_pages_map": (landing_pages_map, f"WITH {WINDOWS}, m AS (SELECT host_id AS counter, 'https://Site.example' || url AS url, date_from, date_to, CAST(sum(shows) AS BIGINT) AS visits, max(fetched_at) AS fetched_at FROM search_query_pages WHERE url IS NOT NULL GROUP BY ALL), b AS (SELECT counter, date_from, date_to FROM (SELECT counter, date_from, date_to, row_number() OVER (PARTITION BY counter ORDER BY date_to DESC, max(fetched_at) DESC, date_from) AS rn FROM m GROUP BY counter, date_from, date_to) WHERE rn = 1) SELECT * EXCLUDE (rn) REPLACE ({D('date_from')} AS date_from, {D('date_to')} AS date_to, {D('fetched_at')} AS fetched_at) FROM (SELECT m.counter, 'organic' AS source, rtrim(regexp_extract(url, '(/page.*)$', 1), '/') AS path_key, url, m.date_from, m.date_to, visits, fetched_at, row_number() OVER (PARTITION BY m.counter, rtrim(regexp_extract(url, '(/page.*)$', 1), '/') ORDER BY visits, url) AS rn FROM m JOIN b ON m.counter = b.counter AND m.date_from = b.date_from AND m.date_to = b.date_to) WHERE rn = 1"),

@@ -8,11 +8,11 @@ from .. import bindings as B
 from ..sources import demand as DM
 from ..sources import serp as SP
 
-PER_PAGE = 3  # lines of an order per raw page; pages 0..2
+PER_PAGE = 10  # lines of an order per raw page; pages 0 and 1
 
 
 def raw_pages(spark, sf):
-    """Result pages as XML text, three line slots per page; an order's empty page was never collected."""
+    """Result pages as XML text, ten documents a page; an order's empty second page was never collected."""
     docs = B.page_lines(spark, sf).withColumn("page_no", F.floor((F.col("position") - 1) / PER_PAGE).cast("int"))
     title = F.when(F.col("is_wizard"), F.concat(F.lit("Видео по запросу "), "title")).otherwise(
         F.concat(F.repeat(F.lit("<hlword>w</hlword> "), F.col("title_hlwords")), F.col("title"))
@@ -46,14 +46,14 @@ paged AS (
 parsed AS (SELECT * FROM paged WHERE NOT (failed IS NOT NULL AND page_no = 1)),
 fetches AS (
   SELECT snapshot_id, query, region, fetched_at, max(failed) AS failed,
-         bool_or(page_no = 0) AS p0, bool_or(page_no = 1) AS p1, bool_or(page_no = 2) AS p2
+         bool_or(page_no = 0) AS p0, bool_or(page_no = 1) AS p1
   FROM paged GROUP BY ALL
 ),
 gates AS (
-  SELECT *, CAST(p0 AS INTEGER) + CAST(p1 AND failed IS NULL AS INTEGER) + CAST(p2 AS INTEGER) AS pages_ok,
-         CASE WHEN NOT p0 THEN 'page 1 of 3: not collected' WHEN NOT p1 THEN 'page 2 of 3: not collected'
-              WHEN failed IS NOT NULL THEN 'page 2 of 3: timeout' WHEN NOT p2 THEN 'page 3 of 3: not collected' END AS error,
-         CASE WHEN NOT p0 THEN 0 WHEN NOT p1 OR failed IS NOT NULL THEN 1 WHEN NOT p2 THEN 2 ELSE 3 END AS usable
+  SELECT *, CAST(p0 AS INTEGER) + CAST(p1 AND failed IS NULL AS INTEGER) AS pages_ok,
+         CASE WHEN NOT p0 THEN 'page 1 of 2: not collected' WHEN NOT p1 THEN 'page 2 of 2: not collected'
+              WHEN failed IS NOT NULL THEN 'page 2 of 2: timeout' END AS error,
+         CASE WHEN NOT p0 THEN 0 WHEN NOT p1 OR failed IS NOT NULL THEN 1 ELSE 2 END AS usable
   FROM fetches
 ),
 stitched AS (
@@ -73,12 +73,12 @@ def serp_docs_from_xml(spark, sf):
 
 
 def merge_serp_pages(spark, sf):
-    merged = SP.snapshot_docs(SP.merge_serp_pages(SP.serp_docs_from_xml(raw_pages(spark, sf)), 30))
+    merged = SP.snapshot_docs(SP.merge_serp_pages(SP.serp_docs_from_xml(raw_pages(spark, sf)), 20))
     return merged.select("snapshot_id", "query", "region", "error", "position", "organic_position", "is_wizard", "url", "domain_doccount")
 
 
 def flag_incomplete(spark, sf):
-    return SP.flag_incomplete(SP.serp_docs_from_xml(raw_pages(spark, sf)), 30).withColumnRenamed("fetch_id", "snapshot_id")
+    return SP.flag_incomplete(SP.serp_docs_from_xml(raw_pages(spark, sf)), 20).withColumnRenamed("fetch_id", "snapshot_id")
 
 
 # --- demand payloads -------------------------------------------------------------------
@@ -152,7 +152,7 @@ def flatten_region_tree(spark, sf):
 QUERIES = {
     "serp_docs_from_xml": (serp_docs_from_xml, f"WITH {PAGED} SELECT snapshot_id, page_no, CAST(row_number() OVER w AS INTEGER) AS position, CASE WHEN NOT is_wizard THEN CAST(count(*) FILTER (NOT is_wizard) OVER w AS INTEGER) END AS organic_position, is_wizard, url, domain, CASE WHEN is_wizard THEN 'Видео по запросу ' || title ELSE repeat('w ', title_hlwords) || title END AS title, CASE WHEN is_wizard THEN 0 ELSE title_hlwords END AS title_hlwords, url_depth, domain_doccount, strftime(modified, '%Y%m%dT%H%M%S') AS modtime FROM parsed WINDOW w AS (PARTITION BY snapshot_id, page_no ORDER BY position)"),
     "merge_serp_pages": (merge_serp_pages, f"WITH {PAGED} SELECT snapshot_id, query, region, gate AS error, place AS position, organic AS organic_position, is_wizard, url, domain_doccount FROM stitched WHERE nth = 1"),
-    "flag_incomplete": (flag_incomplete, f"WITH {PAGED} SELECT snapshot_id, query, region, 3 AS pages_needed, pages_ok, error FROM gates"),
+    "flag_incomplete": (flag_incomplete, f"WITH {PAGED} SELECT snapshot_id, query, region, 2 AS pages_needed, pages_ok, error FROM gates"),
     "keyword_frequencies": (keyword_frequencies, "SELECT c_name AS phrase, CAST(c_nationkey AS VARCHAR) AS region, CASE WHEN c_custkey % 10 <> 3 THEN (c_custkey * 7) % 500 END AS freq, CASE WHEN c_custkey % 10 = 3 THEN 'quota' END AS error FROM customer"),
     "keyword_expansions": (keyword_expansions, "WITH c AS (SELECT *, CAST(c_nationkey AS VARCHAR) AS region FROM customer WHERE c_custkey % 10 <> 3) SELECT c_name AS seed, region, 'top' AS kind, 1 AS place, lower(c_mktsegment) || ' price' AS phrase, (c_custkey * 3) % 200 AS freq FROM c UNION ALL SELECT c_name, region, 'top', 2, lower(c_name), 0 FROM c UNION ALL SELECT c_name, region, 'association', 1, 'nation ' || c_nationkey, c_custkey % 90 FROM c"),
     "demand_dynamics": (demand_dynamics, f"WITH {B.SNAPSHOTS} SELECT query AS phrase, strftime(fetched_at, '%Y-%m-01') AS date, count(*) AS count, CASE WHEN count(*) % 2 <> 0 THEN CAST('0.' || count(*) AS DOUBLE) END AS share FROM snapshots GROUP BY query, strftime(fetched_at, '%Y-%m-01')"),
