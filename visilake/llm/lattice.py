@@ -1,19 +1,18 @@
-"""SentencePiece encoding by a relational lattice, and decoding.
+"""SentencePiece encoding by a lattice of pieces, and decoding.
 
 Text is a model's usual form: a blank sign before it and for every blank, nothing else changed.
 It is cut into words (a blank sign and what follows it, also before a mark that follows a letter,
 which no piece crosses; line ends alone; at most ``WORD`` code points, so that a run without blanks
-stays bounded). Documents are dealt into blocks of about
-``BLOCK_BYTES`` of text. In each block every different word is taken once: its substrings up to
-the longest piece are exploded, equi-joined to the piece table, grouped again by word, and an
-aggregate over the word's places folds the best path (Viterbi): at each place the best of the
-edges that end there, ties to the longer piece. A place that no piece reaches takes its UTF-8
-bytes as byte pieces. The documents of the block then look their words up. Everything after the
-one exchange of texts stays in its partition.
-
-The piece table is the model file's, so it has a fixed size and is broadcast. Models whose scores
-are log probabilities are used as they are. A merge model's scores are negated merge ranks; with
-them ``ZIPF`` stands in: -5 - ln(1 + rank), and pieces the model never merges to stay out.
+stays bounded). Each different word of a batch is worked out once: its substrings up to the longest
+piece are listed, equi-joined with the piece table on their hash (and compared), grouped by word and
+end, and the best path is folded over the places of all words at once: at each place the best of the
+edges that end there, ties to the longer piece (Viterbi). A place that no piece reaches takes its
+UTF-8 bytes as byte pieces. Documents stay where they are read, nothing is shuffled, and a worker
+keeps the ids of a bounded number of words.
+
+Models whose scores are log probabilities are used as they are. A merge model's scores are negated
+merge ranks; with them -5 - ln(1 + rank) stands in (Zipf's law), and pieces the model never merges
+to stay out.
 
 Decoding joins pieces, turns byte pieces into bytes and blank signs into blanks, and drops the
 first blank: decode(encode(text)) is the text, if it holds no blank sign itself.
@@ -27,34 +26,41 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import whole_text
+from .windows import _power_tables
+from .wordtable import WordTable
 
 SIGN = "▁"
 WORD = 64
-BLOCK_BYTES = 48 << 20
-MOST_PIECES = 1_000_000
 #: no piece holds a letter before one of these marks (checked), so a cut there loses no path
 _LETTER, _MARK = "A-Za-zÀ-ÖØ-öø-ÿ", ".,;:!?|"
 PATTERN = f"{SIGN}?[{_LETTER}]{{1,{WORD - 1}}}(?=[{_MARK}])|{SIGN}?[^{SIGN}\n]{{1,{WORD - 1}}}|{SIGN}|\n"
 NEVER = -1e8
+SLICE_CHARS = 1 << 20
+SOLVED_AT_ONCE = 20_000
+_BASE = 0x8CB92BA72F3D8DD7
+_U = np.uint64
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
 
 
 class Pieces:
-    """A model file's pieces: id to bytes, and the scored pieces of the lattice."""
+    """A model file's pieces: id to bytes, and the scored pieces of the lattice by length."""
 
     def __init__(self, model: str):
         import sentencepiece
 
         m = sentencepiece.SentencePieceProcessor(model_file=model)
         n = m.get_piece_size()
-        if n > MOST_PIECES:
-            raise ValueError(f"{n} pieces are too many to broadcast")
         self.bytes: list[bytes] = []
         self.rows: list[tuple[str, int, float]] = []
         self.byte_ids = [0] * 256
@@ -75,96 +81,121 @@ class Pieces:
         self.longest = max(len(p) for p, _, _ in self.rows)
         if any(re.search(f"[{_LETTER}][{_MARK}]", p) for p, _, _ in self.rows):
             raise ValueError("a piece crosses from a letter to a mark: words can't be cut there")
-
-
-def _blocks(docs: DataFrame, text: str, block_bytes: int) -> int:
-    total = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
-    return max(1, -(-total // block_bytes))
-
-
-def word_ids(words: DataFrame, pieces: Pieces, *keys: str) -> DataFrame:
-    """(keys, word, ids) of rows (keys, word): each different word's best path.
-
-    If ``words`` are dealt by the keys already, nothing moves but the piece table.
-    """
-    spark = words.sparkSession
-    table = spark.createDataFrame(pieces.rows, "piece string, id int, score double")
-    once = words.select(*keys, "word").distinct().select(F.xxhash64("word").alias("_word"), *keys, "word", F.char_length("word").alias("_n"))
-    starts = once.select("*", F.explode(F.sequence(F.lit(1), "_n")).alias("_start"))
-    sizes = F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.col("_n") - F.col("_start") + 1))
-    parts = starts.select("*", F.explode(sizes).alias("_size")).withColumn("piece", F.substring(F.col("word"), F.col("_start"), F.col("_size")))
-    edge = F.struct((F.col("_start") + F.col("_size") - 1).alias("end"), F.col("_size").alias("size"), "id", "score")
-    # outer, so that a word none of whose parts is a piece stays
-    joined = parts.join(F.broadcast(table), "piece", "left").where(F.col("id").isNotNull() | (F.col("_size") == 1))
-    edges = joined.groupBy("_word", *keys, "word").agg(F.collect_list(F.when(F.col("id").isNotNull(), edge)).alias("_edges"))
-    byte_ids = F.array(*map(F.lit, pieces.byte_ids))
-
-    def fallback(place: Column) -> Column:
-        digits = F.hex(F.encode(F.substring(F.col("word"), place, F.lit(1)), "utf-8"))
-        pairs = F.sequence(F.lit(1), F.length(digits), F.lit(2))
-        return F.transform(pairs, lambda p: F.get(byte_ids, F.conv(F.substring(digits, p, F.lit(2)), 16, 10).cast("int")))
-
-    path = "struct<score: double, ids: array<int>>"
-
-    def step(best: Column, place: Column) -> Column:
-        ending = F.filter("_edges", lambda e: e["end"] == place)
-        reached = F.transform(ending, lambda e: F.struct((F.get(best, place - e["size"])["score"] + e["score"]).alias("score"), e["size"].alias("size"), e["id"].alias("id")))
-        # an array of one binds the winner, so that it is found once
-        won = F.transform(F.array(F.array_max(reached)), lambda w: F.when(w.isNotNull(), F.struct(
-            w["score"].alias("score"), F.concat(F.get(best, place - w["size"])["ids"], F.array(w["id"])).alias("ids")).cast(path)))
-        before = F.get(best, place - 1)
-        spelled = F.struct((before["score"] + F.lit(NEVER)).alias("score"), F.concat(before["ids"], fallback(place)).alias("ids")).cast(path)
-        return F.concat(best, F.array(F.coalesce(F.get(won, F.lit(0)), spelled)))
-
-    begin = F.array(F.struct(F.lit(0.0).alias("score"), F.array().cast("array<int>").alias("ids")).cast(path))
-    places = F.sequence(F.lit(1), F.char_length("word"))
-    folded = F.aggregate(places, begin, step, lambda best: F.element_at(best, -1)["ids"])
-    return edges.select(*keys, "word", folded.alias("ids"))
-
-
-def encode(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, ids), one row per document."""
-    pieces = Pieces(model)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole_text(text).alias("text"))
-    blocks = _blocks(rows, "text", block_bytes)
-    dealt = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"), "doc_id", "text").repartition(blocks, "block")
-    spelled = F.concat(F.lit(SIGN), F.replace("text", F.lit(" "), F.lit(SIGN)))
-    words = F.when(F.col("text") != "", F.regexp_extract_all(spelled, F.lit(PATTERN), F.lit(0)))
-    known = word_ids(dealt.select("block", F.explode(words).alias("word")), pieces, "block")
-    pattern = re.compile(PATTERN)
+        self.by_length = []
+        for size in range(1, self.longest + 1):
+            own = [r for r in self.rows if len(r[0]) == size]
+            signs = _points("".join(p for p, _, _ in own)).reshape(-1, size)
+            key = (signs.astype(_U) * _power_tables(_BASE, size + 1)[0][:size]).sum(axis=1, dtype=_U)
+            order = np.argsort(key)
+            self.by_length.append((key[order], signs[order], np.array([i for _, i, _ in own], np.int64)[order], np.array([s for *_, s in own])[order]))
+
+    def edges(self, points: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(score, id) by piece length - 1 and first place; no piece: minus infinity, -1.
+
+        ``ends`` has the end of the word that each place belongs to.
+        """
+        power, inverse = _power_tables(_BASE, len(points) + 1)
+        sums = np.concatenate((np.zeros(1, _U), np.cumsum(points.astype(_U) * power[: len(points)], dtype=_U)))
+        score, ids = np.full((self.longest, len(points)), -np.inf), np.full((self.longest, len(points)), -1, np.int32)
+        for size, (keys, signs, piece, value) in enumerate(self.by_length, 1):
+            at = np.flatnonzero(np.arange(size, size + len(points)) <= ends)
+            if not len(at) or not len(keys):
+                continue
+            hashed = (sums[at + size] - sums[at]) * inverse[at]
+            found = np.minimum(np.searchsorted(keys, hashed), len(keys) - 1)
+            same = keys[found] == hashed
+            at, found = at[same], found[same]
+            same = (points[at[:, None] + np.arange(size)] == signs[found]).all(axis=1)
+            at, found = at[same], found[same]
+            score[size - 1, at], ids[size - 1, at] = value[found], piece[found]
+        return score, ids
+
+    def solve(self, words: list[str]) -> Iterator[list[int]]:
+        """The ids of each word's best path."""
+        for at in range(0, len(words), SOLVED_AT_ONCE):
+            yield from self._solve(words[at : at + SOLVED_AT_ONCE])
+
+    def _solve(self, words: list[str]) -> Iterator[list[int]]:
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(-sizes, kind="stable")  # the words that reach a place come first
+        sizes = sizes[order]
+        points = _points("".join(words[i] for i in order.tolist()))
+        first = np.cumsum(sizes) - sizes
+        score, ids = self.edges(points, np.repeat(first + sizes, sizes))
+        slot = first + np.arange(len(words))  # a word of n code points has n + 1 places
+        best, back = np.zeros(len(points) + len(words)), np.zeros(len(points) + len(words), np.int64)
+        for place in range(1, int(sizes.max(initial=0)) + 1):
+            n = int(np.searchsorted(-sizes, -place, side="right"))
+            top, size = np.full(n, -np.inf), np.zeros(n, np.int64)
+            for length in range(1, min(place, self.longest) + 1):
+                path = best[slot[:n] + place - length] + score[length - 1, first[:n] + place - length]
+                better = (path >= top) & (path > -np.inf)
+                top, size = np.where(better, path, top), np.where(better, length, size)
+            top = np.where(size == 0, best[slot[:n] + place - 1] + NEVER, top)
+            best[slot[:n] + place], back[slot[:n] + place] = top, size
+        left, who = sizes.copy(), np.arange(len(words))
+        steps: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(who := who[left[who] > 0]):
+            size = back[slot[who] + left[who]]
+            start = first[who] + left[who] - np.maximum(size, 1)
+            steps.append((who, np.where(size > 0, ids[size - 1, start], -1 - points[start].astype(np.int64))))
+            left[who] -= np.maximum(size, 1)
+        out: list[list[int]] = [[] for _ in words]
+        place = order.tolist()
+        for who, found in reversed(steps):
+            for w, i in zip(who.tolist(), found.tolist(), strict=True):
+                if i >= 0:
+                    out[place[w]].append(i)
+                else:
+                    out[place[w]].extend(self.byte_ids[b] for b in chr(-1 - i).encode("utf-8", "replace"))
+        return iter(out)
+
+
+_loaded: dict[str, tuple[Pieces, WordTable]] = {}
+
+
+def _model(model: str) -> tuple[Pieces, WordTable]:
+    """A worker's pieces and known words of a model."""
+    if model not in _loaded:
+        pieces = Pieces(model)
+        _loaded[model] = pieces, WordTable(pieces.solve, [])
+    return _loaded[model]
+
+
+def words_of(text: str) -> list[str]:
+    return re.findall(PATTERN, SIGN + text.replace(" ", SIGN)) if text else []
+
+
+def encode(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, ids), one row per document. Executors read the model file at the same path."""
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole_text(text).alias("text"))
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _model(model)[1]
+        for batch in batches:
+            texts, at = batch.column("text").to_pylist(), 0
+            while at < len(texts):  # slices of bounded size, or one long document
+                end, size = at, 0
+                while end < len(texts) and (end == at or size + len(texts[end]) <= SLICE_CHARS):
+                    size += len(texts[end])
+                    end += 1
+                ids, counts = table.encode([words_of(t) for t in texts[at:end]])
+                cuts = pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, end - at), pa.ListArray.from_arrays(cuts, pa.array(ids.astype(np.int32)))], schema=schema)
+                at = end
 
-    def look_up(texts: pa.Table, table: pa.Table) -> pa.Table:
-        if not texts.num_rows:
-            return schema.empty_table()
-        code = {w: i for i, w in enumerate(table.column("word").to_pylist())}
-        ids = table.column("ids").combine_chunks()
-        if isinstance(ids, pa.ChunkedArray):
-            ids = pa.concat_arrays(ids.chunks) if ids.num_chunks else pa.array([], pa.list_(pa.int32()))
-        flat, offsets = ids.flatten().to_numpy().astype(np.int32), np.asarray(ids.offsets, dtype=np.int64)
-        offsets = offsets - (offsets[0] if len(offsets) else 0)
-        start, size = offsets[:-1], np.diff(offsets)
-        out = []
-        for batch in texts.select(["text"]).to_batches(max_chunksize=256):
-            coded = [np.fromiter(map(code.__getitem__, pattern.findall(SIGN + t.replace(" ", SIGN)) if t else ()), np.int64) for t in batch.column(0).to_pylist()]
-            codes = np.concatenate(coded)
-            n, ends = size[codes], np.concatenate(([0], np.cumsum(size[codes])))
-            flat_ids = flat[np.repeat(start[codes] - ends[:-1], n) + np.arange(ends[-1])]
-            cuts = ends[np.concatenate(([0], np.cumsum([len(c) for c in coded])))]
-            out.append(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(flat_ids, pa.int32())))
-        return pa.table([texts.column("doc_id"), pa.chunked_array(out)], schema=schema)
-
-    return dealt.groupBy("block").cogroup(known.withColumnRenamed("block", "of_block").groupBy("of_block")).applyInArrow(look_up, "doc_id long, ids array<int>")
+    return rows.mapInArrow(look_up, "doc_id long, ids array<int>")
 
 
 def decode(rows: DataFrame, model: str, ids: str = "ids") -> DataFrame:
     """``rows`` with the ``decoded`` text of their ids; an id the model lacks fails."""
-    pieces = np.array(Pieces(model).bytes, dtype=object)
 
     @F.pandas_udf("string")
     def spell(column):
-        texts = column.map(lambda i: b"".join(pieces[np.asarray(i, np.int64)]) if i is not None and len(i) else b"")
-        return texts.map(lambda t: t[1:].decode("utf-8", "replace") if t[:1] == b" " else t.decode("utf-8", "replace"))
+        pieces = _model(model)[0].bytes
+        texts = column.map(lambda i: b"".join(map(pieces.__getitem__, i.tolist())) if i is not None else b"")
+        return texts.map(lambda t: (t[1:] if t[:1] == b" " else t).decode("utf-8", "replace"))
 
     return rows.withColumn("decoded", spell(ids))
 
