@@ -171,6 +171,14 @@ def align(item: np.ndarray, region: np.ndarray, free_start: bool) -> tuple[int,
 _known: dict[int, Items] = {}
 
 
+def _items(name: int, chosen: list[tuple[int, str]], rate: float) -> Items:
+    """A worker's index of a block of items; it keeps the last one."""
+    if name not in _known:
+        _known.clear()
+        _known[name] = Items(chosen, rate)
+    return _known[name]
+
+
 def _pieces(texts: list[str], overlap: int) -> Iterator[list[tuple[int, int, str]]]:
     """Lists of (row, offset, text) of about a slice; long texts in overlapping pieces."""
     part, size = [], 0
@@ -232,12 +240,10 @@ def find(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, doc_id: str
         chosen = [tuple(r) for r in usable.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()]
 
         def search(batches, chosen=chosen, name=hash((rate, *chosen))):
-            if name not in _known:
-                _known.clear()
-                _known[name] = Items(chosen, rate)
+            items = _items(name, chosen, rate)
             for batch in batches:
                 ids = batch.column(0).to_pylist()
-                hits = matches(_known[name], batch.column(1).to_pylist())
+                hits = matches(items, batch.column(1).to_pylist())
                 columns = [[ids[h[0]] for h in hits], *([h[i] for h in hits] for i in range(1, 5))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
