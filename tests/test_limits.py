@@ -7,10 +7,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from visilake.functions import keys as K
+from visilake.functions import lists as L
+from visilake.operators import articles as A
 from visilake.operators import audit as AU
 from visilake.operators import core as C
 from visilake.operators import serp as S
 from visilake.operators import visibility as V
+from visilake.plans import actions as P
 from visilake.sinks import warehouse as WH
 from visilake.sources import demand as DM
 from visilake.sources import serp as SP
@@ -136,3 +139,70 @@ def test_first_and_later_loads(spark, tmp_path):
     WH.append_docs(make([(1, 1, "old", day(1), day(1)), (1, 2, "kept", day(1), day(1)), (2, 1, "other", day(2), day(2))]), docs)
     WH.append_docs(make([(1, 1, "new", day(3), day(3)), (3, 1, "third", day(3), day(3))]), docs)
     assert sorted((r["snapshot_id"], r["position"], r["url"]) for r in spark.read.parquet(docs).collect()) == [(1, 1, "new"), (1, 2, "kept"), (2, 1, "other"), (3, 1, "third")]
+
+
+# --- one query in two regions
+
+
+DAY = dt.datetime(2024, 1, 1)
+
+
+def test_a_place_in_one_region_leaves_the_gap_in_the_other(spark):
+    docs = spark.createDataFrame(
+        [(q, region, domain, place, f"https://{domain}/{q}", DAY) for q in ("a", "b") for region, domain, place in ((1, "we.example", 1), (1, "they.example", 2), (2, "they.example", 3))],
+        "query string, region int, domain string, position int, url string, fetched_at timestamp")
+    candidates = spark.createDataFrame([("s", q, r) for q in ("a", "b") for r in (1, 2)], "site string, query string, region int")
+    sites = spark.createDataFrame([("s", "we.example")], "site string, domain string")
+    demand = spark.createDataFrame([("s", "a", 10), ("s", "b", 20)], "site string, query_key string, freq long")
+    empty = lambda schema: spark.createDataFrame([], schema)
+    out = P.gap_actions(candidates, docs, sites, empty("site string, target_query string"), empty("site string, query string, shows long"), empty("site string, query_key string"), demand)
+    assert sorted((r["query"], r["tie"], r["count"]) for r in out.collect()) == [("a", "a 2", 1), ("b", "b 2", 1)]
+
+
+def test_one_page_in_each_region_is_no_dispute(spark):
+    def serp(rows):
+        own = spark.createDataFrame([("s", "q", region, url, 1, DAY) for region, url in rows], "site string, query string, region int, url string, position int, fetched_at timestamp")
+        empty = lambda schema: spark.createDataFrame([], schema)
+        return P.cannibalization_evidence(
+            empty("site string, url string, target_query string, created_at timestamp"), empty("site string, url string, target_query string, verdict string, ranking_url string, checked_at timestamp"),
+            empty("site string, query string, url string, shows long, fetched_at timestamp"), own, empty("site string, query string, n int, url string, checked_at timestamp")).count()
+
+    assert serp([(1, "https://s/x"), (2, "https://s/y")]) == 0 and serp([(1, "https://s/x"), (1, "https://s/y")]) == 2
+
+
+def test_articles_are_measured_per_region_and_run(spark):
+    rows = [(1, "q", 1, "r1", 1, 5), (2, "q", 1, "r1", 2, 4), (3, "q", 2, "r1", 1, 9), (4, "q", 1, "r2", 8, 2)]
+    docs = spark.createDataFrame([(i, q, region, run, dt.datetime(2024, 1, day), None, place, False, "https://e.ru/a", "e.ru") for i, q, region, run, day, place in rows],
+                                 "snapshot_id long, query string, region int, run_id string, fetched_at timestamp, error string, position int, is_wizard boolean, url string, domain string")
+    pairs = spark.createDataFrame([(1, "https://e.ru/a", "q")], "article_id long, url string, query string")
+    every = A.measure_articles(pairs, docs)
+    assert sorted((r["region"], r["position"]) for r in every.collect()) == [(1, 2), (1, 4), (2, 9)]
+    one = A.measure_articles(pairs.withColumn("region", F.lit(2)), docs)
+    assert [(r["region"], r["position"]) for r in one.collect()] == [(2, 9)]
+    articles = spark.createDataFrame([(1, "https://e.ru/a", "q", 2), (2, "https://e.ru/b", "z", 1)], "article_id long, url string, target_query string, region int")
+    report = {r["article_id"]: (r["position"], r["verdict"]) for r in A.articles_latest(articles, every.withColumn("id", F.col("snapshot_id"))).collect()}
+    assert report == {1: (9, L.WORKS), 2: (None, L.NO_DATA)}
+
+
+def test_the_plan_holds_every_section(spark):
+    empty = lambda schema: spark.createDataFrame([], schema)
+    finding = "site string, severity string, code string, url string, evidence string, measured_at timestamp"
+    audit = spark.createDataFrame([("s", "critical", "redirect-chain", "https://s/x", "e", DAY), ("s", "minor", "missing-og", "https://s/a", "e", DAY)], finding)
+    ready = spark.createDataFrame([("s", "critical", "robots-blocks-gptbot", "u", "whole site", DAY)], finding)
+    queries = spark.createDataFrame([("s", "win", 40, 2, 5.0, DAY), ("s", "quiet", 50, 0, 2.0, DAY)], "site string, query string, shows long, clicks long, avg_show_position double, fetched_at timestamp")
+    pages = spark.createDataFrame([("s", "win", "/a", DAY), ("s", "quiet", "/b", DAY)], "site string, query_key string, url string, fetched_at timestamp").withColumns({"date_from": F.lit(DAY.date()), "date_to": F.lit(DAY.date())})
+    tracker = empty("site string, query string, position int, url string, checked_at timestamp")
+    queries = queries.withColumns({"date_from": F.lit(DAY.date()), "date_to": F.lit(DAY.date())})
+    demand = spark.createDataFrame([("s", q, 10) for q in ("gap", "hole")], "site string, query_key string, freq long")
+    items = P.query_items(queries, pages, tracker, demand)
+    articles = spark.createDataFrame([("s", "/c", "red door", DAY), ("s", "/d", "door red", DAY)], "site string, url string, target_query string, created_at timestamp")
+    evidence = P.cannibalization_evidence(
+        articles, empty("site string, url string, target_query string, verdict string, ranking_url string, checked_at timestamp"), empty("site string, query string, url string, shows long, fetched_at timestamp"),
+        empty("site string, query string, region int, url string, position int, fetched_at timestamp"), empty("site string, query string, n int, url string, checked_at timestamp"))
+    docs = spark.createDataFrame([(q, 1, "they.example", 1, "https://they.example/", DAY) for q in ("gap", "hole")], "query string, region int, domain string, position int, url string, fetched_at timestamp")
+    candidates = spark.createDataFrame([("s", q, 1) for q in ("gap", "hole")], "site string, query string, region int")
+    sites = spark.createDataFrame([("s", "we.example")], "site string, domain string")
+    actions, plan = P.build_plan(sites, items, queries, evidence, candidates, docs, articles, pages, demand, audit, ready, limit=6)
+    assert {r["section"] for r in actions.select("section").collect()} == set(L.SECTIONS)
+    assert [r["section"] for r in plan.orderBy("place").collect()] == ["indexing", "quick_wins", "snippet", "cannibalization", "ai_search", "competitor_gaps"]
+    assert {(r["section"], r["hidden"]) for r in P.hidden_counts(actions, plan).collect()} == {("competitor_gaps", 1), ("other", 1)}

@@ -75,7 +75,9 @@ def test_rejudge_spares_measured_rows(spark):
 def test_verdicts_from_results(spark):
     docs = [("остекление балкона", False, 1, 1, False, "a.ru", "Монтаж балконов"), ("остекление балкона", False, 2, 2, False, "ru.wikipedia.org", "Балкон"), ("остекление балкона", False, 3, None, True, "yandex.ru", "Видео"),
             ("остекление лоджии", False, 1, 1, False, "blog.x.ru", "Что такое лоджия"), ("окнадом", True, 1, 1, False, "b.ru", "Двери")]
-    docs = spark.createDataFrame(docs, "phrase string, niche_only boolean, position int, organic_position int, is_wizard boolean, domain string, title string").withColumn("passage", F.lit(None).cast("string"))
+    docs = spark.createDataFrame(docs, "phrase string, niche_only boolean, position int, organic_position int, is_wizard boolean, domain string, title string").withColumns({"passage": F.lit(None).cast("string"), "snapshot_id": F.lit(2).cast("long"), "fetched_at": F.lit(T(2))})
+    older = docs.withColumns({"snapshot_id": F.lit(1).cast("long"), "fetched_at": F.lit(T(1)), "title": F.lit("Монтаж балконов")})
+    docs = docs.unionByName(older)
     profile = C.domain_profile(docs, NICHE)
     p = {r.phrase: (r.docs, r.specialized, r.educational) for r in profile.collect()}
     assert p == {"остекление балкона": (2, 2, 1), "остекление лоджии": (1, 1, 1), "окнадом": (1, 0, 0)}
@@ -129,7 +131,7 @@ def test_core_upsert_guards_verdicts(spark):
 
 def test_article_places_and_verdicts(spark):
     docs = [(1, "q", 1, True, "https://yandex.ru/", "yandex.ru"), (1, "q", 2, False, "https://www.e.ru/other/", "e.ru"), (1, "q", 3, False, "https://e.ru/blog/%D0%BE/?x=1", "e.ru"), (2, "w", 12, False, "https://e.ru/blog/о", "e.ru"), (3, "z", 1, False, "https://f.ru/", "f.ru")]
-    docs = spark.createDataFrame(docs, "snapshot_id long, query string, position int, is_wizard boolean, url string, domain string").withColumns({"region": F.lit(1), "fetched_at": F.lit(T(1)), "error": F.lit(None).cast("string")})
+    docs = spark.createDataFrame(docs, "snapshot_id long, query string, position int, is_wizard boolean, url string, domain string").withColumns({"region": F.lit(1), "fetched_at": F.lit(T(1)), "error": F.lit(None).cast("string"), "run_id": F.lit("r")})
     articles = spark.createDataFrame([(1, "http://www.e.ru/blog/о/", " q ", ["w", "q", "", "z"])], "article_id long, url string, target_query string, extra_queries array<string>")
     rows = A.measure_articles(A.article_queries(articles), docs).withColumn("verdict", A.article_verdict())
     got = {r["query"]: (r.position, r.domain_position, r.is_target, r.verdict) for r in rows.collect()}
@@ -216,7 +218,7 @@ def test_cannibalization_needs_more_than_one_snapshot(spark):
     articles = spark.createDataFrame([("s", "/a", "остекление балкона"), ("s", "/b", "остекления балконов"), ("s", "/c", "двери")], "site string, url string, target_query string").withColumn("created_at", F.lit(T(1)))
     report = articles.select("site", "url", "target_query", F.lit(L.WORKS).alias("verdict"), F.lit(None).cast("string").alias("ranking_url"), F.col("created_at").alias("checked_at"))
     owner = spark.createDataFrame([("s", "двери", "/d", 12), ("s", "дверь", "/e", 2)], "site string, query string, url string, shows long").withColumn("fetched_at", F.lit(T(1)))
-    own = spark.createDataFrame([("s", "бренд", "https://s/x", 1), ("s", "бренд", "https://s/y", 2)], "site string, query string, url string, position int").withColumn("fetched_at", F.lit(T(1)))
+    own = spark.createDataFrame([("s", "бренд", "https://s/x", 1), ("s", "бренд", "https://s/y", 2)], "site string, query string, url string, position int").withColumns({"fetched_at": F.lit(T(1)), "region": F.lit(1)})
     history = spark.createDataFrame([("s", "полы", 1, "/p"), ("s", "полы", 2, "/q"), ("s", "окна", 1, "/o"), ("s", "окна", 2, "https://s/O/")], "site string, query string, n int, url string").withColumn("checked_at", F.lit(T(1)))
     evidence = P.cannibalization_evidence(articles, report, owner, own, history)
     got = {r["query"]: (r.rule, r.url) for r in P.cannibalization_actions(evidence, owner.select("site", "query", "shows")).collect()}

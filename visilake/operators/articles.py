@@ -31,15 +31,18 @@ def doc_host() -> Column:
     return F.when(host != "", host).otherwise(K.bare_domain("domain"))
 
 
-def measure_articles(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def measure_articles(pairs: DataFrame, docs: DataFrame, run: str = "run_id") -> DataFrame:
     """Place of the very page, first place of any page of its site, and that page's address.
 
-    ``docs`` holds one run: a query is measured once however many articles claim it, so the
-    join adds one row per article, query and run. Wizard blocks do not count as pages but
+    A query is measured once per region and ``run``, by its newest snapshot, however many
+    articles claim it: one row per article, query, region and run. Pairs that name a
+    ``region`` meet the snapshots of that region only. Wizard blocks do not count as pages but
     keep their slot in the numbering. Documents are
     reduced to the first place per (query, snapshot, page key) before the join, so a hot
     query meets its articles with one row per page of the right host.
     """
+    newest = docs.groupBy("query", "region", run).agg(F.max_by("snapshot_id", F.struct("fetched_at", "snapshot_id")).alias("snapshot_id"))
+    docs = docs.join(newest.select("snapshot_id"), "snapshot_id", "left_semi")
     pages = docs.where(~F.col("is_wizard")).select(
         "snapshot_id", "query", "region", "fetched_at", "error", "position", F.col("url").alias("doc_url"), doc_host().alias("host"), K.article_url_key("url").alias("key")
     )
@@ -47,9 +50,10 @@ def measure_articles(pairs: DataFrame, docs: DataFrame) -> DataFrame:
         F.min(F.struct("position", "doc_url")).alias("any"),
     )
     by_page = pages.where("error IS NULL").groupBy("snapshot_id", "query", "host", "key").agg(F.min("position").alias("position"))
-    asked = pairs.select("article_id", "url", "query", K.page_domain("url").alias("host"), K.article_url_key("url").alias("key"))
+    on = ["query", "region"] if "region" in pairs.columns else ["query"]
+    asked = pairs.select("article_id", "url", *on, K.page_domain("url").alias("host"), K.article_url_key("url").alias("key"))
     snaps = docs.select("snapshot_id", "query", "region", "fetched_at", "error").distinct()
-    rows = asked.join(snaps, "query")
+    rows = asked.join(snaps, on)
     return (
         rows.join(by_host, ["snapshot_id", "query", "host"], "left")
         .join(by_page, ["snapshot_id", "query", "host", "key"], "left")
@@ -74,9 +78,13 @@ def article_verdict(position="position", domain_position="domain_position", meas
 
 
 def articles_latest(articles: DataFrame, checks: DataFrame) -> DataFrame:
-    """Last check of each article's target query, the change since the previous one and the verdict."""
-    target = articles.select("article_id", F.col("target_query").alias("query"))
-    own = checks.where("error IS NULL").join(target, ["article_id", "query"], "left_semi")
+    """Last check of each article's target query, the change since the previous one and the verdict.
+
+    Articles that name a ``region`` take the checks of that region only.
+    """
+    on = ["article_id", "query", *(["region"] if "region" in articles.columns else [])]
+    target = articles.withColumnRenamed("target_query", "query").select(*on)
+    own = checks.where("error IS NULL").join(target, on, "left_semi")
     value = F.struct("checked_at", "id", "position", "domain_position", "ranking_url", "is_target")
     both = _last_two(own, ["article_id", "query"], [F.desc("checked_at"), F.desc("id")], value)
     rows = articles.join(both.drop("query"), "article_id", "left")
@@ -90,10 +98,6 @@ def articles_latest(articles: DataFrame, checks: DataFrame) -> DataFrame:
     return out.withColumn("verdict", article_verdict(measured=F.col("checked_at").isNotNull()))
 
 
-def article_report(articles: DataFrame, checks: DataFrame) -> DataFrame:
-    return articles_latest(articles, checks)
-
-
 def article_effectiveness(report: DataFrame, by: tuple[str, ...] = ("project_id",)) -> DataFrame:
     """How many articles work, come, are replaced, missing or unmeasured."""
     verdicts = (L.WORKS, L.COMING, L.REPLACED, L.MISSING, L.NO_DATA)

@@ -257,8 +257,11 @@ def domain_profile(docs: DataFrame, niche: Niche, top: int = 10) -> DataFrame:
     """Who stands in the top of a phrase: specialists, teachers, another meaning, clients.
 
     ``docs``: phrase, niche_only (brand phrases count niche objects only), plus document
-    columns. A snapshot gives at most ``top`` rows.
+    columns; of a phrase's snapshots (snapshot_id, fetched_at) the newest counts, whatever
+    its region, and gives at most ``top`` rows.
     """
+    newest = docs.groupBy("phrase").agg(F.max_by("snapshot_id", F.struct("fetched_at", "snapshot_id")).alias("snapshot_id"))
+    docs = docs.join(newest, ["phrase", "snapshot_id"], "left_semi")
     domain = K.bare_domain("domain")
     title = F.coalesce("title", F.lit(""))
     text = F.concat(title, F.lit(" "), F.coalesce("passage", F.lit("")))

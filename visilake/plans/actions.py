@@ -136,8 +136,8 @@ def cannibalization_evidence(
 
     ``articles``: site, url, target_query, created_at; ``report``: site, url, target_query,
     verdict, ranking_url, checked_at; ``owner_pages``: latest window (site, query, url,
-    shows, fetched_at); ``own_docs``: own documents of the newest snapshot of each query
-    (site, query, url, position, fetched_at); ``tracker_history``: the last two ranks
+    shows, fetched_at); ``own_docs``: own documents of the newest snapshot of each query and
+    region (site, query, region, url, position, fetched_at); ``tracker_history``: the last two ranks
     (site, query, n, url, checked_at).
     """
     def stream(rows: DataFrame, rule: str, source: str, query, url, at) -> DataFrame:
@@ -166,8 +166,9 @@ def cannibalization_evidence(
     parts += [stream(stray, "owner", "owner data", "query", u, "fetched_at") for u in ("claimed_url", "url")]
 
     keyed_docs = own_docs.withColumn("stem_key", key("query")).withColumn("_p", K.page_key("url"))
-    double = keyed_docs.groupBy("site", "query").agg(F.min("_p").alias("_lo"), F.max("_p").alias("_hi")).where("_lo <> _hi").select("site", "query")
-    parts.append(stream(keyed_docs.join(double, ["site", "query"], "left_semi"), "serp", "result snapshot", "query", "url", "fetched_at"))
+    # two pages in the results of one region; one page in each of two regions is no dispute
+    double = keyed_docs.groupBy("site", "query", "region").agg(F.min("_p").alias("_lo"), F.max("_p").alias("_hi")).where("_lo <> _hi").select("site", "query", "region")
+    parts.append(stream(keyed_docs.join(double, ["site", "query", "region"], "left_semi"), "serp", "result snapshot", "query", "url", "fetched_at"))
 
     last = tracker_history.where(F.coalesce("url", F.lit("")) != "").withColumn("_p", K.page_key("url"))
     moved = last.groupBy("site", "query").agg(F.count(F.lit(1)).alias("_c"), F.min("_p").alias("_lo"), F.max("_p").alias("_hi")).where("_c = 2 AND _lo <> _hi").select("site", "query")
@@ -203,8 +204,9 @@ def cannibalization_actions(evidence: DataFrame, queries: DataFrame) -> DataFram
 
 
 def gap_rivals(candidates: DataFrame, docs: DataFrame, sites: DataFrame) -> DataFrame:
-    """Domains seen for at least two of a site's queries, platforms aside, five per site."""
-    seen = candidates.select("site", "query").distinct().join(docs.select("query", K.normalize_domain("domain").alias("domain")).distinct(), "query")
+    """Domains seen for at least two of a site's queries in its regions, platforms aside, five per site."""
+    stand = docs.select("query", "region", K.normalize_domain("domain").alias("domain")).distinct()
+    seen = candidates.select("site", "query", "region").distinct().join(stand, ["query", "region"])
     seen = seen.join(sites.select("site", F.col("domain").alias("own")), "site").where((F.col("domain") != "") & (F.col("domain") != F.col("own")) & ~K.is_portal("domain"))
     counts = seen.groupBy("site", "domain").agg(F.count(F.lit(1)).alias("queries")).where(F.col("queries") >= L.GAP_MIN_QUERIES)
     order = W.partitionBy("site").orderBy(F.desc("queries"), "domain")
@@ -223,27 +225,27 @@ def gap_actions(
     candidates: DataFrame, docs: DataFrame, sites: DataFrame, articles: DataFrame, queries: DataFrame, pages: DataFrame, demand: DataFrame,
     rivals: DataFrame | None = None,
 ) -> DataFrame:
-    """Queries with demand where a rival stands in the newest results and we do not.
+    """Queries with demand where a rival stands in the newest results of a region and we do not.
 
-    ``candidates``: site, query (tracked phrases and core goals); ``docs`` from
+    ``candidates``: site, query, region (tracked phrases and core goals); ``docs`` from
     :func:`newest_snapshots`; ``sites``: site, domain; the rest as in the other rules.
     """
-    places = docs.withColumn("domain", K.normalize_domain("domain")).groupBy("query", "domain").agg(
+    places = docs.withColumn("domain", K.normalize_domain("domain")).groupBy("query", "region", "domain").agg(
         F.min(F.struct("position", "url", "fetched_at")).alias("at")
     )
-    asked = candidates.select("site", "query").distinct().join(sites.select("site", F.col("domain").alias("own")), "site")
+    asked = candidates.select("site", "query", "region").distinct().join(sites.select("site", F.col("domain").alias("own")), "site")
     asked = asked.withColumns({"query_key": F.lower("query"), "stem_key": WD.stem_key("query")})
-    ours = places.select("query", F.col("domain").alias("own"))
+    ours = places.select("query", "region", F.col("domain").alias("own"))
     free = (
-        asked.join(ours, ["query", "own"], "left_anti")
+        asked.join(ours, ["query", "region", "own"], "left_anti")
         .join(articles.select("site", WD.stem_key("target_query").alias("stem_key")).distinct(), ["site", "stem_key"], "left_anti")
         .join(queries.where("shows > 0").select("site", K.squeezed("query").alias("query_key")).distinct(), ["site", "query_key"], "left_anti")
         .join(pages.select("site", "query_key").distinct(), ["site", "query_key"], "left_anti")
         .join(demand.where("freq > 0").select("site", "query_key", "freq"), ["site", "query_key"])
     )
     rivals = gap_rivals(candidates, docs, sites) if rivals is None else rivals
-    standing = free.join(rivals.select("site", "domain"), "site").join(places, ["query", "domain"])
-    keys = ["site", "query"]
+    standing = free.join(rivals.select("site", "domain"), "site").join(places, ["query", "region", "domain"])
+    keys = ["site", "query", "region"]
     best = standing.groupBy(*keys).agg(F.max("freq").alias("freq"), F.count(F.lit(1)).alias("count"), F.min(F.struct("at.position", "domain", "at.url")).alias("best"))
     told = _first(
         standing, keys, [F.col("at.position"), F.col("domain")], 3,
@@ -251,7 +253,7 @@ def gap_actions(
     )
     return _action(
         best.join(told, keys), "competitor_gaps", "rival_in_results", url=F.col("best.url"), query=F.col("query"), count=F.col("count"),
-        evidence=F.col("evidence"), k1=-F.col("freq"), tie=F.col("query"),
+        evidence=F.col("evidence"), k1=-F.col("freq"), tie=F.concat_ws(" ", "query", "region"),
     )
 
 
@@ -326,6 +328,25 @@ def action_plan(actions: DataFrame, limit: int = 10, sections=None) -> DataFrame
     return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= max(1, limit))
 
 
+def build_plan(
+    sites: DataFrame, items: DataFrame, queries: DataFrame, cannibalization: DataFrame, gap_candidates: DataFrame, docs: DataFrame, articles: DataFrame,
+    pages: DataFrame, demand: DataFrame, audit: DataFrame, readiness: DataFrame | None = None, limit: int = 10, sections=None,
+) -> tuple[DataFrame, DataFrame]:
+    """All items of all seven sections, and the first ``limit`` of each site: (actions, plan).
+
+    Every input is keyed by the same ``site`` and read by one rule or more, so pass stored
+    tables: ``items`` from :func:`query_items`, ``cannibalization`` from
+    :func:`cannibalization_evidence`, ``docs`` from :func:`newest_snapshots`, ``audit`` and
+    ``readiness`` as findings. Store the actions before both frames are read.
+    """
+    parts = [
+        page_actions(items), cannibalization_actions(cannibalization, queries),
+        gap_actions(gap_candidates, docs, sites, articles, queries, pages, demand), finding_actions(audit, readiness),
+    ]
+    actions = reduce(DataFrame.unionByName, parts)
+    return actions, action_plan(actions, limit, sections)
+
+
 def hidden_counts(actions: DataFrame, shown: DataFrame) -> DataFrame:
     """How many items of each section the limit folded away."""
     total = actions.groupBy("site", "section").agg(F.count(F.lit(1)).alias("total"))

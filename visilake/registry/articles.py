@@ -44,16 +44,12 @@ pairs AS (
 
 
 def _runs(spark, sf):
-    """Documents of the newest snapshot of each query and quarter: one run measures a query once."""
-    docs = checkpointed(B.docs(spark, sf, "nation")).withColumn("run", F.date_trunc("quarter", "fetched_at"))
-    newest = B.snapshots(spark, sf).groupBy("query", F.date_trunc("quarter", "fetched_at").alias("run")).agg(
-        F.max_by("snapshot_id", F.struct("fetched_at", "snapshot_id")).alias("snapshot_id")
-    )
-    return docs.join(newest, ["query", "run", "snapshot_id"], "left_semi").drop("run")
+    """Documents with their quarter as the run: one run measures a query once."""
+    return checkpointed(B.docs(spark, sf, "nation").withColumn("run_id", F.date_trunc("quarter", "fetched_at")))
 
 
 MEASURED = B.docs_cte("nation") + "," + ARTICLES + """,
-run_snaps AS (SELECT query, last(snapshot_id ORDER BY fetched_at, snapshot_id) AS snapshot_id FROM snapshots GROUP BY query, date_trunc('quarter', fetched_at)),
+run_snaps AS (SELECT query, last(snapshot_id ORDER BY fetched_at, snapshot_id) AS snapshot_id FROM snapshots WHERE snapshot_id IN (SELECT snapshot_id FROM page_lines) GROUP BY query, region, date_trunc('quarter', fetched_at)),
 run_docs AS (SELECT d.* FROM docs d JOIN run_snaps r ON r.snapshot_id = d.snapshot_id),
 run_list AS (SELECT DISTINCT snapshot_id, query, region, fetched_at, error FROM run_docs),
 by_host AS (SELECT snapshot_id, domain, min(position) AS position, arg_min(url, position) AS url FROM run_docs WHERE NOT is_wizard AND error IS NULL GROUP BY ALL),
@@ -87,7 +83,7 @@ def _measured(spark, sf):
 def _report(spark, sf):
     articles = _articles(spark, sf).withColumn("target_query", F.trim("target_query"))
     checks = checkpointed(_measured(spark, sf).withColumn("id", F.col("snapshot_id")))
-    return A.article_report(articles.select("article_id", "project_id", "url", "target_query"), checks)
+    return A.articles_latest(articles.select("article_id", "project_id", "url", "target_query"), checks)
 
 
 def _day(df, *names):

@@ -221,11 +221,12 @@ rejudged AS (
 )"""
 
 
-def _profiled(spark, sf):
-    docs = B.docs(spark, sf, "nation")
-    newest = docs.where("error IS NULL").groupBy("query").agg(F.max_by("snapshot_id", F.struct("fetched_at", "snapshot_id")).alias("snapshot_id"))
-    rows = docs.join(newest, ["query", "snapshot_id"], "left_semi")
-    return rows.select(F.col("query").alias("phrase"), (F.col("region") == 0).alias("niche_only"), "snapshot_id", "position", "organic_position", "is_wizard", "domain", "title", F.lit(None).cast("string").alias("passage"))
+def _profiled(spark, sf, newest_only=True):
+    rows = B.docs(spark, sf, "nation").where("error IS NULL")
+    if newest_only:
+        newest = rows.groupBy("query").agg(F.max_by("snapshot_id", F.struct("fetched_at", "snapshot_id")).alias("snapshot_id"))
+        rows = rows.join(newest, ["query", "snapshot_id"], "left_semi")
+    return rows.select(F.col("query").alias("phrase"), (F.col("region") == 0).alias("niche_only"), "snapshot_id", "fetched_at", "position", "organic_position", "is_wizard", "domain", "title", F.lit(None).cast("string").alias("passage"))
 
 
 PROFILE_NICHE = C.Niche(services=("gear", "ring"), objects=("red", "blue"), client_marks="PROMO", other_meaning=("anvil",), specialist_domains=("nation-3",))
@@ -242,7 +243,7 @@ profile AS (
 
 
 def domain_profile(spark, sf):
-    return C.domain_profile(_profiled(spark, sf), PROFILE_NICHE).withColumn("top_domains", F.array_join("top_domains", ","))
+    return C.domain_profile(_profiled(spark, sf, newest_only=False), PROFILE_NICHE).withColumn("top_domains", F.array_join("top_domains", ","))
 
 
 def core_verdict(spark, sf):

@@ -140,7 +140,7 @@ def _own_docs(spark, sf):
     """Own documents of the newest snapshot of each query, spread over the sites by nation."""
     docs = checkpointed(P.newest_snapshots(B.docs(spark, sf, "nation"), B.snapshots(spark, sf)))
     number = F.regexp_extract("domain", r"nation-(\d+)", 1).try_cast("int")
-    return docs.where(~F.col("is_wizard")).select(F.concat(F.lit("https:site-"), (number % 10).cast("string"), F.lit(".example:443")).alias("site"), "query", "url", "position", "fetched_at")
+    return docs.where(~F.col("is_wizard")).select(F.concat(F.lit("https:site-"), (number % 10).cast("string"), F.lit(".example:443")).alias("site"), "query", "region", "url", "position", "fetched_at")
 
 
 def _window_pages(spark, sf):
@@ -174,10 +174,10 @@ stray AS (
 newest AS (SELECT query, region, last(snapshot_id ORDER BY fetched_at, snapshot_id) AS snapshot_id FROM snapshots WHERE error IS NULL GROUP BY ALL),
 own_docs AS (
   SELECT 'https:site-' || (CAST(regexp_extract(domain, 'nation-(\\d+)', 1) AS INTEGER) % 10) || '.example:443' AS site, d.query AS q,
-         list_aggregate(list_sort(regexp_extract_all(lower(d.query), '[0-9a-z]+')), 'string_agg', ' ') AS stem, coalesce(nullif(rtrim(regexp_extract(d.url, '^https://[^/]+(.*)$', 1), '/'), ''), '/') AS page, regexp_extract(d.url, '^https://[^/]+(.*)$', 1) AS path
+         d.region, list_aggregate(list_sort(regexp_extract_all(lower(d.query), '[0-9a-z]+')), 'string_agg', ' ') AS stem, coalesce(nullif(rtrim(regexp_extract(d.url, '^https://[^/]+(.*)$', 1), '/'), ''), '/') AS page, regexp_extract(d.url, '^https://[^/]+(.*)$', 1) AS path
   FROM docs d JOIN newest n ON n.snapshot_id = d.snapshot_id WHERE NOT is_wizard
 ),
-doubled AS (SELECT site, q FROM own_docs GROUP BY site, q HAVING count(DISTINCT page) > 1),
+doubled AS (SELECT site, q, region FROM own_docs GROUP BY site, q, region HAVING count(DISTINCT page) > 1),
 moved AS (SELECT host_id AS site, k FROM last_ranks WHERE n <= 2 AND page IS NOT NULL GROUP BY ALL HAVING count(*) = 2 AND count(DISTINCT page) = 2),
 told AS (
   SELECT a.site, a.stem, a.q, a.page, a.path, 'registry' AS rule, 0 AS ro FROM arts a JOIN disputed USING (site, stem)
@@ -185,7 +185,7 @@ told AS (
   UNION ALL SELECT site, stem, q, '/page-' || (no + 1), '/page-' || (no + 1), 'replaced', 1 FROM arts WHERE no % 5 = 0
   UNION ALL SELECT site, stem, q, claimed, claimed_path, 'owner', 2 FROM stray WHERE claimed IS NOT NULL
   UNION ALL SELECT site, stem, q, page, path, 'owner', 2 FROM stray WHERE claimed IS NOT NULL
-  UNION ALL SELECT o.site, o.stem, o.q, o.page, o.path, 'serp', 3 FROM own_docs o JOIN doubled USING (site, q)
+  UNION ALL SELECT o.site, o.stem, o.q, o.page, o.path, 'serp', 3 FROM own_docs o JOIN doubled USING (site, q, region)
   UNION ALL SELECT l.host_id, l.k || ' query', l.query, l.page, l.page || '/', 'tracker', 4 FROM last_ranks l JOIN moved m ON m.site = l.host_id AND m.k = l.k WHERE n <= 2
 )"""
 
@@ -201,7 +201,7 @@ def _sites(spark, sf):
 def _candidates(spark, sf):
     """A site asks for the queries of its own region."""
     q = B.snapshots(spark, sf).select("query", "region").distinct()
-    return _sites(spark, sf).join(B.table(spark, sf, "nation").select(F.col("n_name").alias("site"), F.col("n_regionkey").alias("region")), "site").join(q, "region").select("site", "query", "no")
+    return _sites(spark, sf).join(B.table(spark, sf, "nation").select(F.col("n_name").alias("site"), F.col("n_regionkey").alias("region")), "site").join(q, "region").select("site", "query", "region", "no")
 
 
 def _gap_inputs(spark, sf):
@@ -212,7 +212,7 @@ def _gap_inputs(spark, sf):
     pages = cand.where("(length(query) + no) % 7 = 0").select("site", K.squeezed("query").alias("query_key"))
     freq = B.snapshots(spark, sf).groupBy("query").agg(F.count(F.lit(1)).alias("freq"))
     demand = cand.join(freq, "query").select("site", F.lower("query").alias("query_key"), "freq")
-    return cand.select("site", "query"), docs, _sites(spark, sf).select("site", "domain"), articles, owner, pages, demand
+    return cand.select("site", "query", "region"), docs, _sites(spark, sf).select("site", "domain"), articles, owner, pages, demand
 
 
 def gap_rivals(spark, sf):
@@ -228,12 +228,12 @@ GAPS = B.docs_cte("nation") + """,
 newest AS (SELECT query, region, last(snapshot_id ORDER BY fetched_at, snapshot_id) AS snapshot_id FROM snapshots WHERE error IS NULL GROUP BY ALL),
 """
 GAP_REST = """
-top AS (SELECT d.query, domain, min(position) AS position, arg_min(url, position) AS url FROM docs d JOIN newest n ON n.snapshot_id = d.snapshot_id GROUP BY ALL),
-cand AS (SELECT n_name AS site, replace(lower(n_name), '_', '-') || '.example' AS own, n_nationkey AS no, q.query, q.freq FROM nation JOIN (SELECT query, region, count(*) AS freq FROM snapshots GROUP BY ALL) q ON q.region = n_regionkey),
-rival_counts AS (SELECT site, domain, count(*) AS queries FROM cand JOIN top USING (query) WHERE domain <> own GROUP BY ALL HAVING count(*) >= 2),
+top AS (SELECT d.query, d.region, domain, min(position) AS position, arg_min(url, position) AS url FROM docs d JOIN newest n ON n.snapshot_id = d.snapshot_id GROUP BY ALL),
+cand AS (SELECT n_name AS site, replace(lower(n_name), '_', '-') || '.example' AS own, n_nationkey AS no, q.query, q.region, q.freq FROM nation JOIN (SELECT query, region, count(*) AS freq FROM snapshots GROUP BY ALL) q ON q.region = n_regionkey),
+rival_counts AS (SELECT site, domain, count(*) AS queries FROM cand JOIN top USING (query, region) WHERE domain <> own GROUP BY ALL HAVING count(*) >= 2),
 rivals AS (SELECT site, domain, queries FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY queries DESC, domain) AS n FROM rival_counts) WHERE n <= 5),
-free AS (SELECT * FROM cand c WHERE (length(query) + no) % 4 <> 0 AND (length(query) + no) % 5 <> 0 AND (length(query) + no) % 7 <> 0 AND NOT EXISTS (SELECT 1 FROM top t WHERE t.query = c.query AND t.domain = c.own)),
-standing AS (SELECT f.site, f.query, f.freq, t.domain, t.position, t.url FROM free f JOIN rivals r ON r.site = f.site JOIN top t ON t.query = f.query AND t.domain = r.domain)"""
+free AS (SELECT * FROM cand c WHERE (length(query) + no) % 4 <> 0 AND (length(query) + no) % 5 <> 0 AND (length(query) + no) % 7 <> 0 AND NOT EXISTS (SELECT 1 FROM top t WHERE t.query = c.query AND t.region = c.region AND t.domain = c.own)),
+standing AS (SELECT f.site, f.query, f.region, f.freq, t.domain, t.position, t.url FROM free f JOIN rivals r ON r.site = f.site JOIN top t ON t.query = f.query AND t.region = f.region AND t.domain = r.domain)"""
 GAPS += GAP_REST
 
 
@@ -266,6 +266,26 @@ def plan_ranked(spark, sf):
     return plan.select("site", "place", "section", "rule", "url", "query", "count", "k1", "k2")
 
 
+def _one_key(column):
+    """Nations and crawled hosts under the keys of the owner's sites."""
+    return F.concat(F.lit("https:site-"), column.cast("string"), F.lit(".example:443"))
+
+
+def plan_all_sections(spark, sf):
+    """The whole plan: each shared input stored once, every section under one site key."""
+    cand, docs, sites, articles, _, pages, demand = _gap_inputs(spark, sf)
+    number = _sites(spark, sf).select("site", _one_key(F.col("no")).alias("key"))
+    keyed = lambda df: df.join(number, "site").drop("site").withColumnRenamed("key", "site")
+    by_host = lambda df: df.withColumn("site", _one_key(F.length("site") % 10)).withColumn("measured_at", F.lit("2024-01-31").cast("timestamp"))
+    latest = _latest(spark, sf)
+    ready = AUDIT.ai_readiness(spark, sf).drop("severity_rank")
+    actions, plan = P.build_plan(
+        keyed(sites), _items(spark, sf), latest.select("site", "query", "shows"), _evidence(spark, sf), keyed(cand), docs, keyed(articles), keyed(pages), keyed(demand),
+        by_host(checkpointed(AUDIT._all(spark, sf))), by_host(checkpointed(ready)), limit=40,
+    )
+    return plan.groupBy("section").agg(F.count(F.lit(1)).alias("items"), F.countDistinct("site").alias("sites"))
+
+
 def plan_hidden(spark, sf):
     actions = checkpointed(_actions(spark, sf))
     return P.hidden_counts(actions, P.action_plan(actions, 10))
@@ -299,7 +319,7 @@ _CANNIBAL_ACTIONS = """SELECT g.site, 'cannibalization' AS section, 'cannibaliza
         FROM (SELECT site, stem, page, first(ro ORDER BY ro, path) AS ro, first(path ORDER BY ro, path) AS path FROM told GROUP BY site, stem, page)) WHERE rn <= 2 GROUP BY site, stem) p USING (site, stem)
   LEFT JOIN (SELECT host_id AS site, query, max(shows) AS shows FROM latest GROUP BY ALL) l ON l.site = g.site AND l.query = lower(g.query)
   WHERE pages >= 2 AND rules <> 'serp'"""
-_GAP_ACTIONS = "SELECT site, 'competitor_gaps' AS section, 'rival_in_results' AS rule, first(url ORDER BY position, domain) AS url, query, count(*) AS count, least(count(*), 3) AS evidence, -CAST(max(freq) AS DOUBLE) AS k1, CAST(0 AS DOUBLE) AS k2, CAST(0 AS DOUBLE) AS k3, CAST(0 AS DOUBLE) AS k4, query AS tie FROM standing GROUP BY site, query"
+_GAP_ACTIONS = "SELECT site, 'competitor_gaps' AS section, 'rival_in_results' AS rule, first(url ORDER BY position, domain) AS url, query, count(*) AS count, least(count(*), 3) AS evidence, -CAST(max(freq) AS DOUBLE) AS k1, CAST(0 AS DOUBLE) AS k2, CAST(0 AS DOUBLE) AS k3, CAST(0 AS DOUBLE) AS k4, query || ' ' || region AS tie FROM standing GROUP BY site, query, region"
 WHOLE = CANNIBAL + "," + GAP_REST + f""",
 every_action AS ({_PAGE_ACTIONS} UNION ALL {_CANNIBAL_ACTIONS} UNION ALL {_GAP_ACTIONS}),
 placed AS (
@@ -321,6 +341,7 @@ QUERIES = {
     "plan_ranked": (plan_ranked, f"WITH {WHOLE} SELECT site, CAST(place AS INTEGER) AS place, section, rule, url, query, count, k1, k2 FROM placed WHERE place <= 10"),
     "plan_hidden": (plan_hidden, f"WITH {WHOLE} SELECT site, section, count(*) AS total, count(*) FILTER (place > 10) AS hidden FROM placed GROUP BY site, section HAVING count(*) FILTER (place > 10) > 0"),
     "plan_missing": (plan_missing, None),
+    "plan_all_sections": (plan_all_sections, None),
     "reusable_audits": (reusable_audits, "WITH r AS (SELECT 'https://c-' || o_custkey || '.example/' AS url, o_orderkey AS id, o_orderdate, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders WHERE o_orderstatus <> 'P') SELECT url, id, strftime(o_orderdate, '%Y-%m-%d') AS started_at, 30 AS pages, id % 9 AS findings, CAST(datediff('day', o_orderdate, TIMESTAMP '2001-08-02') AS DOUBLE) AS age_days, datediff('day', o_orderdate, TIMESTAMP '2001-08-02') <= 7 AS reusable FROM r WHERE rn = 1"),
     "list_audits": (list_audits, "SELECT o_orderkey AS id, 'c-' || o_custkey AS url, strftime(o_orderdate, '%Y-%m-%d') AS started_at FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 20"),
 }
