@@ -8,7 +8,7 @@ Three steps keep what moves small without losing a window:
 * of documents with the same text only the one with the smallest id is compared; the others'
   windows all start there too;
 * equal windows have equal least hashes among their ``GRAM``-word grams, so a window can only
-  repeat if that hash occurs in two documents. About one gram in six is such a least one, and only
+  repeat if that hash occurs in two documents. About one gram in four is such a least one, and only
   these are counted over the corpus first;
 * windows that pass are hashed, counted by Spark with the smallest document they start in, and
   joined back.
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .base import stored, whole_text
 
 SIZE = 13
-GRAM = 4
+GRAM = 6
 SLICE_BYTES = 1 << 21
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -102,7 +102,8 @@ class Windows:
         grams = np.zeros(0, _U)
         if len(at):
             starts = np.arange(len(words) - gram + 1)
-            grams = _mixed(_rolled(words, starts, starts + gram, _WORD_BASE))
+            # 48 bits are enough for a filter; what they confuse, the windows' own keys tell apart
+            grams = _mixed(_rolled(words, starts, starts + gram, _WORD_BASE)) >> _U(16)
         # least gram of each window: minima over runs of doubling length
         span, run, need = 1, grams, size - gram + 1
         while len(grams) and 2 * span <= need:
