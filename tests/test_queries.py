@@ -1,4 +1,4 @@
-"""Every registered query that SQL can say, against its SQL twin; the others must run."""
+"""Every registered query that SQL can say, against its SQL twin; the others must run and give rows."""
 
 import os
 
@@ -10,32 +10,17 @@ from visilake.registry import registered
 SF = os.environ.get("TWIN_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
 QUERIES = registered()
-#: assemblies that take long even on small tables; TWIN_ALL=1 runs them too
-LONG = set(
-    """
-    domain_keys serp_docs_from_xml merge_serp_pages rank_median rank_latest_delta rank_movers
-    position_history keyword_metrics measurement_plan run_gate core_verdict measure_articles
-    article_verdict article_report article_effectiveness replaced_articles query_is_taken brief_recommendations
-    audit_summary audit_totals ai_readiness ai_citations ai_citations_by_column rival_domains
-    citation_share visibility_history visibility_table visibility_totals quick_win_items skipped_queries
-    quick_wins snippet_candidates pages_in_both cannibalization_evidence cannibalization_actions gap_rivals
-    gap_actions finding_actions finding_actions_audit plan_ranked plan_hidden plan_missing
-    """.split()
-)
-if os.environ.get("TWIN_ALL") == "1":
-    LONG = set()
-
 
 @pytest.fixture(scope="module")
 def con():
     return twins.connect(SF)
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n not in LONG])
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, name):
     build, sql = QUERIES[name]
     if sql is None:
-        assert build(spark, SF).columns
+        assert build(spark, SF).count() > 0
         return
     mine, theirs, differences = twins.compare(spark, con, SF, build, sql)
     assert (mine, differences) == (theirs, [])

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .session import spread
+from .session import dealt
 
 AS_OF = "2000-06-01 12:00:00"
 
@@ -20,7 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark, sf_dir) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents"))
+    return dealt(table(spark, sf_dir, "documents"))
 
 
 # --- result pages: orders are snapshots, their lines are documents ---------------------
@@ -219,7 +219,7 @@ search_query_pages AS (
 
 
 def crawl(spark, sf_dir) -> DataFrame:
-    pages = spread(table(spark, sf_dir, "pages"))
+    pages = dealt(table(spark, sf_dir, "pages"))
     host = F.lower(F.regexp_extract("url", "^https?://([^/]+)", 1))
     return pages.select(
         "page_id",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import functions as F
 
 from .. import bindings as B
@@ -14,6 +16,23 @@ from ..sinks import warehouse as WH
 from . import audit as AUDIT
 
 
+class Inputs:
+    """What the rules share, each stored once for one query."""
+
+    def __init__(self, spark, sf):
+        self.spark, self.sf = spark, sf
+
+    latest = cached_property(lambda self: _latest(self.spark, self.sf))
+    history = cached_property(lambda self: _history(self.spark, self.sf))
+    articles = cached_property(lambda self: _articles(self.spark, self.sf))
+    newest = cached_property(lambda self: checkpointed(P.newest_snapshots(B.docs(self.spark, self.sf, "nation"), B.snapshots(self.spark, self.sf))))
+    items = cached_property(lambda self: checkpointed(P.query_items(self.latest, _pages(self.spark, self.sf), self.history.where("n = 1"), _demand(self.spark, self.sf))))
+    own_docs = cached_property(lambda self: _own_docs(self.newest))
+    evidence = cached_property(lambda self: checkpointed(
+        P.cannibalization_evidence(self.articles, _report(self.articles), _window_pages(self.spark, self.sf), self.own_docs, self.history)))
+    gaps = cached_property(lambda self: _gap_inputs(self.spark, self.sf, self.newest))
+
+
 def _latest(spark, sf):
     """Latest load per site; the shows are scaled so that the published thresholds bite."""
     rows = WH.latest_window(B.search_queries(spark, sf), ["host_id"]).withColumnRenamed("host_id", "site")
@@ -49,11 +68,6 @@ def _demand(spark, sf):
     return e.groupBy(F.col("host_id").alias("site"), F.concat(F.lit("query "), F.col("k").cast("string")).alias("query_key")).agg((F.count(F.lit(1)) * 10).alias("freq"))
 
 
-def _items(spark, sf):
-    tracker = _history(spark, sf).where("n = 1")
-    return checkpointed(P.query_items(_latest(spark, sf), _pages(spark, sf), tracker, _demand(spark, sf)))
-
-
 LATEST = B.SEARCH_QUERY_PAGES + """,
 best AS (
   SELECT host_id, date_from, date_to FROM (
@@ -97,23 +111,23 @@ def _flat(actions):
 
 
 def quick_win_items(spark, sf):
-    return _items(spark, sf).select("site", "section", "query", "shows", "clicks", "position", "freq", "source", F.col("path").alias("path"), "skipped")
+    return Inputs(spark, sf).items.select("site", "section", "query", "shows", "clicks", "position", "freq", "source", F.col("path").alias("path"), "skipped")
 
 
 def skipped_queries(spark, sf):
-    return P.skipped_queries(_items(spark, sf))
+    return P.skipped_queries(Inputs(spark, sf).items)
 
 
 def quick_wins(spark, sf):
-    return _flat(P.quick_wins(_items(spark, sf)))
+    return _flat(P.quick_wins(Inputs(spark, sf).items))
 
 
 def snippet_actions(spark, sf):
-    return _flat(P.snippet_actions(_items(spark, sf)))
+    return _flat(P.snippet_actions(Inputs(spark, sf).items))
 
 
 def pages_in_both(spark, sf):
-    items = _items(spark, sf)
+    items = Inputs(spark, sf).items
     rows = P.page_sections(P.page_actions(items))
     return rows.groupBy("site", "section", "in_both").agg(F.count(F.lit(1)).alias("items"))
 
@@ -129,16 +143,15 @@ def _articles(spark, sf):
     return checkpointed(first.unionByName(second).withColumn("created_at", F.lit("2024-01-01").cast("timestamp")))
 
 
-def _report(spark, sf):
+def _report(articles):
     """Every fifth article is replaced by the next page."""
-    a = _articles(spark, sf).where("url LIKE 'https%'")
+    a = articles.where("url LIKE 'https%'")
     no = F.regexp_extract("url", r"page-(\d+)", 1).try_cast("int")
     return a.select("site", "url", "target_query", F.when(no % 5 == 0, L.REPLACED).otherwise(L.WORKS).alias("verdict"), F.concat(F.lit("/page-"), (no + 1).cast("string")).alias("ranking_url"), F.col("created_at").alias("checked_at"))
 
 
-def _own_docs(spark, sf):
+def _own_docs(docs):
     """Own documents of the newest snapshot of each query, spread over the sites by nation."""
-    docs = checkpointed(P.newest_snapshots(B.docs(spark, sf, "nation"), B.snapshots(spark, sf)))
     number = F.regexp_extract("domain", r"nation-(\d+)", 1).try_cast("int")
     return docs.where(~F.col("is_wizard")).select(F.concat(F.lit("https:site-"), (number % 10).cast("string"), F.lit(".example:443")).alias("site"), "query", "region", "url", "position", "fetched_at")
 
@@ -148,16 +161,13 @@ def _window_pages(spark, sf):
     return checkpointed(rows.withColumn("shows", F.col("shows") * 40))
 
 
-def _evidence(spark, sf):
-    return checkpointed(P.cannibalization_evidence(_articles(spark, sf), _report(spark, sf), _window_pages(spark, sf), _own_docs(spark, sf), _history(spark, sf)))
-
-
 def cannibalization_evidence(spark, sf):
-    return _evidence(spark, sf).groupBy("site", "stem_key", "rule").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("page_key").alias("pages"))
+    return Inputs(spark, sf).evidence.groupBy("site", "stem_key", "rule").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("page_key").alias("pages"))
 
 
 def cannibalization_actions(spark, sf):
-    return _flat(P.cannibalization_actions(_evidence(spark, sf), _latest(spark, sf)))
+    inputs = Inputs(spark, sf)
+    return _flat(P.cannibalization_actions(inputs.evidence, inputs.latest))
 
 
 CANNIBAL = LATEST + "," + B.docs_cte("nation") + """,
@@ -204,9 +214,8 @@ def _candidates(spark, sf):
     return _sites(spark, sf).join(B.table(spark, sf, "nation").select(F.col("n_name").alias("site"), F.col("n_regionkey").alias("region")), "site").join(q, "region").select("site", "query", "region", "no")
 
 
-def _gap_inputs(spark, sf):
+def _gap_inputs(spark, sf, docs):
     cand = _candidates(spark, sf)
-    docs = checkpointed(P.newest_snapshots(B.docs(spark, sf, "nation"), B.snapshots(spark, sf)))
     articles = cand.where("(length(query) + no) % 4 = 0").select("site", F.col("query").alias("target_query"))
     owner = cand.where("(length(query) + no) % 5 = 0").select("site", "query", F.lit(3).alias("shows"))
     pages = cand.where("(length(query) + no) % 7 = 0").select("site", K.squeezed("query").alias("query_key"))
@@ -216,12 +225,12 @@ def _gap_inputs(spark, sf):
 
 
 def gap_rivals(spark, sf):
-    cand, docs, sites, *_ = _gap_inputs(spark, sf)
+    cand, docs, sites, *_ = Inputs(spark, sf).gaps
     return P.gap_rivals(cand, docs, sites)
 
 
 def gap_actions(spark, sf):
-    return _flat(P.gap_actions(*_gap_inputs(spark, sf)))
+    return _flat(P.gap_actions(*Inputs(spark, sf).gaps))
 
 
 GAPS = B.docs_cte("nation") + """,
@@ -255,10 +264,9 @@ def finding_actions_audit(spark, sf):
 
 
 def _actions(spark, sf):
-    items = _items(spark, sf)
-    parts = P.page_actions(items)
-    parts = parts.unionByName(P.cannibalization_actions(_evidence(spark, sf), _latest(spark, sf)))
-    return parts.unionByName(P.gap_actions(*_gap_inputs(spark, sf)))
+    inputs = Inputs(spark, sf)
+    parts = P.page_actions(inputs.items).unionByName(P.cannibalization_actions(inputs.evidence, inputs.latest))
+    return parts.unionByName(P.gap_actions(*inputs.gaps))
 
 
 def plan_ranked(spark, sf):
@@ -273,14 +281,14 @@ def _one_key(column):
 
 def plan_all_sections(spark, sf):
     """The whole plan: each shared input stored once, every section under one site key."""
-    cand, docs, sites, articles, _, pages, demand = _gap_inputs(spark, sf)
+    inputs = Inputs(spark, sf)
+    cand, docs, sites, articles, _, pages, demand = inputs.gaps
     number = _sites(spark, sf).select("site", _one_key(F.col("no")).alias("key"))
     keyed = lambda df: df.join(number, "site").drop("site").withColumnRenamed("key", "site")
     by_host = lambda df: df.withColumn("site", _one_key(F.length("site") % 10)).withColumn("measured_at", F.lit("2024-01-31").cast("timestamp"))
-    latest = _latest(spark, sf)
     ready = AUDIT.ai_readiness(spark, sf).drop("severity_rank")
     actions, plan = P.build_plan(
-        keyed(sites), _items(spark, sf), latest.select("site", "query", "shows"), _evidence(spark, sf), keyed(cand), docs, keyed(articles), keyed(pages), keyed(demand),
+        keyed(sites), inputs.items, inputs.latest.select("site", "query", "shows"), inputs.evidence, keyed(cand), docs, keyed(articles), keyed(pages), keyed(demand),
         by_host(checkpointed(AUDIT._all(spark, sf))), by_host(checkpointed(ready)), limit=40,
     )
     return plan.groupBy("section").agg(F.count(F.lit(1)).alias("items"), F.countDistinct("site").alias("sites"))
@@ -293,7 +301,8 @@ def plan_hidden(spark, sf):
 
 def plan_missing(spark, sf):
     sites = B.owner_events(spark, sf).select(F.col("host_id").alias("site")).distinct()
-    return P.missing_notes(sites, _latest(spark, sf), _history(spark, sf), _own_docs(spark, sf), _items(spark, sf), "2024-03-20 00:00:00")
+    inputs = Inputs(spark, sf)
+    return P.missing_notes(sites, inputs.latest, inputs.history, inputs.own_docs, inputs.items, "2024-03-20 00:00:00")
 
 
 def reusable_audits(spark, sf):

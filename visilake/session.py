@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+LOCAL_FOLDER = "/tmp/visilake-shared"
+#: how many partitions a table of few files is dealt into before per-row work; unset: none
+DEAL_CONF = "spark.visilake.deal"
 
 #: Settings the operators rely on; a cluster may override any of them at submit.
 DEFAULTS = {
@@ -28,6 +29,8 @@ def local_session(cpus: int = 8, shuffle_partitions: int | None = None, memory:
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cpus))
+        .config(DEAL_CONF, str(cpus))
+        .config(CHECKPOINT_CONF, LOCAL_FOLDER)
     )
     for key, value in DEFAULTS.items():
         builder = builder.config(key, value)
@@ -36,28 +39,29 @@ def local_session(cpus: int = 8, shuffle_partitions: int | None = None, memory:
     return spark
 
 
-def spread(df: DataFrame, per_core: int = 1) -> DataFrame:
-    """Give a small, badly split input as many partitions as there are cores.
+def dealt(df: DataFrame) -> DataFrame:
+    """Deal rows anew over as many partitions as the session's setting asks for.
 
-    For per-row work that costs far more than moving the rows (parsing, stemming). An input
-    that already has enough partitions, as any large table does, is returned unchanged.
+    For tables that arrive in a few large files or row groups and whose rows cost far more to
+    work on than to move (parsing, stemming). Unset, as for tables in many files, nothing moves.
     """
-    wanted = df.sparkSession.sparkContext.defaultParallelism * per_core
-    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
+    asked = df.sparkSession.conf.get(DEAL_CONF, None)
+    return df.repartition(int(asked)) if asked else df
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage through reliable storage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, as the session names it; a fixed local one in local mode only."""
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get(CHECKPOINT_CONF, None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"set {CHECKPOINT_CONF} to a folder all executors share")
+    return LOCAL_FOLDER
 
-    The cluster names a shared folder in ``spark.checkpoint.dir``; only where it
-    names none (local tests) a folder is made here.
-    """
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut lineage through reliable storage in the shared folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get(CHECKPOINT_CONF, None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise ValueError(f"set {CHECKPOINT_CONF} to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="visilake-ckpt-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
