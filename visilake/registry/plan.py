@@ -349,7 +349,23 @@ QUERIES = {
     "finding_actions_audit": (finding_actions_audit, f"WITH {AUDIT.FACTS}, {AUDIT._RULE_ROWS}, {AUDIT._EVERY} SELECT site, CASE WHEN severity = 'critical' THEN 'indexing' ELSE 'other' END AS section, 'audit:' || code AS rule, CAST(CASE severity WHEN 'critical' THEN 0 WHEN 'major' THEN 1 ELSE 2 END AS DOUBLE) AS k1, count(*) AS findings, CASE WHEN severity = 'critical' THEN count(*) ELSE 1 END AS items FROM every WHERE code NOT IN ('noindex-not-checked', 'robots-disallow-not-checked') GROUP BY site, severity, code"),
     "plan_ranked": (plan_ranked, f"WITH {WHOLE} SELECT site, CAST(place AS INTEGER) AS place, section, rule, url, query, count, k1, k2 FROM placed WHERE place <= 10"),
     "plan_hidden": (plan_hidden, f"WITH {WHOLE} SELECT site, section, count(*) AS total, count(*) FILTER (place > 10) AS hidden FROM placed GROUP BY site, section HAVING count(*) FILTER (place > 10) > 0"),
-    "plan_missing": (plan_missing, None),
+    "plan_missing": (plan_missing, f"""
+WITH {CANNIBAL},
+asked AS (SELECT DISTINCT host_id AS site FROM owner_events),
+owner_rows AS (SELECT host_id AS site, max(fetched_at) AS fetched_at FROM latest GROUP BY 1),
+rank_rows AS (SELECT DISTINCT host_id AS site FROM last_ranks WHERE n <= 2),
+snap_rows AS (SELECT DISTINCT site FROM own_docs),
+left_out AS (SELECT site, count(*) FILTER (skipped = 'no_page') AS no_page, count(*) FILTER (skipped = 'no_demand') AS no_demand FROM items GROUP BY site),
+known AS (
+  SELECT a.site, o.site AS o, r.site AS r, s.site AS s, no_page, no_demand, epoch(TIMESTAMP '2024-03-20 00:00:00' - o.fetched_at) / 86400 AS age
+  FROM asked a LEFT JOIN owner_rows o USING (site) LEFT JOIN rank_rows r USING (site) LEFT JOIN snap_rows s USING (site) LEFT JOIN left_out USING (site)
+)
+SELECT site, 'no_owner_data' AS note, CAST(NULL AS BIGINT) AS count FROM known WHERE o IS NULL
+UNION ALL SELECT site, 'owner_data_stale', CAST(floor(age) AS BIGINT) FROM known WHERE age > {L.OWNER_STALE_DAYS}
+UNION ALL SELECT site, 'no_ranks', NULL FROM known WHERE r IS NULL
+UNION ALL SELECT site, 'no_snapshots', NULL FROM known WHERE s IS NULL
+UNION ALL SELECT site, 'queries_without_page', no_page FROM known WHERE no_page > 0
+UNION ALL SELECT site, 'queries_without_demand', no_demand FROM known WHERE no_demand > 0"""),
     "plan_all_sections": (plan_all_sections, None),
     "reusable_audits": (reusable_audits, "WITH r AS (SELECT 'https://c-' || o_custkey || '.example/' AS url, o_orderkey AS id, o_orderdate, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders WHERE o_orderstatus <> 'P') SELECT url, id, strftime(o_orderdate, '%Y-%m-%d') AS started_at, 30 AS pages, id % 9 AS findings, CAST(datediff('day', o_orderdate, TIMESTAMP '2001-08-02') AS DOUBLE) AS age_days, datediff('day', o_orderdate, TIMESTAMP '2001-08-02') <= 7 AS reusable FROM r WHERE rn = 1"),
     "list_audits": (list_audits, "SELECT o_orderkey AS id, 'c-' || o_custkey AS url, strftime(o_orderdate, '%Y-%m-%d') AS started_at FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 20"),

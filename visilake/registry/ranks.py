@@ -254,7 +254,12 @@ QUERIES = {
     "top_domains": (top_domains, f"WITH {B.docs_cte('nation')} SELECT domain, count(*) AS hits, min(position) AS best, round(avg(position), 1) AS avg_position, count(DISTINCT query) AS queries FROM docs WHERE error IS NULL AND region = 3 AND fetched_at >= TIMESTAMP '1996-01-01' GROUP BY domain ORDER BY hits DESC, avg_position, domain LIMIT 10"),
     "domain_queries": (domain_queries, f"WITH {B.docs_cte('nation')} SELECT query, min(position) AS best_position, first(position ORDER BY fetched_at DESC, snapshot_id DESC, position) AS last_position, strftime(max(fetched_at), '%Y-%m-%d') AS checked_at, count(*) AS hits FROM docs WHERE error IS NULL AND domain = 'nation-7.example' GROUP BY query"),
     "competitor_gap": (competitor_gap, f"WITH {B.docs_cte('nation')}, seen AS (SELECT domain, query, min(position) AS best, first(position ORDER BY fetched_at DESC, snapshot_id DESC, position) AS last FROM docs WHERE error IS NULL AND region = 3 AND domain IN ('nation-7.example', 'nation-3.example') GROUP BY domain, query) SELECT t.query, t.last AS their_position, o.last AS our_position, CASE WHEN o.last IS NULL THEN 'missing' WHEN o.last < t.last THEN 'we' WHEN o.last > t.last THEN 'they' ELSE 'equal' END AS ahead FROM seen t LEFT JOIN seen o ON o.query = t.query AND o.domain = 'nation-3.example' WHERE t.domain = 'nation-7.example'"),
-    "keyword_metrics": (keyword_metrics, None),
+    "keyword_metrics": (keyword_metrics, f"""
+WITH freq AS (SELECT lower(c_mktsegment) AS seed, lower(c_mktsegment) || ' nation_' || c_nationkey AS phrase, count(*) AS freq FROM customer GROUP BY ALL HAVING count(*) >= 2),
+cut AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY freq DESC, phrase) AS n FROM freq) WHERE n <= 15),
+scores AS (SELECT * FROM (WITH {SCORED} SELECT lower(trim(query)) AS query_key, score, band, row_number() OVER (PARTITION BY lower(trim(query)) ORDER BY calculated_at DESC, snapshot_id DESC) AS n FROM competition WHERE error IS NULL) WHERE n = 1),
+places AS (SELECT lower(trim(query)) AS query_key, first(position ORDER BY checked_at DESC, query DESC) AS our_position FROM (WITH {LATEST} SELECT * FROM latest) GROUP BY 1)
+SELECT phrase, seed, freq, score, band, our_position FROM cut LEFT JOIN scores s ON s.query_key = phrase LEFT JOIN places p ON p.query_key = phrase"""),
     "calibration_report": (calibration_report, f"WITH {B.docs_cte()}, c AS (SELECT snapshot_id, fetched_at, min(position) FILTER (domain = '{OURS}') AS seen, min(organic_position) FILTER (domain = '{OURS}') AS api FROM docs WHERE error IS NULL GROUP BY ALL), d AS (SELECT *, CASE WHEN seen IS NOT NULL AND api IS NOT NULL THEN api - seen END AS diff FROM c) SELECT count(*) AS checks, count(diff) AS comparable, round(avg(diff), 1) AS avg_offset, first(diff ORDER BY diff IS NULL, abs(diff) DESC, fetched_at DESC, snapshot_id DESC) AS max_offset, count(diff) >= 5 AS trustworthy FROM d"),
     "measurement_plan": (measurement_plan, f"WITH {PLANNED} SELECT * FROM planned"),
     "run_gate": (run_gate, f"WITH {PLANNED}, totals AS (SELECT count(*) AS phrases, CAST(sum(samples) AS BIGINT) AS samples, CAST(sum(calls) AS BIGINT) AS calls, count(*) FILTER (state <> 'cold') AS hot, count(*) FILTER (state = 'cold') AS cold, count(*) FILTER (state = 'new') AS new FROM planned), last AS (SELECT max(checked_at) AS at_last FROM positions WHERE region = 3) SELECT t.*, strftime(at_last, '%Y-%m-%d') AS last_measured, CAST(datediff('day', at_last, TIMESTAMP '2001-08-10') AS DOUBLE) AS days_passed, datediff('day', at_last, TIMESTAMP '2001-08-10') >= 13 AS due, CASE WHEN datediff('day', at_last, TIMESTAMP '2001-08-10') < 13 THEN 'too_early' WHEN calls > 1000 THEN 'over_cap' END AS stopped, round(calls * CAST(0.0305 AS DOUBLE), 4) AS cost FROM totals t, last"),
