@@ -14,7 +14,7 @@ pieces combine by the linearity of crc32.
 
 Null and empty texts hold just the end id. Rows of equal id are ordered by a hash of their text;
 equal rows are interchangeable; a null id sorts first. A tokenizer file that only the driver can
-see must be sent to the executors first. A worker keeps the ids of at most ``KNOWN_WORDS`` words.
+see must be sent to the executors first. A worker keeps the ids of a bounded number of words.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,58 +32,114 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .base import before_blocks, new_path, whole_text
+from .windows import _BYTE_BASES, _SPACE, _mixed, _rolled
 
 BLOCK = 1 << 16
 END_ID = 2
 SLICE_BYTES = 1 << 22
-KNOWN_WORDS = 400_000
 SCHEMA = (
     "part int, chunk int, first long, n_ids int, plane_sizes array<int>, planes binary, "
     "docs array<struct<doc_id: long, start: long, n_tokens: long>>"
 )
 
 
+MARKS = b".,;:!?|"
+#: words a worker keeps, by hash; when there are more, it begins anew
+KNOWN_BITS = 21
+_U = np.uint64
+
+
+def spans(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(all bytes, starts, ends and 64-bit hashes of the words, first word of each text and the total)."""
+    joined = b" ".join(texts) + b" "
+    data = np.frombuffer(joined, np.uint8)
+    edge = np.flatnonzero(np.diff(_SPACE[data], prepend=True))
+    starts, ends = edge[0::2], edge[1::2]
+    values = data.astype(_U) + _U(1)
+    one, two = (_rolled(values, starts, ends, base) for base in _BYTE_BASES)
+    at = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    return joined, starts, ends, np.maximum(_mixed(one + _mixed(two)), _U(1)), np.searchsorted(starts, at)
+
+
 class WordIds:
-    """Token ids by blank-separated word; this tokenizer never joins across ASCII white space."""
+    """A tokenizer's ids by word, in an open hash table of arrays that a worker keeps.
+
+    This tokenizer folds case, never joins across ASCII white space, and splits letters and
+    digits from marks; only its special tokens' signs are read before case is folded. So words
+    between white space are tokenized alike wherever they stand, and so are a word that ends
+    in a letter or digit and the marks after it. Words are told apart by 64 bits of two hashes.
+    """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, known_bits: int = KNOWN_BITS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.bits = Tokenizer.from_file(path), known_bits + 1
         self.reset()
 
     def reset(self) -> None:
-        self.code = {b"": 0}  # the end of a document
+        self.keys, self.codes = np.zeros(1 << self.bits, _U), np.zeros(1 << self.bits, np.int32)
+        self.known = 1  # code 0 is the end of a document
         self.start, self.size = np.zeros(1, np.int64), np.ones(1, np.int64)
         self.ids = np.array([END_ID], np.uint32)
 
-    def learn(self, words: list[bytes]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+    def solve(self, words: list[bytes]) -> list[list[int]]:
+        cores = [w.rstrip(MARKS) for w in words]
+        cores = [c if c[-1:].isalnum() else w for c, w in zip(cores, words, strict=True)]
+        parts = list({*cores, *(w[len(c) :] for c, w in zip(cores, words, strict=True))})
+        ids = {p: e.ids for p, e in zip(parts, self.tokenizer.encode_batch_fast([p.decode() for p in parts], add_special_tokens=False), strict=True)}
+        return [ids[c] + ids[w[len(c) :]] for c, w in zip(cores, words, strict=True)]
+
+    def find(self, hashed: np.ndarray) -> np.ndarray:
+        """Codes of words, -1 where unknown."""
+        slot = (hashed >> _U(64 - self.bits)).astype(np.int64)
+        code, left = np.full(len(hashed), -1, np.int64), np.arange(len(hashed))
+        while len(left):
+            key = self.keys[slot]
+            hit = key == hashed[left]
+            code[left[hit]] = self.codes[slot[hit]]
+            on = ~hit & (key != 0)
+            left, slot = left[on], (slot[on] + 1) & ((1 << self.bits) - 1)
+        return code
+
+    def learn(self, hashed: np.ndarray, words: list[bytes]) -> None:
+        """Ids of new, different words."""
+        found = self.solve(words)
         size = np.fromiter(map(len, found), np.int64, len(found))
         self.start = np.concatenate((self.start, len(self.ids) + np.cumsum(size) - size))
         self.size = np.concatenate((self.size, size))
-        self.ids = np.concatenate((self.ids, np.fromiter((i for f in found for i in f), np.uint32, int(size.sum()))))
-        for word in words:
-            self.code[word] = len(self.code)
+        self.ids = np.concatenate((self.ids, np.array(list(chain.from_iterable(found)), np.uint32)))
+        slot, left = (hashed >> _U(64 - self.bits)).astype(np.int64), np.arange(len(hashed))
+        while len(left):
+            free = self.keys[slot] == 0
+            _, first = np.unique(slot, return_index=True)  # one word a slot and round
+            chosen = np.zeros(len(left), bool)
+            chosen[first] = True
+            chosen &= free
+            self.keys[slot[chosen]] = hashed[left[chosen]]
+            self.codes[slot[chosen]] = self.known + left[chosen]
+            left, slot = left[~chosen], (slot[~chosen] + (~free)[~chosen]) & ((1 << self.bits) - 1)
+        self.known += len(words)
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all documents, each with its end id; ids per document)."""
-        split = [t.split() for t in texts]
-        words = {w for s in split for w in s}
-        unknown = [w for w in words if w not in self.code]
-        if len(self.code) + len(unknown) > KNOWN_WORDS:
-            self.reset()
-            unknown = list(words)
-        if unknown:
-            self.learn(unknown)
-        code, counts = self.code, np.fromiter((len(s) + 1 for s in split), np.int64, len(split))
-        codes = np.fromiter((code[w] for s in split for w in (*s, b"")), np.int64, int(counts.sum()))
+        joined, starts, ends, hashed, first = spans([t if b"<|" in t else t.lower() for t in texts])
+        codes = self.find(hashed)
+        unknown = np.flatnonzero(codes < 0)
+        if len(unknown):
+            new, at = np.unique(hashed[unknown], return_index=True)
+            if self.known + len(new) > 1 << (self.bits - 1):
+                self.reset()
+                unknown = np.arange(len(hashed))
+                new, at = np.unique(hashed, return_index=True)
+            at = unknown[at]
+            self.learn(new, [joined[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+            codes[unknown] = self.find(hashed[unknown])
+        codes = np.insert(codes, first[1:], 0)
         sizes = self.size[codes]
-        ends = np.cumsum(sizes)
-        ids = self.ids[np.repeat(self.start[codes] - ends + sizes, sizes) + np.arange(ends[-1])]
-        last = np.cumsum(counts) - 1
-        return ids, np.diff(ends[last], prepend=0)
+        upto = np.cumsum(sizes)
+        ids = self.ids[np.repeat(self.start[codes] - upto + sizes, sizes) + np.arange(upto[-1] if len(upto) else 0)]
+        return ids, np.diff(upto[first[1:] + np.arange(len(texts))], prepend=0)
 
 
 _loaded: dict[str, WordIds] = {}
@@ -109,8 +166,8 @@ def unpack(n_ids: int, sizes: list[int], planes: bytes) -> np.ndarray:
 class _Part:
     """The blocks of one part, cut as ids arrive."""
 
-    def __init__(self, part: int):
-        self.part, self.chunk, self.first = part, 0, 0
+    def __init__(self, part: int, size: int):
+        self.part, self.size, self.chunk, self.first = part, size, 0, 0
         self.ids = np.empty(0, np.uint32)
         self.doc: list[int | None] = []
         self.start, self.n = np.empty(0, np.int64), np.empty(0, np.int64)
@@ -123,8 +180,8 @@ class _Part:
         self.n = np.concatenate((self.n, n))
         self.total += int(n.sum())
         cut = 0
-        while len(self.ids) - cut >= BLOCK or end and cut < len(self.ids):
-            block = self.ids[cut : cut + BLOCK]
+        while len(self.ids) - cut >= self.size or end and cut < len(self.ids):
+            block = self.ids[cut : cut + self.size]
             cut += len(block)
             upto = self.first + len(block)
             a = np.searchsorted(self.start + self.n, self.first, side="right")
@@ -137,7 +194,7 @@ class _Part:
         self.doc, self.start, self.n = self.doc[done:], self.start[done:], self.n[done:]
 
 
-def write_ids(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text") -> None:
+def write_ids(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> None:
     """Write the token ids of all documents, in ascending id order, to ``path``."""
     order = [F.col("doc_id"), F.xxhash64("text")]
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole_text(text).alias("text"))
@@ -147,11 +204,11 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id"
     ])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, part = _word_ids(tokenizer), _Part(TaskContext.get().partitionId())
+        known, part = _word_ids(tokenizer), _Part(TaskContext.get().partitionId(), block)
 
-        def out(blocks) -> Iterator[pa.RecordBatch]:
-            for block in blocks:
-                yield pa.RecordBatch.from_pydict({f.name: [v] for f, v in zip(schema, block, strict=True)}, schema=schema)
+        def out(rows) -> Iterator[pa.RecordBatch]:
+            for row in rows:
+                yield pa.RecordBatch.from_pydict({f.name: [v] for f, v in zip(schema, row, strict=True)}, schema=schema)
 
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary())
