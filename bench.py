@@ -15,7 +15,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from visilake.registry import registered
-from visilake.session import local_session
+from visilake.session import local_session, ship_package
 
 HEADLINE = (
     "rank_median", "rank_latest_delta", "rank_movers", "record_positions", "competition_score", "serp_competitors", "top_domains",
@@ -34,6 +34,7 @@ def main() -> None:
     wanted = os.environ.get("BENCH_QUERIES", "")
     names = list(known) if wanted == "all" else [n for n in wanted.split(",") if n] or list(HEADLINE)
     spark = local_session(cpus=cpus)
+    ship_package(spark)
     spark.range(1000).selectExpr("sum(id)").collect()
     times: dict[str, float] = {}
     for name in names:

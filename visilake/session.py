@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
@@ -65,3 +69,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors' Python, once a session."""
+    context = spark.sparkContext
+    if getattr(context, "_visilake_shipped", False):
+        return
+    here = Path(__file__).resolve().parent
+    archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='visilake-code-')}/visilake", "zip", here.parent, here.name)
+    context.addPyFile(archive)  # Spark's own file server hands it out, so it has to stay
+    context._visilake_shipped = True
