@@ -8,18 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-CHECKPOINT_CONF = "spark.checkpoint.dir"
-LOCAL_FOLDER = "/tmp/visilake-shared"
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only where a local session names none."""
-    folder = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError(f"set {CHECKPOINT_CONF} to a folder all executors share")
-    return LOCAL_FOLDER
+from ..session import shared_folder
 
 
 def new_path(spark: SparkSession, name: str) -> str:
