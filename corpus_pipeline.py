@@ -22,8 +22,9 @@ from visilake.llm.base import stored, whole_text
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 SHINGLE_WORDS = 5
-SIMILARITY = 0.8
-#: of 64 bits, the most in which texts of that similarity may differ to be compared further
+#: permutations whose least shingle is a key; texts of similarity 0.8 share one of six but for 0.2^6
+KEYS = 6
+#: of 64 bits, the most in which texts of similarity 0.8 may differ to be compared further
 CANDIDATE_BITS = 15
 #: of 256 bits; similarity 0.8 is a cosine of 8/9, an angle of 0.151 half turns: 39 bits, and one deviation more
 NEAR_BITS = 45
@@ -44,8 +45,8 @@ def keep_one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """One document of each group of near copies stays: the smallest id, one row of equal rows."""
     keyed = _keyed(docs)
     named = keyed.select(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key").alias("name"), "text")
-    prints = stored(simhash.fingerprints(named, SHINGLE_WORDS, 4, doc_id="name"), "prints")
-    grouped = simhash.group(prints, CANDIDATE_BITS, NEAR_BITS, SIMILARITY)
+    prints = stored(simhash.fingerprints(named, SHINGLE_WORDS, 4, KEYS, doc_id="name"), "prints")
+    grouped = simhash.group(prints, CANDIDATE_BITS, NEAR_BITS)
     kept = grouped.where("doc_id = component_id").select("doc_id.row_key").distinct()
     return keyed.join(kept, "row_key").dropDuplicates(["row_key"]).select(*COLUMNS)
 

@@ -186,7 +186,7 @@ def test_vantage_links_lose_no_pair(spark, radius):
         for _ in range(3):
             points.add(p ^ sum(1 << rnd.randrange(64) for _ in range(rnd.randrange(4))) & (1 << 64) - 1)
     signed = [p - (1 << 64) if p >> 63 else p for p in points]
-    df = spark.createDataFrame([(s, [s], 1) for s in signed], "node long, print array<long>, shingles long").repartition(3)
+    df = spark.createDataFrame([(s, [s], []) for s in signed], "node long, print array<long>, keys array<long>").repartition(3)
     roots = {r["node"]: r["root"] for r in simhash.components(simhash.links(df, radius, shard_points=32)).collect()}
     mask = (1 << 64) - 1
     label = {s: s for s in signed}
@@ -202,6 +202,17 @@ def test_vantage_links_lose_no_pair(spark, radius):
     assert {s: roots.get(s, s) for s in signed} == label
 
 
+def test_keys_limit_comparisons_and_hot_keys_are_divided(spark):
+    """Pairs that share a key are found, in a key of more points than a shard too; others aren't compared."""
+    rnd = random.Random(4)
+    base = [rnd.getrandbits(63) for _ in range(200)]
+    rows = [(b, [b], [7, 1000 + i]) for i, b in enumerate(base)] + [(b ^ 1, [b ^ 1], [7, 5000 + i]) for i, b in enumerate(base[:80])] + [(b ^ 2, [b ^ 2], [8, 9000 + i]) for i, b in enumerate(base[:80])]
+    df = spark.createDataFrame(rows, "node long, print array<long>, keys array<long>").repartition(3)
+    roots = {r["node"]: r["root"] for r in simhash.components(simhash.links(df, 1, shard_points=32)).collect()}
+    linked = {frozenset((a, b)) for a, b in roots.items()}
+    assert linked == {frozenset((b, b ^ 1)) for b in base[:80]}
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (7, 7)], "a long, b long")
     found = {r["node"]: r["root"] for r in simhash.components(edges).collect()}

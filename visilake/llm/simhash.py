@@ -12,6 +12,10 @@ tree of its own, compares the rest exactly, and returns the links of a spanning
 dense group costs as many rows as it has points. Components come from alternating large-star
 and small-star steps; links, points and components never reach the driver.
 
+With ``keys``, points also carry the least of their shingles' hashes under several permutations,
+and only points that share one are compared: texts of similarity s share one of k with probability
+1 - (1 - s)^k. Then even a radius at which no tree prunes costs as many rows as points.
+
 Null and empty texts have fingerprint zero and link like any other. Rows of equal id are separate
 rows; a null id never becomes a component's id unless all its rows have none. Visits multiply
 with the depth of the tree by about 1.4 a level at radius 2, so work grows a little under n^1.5.
@@ -81,18 +85,23 @@ def fingerprint(hashes: np.ndarray, blocks: int = 1) -> list[int]:
     return found
 
 
-def fingerprints(docs: DataFrame, words: int = 3, blocks: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, shingles, print: array of ``blocks`` longs), one row per document."""
+def least_hashes(hashes: np.ndarray, keys: int) -> list[int]:
+    """The least shingle hash under each of ``keys`` permutations; one each for no shingles."""
+    return [int(_mixed(hashes, 100 + i).min(initial=(1 << 64) - 1).astype(np.uint64).view(np.int64)) for i in range(keys)]
+
 
-    @F.pandas_udf("struct<shingles long, print array<long>>")
+def fingerprints(docs: DataFrame, words: int = 3, blocks: int = 1, keys: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, print: array of ``blocks`` longs, keys: array of ``keys`` longs), one row per document."""
+
+    @F.pandas_udf("struct<print array<long>, keys array<long>>")
     def make(column: pd.Series) -> pd.DataFrame:
         rows = []
         for t in column:
             h = shingle_hashes(t, words)
-            rows.append((len(h), fingerprint(h, blocks)))
-        return pd.DataFrame(rows, columns=["shingles", "print"])
+            rows.append((fingerprint(h, blocks), least_hashes(h, keys)))
+        return pd.DataFrame(rows, columns=["print", "keys"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), make(whole_text(text)).alias("_p")).select("doc_id", "_p.shingles", "_p.print")
+    return docs.select(F.col(doc_id).alias("doc_id"), make(whole_text(text)).alias("_p")).select("doc_id", "_p.print", "_p.keys")
 
 
 # --- vantage-point trees: a node is (vantage point, bound, inside, outside), a leaf its number
@@ -120,18 +129,29 @@ def grow(points: np.ndarray, depth: int, leaf: int = 1, prune: int | None = None
     return (vantage, bound, left, right), n + m
 
 
-def visits(tree, points: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(leaf, point's place, at home): every leaf that may hold a point within the radius."""
-    found, stack = [], [(tree, np.arange(len(points)), np.ones(len(points), bool))]
+def _first_leaf(node) -> int:
+    while isinstance(node, tuple):
+        node = node[2]
+    return node
+
+
+def visits(tree, points: np.ndarray, radius: int, depth: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(leaf, point's place, at home): every leaf that may hold a point within the radius.
+
+    With ``depth``, a point goes no deeper than its own; a node where it stops counts as a leaf.
+    """
+    found, stack = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool))], [(tree, 0, np.arange(len(points)), np.ones(len(points), bool))]
     while stack:
-        node, at, home = stack.pop()
-        if not isinstance(node, tuple):
-            found.append((np.full(len(at), node), at, home))
-        elif len(at):
+        node, level, at, home = stack.pop()
+        stop = np.full(len(at), not isinstance(node, tuple)) if depth is None else (depth[at] <= level) | (not isinstance(node, tuple))
+        if stop.any():
+            found.append((np.full(int(stop.sum()), _first_leaf(node)), at[stop], home[stop]))
+            at, home = at[~stop], home[~stop]
+        if len(at):
             vantage, bound, left, right = node
             d = distances(points[at], vantage)
             for side, own, reach in ((left, d <= bound, d <= bound + radius), (right, d > bound, d > bound - radius)):
-                stack.append((side, at[reach], (home & own)[reach]))
+                stack.append((side, level + 1, at[reach], (home & own)[reach]))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
@@ -172,25 +192,32 @@ def _forest(points: np.ndarray, more: np.ndarray, home: np.ndarray, radius: int,
     return root
 
 
-def links(points: DataFrame, radius: int, total: int | None = None, ratio: float | None = None, shard_points: int = SHARD_POINTS) -> DataFrame:
+def links(points: DataFrame, radius: int, total: int | None = None, shard_points: int = SHARD_POINTS) -> DataFrame:
     """(a, b): nodes of a spanning forest of all pairs within the radius.
 
     ``points`` holds one row per node: node, print (first word: the radius counts its bits) and
-    shingles. ``total`` bounds the differing bits of all words together. With ``ratio``, only
-    points whose shingle counts can be that close are compared: classes of sizes in steps of the
-    ratio, each point at home in its own and a visitor in the next.
+    keys. ``total`` bounds the differing bits of all words together. Points with keys are compared
+    where they share one; without keys, all are. A key (or the whole) is divided by the tree as
+    deep as its number of points asks for, counted before points move.
     """
     spark = points.sparkSession
-    size_class = F.lit(0) if ratio is None else F.floor(F.log(F.greatest("shingles", F.lit(1))) / F.lit(-math.log(ratio))).cast("int")
-    points = points.select("node", "print", size_class.alias("size_class"))
-    largest, n = points.groupBy("size_class").count().agg(F.max("count"), F.sum("count")).first()
+    n = points.count()
     if not n:
         return spark.createDataFrame([], "a long, b long")
-    depth = max(0, math.ceil(math.log2(largest / shard_points)))
+    words, keys = points.select(F.size("print"), F.size("keys")).first()
+    keyed = points.select("node", "print", F.posexplode("keys").alias("i", "key")) if keys else points.select("node", "print", F.lit(0).alias("i"), F.lit(0).cast("long").alias("key"))
+    keyed = keyed.select("node", "print", (F.xxhash64("i", "key") if keys else F.lit(0).cast("long")).alias("key"))
+    if keys:
+        # a key of one point has no pair to find; one of more points than a shard is divided
+        sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("points")).where("points > 1")
+        keyed = keyed.join(sizes, "key").withColumn("depth", F.greatest(F.lit(0), F.ceil(F.log2(F.col("points") / shard_points))).cast("int"))
+        most = sizes.agg(F.max("points")).first()[0] or 0
+    else:
+        most = n
+        keyed = keyed.withColumn("depth", F.lit(max(0, math.ceil(math.log2(n / shard_points)))))
     share = F.pmod(F.xxhash64("node", F.lit("sample")), F.lit(1 << 30)) < min(1.0, SAMPLE / n) * (1 << 30)
-    sample = np.array(sorted(r[0] for r in points.where(share).select(F.col("print")[0]).collect()), np.int64).view(np.uint64)
-    tree, leaves = grow(sample, depth)
-    words = len(points.select("print").first()[0])
+    sample = np.array(sorted(r[0] for r in points.where(share).select(F.col("print")[0]).collect()), np.int64).view(np.uint64) if most > shard_points else np.empty(0, np.uint64)
+    tree, _ = grow(sample, max(0, math.ceil(math.log2(max(1, most) / shard_points))))
     schema = "shard long, home boolean, node long, print array<long>"
     arrow = pa.schema([("shard", pa.int64()), ("home", pa.bool_()), ("node", pa.int64()), ("print", pa.list_(pa.int64()))])
 
@@ -199,16 +226,14 @@ def links(points: DataFrame, radius: int, total: int | None = None, ratio: float
             for at in range(0, whole.num_rows, 2048):
                 batch = whole.slice(at, 2048)
                 prints = batch.column("print").flatten().to_numpy(zero_copy_only=False).reshape(-1, words).view(np.uint64)
-                leaf, place, home = visits(tree, prints[:, 0], radius)
+                leaf, place, home = visits(tree, prints[:, 0], radius, batch.column("depth").to_numpy(zero_copy_only=False))
                 own = np.empty(batch.num_rows, np.int64)
                 own[place[home]] = leaf[home]
-                size = batch.column("size_class").to_numpy(zero_copy_only=False).astype(np.int64)
                 later = home | (leaf > own[place])  # a pair meets in the later leaf only
-                shard, who, stays = [size[place[later]] * leaves + leaf[later]], [place[later]], [home[later]]
-                if ratio is not None:
-                    shard, who, stays = [*shard, (size[place] + 1) * leaves + leaf], [*who, place], [*stays, np.zeros(len(place), bool)]
-                rows = batch.select(["node", "print"]).take(pa.array(np.concatenate(who)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shard)), pa.array(np.concatenate(stays)), rows.column(0), rows.column(1)], schema=arrow)
+                key = batch.column("key").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)[place[later]]
+                shard = _mixed(key + leaf[later].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), 1).view(np.int64)
+                rows = batch.select(["node", "print"]).take(pa.array(place[later]))
+                yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(home[later]), rows.column(0), rows.column(1)], schema=arrow)
 
     def compare(table: pa.Table) -> pa.Table:
         prints = table.column("print").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, words).view(np.uint64)
@@ -220,7 +245,7 @@ def links(points: DataFrame, radius: int, total: int | None = None, ratio: float
         far = root != np.arange(len(root))
         return pa.table({"a": node[far], "b": node[root[far]]})
 
-    dealt = points.mapInArrow(deal, schema)
+    dealt = keyed.select("node", "print", "key", "depth").mapInArrow(deal, schema)
     return dealt.groupBy("shard").applyInArrow(compare, "a long, b long")
 
 
@@ -240,12 +265,12 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
-def group(prints: DataFrame, radius: int, total: int | None = None, ratio: float | None = None, shard_points: int = SHARD_POINTS) -> DataFrame:
-    """``prints`` (doc_id, shingles, print) with ``component_id``: the smallest id reachable."""
+def group(prints: DataFrame, radius: int, total: int | None = None, shard_points: int = SHARD_POINTS) -> DataFrame:
+    """``prints`` (doc_id, print, keys) with ``component_id``: the smallest id reachable."""
     node = F.col("print")[0] if total is None else F.xxhash64("print")
     rows = prints.withColumn("node", node)
-    points = stored(rows.groupBy("node").agg(F.any_value("print").alias("print"), F.max("shingles").alias("shingles"), F.min("doc_id").alias("least")), "points")
-    roots = components(links(points, radius, total, ratio, shard_points))
+    points = stored(rows.groupBy("node").agg(F.any_value("print").alias("print"), F.any_value("keys").alias("keys"), F.min("doc_id").alias("least")), "points")
+    roots = components(links(points, radius, total, shard_points))
     rooted = points.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(least, "root").select("node", "component_id")
