@@ -1,8 +1,8 @@
 """A corpus pipeline over ``documents``: each stage applies one document operator to all its predecessor kept.
 
 language    drops texts in which no language can be told (null, empty, letterless)
-near_copies keeps one document, the smallest id, of each group of copies: five-word shingles, linked
-            where 256 fingerprint bits estimate a similarity of 0.8 or more
+near_copies keeps one document, the smallest id, of each group of copies: linked where the sets of
+            five-word shingles have a similarity of 0.8 or more
 leaks       drops documents that hold a benchmark passage within its edit budget
 secrets     replaces secrets that look live and belong to few owners by a mark, in place
 pieces      encodes what is left: the last stage returns (doc_id, n_tokens, ids)
@@ -24,10 +24,12 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 SHINGLE_WORDS = 5
 #: permutations whose least shingle is a key; texts of similarity 0.8 share one of six but for 0.2^6
 KEYS = 6
-#: of 64 bits, the most in which texts of similarity 0.8 may differ to be compared further
-CANDIDATE_BITS = 15
-#: of 256 bits; similarity 0.8 is a cosine of 8/9, an angle of 0.151 half turns: 39 bits, and one deviation more
-NEAR_BITS = 45
+#: similarity (shared shingles of all different ones) from which texts are copies, as a fraction
+SIMILAR = (4, 5)
+#: of 64 and of 256 bits, the most in which texts may differ to have their shingles compared: at similarity
+#: 0.8 some 10 and 39 are expected (12 and 48 for the shortest texts), four or more deviations fewer
+CANDIDATE_BITS = 24
+NEAR_BITS = 72
 MARK = "[secret]"
 
 
@@ -45,8 +47,7 @@ def keep_one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """One document of each group of near copies stays: the smallest id, one row of equal rows."""
     keyed = _keyed(docs)
     named = keyed.select(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key").alias("name"), "text")
-    prints = stored(simhash.fingerprints(named, SHINGLE_WORDS, 4, KEYS, doc_id="name"), "prints")
-    grouped = simhash.group(prints, CANDIDATE_BITS, NEAR_BITS)
+    grouped = simhash.similar_groups(named, SHINGLE_WORDS, 4, KEYS, CANDIDATE_BITS, NEAR_BITS, SIMILAR, doc_id="name")
     kept = grouped.where("doc_id = component_id").select("doc_id.row_key").distinct()
     return keyed.join(kept, "row_key").dropDuplicates(["row_key"]).select(*COLUMNS)
 

@@ -51,6 +51,42 @@ def test_one_of_each_group_of_copies_stays(spark, folder):
     assert [r["text"] for r in kept if r["doc_id"] is None] == [made_up(700, 80)]
 
 
+def shingles(text):
+    words = (text or "").split()
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_copies_are_judged_by_their_shingles(spark, folder):
+    """Of 100 shingles 75 shared: both stay; 80 shared: one stays, whatever their fingerprints say."""
+    rows = []
+    for i in range(60):
+        words = made_up(2000 + i, 104).split()
+        rows += [(i, " ".join(words), "a"), (100 + i, " ".join(words[25 if i < 30 else 20 :]), "b")]
+    assert all(len(shingles(rows[2 * i + 1][1])) / len(shingles(rows[2 * i][1])) == (0.75 if i < 30 else 0.8) for i in range(60))
+    rows += [(200, "a b c d e f g h", "a"), (201, "a b c d e f g h i", "a"), (202, "A b c d\te " * 40, "a"), (203, "a b c d e " * 4, "a")]  # 4 of 5; equal sets
+    kept = cp.keep_one_of_copies(spark, table(spark, rows).repartition(3), folder).collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted([*range(60), *range(100, 130), 200, 202])
+
+
+def test_similar_groups_in_divided_keys(spark):
+    """A hot key, divided over shards, finds the groups that comparing all pairs finds."""
+    rnd = random.Random(3)
+    head, rows = made_up(3000, 30).split(), []
+    for i in range(30):
+        own = made_up(3100 + i, 20).split()
+        for _ in range(5):
+            rows.append((len(rows), " ".join([*head[: rnd.randrange(20, 31)], *own[: rnd.randrange(2, 21)]])))
+    sets, label = [shingles(t) for _, t in rows], list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 5 * len(a & b) >= 4 * len(a | b) and label[i] != label[j]:
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    made = cp.simhash.similar_groups(docs, 5, 4, cp.KEYS, cp.CANDIDATE_BITS, cp.NEAR_BITS, cp.SIMILAR, shard_points=16).collect()
+    assert 10 < len(set(label)) < 140 and {r["doc_id"]: r["component_id"] for r in made} == dict(enumerate(label))
+
+
 def test_leaks_go_and_others_stay(spark, folder):
     items = [made_up(900 + i, 30) for i in range(3)]
     rows = [(i, made_up(i, 100), "a") for i in range(10)]
