@@ -38,8 +38,13 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents in which no language can be told (null, empty or letterless text)."""
+    """Drop documents in which no language can be told (null, empty or letterless text).
+
+    If no row teaches a language, every document with a letter stays.
+    """
     profiles = language.train_profiles(language.learned_rows(docs))
+    if not profiles:
+        return docs.where(language.has_letter()).select(*COLUMNS)
     return language.identify(docs.select(*COLUMNS), profiles).where("lang_pred <> 'und'").select(*COLUMNS)
 
 

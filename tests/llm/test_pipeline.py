@@ -51,6 +51,17 @@ def test_one_of_each_group_of_copies_stays(spark, folder):
     assert [r["text"] for r in kept if r["doc_id"] is None] == [made_up(700, 80)]
 
 
+@pytest.mark.parametrize("labels", ["none", "held out", "letterless"])
+def test_language_keeps_letters_when_nothing_can_be_learned(spark, folder, labels):
+    rows = [(i, made_up(i, 60), "a") for i in range(20)] + [(50, None, "a"), (51, "", "a"), (52, "123 456 !!", "a"), (53, "1 é", "a"), (None, made_up(60, 20), None)]
+    docs = table(spark, rows)
+    held_out = "crc32(cast(doc_id as string)) % 5 = 0"
+    label = {"none": "cast(null as string)", "held out": f"if({held_out}, lang, null)", "letterless": "if(doc_id = 52, lang, null)"}[labels]
+    kept = cp.keep_known_languages(spark, docs.selectExpr("doc_id", "text", f"{label} as lang", "source", "n_chars"), folder)
+    assert kept.columns == list(cp.COLUMNS)
+    assert sorted((r["doc_id"] is None, r["doc_id"]) for r in kept.collect()) == [(False, i) for i in [*range(20), 53]] + [(True, None)]
+
+
 def shingles(text):
     words = (text or "").split()
     return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()

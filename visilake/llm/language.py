@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -186,6 +186,16 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], size: int = PROFIL
     return kept.select("*", *[F.col(f"_guess.{c}") for c in added]).drop("_guess")
 
 
+def has_letter(text: str = "text") -> Column:
+    """Whether the text holds a letter: where profiles were learned, those ``identify`` doesn't call ``und``."""
+
+    @F.pandas_udf("boolean")
+    def holds(column: pd.Series) -> pd.Series:
+        return column.fillna("").map(lambda t: any(map(str.isalpha, t.lower()))).astype(bool)
+
+    return holds(F.col(text))
+
+
 def predict_languages(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, margin): profiles fitted on rows that aren't held out."""
     profiles = train_profiles(learned_rows(docs))
