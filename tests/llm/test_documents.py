@@ -410,6 +410,18 @@ def test_secrets(spark, odd):
     assert all("live" in s for i, s in shown if i in (9, 10, None)) and all(s.split(",").count(x) == 1 for _, s in shown for x in s.split(",") if x)
 
 
+def test_values_many_texts_hold_are_examples(spark):
+    """One source repeats a value in many texts: an example; in many copies of one text it stays live."""
+    example, copied, few = "Zx81Qp72Lm63Kn54", "Hy45Tr36Bv27Nc18", "Wd93Sf84Gj75Uk66"
+    rows = [(i, f"{prose(i, 9)} token={example} ", "hot") for i in range(60)]
+    rows += [(100 + i, f"our password: {copied}", "one" if i % 2 else "two") for i in range(60)]
+    rows += [(200 + i, f"{prose(i, 9)} secret = {few}", None if i else "b") for i in range(5)]
+    made = {r["doc_id"]: "live" in r["spans"] for r in secret_scan.secret_rows(table(spark, rows)).collect()}
+    assert made == {i: i >= 100 for i, _, _ in rows}
+    judged = secret_scan.scan(table(spark, rows)).select("secret", "owners", "repositories").distinct().collect()
+    assert sorted(map(tuple, judged)) == sorted([(example, 1, 60), (copied, 2, 1), (few, 2, 5)])
+
+
 # --- 10
 
 

@@ -1,13 +1,14 @@
 """Secret scans with corpus-wide ownership frequency, in DataFrame operations only.
 
 Patterns propose candidates. Every candidate's hash is counted over the whole corpus by distinct
-owner and repository (here ``source`` and the document): a value that ``MAX_OWNERS`` or fewer
-owners hold and that looks random is *live*; a value many owners hold is a widely copied example.
+owner and repository (here ``source`` and the different text): a value that ``MAX_OWNERS`` or fewer
+owners and ``MAX_REPOSITORIES`` or fewer repositories hold and that looks random is *live*; a value
+many owners or many texts of one owner hold is a widely copied example. Copies of a text count once.
 Live values add a span of kind ``live`` over the secret itself; the patterns' own spans stay.
 
 Places are code points, ends exclusive. A kind's matches are found by splitting the text at
 them: lengths of the parts before, summed, are the places. Hot values (one key in a third of the
-documents) are pre-aggregated by (hash, owner, repository) before they meet.
+documents) are pre-aggregated by (hash, owner) and (hash, repository) before they meet.
 
 Null text counts as empty, with no spans; a null owner counts as one owner of its own. Equal rows
 get equal answers, rows of one id with different texts are kept apart, other columns stay untouched.
@@ -39,6 +40,7 @@ LIVE = "live"
 ORDER = {kind: i for i, kind in enumerate((*BASE, LIVE))}
 MIN_ASSIGNED = 12
 MAX_OWNERS = 2
+MAX_REPOSITORIES = 10
 MIN_LIVE = 16
 MIN_SIGNS = 8
 
@@ -51,42 +53,42 @@ def _matches(text: Column, kind: str, pattern: str) -> Column:
 
 
 def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str = "source") -> DataFrame:
-    """(doc_id, row_key, owner, kind, start, end, secret, secret_start): each row's matches once.
+    """(doc_id, row_key, owner, text_key, kind, start, end, secret, secret_start): each row's matches once.
 
-    ``row_key`` hashes id and text: with the id it names a row, equal rows share it.
+    ``row_key`` hashes id and text: with the id it names a row, equal rows share it. ``text_key`` hashes the text.
     """
     whole = whole_text(text)
     found = docs.select(
-        F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(doc_id), whole).alias("row_key"), F.col(owner).cast("string").alias("owner"),
+        F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(doc_id), whole).alias("row_key"), F.col(owner).cast("string").alias("owner"), F.xxhash64(whole).alias("text_key"),
         F.array_compact(F.array(*[_matches(whole, kind, pattern) for kind, pattern, _ in KINDS])).alias("found"),
     ).where(F.size("found") > 0)
-    once = found.groupBy("doc_id", "row_key").agg(F.min_by("owner", "owner").alias("owner"), F.any_value("found").alias("found"))
-    each = once.select("doc_id", "row_key", "owner", F.explode("found").alias("f"))
-    each = each.select("doc_id", "row_key", "owner", F.col("f.kind").alias("kind"), F.posexplode(F.arrays_zip(F.slice("f.gaps", 1, F.size("f.values")).alias("gap"), F.col("f.values").alias("value"))).alias("i", "m"))
+    once = found.groupBy("doc_id", "row_key").agg(F.min_by("owner", "owner").alias("owner"), F.any_value("text_key").alias("text_key"), F.any_value("found").alias("found"))
+    each = once.select("doc_id", "row_key", "owner", "text_key", F.explode("found").alias("f"))
+    each = each.select("doc_id", "row_key", "owner", "text_key", F.col("f.kind").alias("kind"), F.posexplode(F.arrays_zip(F.slice("f.gaps", 1, F.size("f.values")).alias("gap"), F.col("f.values").alias("value"))).alias("i", "m"))
     upto = W.partitionBy("doc_id", "row_key", "kind").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
     size = F.char_length("m.value")
     placed = each.withColumn("end", F.sum(F.col("m.gap") + size).over(upto)).select(
-        "doc_id", "row_key", "owner", "kind", (F.col("end") - size).alias("start"), "end", F.col("m.value").alias("value")
+        "doc_id", "row_key", "owner", "text_key", "kind", (F.col("end") - size).alias("start"), "end", F.col("m.value").alias("value")
     )
     secret = F.when(F.col("kind") == "assign", F.regexp_extract("value", ASSIGN, 2)).otherwise(F.col("value"))
     return placed.withColumn("secret", secret).where((F.col("kind") != "assign") | (F.length("secret") >= MIN_ASSIGNED)).select(
-        "doc_id", "row_key", "owner", "kind", "start", "end", "secret", (F.col("end") - F.char_length("secret")).alias("secret_start")
+        "doc_id", "row_key", "owner", "text_key", "kind", "start", "end", "secret", (F.col("end") - F.char_length("secret")).alias("secret_start")
     )
 
 
 def ownership(found: DataFrame) -> DataFrame:
     """(hash, owners, repositories) of every candidate value over the corpus."""
-    holders = found.select("hash", "owner", "doc_id").distinct()
-    by_owner = holders.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("n"))
-    return by_owner.groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("n").alias("repositories"))
+    holder = F.explode(F.array(F.struct(F.lit(True).alias("owns"), F.col("owner").alias("name")), F.struct(F.lit(False).alias("owns"), F.col("text_key").cast("string").alias("name"))))
+    holders = found.select("hash", holder.alias("holder")).select("hash", "holder.owns", "holder.name").distinct()
+    return holders.groupBy("hash").agg(F.count_if("owns").alias("owners"), F.count_if(~F.col("owns")).alias("repositories"))
 
 
-def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str = "source", max_owners: int = MAX_OWNERS) -> DataFrame:
+def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str = "source", max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
     """One row per candidate: place, hash, owners, repositories and whether it is live."""
     found = stored(candidates(docs, doc_id, text, owner).withColumn("hash", F.sha2("secret", 256)), "candidates")
     signs = F.size(F.array_distinct(F.split("secret", "")))
     random = (F.length("secret") >= MIN_LIVE) & (signs >= MIN_SIGNS) & F.col("secret").rlike("[0-9]") & F.col("secret").rlike("[A-Za-z]")
-    live = random & (F.col("owners") <= max_owners)
+    live = random & (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)
     return found.join(ownership(found), "hash").withColumn("live", live)
 
 
