@@ -422,6 +422,19 @@ def test_values_many_texts_hold_are_examples(spark):
     assert sorted(map(tuple, judged)) == sorted([(example, 1, 60), (copied, 2, 1), (few, 2, 5)])
 
 
+def test_every_assigned_value_is_judged(spark):
+    """Random values of any base length and alphabet are live; placeholders, counts and words are not."""
+    rnd = random.Random(8)
+    kinds = ["0123456789", "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"]
+    drawn = [(signs, "".join(rnd.choices(signs, k=n))) for n in [*range(12, 20), 40, 64] for signs in kinds for _ in range(20)]
+    plain = ["authentication", "straightforward", "your-secret-key-here", "abcdefghijklmnop", "123456789012", "0000000000000000", "xxxxxxxxxxxxxxxx", "------------", "change_me_please", "abababababab1"]
+    rows = [(i, f"password = '{v}' ", f"s{i}") for i, v in enumerate([v for _, v in drawn] + plain)]
+    live = {r["doc_id"] for r in secret_scan.scan(table(spark, rows)).where("live and kind = 'assign'").select("doc_id").distinct().collect()}
+    missed = collections.Counter(signs for i, (signs, _) in enumerate(drawn) if i not in live)
+    assert not live - set(range(len(drawn))) and all(n <= 4 for n in missed.values()), missed
+    assert secret_scan.secret_rows(table(spark, [(1, "token: Kq7Rw2Xz9Lm4", "a")])).first()["spans"] == "assign:0:19,live:7:19"
+
+
 # --- 10
 
 

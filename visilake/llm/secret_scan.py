@@ -6,6 +6,11 @@ owners and ``MAX_REPOSITORIES`` or fewer repositories hold and that looks random
 many owners or many texts of one owner hold is a widely copied example. Copies of a text count once.
 Live values add a span of kind ``live`` over the secret itself; the patterns' own spans stay.
 
+A value looks random if it has half the different signs that a random value of its length and alphabet
+is expected to have (at most ``MIN_SIGNS`` are asked for). One that lacks a digit or a letter must also
+not count on (1234..., abcd...) nor be made of words (most letter pairs common in English, German,
+French or Spanish).
+
 Places are code points, ends exclusive. A kind's matches are found by splitting the text at
 them: lengths of the parts before, summed, are the places. Hot values (one key in a third of the
 documents) are pre-aggregated by (hash, owner) and (hash, repository) before they meet.
@@ -41,8 +46,17 @@ ORDER = {kind: i for i, kind in enumerate((*BASE, LIVE))}
 MIN_ASSIGNED = 12
 MAX_OWNERS = 2
 MAX_REPOSITORIES = 10
-MIN_LIVE = 16
 MIN_SIGNS = 8
+#: a value's alphabet (the first that fits) and its size; any other has letters and digits of all kinds
+ALPHABETS = (("^[0-9]+$", 10), ("^([0-9a-f]+|[0-9A-F]+)$", 16), ("^([a-z]+|[A-Z]+)$", 26))
+ALL_SIGNS = 62
+#: shares of neighbours, in tenths, from which a value counts on or is made of words
+COUNTING, WORDY = 7, 6
+#: letter pairs; random letters hold one in some 18 % of pairs, words in 80 % and more
+PAIRS = (
+    "th he in er an re nd on en at ou ed ha to or it is hi es ng st ar se le te al ti ve me ea nt de ne co ro li ri ra io ic as si ce et ch ll be ma om "
+    "ur el ta la ho ec us ie ei di un ge sc au da em ss no pe mo tr pr so il ac ai am ca ad ee lo ol op ot ow pa po qu rd rs rt sa sh sp su ts ul ut wa wi wo ig gh"
+).split()
 
 
 def _matches(text: Column, kind: str, pattern: str) -> Column:
@@ -83,12 +97,26 @@ def ownership(found: DataFrame) -> DataFrame:
     return holders.groupBy("hash").agg(F.count_if("owns").alias("owners"), F.count_if(~F.col("owns")).alias("repositories"))
 
 
+def looks_random(secret: Column) -> Column:
+    """Whether a value of two or more signs looks random."""
+    size = F.char_length(secret)
+    alphabet = F.lit(ALL_SIGNS)
+    for pattern, n in reversed(ALPHABETS):
+        alphabet = F.when(secret.rlike(pattern), n).otherwise(alphabet)
+    expected = alphabet * (1 - F.pow(1 - 1 / alphabet, size))
+    signs = F.size(F.array_distinct(F.split(secret, "")))
+    pairs = F.transform(F.sequence(F.lit(1), size - 1), lambda i: F.substr(secret, i, F.lit(2)))
+    counting = F.size(F.filter(pairs, lambda p: F.abs(F.ascii(F.substr(p, F.lit(2))) - F.ascii(p)) <= 1))
+    letters = F.filter(F.transform(pairs, F.lower), lambda p: p.rlike("^[a-z]{2}$"))
+    words = F.size(F.filter(letters, lambda p: p.isin(PAIRS)))
+    chance = (10 * counting < COUNTING * (size - 1)) & ((F.size(letters) == 0) | (10 * words < WORDY * F.size(letters)))
+    return (signs >= F.least(F.lit(MIN_SIGNS), F.ceil(expected / 2))) & (secret.rlike("[0-9]") & secret.rlike("[A-Za-z]") | chance)
+
+
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str = "source", max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
     """One row per candidate: place, hash, owners, repositories and whether it is live."""
     found = stored(candidates(docs, doc_id, text, owner).withColumn("hash", F.sha2("secret", 256)), "candidates")
-    signs = F.size(F.array_distinct(F.split("secret", "")))
-    random = (F.length("secret") >= MIN_LIVE) & (signs >= MIN_SIGNS) & F.col("secret").rlike("[0-9]") & F.col("secret").rlike("[A-Za-z]")
-    live = random & (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)
+    live = looks_random(F.col("secret")) & (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)
     return found.join(ownership(found), "hash").withColumn("live", live)
 
 
