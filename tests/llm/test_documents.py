@@ -460,3 +460,42 @@ def test_lattice(spark, odd):
         ids = [x for w in found for x in best(w)]
         want[i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), hashlib.sha256((t or "").encode()).hexdigest()] += 1
     assert keyed(tuple(r)[:4] for r in made) == want
+
+
+def test_long_runs_take_the_best_path_uncut(spark, monkeypatch):
+    """URLs, base64, hexadecimal, marks, a script without blanks: the ids of a Viterbi over each whole run."""
+    monkeypatch.setattr(lattice, "BLOCK", 100)
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    pieces, rnd = lattice.Pieces(model), random.Random(5)
+    score = {p: (s, i) for p, i, s in pieces.rows}
+    base64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    texts = [
+        "https://example.org/" + "/".join(prose(i, 3).replace(" ", "-") for i in range(40)) + "?q=" + prose(50, 20).replace(" ", "%20"),
+        "".join(rnd.choices(base64, k=3000)), "".join(rnd.choices("0123456789abcdef", k=700)), "=" * 500 + "-" * 333, "internationalization" * 30, "日本語の文字と漢字😀" * 40,
+        "x" * 62 + "tion " + "x" * 63 + "tion " + "y" * 64 + "ing\n" + "z" * 65, " " * 200 + prose(7, 90).replace(" ", ""), prose(8, 200).replace(" ", "") + ", " + prose(9, 30).replace(" ", "."),
+    ]
+
+    def best(run):
+        paths = [(0.0, 0, None)]
+        for end in range(1, len(run) + 1):
+            reached = [(paths[end - n][0] + score[run[end - n : end]][0], n, score[run[end - n : end]][1]) for n in range(1, min(end, pieces.longest) + 1) if run[end - n : end] in score]
+            paths.append(max(reached, key=lambda c: c[:2]) if reached else (paths[-1][0] + lattice.NEVER, 1, None))
+        ids, end = [], len(run)
+        while end:
+            _, n, i = paths[end]
+            ids = ([i] if i is not None else [pieces.byte_ids[b] for b in run[end - 1].encode()]) + ids
+            end -= n
+        return ids
+
+    sign = lattice.SIGN
+    want = {}
+    for i, t in enumerate(texts):
+        runs = re.findall(f"{sign}[^{sign}\n]*|[^{sign}\n]+|\n", sign + t.replace(" ", sign))  # a run ends at a blank or a line's end only
+        want[i] = [x for run in runs for x in best(run)]
+    made = {r["doc_id"]: r["ids"] for r in lattice.encode(table(spark, list(enumerate(texts))), model).collect()}
+    assert {i: pieces_of == want[i] for i, pieces_of in made.items()} == dict.fromkeys(want, True)
+    # the batch and the block fold agree, where both can be asked
+    words = [w for t in texts for w in (t[k : k + 60] for k in range(0, len(t), 60)) if "\n" not in w]
+    assert [pieces._fold(w) for w in words] == list(pieces._solve(words))
+    decoded = lattice.decode(lattice.encode(table(spark, list(enumerate(texts))), model), model).collect()
+    assert {r["doc_id"]: r["decoded"] for r in decoded} == dict(enumerate(texts))

@@ -2,13 +2,13 @@
 
 Text is a model's usual form: a blank sign before it and for every blank, nothing else changed.
 It is cut into words (a blank sign and what follows it, also before a mark that follows a letter,
-which no piece crosses; line ends alone; at most ``WORD`` code points, so that a run without blanks
-stays bounded). Each different word of a batch is worked out once: its substrings up to the longest
+which no piece crosses; line ends alone), however long a run without blanks is. Each different word of a batch is worked out once: its substrings up to the longest
 piece are listed, equi-joined with the piece table on their hash (and compared), grouped by word and
 end, and the best path is folded over the places of all words at once: at each place the best of the
 edges that end there, ties to the longer piece (Viterbi). A place that no piece reaches takes its
-UTF-8 bytes as byte pieces. Documents stay where they are read, nothing is shuffled, and a worker
-keeps the ids of a bounded number of words.
+UTF-8 bytes as byte pieces. A word of over ``WORD`` code points is folded alone, a block of places after
+the other; scores are kept for the longest piece's places, the step back for all. Documents stay where they are read, nothing is shuffled, and a worker
+keeps a bounded number of words and ids.
 
 Models whose scores are log probabilities are used as they are. A merge model's scores are negated
 merge ranks; with them -5 - ln(1 + rank) stands in (Zipf's law), and pieces the model never merges
@@ -26,6 +26,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,9 +40,11 @@ from .wordtable import WordTable
 
 SIGN = "▁"
 WORD = 64
+BLOCK = 1 << 14
+KNOWN_IDS = 1 << 22
 #: no piece holds a letter before one of these marks (checked), so a cut there loses no path
 _LETTER, _MARK = "A-Za-zÀ-ÖØ-öø-ÿ", ".,;:!?|"
-PATTERN = f"{SIGN}?[{_LETTER}]{{1,{WORD - 1}}}(?=[{_MARK}])|{SIGN}?[^{SIGN}\n]{{1,{WORD - 1}}}|{SIGN}|\n"
+PATTERN = f"{SIGN}?[{_LETTER}]+(?=[{_MARK}])|{SIGN}?[^{SIGN}\n]+|{SIGN}|\n"
 NEVER = -1e8
 SLICE_CHARS = 1 << 20
 SOLVED_AT_ONCE = 20_000
@@ -113,7 +116,42 @@ class Pieces:
     def solve(self, words: list[str]) -> Iterator[list[int]]:
         """The ids of each word's best path."""
         for at in range(0, len(words), SOLVED_AT_ONCE):
-            yield from self._solve(words[at : at + SOLVED_AT_ONCE])
+            part = words[at : at + SOLVED_AT_ONCE]
+            short = self._solve([w for w in part if len(w) <= WORD])
+            for word in part:
+                yield next(short) if len(word) <= WORD else self._fold(word)
+
+    def _fold(self, word: str) -> list[int]:
+        """The ids of a long word's best path, the same as ``_solve`` finds."""
+        points, lowest = _points(word), -math.inf
+        back, piece = bytearray(len(points) + 1), array("i", bytes(4 * (len(points) + 1)))
+        ahead = [0.0] + [lowest] * self.longest
+        for at in range(0, len(points), BLOCK):
+            size = min(BLOCK, len(points) - at)
+            part = points[at : at + size + self.longest - 1]
+            score, ids = self.edges(part, np.full(len(part), len(part)))
+            start, length = np.nonzero(ids[:, :size].T >= 0)
+            value, found = score[length, start].tolist(), ids[length, start].tolist()
+            first, length, best = np.searchsorted(start, np.arange(size + 1)).tolist(), (length + 1).tolist(), ahead + [lowest] * size
+            for place in range(size):
+                here = best[place]
+                for k in range(first[place], first[place + 1]):
+                    end = place + length[k]
+                    path = here + value[k]
+                    if path > best[end]:  # pieces come longest first at each end: ties stay with them
+                        best[end], back[at + end], piece[at + end] = path, length[k], found[k]
+                if best[place + 1] == lowest:
+                    best[place + 1] = here + NEVER
+            ahead = best[size : size + self.longest + 1]
+        out: list[int] = []
+        end = len(points)
+        while end:
+            if back[end]:
+                out.append(piece[end])
+            else:
+                out.extend(self.byte_ids[b] for b in reversed(chr(points[end - 1]).encode("utf-8", "replace")))
+            end -= back[end] or 1
+        return out[::-1]
 
     def _solve(self, words: list[str]) -> Iterator[list[int]]:
         sizes = np.fromiter(map(len, words), np.int64, len(words))
@@ -174,6 +212,8 @@ def encode(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "tex
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _model(model)[1]
         for batch in batches:
+            if len(table.ids) > KNOWN_IDS:
+                table.reset()
             texts, at = batch.column("text").to_pylist(), 0
             while at < len(texts):  # slices of bounded size, or one long document
                 end, size = at, 0
