@@ -464,7 +464,7 @@ def test_lattice(spark, odd):
 
 def test_long_runs_take_the_best_path_uncut(spark, monkeypatch):
     """URLs, base64, hexadecimal, marks, a script without blanks: the ids of a Viterbi over each whole run."""
-    monkeypatch.setattr(lattice, "BLOCK", 100)
+    monkeypatch.setattr(lattice, "BLOCK", 100, raising=False)
     model = public_tokenizers.path("piece_bpe_32k.model")
     pieces, rnd = lattice.Pieces(model), random.Random(5)
     score = {p: (s, i) for p, i, s in pieces.rows}
