@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bitplane, contamination, language, lattice, licences, sampling, secret_scan, shards, simhash, windows
-from .twins import SHARD_SQL
+from . import bitplane, contamination, language, lattice, licences, negatives, sampling, secret_scan, shards, simhash, spelling, url_filter, windows
+from .twins import NEGATIVE_SQL, SHARD_SQL, SPELLING_SQL, URL_SQL
 
 
 def documents(spark, sf_dir):
@@ -52,6 +52,18 @@ def op10_piece_lattice(spark, sf_dir, model=None):
     return lattice.encoded_rows(documents(spark, sf_dir), model or public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_spelling_variants(spark, sf_dir):
+    return spelling.variant_rows(documents(spark, sf_dir))
+
+
+def op12_url_cascade(spark, sf_dir):
+    return url_filter.verdict_rows(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op13_hard_negatives(spark, sf_dir):
+    return negatives.negative_rows(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES = {
     "op1_language": (op1_language, None),
     "op2_token_planes": (op2_token_planes, None),
@@ -63,4 +75,7 @@ QUERIES = {
     "op8_benchmark_leaks": (op8_benchmark_leaks, None),
     "op9_secret_owners": (op9_secret_owners, None),
     "op10_piece_lattice": (op10_piece_lattice, None),
+    "op11_spelling_variants": (op11_spelling_variants, SPELLING_SQL),
+    "op12_url_cascade": (op12_url_cascade, URL_SQL),
+    "op13_hard_negatives": (op13_hard_negatives, NEGATIVE_SQL),
 }
