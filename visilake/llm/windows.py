@@ -14,12 +14,17 @@ Three steps keep what moves small without losing a window:
   joined back.
 
 Counts are pre-aggregated, so a passage in a third of all documents is one row a task. Each count
-joins back to rows, never a group to a list. Texts are dealt by document once; Spark reuses that
-exchange. Windows are told apart by 64 bits: among the 10^9 that pass the filter at 30 GB, the
-odds that any two different ones meet are about one in thirty.
+joins back to rows, never a group to a list; the counts are dealt anew for that (they are few), so
+that Spark can split the rows of a hot passage. Texts are dealt by document once; Spark reuses that
+exchange. Windows are told apart by 96 bits: a hash and an independent check of their words. Among the
+3 * 10^12 windows of 100 TB the odds that any two different ones meet are below one in ten thousand.
+
+Rows are named by their id where ids are unique, else by id and a hash of the text.
 
 Null and empty texts have no words. A document shorter than a window loses nothing. Rows of one id
-never repeat each other. A row with a null id loses nothing and takes nothing from others.
+never repeat each other; equal rows are each returned. A row with a null id loses nothing and takes
+nothing from others. Very long texts are worked on whole, others in batches. An empty table gives an
+empty result, and columns of other names play no part.
 """
 
 from __future__ import annotations
@@ -77,8 +82,8 @@ def _rolled(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int)
     return (sums[ends] - sums[starts]) * inverse[starts]
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word, first word of each document and the total)."""
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of every word, a second one, first word of each document and the total)."""
     data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
     space = _SPACE[data]
     edge = np.flatnonzero(np.diff(space, prepend=True))
@@ -86,20 +91,20 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     at = np.cumsum([0, *(len(t) + 1 for t in texts)])
     values = data.astype(_U) + _U(1)
     one, two = (_rolled(values, starts, ends, b) for b in _BYTE_BASES)
-    return _mixed(one + _mixed(two)), np.searchsorted(starts, at)
+    return _mixed(one + _mixed(two)), _mixed(two + _mixed(one ^ _U(_WORD_BASE))), np.searchsorted(starts, at)
 
 
 class Windows:
     """Hashes of all windows of some documents, in order."""
 
     def __init__(self, texts: list[bytes], size: int, gram: int):
-        words, first = word_hashes(texts)
+        words, again, first = word_hashes(texts)
         place = np.arange(len(words))
         doc = np.repeat(np.arange(len(texts)), np.diff(first))
         left = first[doc + 1] - place if len(words) else place
         at = np.flatnonzero(left >= size)  # a window starts here
         self.doc, self.pos = doc[at], at - first[doc[at]]
-        self.words, self.at, self.size = words, at, size
+        self.words, self.again, self.at, self.size = words, again, at, size
         grams = np.zeros(0, _U)
         if len(at):
             starts = np.arange(len(words) - gram + 1)
@@ -111,10 +116,11 @@ class Windows:
             run, span = np.minimum(run[:-span], run[span:]), 2 * span
         self.least = np.minimum(run[at], run[at + need - span]) if len(at) else grams
 
-    def keys(self, chosen: np.ndarray) -> np.ndarray:
-        """Hashes of the chosen windows."""
+    def keys(self, chosen: np.ndarray, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of ``bits`` bits of the chosen windows, and 32 bits to check them by."""
         starts = self.at[chosen]
-        return _mixed(_rolled(self.words, starts, starts + self.size, _WORD_BASE))
+        hashed, check = (_mixed(_rolled(w, starts, starts + self.size, _WORD_BASE)) for w in (self.words, self.again))
+        return (hashed >> _U(64 - bits)).view(np.int64), (check >> _U(32)).astype(np.uint32).view(np.int32)
 
 
 def _sliced(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[bytes]]]:
@@ -130,29 +136,29 @@ def _sliced(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[bytes]]]:
         yield start, len(texts), texts[start:]
 
 
-def _least_grams(texts: DataFrame, size: int, gram: int) -> DataFrame:
-    """(gram, doc_id, row_key): each document's window minima, adjacent repeats once."""
-    schema = pa.schema([("gram", pa.int64()), ("doc_id", pa.int64()), ("row_key", pa.int64())])
+def _least_grams(texts: DataFrame, key: list[str], size: int, gram: int) -> DataFrame:
+    """(gram, key): each document's window minima, adjacent repeats once."""
+    schema = pa.schema([("gram", pa.int64()), *((k, pa.int64()) for k in key)])
 
     def find(batches):
         for batch in batches:
-            ids, keys = batch.column("doc_id").to_numpy(), batch.column("row_key").to_numpy()
+            names = [batch.column(k).to_numpy() for k in key]
             for first, _, part in _sliced(batch):
                 w = Windows(part, size, gram)
                 new = np.concatenate(([True], (w.least[1:] != w.least[:-1]) | (w.doc[1:] != w.doc[:-1])))[: len(w.doc)]
                 doc = first + w.doc[new]
-                yield pa.RecordBatch.from_arrays([pa.array(w.least[new].view(np.int64)), pa.array(ids[doc]), pa.array(keys[doc])], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(w.least[new].view(np.int64)), *(pa.array(n[doc]) for n in names)], schema=schema)
 
-    return texts.mapInArrow(find, "gram long, doc_id long, row_key long")
+    return texts.mapInArrow(find, ", ".join(f"{c} long" for c in ("gram", *key)))
 
 
-def _windows(texts: DataFrame, size: int, gram: int) -> DataFrame:
-    """(hash, doc_id, row_key, pos) of the windows whose least gram is in ``grams``."""
-    schema = pa.schema([("hash", pa.int64()), ("doc_id", pa.int64()), ("row_key", pa.int64()), ("pos", pa.int32())])
+def _windows(texts: DataFrame, key: list[str], size: int, gram: int, bits: int) -> DataFrame:
+    """(hash, check, pos, key) of the windows whose least gram is in ``grams``."""
+    schema = pa.schema([("hash", pa.int64()), ("check", pa.int32()), ("pos", pa.int32()), *((k, pa.int64()) for k in key)])
 
     def find(batches):
         for batch in batches:
-            ids, keys = batch.column("doc_id").to_numpy(), batch.column("row_key").to_numpy()
+            names = [batch.column(k).to_numpy() for k in key]
             for first, last, part in _sliced(batch):
                 w = Windows(part, size, gram)
                 allowed = batch.column("grams").slice(first, last - first)
@@ -160,13 +166,10 @@ def _windows(texts: DataFrame, size: int, gram: int) -> DataFrame:
                 # (document, gram) pairs as one hash each, looked up together
                 mark = lambda doc, g: _mixed(g + _U(0x9E3779B97F4A7C15) * doc.astype(_U))
                 chosen = np.flatnonzero(np.isin(mark(w.doc, w.least), mark(owner, allowed.flatten().to_numpy().view(_U))))
-                hashed = w.keys(chosen)
                 doc = first + w.doc[chosen]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(hashed.view(np.int64)), pa.array(ids[doc]), pa.array(keys[doc]), pa.array(w.pos[chosen].astype(np.int32))], schema=schema
-                )
+                yield pa.RecordBatch.from_arrays([*map(pa.array, w.keys(chosen, bits)), pa.array(w.pos[chosen].astype(np.int32)), *(pa.array(n[doc]) for n in names)], schema=schema)
 
-    return texts.mapInArrow(find, "hash long, doc_id long, row_key long, pos int")
+    return texts.mapInArrow(find, "hash long, check int, pos int, " + ", ".join(f"{k} long" for k in key))
 
 
 def _kept(rows: DataFrame, size: int) -> DataFrame:
@@ -200,26 +203,32 @@ def _kept(rows: DataFrame, size: int) -> DataFrame:
     return rows.mapInArrow(cut_all, schema)
 
 
-def remove_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_words, removed: array of word spans, kept_text), one row per document."""
+def remove_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, doc_id: str = "doc_id", text: str = "text", bits: int = 64) -> DataFrame:
+    """(doc_id, n_words, removed: array of word spans, kept_text), one row per document; ``bits`` of a window's hash."""
     # no alias where none is needed: Spark must see one and the same exchange of texts in each use
     named_id = F.col(doc_id) if doc_id == "doc_id" and dict(docs.dtypes)[doc_id] == "bigint" else F.col(doc_id).cast("long").alias("doc_id")
     rows = docs.select(named_id, whole_text(text).alias("text"))
     rows = rows.withColumn("row_key", F.xxhash64("doc_id", "text"))
     named = rows.where(F.col("doc_id").isNotNull())
-    key = ["doc_id", "row_key"]
-    narrow = stored(named.select(*key, F.md5("text").alias("same")), "keys")
+    narrow = stored(named.select("doc_id", "row_key", F.md5("text").alias("same")), "keys")
+    texts_of = narrow.groupBy("doc_id").agg(F.min("same").alias("a"), F.max("same").alias("b"))
+    key = ["doc_id"] if texts_of.where("a <> b").isEmpty() else ["doc_id", "row_key"]
+    named = named.select(*key, "text")
     first = narrow.groupBy("same").agg(F.min("doc_id").alias("first"))
     told = narrow.join(first, "same").select(*key, (F.col("doc_id") > F.col("first")).alias("copied")).distinct()
     told = stored(told, "copies")
 
     texts = named.join(told.where("not copied").select(*key), key)
-    grams = _least_grams(texts, size, gram)
-    shared = grams.groupBy("gram").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("gram")
+    grams = _least_grams(texts, key, size, gram)
+    # a count by one column more than the join's is dealt anew for the join, whose hot keys Spark can then split
+    odd = F.col("gram").bitwiseAND(F.lit(1).cast("long"))
+    shared = grams.groupBy("gram", odd.alias("odd")).agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("gram")
     marked = grams.join(shared, "gram").groupBy(*key).agg(F.collect_set("gram").alias("grams"))
-    windows = _windows(texts.join(marked, key).select(*key, "text", "grams"), size, gram)
-    begun = windows.groupBy("hash").agg(F.min("doc_id").alias("first"))
-    again = windows.join(begun, "hash").where("doc_id > first").groupBy(*key).agg(F.collect_set("pos").alias("places"))
+    windows = _windows(texts.join(marked, key).select(*key, "text", "grams"), key, size, gram, bits)
+    odd = F.col("hash").bitwiseAND(F.lit(1).cast("long"))
+    begun = windows.groupBy("hash", "check", odd.alias("odd")).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    again = windows.join(begun.where("first < last").select("hash", "check", "first"), ["hash", "check"]).where("doc_id > first")
+    again = again.groupBy(*key).agg(F.collect_set("pos").alias("places"))
     fate = again.select(*key, F.lit(False).alias("copied"), "places").unionByName(told.where("copied").select(*key, "copied", F.expr("cast(null as array<int>)").alias("places")))
     judged = named.join(fate, key, "left").select("doc_id", "text", "copied", "places")
     unnamed = rows.where(F.col("doc_id").isNull()).select("doc_id", "text", F.lit(False).alias("copied"), F.expr("cast(null as array<int>)").alias("places"))
