@@ -10,7 +10,8 @@ by a hash of the id); only their text and label are read. Every document is then
 
 Null text, empty text and text without a letter give ``und`` with score 0; so does everything if
 nothing could be learned. The score is one minus the distance's share of the largest possible
-distance. Repeated rows get equal answers; other columns never take part.
+distance. A text longer than a slice is counted slice by slice, to the same counts. Repeated rows get
+equal answers; an empty table gives an empty result; other columns never take part.
 """
 
 from __future__ import annotations
@@ -50,57 +51,71 @@ def _slices(texts: list[str]) -> Iterator[tuple[int, int, list[str]]]:
         yield start, len(texts), texts[start:]
 
 
-def gram_counts(texts: list[str], owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(owner, n-gram key, count) of texts, sorted by owner and key; owners are small numbers.
+def _keys(points: np.ndarray, who: np.ndarray, known: int = 1) -> np.ndarray:
+    """Sorted (owner, n-gram) integers of folded code points; n-grams within the first ``known`` are left out.
 
-    Keys are 40-bit hashes of the n-gram, so that owner and key sort as one integer.
+    An n-gram is a 40-bit hash, so that owner and n-gram sort as one integer.
     """
-    lowered = [t.lower() for t in texts]
-    sizes = np.fromiter((len(t) + 1 for t in lowered), dtype=np.int64, count=len(lowered))
-    points = np.frombuffer((" ".join(lowered) + " ").encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    who = np.repeat(owner.astype(np.uint64), sizes)
-    letter = _is_letter()[points]
-    kept = letter | np.concatenate(([False], letter[:-1]))  # one blank after each run of letters
-    points = np.where(letter, points, 32)[kept].astype(np.uint64)
-    points = np.concatenate((np.array([32], dtype=np.uint64), points))
-    who = np.concatenate((who[:1], who[kept]))
     blank = points == 32
     one = ~blank
+    one[:known] = False
     two = points[:-1] << np.uint64(21) | points[1:]
     three = points[:-2] << np.uint64(42) | two[1:]
     whole = ~blank[1:-1]  # a blank may stand at either end only
     last = np.where(blank[2:], who[1:-1], who[2:])
-    keys = []
     pair_owner = np.where(blank[1:], who[:-1], who[1:])
-    for gram, of in ((points[one], who[one]), (two, pair_owner), (three[whole], last[whole])):
+    keys = []
+    for gram, of in ((points[one], who[one]), (two[known - 1 :], pair_owner[known - 1 :]), (three[whole], last[whole])):
         mixed = gram * np.uint64(0x9E3779B97F4A7C15)
         mixed ^= mixed >> np.uint64(32)
         keys.append(of << np.uint64(40) | mixed * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(24))
     key = np.concatenate(keys)
     key.sort()
-    if not len(key):
-        return key, key, key.astype(np.int64)
-    edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    count = np.diff(np.append(edge, len(key)))
-    key = key[edge]
+    return key
+
+
+def _counted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(different keys, count) of sorted keys."""
+    edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))[: len(key)]
+    return key[edge], np.diff(np.append(edge, len(key)))
+
+
+def gram_counts(texts: list[str], owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, n-gram key, count) of texts, sorted by owner and key; owners are small numbers."""
+    lowered = [t.lower() for t in texts]
+    sizes = np.fromiter((len(t) + 1 for t in lowered), dtype=np.int64, count=len(lowered))
+    points = np.frombuffer((" ".join(lowered) + " ").encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    who = np.repeat(owner.astype(np.uint64), sizes)
+    letter = _is_letter()[points]
+    kept = letter | np.concatenate(([False], letter[:-1]))  # one blank after each run of letters
+    points = np.where(letter, points, 32)[kept].astype(np.uint64)
+    points = np.concatenate((np.array([32], dtype=np.uint64), points))
+    key, count = _counted(_keys(points, np.concatenate((who[:1], who[kept]))))
     return key >> np.uint64(40), key & np.uint64((1 << 40) - 1), count
 
 
+def long_gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(n-gram key, count) of one long text, a slice at a time; the last two points go on to the next slice."""
+    lowered = text.lower() + " "
+    tail, in_word, found = np.array([32], dtype=np.uint64), False, {}
+    for at in range(0, len(lowered), SLICE_CHARS):
+        points = np.frombuffer(lowered[at : at + SLICE_CHARS].encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        letter = _is_letter()[points]
+        kept = letter | np.concatenate(([in_word], letter[:-1]))
+        points = np.concatenate((tail, np.where(letter, points, 32)[kept].astype(np.uint64)))
+        if len(points) > len(tail):
+            for k, n in zip(*(c.tolist() for c in _counted(_keys(points, np.zeros(len(points), np.uint64), len(tail)))), strict=True):
+                found[k] = found.get(k, 0) + n
+        tail, in_word = points[-2:], bool(letter[-1])
+    key = np.array(sorted(found), dtype=np.uint64)
+    return key, np.array([found[k] for k in key.tolist()], dtype=np.int64)
+
+
 def _ranked(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, key, rank) of each document's most frequent n-grams; ties in rank by key."""
     if len(texts) == 1 and len(texts[0]) > SLICE_CHARS:
-        # a very long document is counted in parts that end at a blank, so that no n-gram is cut
-        # (a word longer than a part is)
-        text, found, at = texts[0], {}, 0
-        while at < len(text):
-            end = text.rfind(" ", at, at + SLICE_CHARS) + 1 if at + SLICE_CHARS < len(text) else len(text)
-            end = end if end > at else at + SLICE_CHARS
-            _, keys, counts = gram_counts([text[at:end]], np.zeros(1))
-            at = end
-            for k, n in zip(keys.tolist(), counts.tolist(), strict=True):
-                found[k] = found.get(k, 0) + n
-        key = np.array(sorted(found), dtype=np.uint64)
-        doc, count = np.zeros(len(key), dtype=np.uint64), np.array([found[k] for k in key.tolist()], dtype=np.int64)
+        key, count = long_gram_counts(texts[0])
+        doc = np.zeros(len(key), dtype=np.uint64)
     else:
         doc, key, count = gram_counts(texts, np.arange(len(texts)))
     order = np.argsort((doc.astype(np.int64) << 32) - np.minimum(count, (1 << 31) - 1), kind="stable")
