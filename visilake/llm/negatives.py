@@ -71,7 +71,7 @@ def rotated(x: np.ndarray) -> np.ndarray:
     dim = x.shape[1]
     out, half = x * np.random.RandomState(dim).choice([-1, 1], dim), 1
     while half < dim:
-        pairs = out.reshape(len(x), -1, 2, half)
+        pairs = out.reshape(len(x), dim // (2 * half), 2, half)
         out = np.stack((pairs[:, :, 0] + pairs[:, :, 1], pairs[:, :, 0] - pairs[:, :, 1]), axis=2).reshape(len(x), dim)
         half *= 2
     return out
@@ -171,21 +171,26 @@ def _blocks(n: int, size: int) -> int:
     return max(1, -(-n // size))
 
 
-def _meet(rows: DataFrame, n_rows: int, asks: DataFrame, n_asks: int, work, schema: str) -> DataFrame:
-    """``work(rows, asks)`` for each block of rows with each block of anchors."""
+def _meet(rows: DataFrame, n_rows: int, asks: DataFrame, n_asks: int, work, names: list[str]) -> DataFrame:
+    """``work(rows, asks)`` for each block of rows with each block of anchors: tuples of ``names``."""
+
+    def table(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = work(left, right) if left.num_rows and right.num_rows else []
+        return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found, strict=True) if found else [[]] * len(names))], names=names)
+
     row_blocks, ask_blocks = _blocks(n_rows, BLOCK), _blocks(n_asks, ANCHOR_BLOCK)
     number = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = rows.select("*", number(row_blocks).alias("row_block"), each(ask_blocks).alias("ask_block"))
     right = asks.select("*", number(ask_blocks).alias("ask_block"), each(row_blocks).alias("row_block"))
     key = ["row_block", "ask_block"]
-    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(work, schema)
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(table, ", ".join(f"{n} long" for n in names))
 
 
 def _positive_scores(rows: DataFrame, n_rows: int, asks: DataFrame, n_asks: int, dim: int, k: int) -> DataFrame:
     """(anchor_id, other_id, score): the best of each block."""
 
-    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+    def work(left: pa.Table, right: pa.Table) -> list[tuple]:
         block, found = Rows(left, dim), []
         parts = padded(right.column("parts").to_pandas().to_list(), dim)
         turned = rotated(parts)
@@ -196,16 +201,14 @@ def _positive_scores(rows: DataFrame, n_rows: int, asks: DataFrame, n_asks: int,
             told = (v[others] for v in block.interval(turned[i], slice(start, end)))
             best, score = block.best(parts[i], at[others], *told, k)
             found += zip([anchor] * len(best), block.ids[best].tolist(), score.tolist(), strict=True)
-        return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found, strict=True) if found else ([], [], []))], names=["anchor_id", "other_id", "score"])
+        return found
 
-    return _meet(rows, n_rows, asks, n_asks, work, "anchor_id long, other_id long, score long")
+    return _meet(rows, n_rows, asks, n_asks, work, ["anchor_id", "other_id", "score"])
 
 
 def _negative_scores(rows: DataFrame, n_rows: int, asks: DataFrame, n_asks: int, dim: int, k: int, least: int, most: int) -> DataFrame:
     """(anchor_id, positive_id, positive_score, negative_id, score): the best in the band of each block."""
-    names = ["anchor_id", "positive_id", "positive_score", "negative_id", "score"]
-
-    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+    def work(left: pa.Table, right: pa.Table) -> list[tuple]:
         block, found = Rows(left, dim), []
         parts = padded(right.column("parts").to_pandas().to_list(), dim)
         turned, every = rotated(parts), np.arange(left.num_rows)
@@ -218,9 +221,9 @@ def _negative_scores(rows: DataFrame, n_rows: int, asks: DataFrame, n_asks: int,
                 low, high = -(-least * p["score"] // 100), most * p["score"] // 100
                 best, score = block.best(parts[i], other, *told, k, low, high)
                 found += zip([anchor] * len(best), [p["other_id"]] * len(best), [p["score"]] * len(best), block.ids[best].tolist(), score.tolist(), strict=True)
-        return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found, strict=True) if found else [[]] * 5)], names=names)
+        return found
 
-    return _meet(rows, n_rows, asks, n_asks, work, ", ".join(f"{n} long" for n in names))
+    return _meet(rows, n_rows, asks, n_asks, work, ["anchor_id", "positive_id", "positive_score", "negative_id", "score"])
 
 
 def hard_negatives(
