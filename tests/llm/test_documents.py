@@ -335,39 +335,84 @@ def edits(item, text):
     return min(row)
 
 
+def fold(text):
+    return re.sub(r"\s+", " ", text.lower())
+
+
+def leaked(item, text):
+    """Whether the text holds a segment of the item within its edits, or the whole of a short one between word boundaries."""
+    item, text = fold(item).strip(), fold(text)
+    if len(item) < contamination.SHORTEST:
+        edge = lambda sign, pattern: pattern if sign.isalnum() else ""
+        inside = r"[^\W_]"
+        found = any(map(str.isalnum, item)) and re.search(edge(item[0], f"(?<!{inside})") + re.escape(item) + edge(item[-1], f"(?!{inside})"), text)
+        return bool(found)
+    parts = contamination.segments(np.array([ord(c) for c in item], np.uint32))
+    return any(edits("".join(map(chr, p)), text) <= min(int(contamination.RATE * len(p)), (len(p) - contamination.Q) // contamination.Q) for p in parts)
+
+
+def random_words(seed):
+    rnd, letters = random.Random(seed), "abcdefghijklmnopqrstuvwxyz"
+    return lambda n: " ".join("".join(rnd.choice(letters) for _ in range(rnd.randrange(2, 9))) for _ in range(n))
+
+
+def worn(rnd, text, n):
+    out = list(text)
+    for _ in range(n):
+        k = rnd.randrange(len(out))
+        out[k : k + 1] = rnd.choice([[], [rnd.choice("xyzq")], [out[k], rnd.choice("xyzq")]])
+    return "".join(out)
+
+
 def test_contamination(spark, odd):
     docs, _ = odd
-    rnd = random.Random(5)
-    letters = "abcdefghijklmnopqrstuvwxyz"
-    made_up = lambda n: " ".join("".join(rnd.choice(letters) for _ in range(rnd.randrange(2, 9))) for _ in range(n))
-    items = [(i, made_up(n)) for i, n in enumerate((10, 20, 40, 120))] + [(7, "short"), (8, None), (9, "")]
-
-    def worn(text, n):
-        out = list(text)
-        for _ in range(n):
-            k = rnd.randrange(len(out))
-            out[k : k + 1] = rnd.choice([[], [rnd.choice(letters)], [out[k], rnd.choice(letters)]])
-        return "".join(out)
-
+    rnd, made_up = random.Random(5), random_words(5)
+    items = [(i, made_up(n)) for i, n in enumerate((2, 4, 7, 12, 20, 30, 60))] + [(7, "short"), (8, None), (9, ""), (10, " ?! "), (11, "C++ 11")]
     rows, planted = [], []
-    for i, text in items[:4]:
-        for n in (0, 1, 3, len(text) // 12, len(text) // 5):
+    for i, text in items[:7]:
+        for n in (0, 1, len(text) // 12, len(text) // 5):
             doc = 1000 + len(rows)
-            rows.append((doc, made_up(60) + "\n" + worn(text.upper().replace(" ", "  "), 0).lower() + " " + made_up(60) if n == 0 else made_up(60) + " " + worn(text, n) + " " + made_up(60)))
-            planted.append((doc, i))
-    rows += [(2000, made_up(400)), (2001, None), (2002, ""), (2003, items[1][1]), (2003, items[2][1])]
-    found = contamination.find(table(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+            rows.append((doc, made_up(20) + "\n" + (text.upper().replace(" ", " \t ") if n == 0 else worn(rnd, text, n)) + " " + made_up(20)))
+            if n == 0:
+                planted.append((doc, i))
+        half = text[: len(text) // 2]
+        rows.append((1000 + len(rows), made_up(20) + " " + half + " " + made_up(20)))
+        if len(half) >= contamination.SEGMENT + contamination.STEP - 1:
+            planted.append((rows[-1][0], i))
+    rows += [(2000, made_up(100)), (2001, None), (2002, ""), (2003, items[3][1]), (2003, items[4][1]), (2004, "a short text"), (2005, "shorter, ashort"), (2006, "(short)"), (2007, "in c++ 11 or C++ 112"), (2008, "c++ 112")]
+    benchmark = spark.createDataFrame([(i, t, i) for i, t in items], "item_id long, text string, doc_id int")
+    found = contamination.find(table(spark, rows).selectExpr("*", "1 AS item_id", "2 AS start", "'x' AS edits"), benchmark).collect()
     got = {(r["doc_id"], r["item_id"]) for r in found}
-    fold = lambda t: re.sub(r"\s+", " ", t.lower())
-    want = {(d, i) for d, t in rows if t for i, item in items[:3] if edits(item, fold(t)) <= int(contamination.RATE * len(item))}
-    assert {g for g in got if g[1] < 3} == want
-    assert {(d, i) for d, i in planted if i == 3 and d < planted[-1][0]} <= got
-    assert not {d for d, _ in got} & {2000, 2001, 2002}
+    assert got == {(d, i) for d, t in rows if t for i, item in items if item and leaked(item, t)}
+    assert set(planted) <= got and {(2003, 3), (2003, 4), (2004, 7), (2006, 7), (2007, 11)} <= got
+    assert not {d for d, _ in got} & {2000, 2001, 2002, 2005, 2008}
     texts = collections.defaultdict(list)
     for d, t in rows:
         texts[d].append(t or "")
     for r in found:
-        assert any(edits(fold(t[r["start"] : r["end"]]), dict(items)[r["item_id"]]) <= 60 and r["end"] <= len(t) for t in texts[r["doc_id"]])
+        assert any(leaked(dict(items)[r["item_id"]], t[r["start"] : r["end"]]) for t in texts[r["doc_id"]])
+    exact = [r for r in found if (r["doc_id"], r["item_id"]) in planted and r["doc_id"] % 5 == 0]
+    assert exact and all(r["edits"] == 0 and fold(texts[r["doc_id"]][0][r["start"] : r["end"]]) == dict(items)[r["item_id"]] for r in exact)
+
+
+@pytest.mark.parametrize("slice_chars", [1 << 19, 1000, 130])
+def test_the_size_of_a_text_changes_nothing(monkeypatch, slice_chars):
+    """Blanks inside an item, edges of pieces inside words and blanks, a short item at every edge."""
+    monkeypatch.setattr(contamination, "SLICE_CHARS", slice_chars)
+    made_up = random_words(9)
+    items = [(i, made_up(n)) for i, n in enumerate((3, 8, 25, 70))] + [(9, "tiny")]
+    texts = []
+    for gap in (" ", " " * 700, "\n \t" * 300):
+        for _, item in items:
+            texts.append(made_up(50) + " " + item.replace(" ", gap) + " " + made_up(60) + gap + item + gap)
+    texts += ["x" * 3000 + items[1][1] + "y" * 3000, " " * 5000, items[2][1][:100] * 3, (made_up(3) + " tiny ") * 100, "tiny" * 200, "", "é" * 999 + " " + items[2][1].upper()]
+    index = contamination.Items(items, contamination.RATE)
+    whole = contamination.matches(index, texts)
+    monkeypatch.setattr(contamination, "SLICE_CHARS", 1 << 24)
+    assert whole == contamination.matches(index, texts)
+    for k, i in enumerate([i for _ in range(3) for i, _ in items]):
+        assert [(row, item) for row, item, *_ in whole].count((k, i)) == 2
+    assert sum(row == 15 + 3 for row, *_ in whole) == 100 and not any(row == 15 + 4 for row, *_ in whole)
 
 
 def test_contamination_in_blocks_and_long_texts(spark, monkeypatch):
