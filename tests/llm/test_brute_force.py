@@ -193,7 +193,7 @@ def test_windows_equal_a_plain_loop(spark, monkeypatch, kind):
     assert got == removed(rows, windows.SIZE)
 
 
-@pytest.mark.parametrize("bits", [1, 8])
+@pytest.mark.parametrize("bits", [12, 18])
 def test_windows_of_one_hash_are_told_apart_by_their_check(spark, bits):
     rows = passages(2, 60)
     found = windows.remove_repeats(table(spark, [(i, t, "en") for i, t in rows]), bits=bits).collect()

@@ -3,21 +3,22 @@
 A window repeats if its word sequence also starts in a document with a smaller id; every word it
 covers goes, judged on the input. Overlapping repeated windows merge into maximal intervals.
 
-Three steps keep what moves small without losing a window:
+What moves is kept small without losing a window:
 
 * of documents with the same text only the one with the smallest id is compared; the others'
   windows all start there too;
 * equal windows have equal least hashes among their ``GRAM``-word grams, so a window can only
-  repeat if that hash occurs in two documents. About one gram in four is such a least one, and only
-  these are counted over the corpus first;
-* windows that pass are hashed, counted by Spark with the smallest document they start in, and
-  joined back.
+  repeat if that hash occurs in two documents. About one gram in five is such a least one, and only
+  these are counted over the corpus first, with the smallest and the largest document that holds each;
+* a document's windows under a gram are told to others unless it is the largest that holds the gram,
+  and judged unless it is the smallest; both sides are hashed, the first counted by Spark with the
+  smallest document a window starts in, the second joined to that;
+* texts travel compressed, and are dealt by document once; Spark reuses that exchange.
 
 Counts are pre-aggregated, so a passage in a third of all documents is one row a task. Each count
-joins back to rows, never a group to a list; the counts are dealt anew for that (they are few), so
-that Spark can split the rows of a hot passage. Texts are dealt by document once; Spark reuses that
-exchange. Windows are told apart by 96 bits: a hash and an independent check of their words. Among the
-3 * 10^12 windows of 100 TB the odds that any two different ones meet are below one in ten thousand.
+joins back to rows, never a group to a list; the counts are dealt anew for that, so that Spark can
+split the rows of a hot passage. Windows are told apart by 80 bits, a hash and an independent check:
+at 100 TB some 4 * 10^11 windows have a shared gram, and the odds that any two different ones meet are below one in ten.
 
 Rows are named by their id where ids are unique, else by id and a hash of the text.
 
@@ -33,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -117,23 +119,38 @@ class Windows:
         self.least = np.minimum(run[at], run[at + need - span]) if len(at) else grams
 
     def keys(self, chosen: np.ndarray, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of ``bits`` bits of the chosen windows, and 32 bits to check them by."""
+        """Hashes of ``bits`` bits of the chosen windows, and 16 bits to check them by."""
         starts = self.at[chosen]
         hashed, check = (_mixed(_rolled(w, starts, starts + self.size, _WORD_BASE)) for w in (self.words, self.again))
-        return (hashed >> _U(64 - bits)).view(np.int64), (check >> _U(32)).astype(np.uint32).view(np.int32)
+        return (hashed >> _U(64 - bits)).view(np.int64), (check >> _U(48)).astype(np.uint16).view(np.int16)
+
+
+def _packed(rows: DataFrame) -> DataFrame:
+    """Rows with their ``text`` as compressed bytes in ``packed``."""
+    names = [c for c in rows.columns if c != "text"]
+
+    def pack(batches):
+        press = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            texts = batch.column("text").cast(pa.large_binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array([press.compress(t.as_buffer()) for t in texts], pa.binary())], names=[*names, "packed"])
+
+    return rows.mapInArrow(pack, ", ".join(f"{n} long" for n in names) + ", packed binary")
 
 
 def _sliced(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[bytes]]]:
     """Consecutive rows whose texts fill a slice, or one long text."""
-    texts = batch.column("text").cast(pa.large_binary()).to_pylist()
-    start, size = 0, 0
-    for i, text in enumerate(texts):
+    unpack = zstandard.ZstdDecompressor()
+    start, size, texts = 0, 0, []
+    for i, packed in enumerate(batch.column("packed")):
+        text = unpack.decompress(packed.as_buffer())
         if size and size + len(text) > SLICE_BYTES:
-            yield start, i, texts[start:i]
-            start, size = i, 0
+            yield start, i, texts
+            start, size, texts = i, 0, []
         size += len(text) + 1
-    if start < len(texts):
-        yield start, len(texts), texts[start:]
+        texts.append(text)
+    if texts:
+        yield start, start + len(texts), texts
 
 
 def _least_grams(texts: DataFrame, key: list[str], size: int, gram: int) -> DataFrame:
@@ -152,9 +169,14 @@ def _least_grams(texts: DataFrame, key: list[str], size: int, gram: int) -> Data
     return texts.mapInArrow(find, ", ".join(f"{c} long" for c in ("gram", *key)))
 
 
-def _windows(texts: DataFrame, key: list[str], size: int, gram: int, bits: int) -> DataFrame:
-    """(hash, check, pos, key) of the windows whose least gram is in ``grams``."""
-    schema = pa.schema([("hash", pa.int64()), ("check", pa.int32()), ("pos", pa.int32()), *((k, pa.int64()) for k in key)])
+#: what a document does with its windows under a shared gram, in the lowest bits of the gram
+TELLS, ASKS = 1, 2
+
+
+def _windows(texts: DataFrame, key: list[str], size: int, gram: int, bits: int, does: int) -> DataFrame:
+    """(hash, check, key) of the windows whose least gram is in ``grams`` for ``does``; with their place, if they ask."""
+    place = [("pos", pa.int32())] if does == ASKS else []
+    schema = pa.schema([("hash", pa.int64()), ("check", pa.int16()), *place, *((k, pa.int64()) for k in key)])
 
     def find(batches):
         for batch in batches:
@@ -163,17 +185,21 @@ def _windows(texts: DataFrame, key: list[str], size: int, gram: int, bits: int)
                 w = Windows(part, size, gram)
                 allowed = batch.column("grams").slice(first, last - first)
                 owner = np.repeat(np.arange(last - first), np.diff(np.asarray(allowed.offsets)))
+                named = allowed.flatten().to_numpy().view(_U)
+                mine = named & _U(does) != 0
                 # (document, gram) pairs as one hash each, looked up together
                 mark = lambda doc, g: _mixed(g + _U(0x9E3779B97F4A7C15) * doc.astype(_U))
-                chosen = np.flatnonzero(np.isin(mark(w.doc, w.least), mark(owner, allowed.flatten().to_numpy().view(_U))))
+                chosen = np.flatnonzero(np.isin(mark(w.doc, w.least), mark(owner[mine], named[mine] >> _U(2))))
                 doc = first + w.doc[chosen]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, w.keys(chosen, bits)), pa.array(w.pos[chosen].astype(np.int32)), *(pa.array(n[doc]) for n in names)], schema=schema)
+                places = [pa.array(w.pos[chosen].astype(np.int32))] if place else []
+                yield pa.RecordBatch.from_arrays([*map(pa.array, w.keys(chosen, bits)), *places, *(pa.array(n[doc]) for n in names)], schema=schema)
 
-    return texts.mapInArrow(find, "hash long, check int, pos int, " + ", ".join(f"{k} long" for k in key))
+    kinds = {pa.int64(): "long", pa.int32(): "int", pa.int16(): "short"}
+    return texts.mapInArrow(find, ", ".join(f"{f.name} {kinds[f.type]}" for f in schema))
 
 
 def _kept(rows: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n_words, removed, kept_text) from (doc_id, text, copied, places)."""
+    """(doc_id, n_words, removed, kept_text) from (doc_id, packed, copied, places)."""
     schema = "doc_id long, n_words long, removed array<struct<start: long, end: long>>, kept_text string"
     arrow = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("removed", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept_text", pa.string())])
 
@@ -213,25 +239,26 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, doc_id:
     narrow = stored(named.select("doc_id", "row_key", F.md5("text").alias("same")), "keys")
     texts_of = narrow.groupBy("doc_id").agg(F.min("same").alias("a"), F.max("same").alias("b"))
     key = ["doc_id"] if texts_of.where("a <> b").isEmpty() else ["doc_id", "row_key"]
-    named = named.select(*key, "text")
+    named = _packed(named.select(*key, "text"))
     first = narrow.groupBy("same").agg(F.min("doc_id").alias("first"))
     told = narrow.join(first, "same").select(*key, (F.col("doc_id") > F.col("first")).alias("copied")).distinct()
     told = stored(told, "copies")
 
     texts = named.join(told.where("not copied").select(*key), key)
     grams = _least_grams(texts, key, size, gram)
-    # a count by one column more than the join's is dealt anew for the join, whose hot keys Spark can then split
-    odd = F.col("gram").bitwiseAND(F.lit(1).cast("long"))
-    shared = grams.groupBy("gram", odd.alias("odd")).agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("gram")
-    marked = grams.join(shared, "gram").groupBy(*key).agg(F.collect_set("gram").alias("grams"))
-    windows = _windows(texts.join(marked, key).select(*key, "text", "grams"), key, size, gram, bits)
-    odd = F.col("hash").bitwiseAND(F.lit(1).cast("long"))
-    begun = windows.groupBy("hash", "check", odd.alias("odd")).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    again = windows.join(begun.where("first < last").select("hash", "check", "first"), ["hash", "check"]).where("doc_id > first")
+    # a count by the inverse is dealt anew for the join, whose hot keys Spark can then split
+    counted = grams.groupBy(F.bitwise_not("gram").alias("inverse")).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
+    shared = counted.select(F.bitwise_not("inverse").alias("gram"), "least", "most")
+    does = F.when(F.col("doc_id") < F.col("most"), TELLS).otherwise(0) + F.when(F.col("doc_id") > F.col("least"), ASKS).otherwise(0)
+    marked = grams.join(shared, "gram").groupBy(*key).agg(F.collect_set(F.col("gram") * 4 + does).alias("grams"))
+    asked = texts.join(marked, key).select(*key, "packed", "grams")
+    told_by = _windows(asked, key, size, gram, bits, TELLS)
+    begun = told_by.groupBy(F.bitwise_not("hash").alias("inverse"), "check").agg(F.min("doc_id").alias("first"))
+    again = _windows(asked, key, size, gram, bits, ASKS).join(begun.select(F.bitwise_not("inverse").alias("hash"), "check", "first"), ["hash", "check"]).where("doc_id > first")
     again = again.groupBy(*key).agg(F.collect_set("pos").alias("places"))
     fate = again.select(*key, F.lit(False).alias("copied"), "places").unionByName(told.where("copied").select(*key, "copied", F.expr("cast(null as array<int>)").alias("places")))
-    judged = named.join(fate, key, "left").select("doc_id", "text", "copied", "places")
-    unnamed = rows.where(F.col("doc_id").isNull()).select("doc_id", "text", F.lit(False).alias("copied"), F.expr("cast(null as array<int>)").alias("places"))
+    judged = named.join(fate, key, "left").select("doc_id", "packed", "copied", "places")
+    unnamed = _packed(rows.where(F.col("doc_id").isNull()).select("doc_id", "text")).select("doc_id", "packed", F.lit(False).alias("copied"), F.expr("cast(null as array<int>)").alias("places"))
     return _kept(judged.unionByName(unnamed), size)
 
 
