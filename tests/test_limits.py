@@ -132,13 +132,13 @@ def test_first_and_later_loads(spark, tmp_path):
     new = spark.createDataFrame([("q", "2024-01-07", 5, dt.datetime(2024, 1, 8))], "query string, date_to string, shows int, fetched_at timestamp")
     WH.save_window(spark, window, new, ["query", "date_to"])
     WH.save_window(spark, window, new.withColumn("shows", F.lit(None).cast("int")).withColumn("fetched_at", F.lit(dt.datetime(2024, 1, 9))), ["query", "date_to"])
-    assert [(r["shows"], r["fetched_at"].day) for r in spark.read.parquet(window).collect()] == [(5, 9)]
+    assert [(r["shows"], r["fetched_at"].day) for r in WH.window_store(spark, window).read("rows").collect()] == [(5, 9)]
     docs = str(tmp_path / "docs")
     make = lambda rows: spark.createDataFrame(rows, "snapshot_id long, position int, url string, fetched_at timestamp, ingested_at timestamp")
     day = lambda n: dt.datetime(2024, 1, n)
     WH.append_docs(make([(1, 1, "old", day(1), day(1)), (1, 2, "kept", day(1), day(1)), (2, 1, "other", day(2), day(2))]), docs)
     WH.append_docs(make([(1, 1, "new", day(3), day(3)), (3, 1, "third", day(3), day(3))]), docs)
-    assert sorted((r["snapshot_id"], r["position"], r["url"]) for r in spark.read.parquet(docs).collect()) == [(1, 1, "new"), (1, 2, "kept"), (2, 1, "other"), (3, 1, "third")]
+    assert sorted((r["snapshot_id"], r["position"], r["url"]) for r in WH.docs_store(spark, docs).read("docs").collect()) == [(1, 1, "new"), (1, 2, "kept"), (2, 1, "other"), (3, 1, "third")]
 
 
 # --- one query in two regions

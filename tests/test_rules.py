@@ -107,14 +107,14 @@ def test_upsert_keeps_measured_values_and_rewrites_touched_partitions(spark, tmp
     new = spark.createDataFrame([("h", "a", D(1), D(28), None, 3, T(2, 2)), ("h", "c", D(1), D(28), 9, 9, T(2, 2))], WINDOW)
     keys = ["host_id", "query", "date_from", "date_to"]
     path = str(tmp_path / "t")
-    base.write.partitionBy("date_to").parquet(path)
+    WH.save_window(spark, path, base, keys)
     WH.save_window(spark, path, new, keys)
-    rows = sorted((r.query, str(r.date_to), r.shows, r.clicks) for r in spark.read.parquet(path).collect())
+    rows = sorted((r.query, str(r.date_to), r.shows, r.clicks) for r in WH.window_store(spark, path).read("rows").collect())
     assert rows == [("a", "2024-01-07", 1, 1), ("a", "2024-01-28", 10, 3), ("b", "2024-01-28", 5, 0), ("c", "2024-01-28", 9, 9)]
     docs = spark.createDataFrame([(1, 1, "old", T(1), T(1)), (1, 1, "new", T(1), T(2)), (1, 2, "x", T(1), T(1))], "snapshot_id long, position int, url string, fetched_at timestamp, ingested_at timestamp")
     WH.append_docs(docs, str(tmp_path / "d"))
     WH.append_docs(docs.limit(0), str(tmp_path / "d"))
-    assert sorted(r.url for r in spark.read.parquet(str(tmp_path / "d")).collect()) == ["new", "x"]
+    assert sorted(r.url for r in WH.docs_store(spark, str(tmp_path / "d")).read("docs").collect()) == ["new", "x"]
 
 
 def test_core_upsert_guards_verdicts(spark):

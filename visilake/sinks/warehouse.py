@@ -1,13 +1,17 @@
-"""Stored tables: appends, keyed upserts, load windows and totals."""
+"""Stored tables: appends, keyed upserts, load windows and totals.
+
+What replaces stored rows goes through a :class:`~visilake.sinks.versions.Store`: readers see the
+version before a load or the one after it, never rows in between, and a load that fails changes nothing.
+"""
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import keys as K
+from .versions import Store
 
 CORE, EDGE, DROP = "ядро", "периферия", "отбросить"
 
@@ -27,33 +31,32 @@ def append_snapshots(rows: DataFrame, path: str, time_column: str, partition: st
     rows.withColumn(partition, F.to_date(time_column)).write.mode("append").partitionBy(partition).parquet(path)
 
 
-def stored_rows(spark, path: str) -> DataFrame | None:
-    """The stored table, or None before its first load."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as problem:
-        if problem.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
+def docs_store(spark: SparkSession, path: str, partition: str = "dt") -> Store:
+    return Store(spark, path, {"docs": partition})
 
 
-def append_docs(docs: DataFrame, path: str, time_column: str = "fetched_at", ingest: str = "ingested_at", partition: str = "dt") -> None:
-    """Append documents; a (snapshot, position) slot delivered again replaces the stored one.
+def append_docs(docs: DataFrame, path: str, time_column: str = "fetched_at", ingest: str = "ingested_at", partition: str = "dt") -> int:
+    """Append documents; a (snapshot, position) slot delivered again replaces the stored one. The new version.
 
     A slot stays in the partition of its first delivery, and only partitions that hold a
-    slot of the new rows' snapshots are rewritten.
+    slot of the new rows' snapshots are written anew.
     """
-    new = docs.withColumn(partition, F.to_date(time_column))
-    old = stored_rows(docs.sparkSession, path)
-    if old is not None:
-        held = old.join(new.select("snapshot_id").distinct(), "snapshot_id", "left_semi").select(partition).distinct()
-        days = held.unionByName(new.select(partition).distinct()).distinct()
-        new = old.join(days, partition, "left_semi").select(new.columns).unionByName(new)
-    first = F.min(partition).alias(partition)
-    rest = [c for c in new.columns if c not in ("snapshot_id", "position", partition)]
-    newest = F.max(F.struct(ingest, *[c for c in rest if c != ingest])).alias("d")
-    rows = new.groupBy("snapshot_id", "position").agg(newest, first).select("snapshot_id", "position", *[F.col(f"d.{c}").alias(c) for c in rest], partition)
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    store = docs_store(docs.sparkSession, path, partition)
+
+    def build(manifest: dict):
+        new = docs.withColumn(partition, F.to_date(time_column))
+        old = store.read("docs", manifest=manifest)
+        if old is not None:
+            held = old.join(new.select("snapshot_id").distinct(), "snapshot_id", "left_semi").select(partition).distinct()
+            days = held.unionByName(new.select(partition).distinct()).distinct()
+            new = old.join(days, partition, "left_semi").select(new.columns).unionByName(new)
+        first = F.min(partition).alias(partition)
+        rest = [c for c in new.columns if c not in ("snapshot_id", "position", partition)]
+        newest = F.max(F.struct(ingest, *[c for c in rest if c != ingest])).alias("d")
+        rows = new.groupBy("snapshot_id", "position").agg(newest, first).select("snapshot_id", "position", *[F.col(f"d.{c}").alias(c) for c in rest], partition)
+        return {"docs": rows}, None
+
+    return store.change(build)
 
 
 # --- upserts --------------------------------------------------------------------------
@@ -72,12 +75,79 @@ def upsert_window(base: DataFrame, new: DataFrame, keys: list[str], newest: str
     return out.select(*base.columns)
 
 
-def save_window(spark, path: str, new: DataFrame, keys: list[str], partition: str = "date_to", newest: str = "fetched_at") -> None:
-    """Upsert into a partitioned table, touching only the partitions the new rows fall in."""
-    stored = stored_rows(spark, path)
-    base = new.limit(0) if stored is None else stored.join(new.select(partition).distinct(), partition, "left_semi")
-    merged = upsert_window(base, new, keys, newest)
-    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+def window_store(spark: SparkSession, path: str, partition: str = "date_to") -> Store:
+    return Store(spark, path, {"rows": partition, "totals": partition})
+
+
+def totals_of(rows: DataFrame, group: list[str], partition: str = "date_to", newest: str = "fetched_at", measures: tuple[str, ...] = ("shows", "clicks")) -> DataFrame:
+    """Totals of each group's every load window: partial sums a later choice of windows only picks from."""
+    return rows.groupBy(*group, "date_from", partition).agg(
+        F.max(newest).alias(newest), F.count(F.lit(1)).alias("queries"), *[F.sum(c).alias(c) for c in measures])
+
+
+def save_window(
+    spark: SparkSession, path: str, new: DataFrame, keys: list[str], partition: str = "date_to", newest: str = "fetched_at",
+    totals: list[str] | None = None, measures: tuple[str, ...] = ("shows", "clicks"),
+) -> int:
+    """Upsert into a stored table, writing only the partitions the new rows fall in. The new version.
+
+    ``totals``: columns (such as ``["host_id"]``) whose totals by load window are stored beside the rows, in the same
+    version; only windows of the written partitions are summed again, from the rows just written.
+    """
+    store = window_store(spark, path, partition)
+
+    def build(manifest: dict):
+        stored = store.read("rows", manifest=manifest)
+        base = new.limit(0) if stored is None else stored.join(new.select(partition).distinct(), partition, "left_semi")
+        made = {"rows": upsert_window(base, new, keys, newest)}
+        if totals:
+            made["totals"] = lambda staged: totals_of(store.staged_rows(staged, "rows"), totals, partition, newest, measures)
+        return made, None
+
+    return store.change(build)
+
+
+def stored_totals(store: Store, group: list[str], version: int | None = None) -> DataFrame | None:
+    """:func:`window_totals` from the stored totals of :func:`save_window`: the rows themselves are not read."""
+    state = store.read("totals", version)
+    if state is None:
+        return None
+    order = F.struct("date_to", "fetched_at", (-F.unix_date("date_from")).alias("length"))
+    rest = [c for c in state.columns if c not in group]
+    return state.groupBy(*group).agg(F.max_by(F.struct(*rest), order).alias("t")).select(*group, "t.*")
+
+
+def core_store(spark: SparkSession, path: str) -> Store:
+    return Store(spark, path, {"core": "project_id"})
+
+
+def save_core(spark: SparkSession, path: str, project_id: int, new: DataFrame, min_measured: float = 0.5) -> int:
+    """Upsert a project's collected core (:func:`upsert_core`), unless too few of its rows have a frequency. The new version.
+
+    "No data" is not "no demand": a load in which less than ``min_measured`` of the rows have a
+    frequency raises :class:`~visilake.sinks.versions.Rejected`. The share is observed while the rows
+    are written, so the input is computed once.
+    """
+    store = core_store(spark, path)
+
+    def build(manifest: dict):
+        seen = Observation()
+        mine = new.where(F.col("project_id") == project_id)
+        watched = mine.observe(seen, F.count(F.lit(1)).alias("rows"), F.count("freq").alias("measured"))
+        stored = store.read("core", manifest=manifest)
+        base = None if stored is None else stored.where(F.col("project_id") == project_id)
+        rows = watched if base is None else upsert_core(base, watched).select(new.columns)
+
+        def guard():
+            try:
+                counts = seen.get
+            except Py4JJavaError:  # Spark saw that there are no rows and observed nothing
+                counts = {"rows": 0, "measured": 0}
+            return counts, counts["rows"] == 0 or counts["measured"] >= min_measured * counts["rows"]
+
+        return {"core": rows}, guard
+
+    return store.change(build)
 
 
 def upsert_core(base: DataFrame, new: DataFrame) -> DataFrame:
