@@ -61,45 +61,57 @@ def _found(phrase: Column, pattern: str | None) -> Column:
     return F.lit(False) if pattern is None else phrase.rlike(f"(?iu){pattern}")
 
 
-def niche_decision(phrase, niche: Niche) -> Column:
+@dataclass(frozen=True)
+class Hits:
+    """What a niche's dictionary finds: in the phrase, and an object in its seed (None: no objects are known)."""
+
+    service: Column
+    thing: Column
+    seed_thing: Column | None
+    defined: bool
+
+
+def literal_hits(phrase: Column, seed: Column | None, niche: Niche) -> Hits:
+    """Hits of a dictionary that is small enough to stand in the plan; see ``terms`` for tables."""
+    seed_thing = WD.has_prefix(seed, niche.objects) if niche.objects and seed is not None else None
+    return Hits(WD.has_prefix(phrase, niche.services), WD.has_prefix(phrase, niche.objects), seed_thing, niche.defined)
+
+
+def niche_decision(phrase, niche: Niche, hits: Hits | None = None) -> Column:
     """Is it our topic, by the words of the phrase alone."""
     phrase = K._c(phrase)
-    service, thing = WD.has_prefix(phrase, niche.services), WD.has_prefix(phrase, niche.objects)
+    hits = hits or literal_hits(phrase, None, niche)
+    refusal = _final_refusal(phrase, niche, hits)
     return (
-        F.when(_final_refusal(phrase, niche).isNotNull(), _final_refusal(phrase, niche))
-        .when(service, _reason(True, "niche_service"))
-        .when(thing, _reason(False, "object_without_service"))
-        .otherwise(_reason(False, "outside_niche" if niche.defined else "dictionary_undefined"))
+        F.when(refusal.isNotNull(), refusal)
+        .when(hits.service, _reason(True, "niche_service"))
+        .when(hits.thing, _reason(False, "object_without_service"))
+        .otherwise(_reason(False, "outside_niche" if hits.defined else "dictionary_undefined"))
     )
 
 
-def _final_refusal(phrase: Column, niche: Niche) -> Column:
+def _final_refusal(phrase: Column, niche: Niche, hits: Hits) -> Column:
     """Refusals that hold for refinements and associations alike."""
     foreign = F.lit(False) if niche.foreign_name is None else F.trim(phrase).rlike(f"(?iu)^(?:{niche.foreign_name})")
-    return F.when(foreign & ~WD.has_prefix(phrase, niche.services), _reason(False, "foreign_name")).when(
-        _found(phrase, niche.vendor) & ~WD.has_prefix(phrase, niche.objects), _reason(False, "vendor")
-    )
+    return F.when(foreign & ~hits.service, _reason(False, "foreign_name")).when(_found(phrase, niche.vendor) & ~hits.thing, _reason(False, "vendor"))
 
 
-def is_broad(seed, niche: Niche) -> Column:
-    """The seed names no object of the niche."""
-    return F.lit(False) if not niche.objects else ~WD.has_prefix(seed, niche.objects)
-
-
-def judge_candidate(phrase, freq, kind, seed, niche: Niche, min_freq: int = L.POOL_MIN_FREQ, tracked: Column | None = None) -> Column:
+def judge_candidate(phrase, freq, kind, seed, niche: Niche, min_freq: int = L.POOL_MIN_FREQ, tracked: Column | None = None, hits: Hits | None = None) -> Column:
     """Accept or refuse a suggested phrase; the order of the rules is the rule."""
     phrase, freq, kind, seed = map(K._c, (phrase, freq, kind, seed))
     tracked = F.lit(False) if tracked is None else tracked
-    thing = WD.has_prefix(phrase, niche.objects)
+    hits = hits or literal_hits(phrase, seed, niche)
+    broad = F.lit(False) if hits.seed_thing is None else ~hits.seed_thing  # the seed names no object of the niche
+    refusal = _final_refusal(phrase, niche, hits)
     return (
         F.when(tracked, _reason(False, "tracked"))
         .when(K.squeezed(phrase) == K.squeezed(seed), _reason(False, "is_seed"))
         .when(freq < min_freq, _reason(False, "below_min_freq"))
         .when(phrase.rlike(L.NOISE), _reason(False, "noise"))
-        .when(_final_refusal(phrase, niche).isNotNull(), _final_refusal(phrase, niche))
-        .when((kind == "top") & is_broad(seed, niche) & ~thing & phrase.rlike(L.SETUP), _reason(False, "setup_of_broad_seed"))
+        .when(refusal.isNotNull(), refusal)
+        .when((kind == "top") & broad & ~hits.thing & phrase.rlike(L.SETUP), _reason(False, "setup_of_broad_seed"))
         .when(kind == "top", _reason(True, "refinement"))
-        .otherwise(niche_decision(phrase, niche))
+        .otherwise(niche_decision(phrase, niche, hits))
     )
 
 
@@ -253,22 +265,25 @@ def check_queue(core: DataFrame, limit: int = L.CHECK_LIMIT) -> DataFrame:
     ).limit(limit)
 
 
+def newest_results(docs: DataFrame) -> DataFrame:
+    """Documents of each phrase's newest snapshot, whatever its region."""
+    newest = docs.groupBy("phrase").agg(F.max_by("snapshot_id", F.struct("fetched_at", "snapshot_id")).alias("snapshot_id"))
+    return docs.join(newest, ["phrase", "snapshot_id"], "left_semi")
+
+
+def result_text() -> Column:
+    """Title and passage of a result."""
+    return F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("passage", F.lit("")))
+
+
 def domain_profile(docs: DataFrame, niche: Niche, top: int = 10) -> DataFrame:
     """Who stands in the top of a phrase: specialists, teachers, another meaning, clients.
 
     ``docs``: phrase, niche_only (brand phrases count niche objects only), plus document
-    columns; of a phrase's snapshots (snapshot_id, fetched_at) the newest counts, whatever
-    its region, and gives at most ``top`` rows.
+    columns; of a phrase's snapshots (snapshot_id, fetched_at) the newest counts and gives at most ``top`` rows.
     """
-    newest = docs.groupBy("phrase").agg(F.max_by("snapshot_id", F.struct("fetched_at", "snapshot_id")).alias("snapshot_id"))
-    docs = docs.join(newest, ["phrase", "snapshot_id"], "left_semi")
-    domain = K.bare_domain("domain")
-    title = F.coalesce("title", F.lit(""))
-    text = F.concat(title, F.lit(" "), F.coalesce("passage", F.lit("")))
-    educational = F.lit(False)
-    for name in L.EDUCATIONAL_DOMAINS:
-        educational = educational | (domain == name) | F.endswith(domain, F.lit("." + name))
-    educational = educational | domain.rlike(L.EDUCATIONAL_SUBDOMAIN) | title.rlike(L.EDUCATIONAL_TITLE)
+    sites = newest_results(docs).where(~F.col("is_wizard") & (F.col("organic_position") <= top))
+    domain, text = K.bare_domain("domain"), result_text()
 
     def marked(marks) -> Column:
         hit = F.lit(False)
@@ -284,12 +299,20 @@ def domain_profile(docs: DataFrame, niche: Niche, top: int = 10) -> DataFrame:
     other = F.lit(False)
     for mark in niche.other_meaning:
         other = other | F.contains(F.lower(text), F.lit(mark.lower()))
-    client = _found(text, niche.client_marks)
-    sites = docs.where(~F.col("is_wizard") & (F.col("organic_position") <= top))
+    return profile_counts(sites, specialist, other, niche)
+
+
+def profile_counts(sites: DataFrame, specialist: Column, other: Column, niche: Niche) -> DataFrame:
+    """Counts per phrase of the results that are specialists, teachers, another meaning, clients."""
+    domain, title = K.bare_domain("domain"), F.coalesce("title", F.lit(""))
+    educational = F.lit(False)
+    for name in L.EDUCATIONAL_DOMAINS:
+        educational = educational | (domain == name) | F.endswith(domain, F.lit("." + name))
+    educational = educational | domain.rlike(L.EDUCATIONAL_SUBDOMAIN) | title.rlike(L.EDUCATIONAL_TITLE)
     return sites.groupBy("phrase").agg(
         F.count(F.lit(1)).alias("docs"),
         F.count_if(specialist).alias("specialized"), F.count_if(educational).alias("educational"),
-        F.count_if(other).alias("other_meaning"), F.count_if(client).alias("clients"),
+        F.count_if(other).alias("other_meaning"), F.count_if(_found(result_text(), niche.client_marks)).alias("clients"),
         F.transform(F.array_sort(F.collect_list(F.struct("position", domain.alias("domain")))), lambda d: d["domain"]).alias("top_domains"),
     )
 

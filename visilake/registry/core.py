@@ -9,6 +9,7 @@ from ..functions import lists as L
 from ..functions import words as WD
 from ..operators import core as C
 from ..operators import serp as S
+from ..operators import terms as T
 
 #: part names are "<adjective> <thing>": things are services, adjectives are objects
 NICHE = C.Niche(services=("gear", "ring", "widget"), objects=("red", "blue", "large"), domain="steel.example", vendor="plate", foreign_name="old\\s")
@@ -70,6 +71,56 @@ def classify_phrase(spark, sf):
     return _expansions(spark, sf).select("place", "phrase", C.classify_phrase("phrase", BRANDS, NICHE).alias("kind"))
 
 
+def _dictionary(spark, sf):
+    """Terms as a table: per brand and type a brand's spelling, the last thing and the first adjective."""
+    p = B.table(spark, sf, "part").groupBy("p_brand", "p_type").agg(F.min("p_name").alias("first"), F.max("p_name").alias("last"), F.max("p_partkey").alias("key"))
+    brand = F.concat(F.substring("last", -1, 1), F.lit("-"), "p_type", F.lit(" "), (F.col("key") % 97).cast("string"))
+    return p.select(F.inline(F.array(
+        F.struct(F.lit(L.BRAND).alias("mark"), brand.alias("term")),
+        F.struct(F.lit(T.SERVICE).alias("mark"), F.substring(F.substring_index("last", " ", -1), 1, 4).alias("term")),
+        F.struct(F.lit(T.OBJECT).alias("mark"), F.substring("first", 1, 3).alias("term")),
+        F.struct(F.lit("rival").alias("mark"), F.lower("p_type").alias("term")),
+    )))
+
+
+DICTIONARY = EXPANSIONS + """,
+drawn AS (SELECT p_type, min(p_name) AS first, max(p_name) AS last, max(p_partkey) AS key FROM part GROUP BY p_brand, p_type),
+terms AS (
+  SELECT 'brand' AS mark, lower(last[-1:] || p_type || (key % 97)) AS term FROM drawn UNION SELECT 'service', string_split(last, ' ')[-1][1:4] FROM drawn
+  UNION SELECT 'object', first[1:3] FROM drawn UNION SELECT 'rival', lower(p_type) FROM drawn
+),
+phrases AS (SELECT DISTINCT phrase, seed FROM expansions),
+said AS (SELECT DISTINCT phrase AS text FROM phrases UNION SELECT DISTINCT seed FROM phrases),
+spoken AS (SELECT text, unnest(regexp_extract_all(lower(text), '[0-9a-z_]+')) AS word FROM said),
+hits AS (
+  SELECT text, mark, term FROM spoken JOIN terms ON mark <> 'brand' AND starts_with(word, term)
+  UNION SELECT text, mark, term FROM said JOIN terms ON mark = 'brand' AND contains(regexp_replace(lower(text), '[^0-9a-z]+', '', 'g'), term)
+),
+marks AS (SELECT text, bool_or(mark = 'brand') AS named, bool_or(mark = 'service') AS service, bool_or(mark = 'object') AS thing FROM hits GROUP BY text),
+known AS (
+  SELECT e.*, coalesce(m.named, false) AS named, coalesce(m.service, false) AS service, coalesce(m.thing, false) AS thing
+  FROM expansions e LEFT JOIN marks m ON m.text = e.phrase
+)"""
+
+
+def classify_by_terms(spark, sf):
+    return T.classify_phrases(_expansions(spark, sf).select("place", "phrase"), _dictionary(spark, sf))
+
+
+def judge_by_terms(spark, sf):
+    rows = T.judge_candidates(_expansions(spark, sf), _dictionary(spark, sf), C.Niche(vendor="plate", foreign_name="old\\s"))
+    return rows.select("seed", "kind", "place", "phrase", "freq", "accepted", "reason")
+
+
+def term_hits(spark, sf):
+    """How many phrases each term of the dictionary stands in."""
+    said = _expansions(spark, sf).select("phrase").distinct()
+    terms = _dictionary(spark, sf)
+    brands = T.brand_terms(terms.where(F.col("mark") == L.BRAND))
+    hits = T.word_prefixes(said, terms.where(F.col("mark") != L.BRAND)).unionByName(T.contained(said, brands, within=WD.alnum_key("phrase")))
+    return hits.groupBy("mark", "term").agg(F.count(F.lit(1)).alias("phrases"))
+
+
 def _seeds(spark, sf):
     """Brand codes in order; the first two are brand seeds."""
     p = B.table(spark, sf, "part").groupBy(F.lower("p_brand").alias("seed")).agg(F.min("p_partkey").alias("ord"), F.count(F.lit(1)).alias("freq"))
@@ -163,13 +214,14 @@ def stem_dedup(spark, sf):
 
 
 def known_frequencies(spark, sf):
-    snap = B.table(spark, sf, "part").groupBy(F.col("p_name").alias("seed")).agg(F.count(F.lit(1)).alias("freq"))
-    snaps = B.snapshots(spark, sf)
-    names = B.table(spark, sf, "part").select("p_partkey", "p_name")
-    measured = snaps.join(names, F.col("snapshot_id") % 400 == F.col("p_partkey")).select(
-        F.col("p_name").alias("phrase"), F.col("snapshot_id").alias("freq"), "fetched_at", "error"
+    """Small parts are seeds, the large ones core phrases; snapshots are dealt over all parts."""
+    parts = B.table(spark, sf, "part").select("p_partkey", "p_size", F.concat("p_name", F.lit(" "), (F.col("p_partkey") % 200).cast("string")).alias("phrase"))
+    snap = parts.where("p_size <= 25").groupBy(F.col("phrase").alias("seed")).agg(F.count(F.lit(1)).alias("freq"))
+    dealt = max(1, parts.count())
+    measured = B.snapshots(spark, sf).join(parts, F.pmod("snapshot_id", F.lit(dealt)) == F.pmod("p_partkey", F.lit(dealt))).select(
+        "phrase", F.col("snapshot_id").alias("freq"), "fetched_at", "error"
     )
-    core = B.table(spark, sf, "part").where("p_size = 50").groupBy(F.col("p_name").alias("phrase")).agg(F.max("p_partkey").alias("freq"))
+    core = parts.where("p_size > 25").groupBy("phrase").agg(F.max(F.when(F.col("p_partkey") % 2 == 0, F.col("p_partkey"))).alias("freq"))
     return C.known_frequencies(snap, measured, core)
 
 
@@ -271,7 +323,8 @@ def sync_pool(spark, sf):
     latest = WH.latest_window(B.search_queries(spark, sf), ["host_id"])
     tracked = _tracked(spark, sf)
     core = tracked.select("host_id", F.col("query").alias("phrase"), F.when(F.length("query") == 8, L.CORE).otherwise(L.EDGE).alias("verdict"))
-    pages = B.owner_events(spark, sf).where("k >= 80").select("host_id", F.concat(F.lit("query "), F.col("k").cast("string")).alias("query"), F.concat(F.lit("/page-"), F.col("k").cast("string")).alias("url")).distinct()
+    # articles of the last queries target them, the others' topics nobody tracks
+    pages = B.owner_events(spark, sf).select("host_id", F.concat(F.when(F.col("k") >= 80, F.lit("query ")).otherwise(F.lit("topic ")), F.col("k").cast("string")).alias("query"), F.concat(F.lit("/page-"), F.col("k").cast("string")).alias("url")).distinct()
     return C.sync_pool(latest, tracked, core, pages, SYNC_NICHE, min_shows=1, limit=25)
 
 
@@ -290,7 +343,7 @@ best AS (
 latest AS (SELECT s.* FROM search_queries s JOIN best USING (host_id, date_from, date_to)),
 taken AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY host_id ORDER BY shows DESC, query) AS n FROM latest WHERE shows >= 1 AND NOT regexp_matches(query, 'query 1\\d$'))),
 tracked AS (SELECT host_id, ' Query ' || k AS query, 'query ' || k AS key FROM (SELECT host_id, k, count(*) AS n FROM owner_events GROUP BY ALL) WHERE (k + n) % 3 = 0),
-pages AS (SELECT DISTINCT host_id, 'query ' || k AS key, '/page-' || k AS page FROM owner_events WHERE k >= 80),
+pages AS (SELECT DISTINCT host_id, CASE WHEN k >= 80 THEN 'query ' ELSE 'topic ' END || k AS key, '/page-' || k AS page FROM owner_events),
 synced AS (
   SELECT coalesce(w.host_id, t.host_id) AS host_id, coalesce(w.query, t.query) AS query, coalesce(w.shows, 0) AS shows, coalesce(w.clicks, 0) AS clicks,
     w.query IS NOT NULL AS shown, t.query IS NOT NULL AS known, coalesce(w.n > 25, false) AS beyond, coalesce(w.query, t.key) AS key
@@ -302,9 +355,12 @@ QUERIES = {
     "judge_candidate": (judge_candidates, f"WITH {JUDGED} SELECT seed, kind, place, phrase, freq, accepted, reason FROM verdicts"),
     "suggest_pool": (suggest_pool, f"WITH {JUDGED}, r AS (SELECT *, row_number() OVER (PARTITION BY seed, accepted ORDER BY kind <> 'top', freq DESC, place, phrase) AS n FROM verdicts) SELECT seed, kind, place, phrase, freq, accepted, reason, CASE WHEN accepted THEN CAST(n AS INTEGER) END AS rank FROM r WHERE NOT accepted OR n <= 20"),
     "classify_phrase": (classify_phrase, f"WITH {JUDGED} SELECT place, phrase, {_KIND} AS kind FROM verdicts"),
+    "classify_by_terms": (classify_by_terms, f"WITH {DICTIONARY} SELECT place, phrase, CASE WHEN named THEN 'brand' WHEN service AND thing THEN 'target' ELSE 'adjacent' END AS kind FROM known"),
+    "judge_by_terms": (judge_by_terms, f"WITH {DICTIONARY}, judged AS (SELECT *, {_judged(30)} AS reason FROM known) SELECT seed, kind, place, phrase, freq, reason IN ('refinement', 'niche_service') AS accepted, reason FROM judged"),
+    "term_hits": (term_hits, f"WITH {DICTIONARY} SELECT mark, term, count(*) AS phrases FROM hits WHERE text IN (SELECT phrase FROM expansions) GROUP BY mark, term"),
     "collect_core": (collect_core, f"WITH {COLLECTED} SELECT {_T} FROM collected"),
     "stem_dedup": (stem_dedup, f"WITH {FORMS} SELECT phrase, freq, source, k.form_key, forms, CASE WHEN forms = 1 THEN 'single' WHEN lo <> hi THEN 'differing_forms' WHEN phrase = keeper THEN 'collapsed' ELSE 'form_of' END AS form_state, CASE WHEN forms > 1 AND lo IS NOT DISTINCT FROM hi THEN keeper END AS keeper, CASE WHEN forms = 1 OR lo <> hi THEN verdict WHEN phrase <> keeper THEN 'отбросить' WHEN bvr < vr THEN bv ELSE verdict END AS verdict, CASE WHEN forms = 1 OR lo <> hi THEN reason WHEN phrase <> keeper THEN 'form_of' WHEN bvr < vr THEN br ELSE reason END AS reason, CASE WHEN forms > 1 AND lo IS NOT DISTINCT FROM hi AND phrase = keeper AND bvr < vr THEN bc ELSE competition END AS competition FROM keyed k JOIN form_groups g ON g.form_key = k.form_key"),
-    "known_frequencies": (known_frequencies, f"WITH {B.SNAPSHOTS}, parts AS (SELECT p_name AS phrase, count(*) AS freq, 0 AS p, NULL::TIMESTAMP AS seen FROM part GROUP BY p_name UNION ALL SELECT p_name, snapshot_id, 1, fetched_at FROM snapshots JOIN part ON snapshot_id % 400 = p_partkey WHERE error IS NULL UNION ALL SELECT p_name, max(p_partkey), 2, NULL FROM part WHERE p_size = 50 GROUP BY p_name) SELECT phrase, first(freq ORDER BY p DESC, seen DESC NULLS LAST, freq DESC) AS freq FROM parts GROUP BY phrase"),
+    "known_frequencies": (known_frequencies, f"WITH {B.SNAPSHOTS}, named AS (SELECT p_partkey, p_size, p_name || ' ' || (p_partkey % 200) AS phrase, count(*) OVER () AS n FROM part), parts AS (SELECT phrase, count(*) AS freq, 0 AS p, NULL::TIMESTAMP AS seen FROM named WHERE p_size <= 25 GROUP BY phrase UNION ALL SELECT phrase, snapshot_id, 1, fetched_at FROM snapshots JOIN named ON snapshot_id % n = p_partkey % n WHERE error IS NULL UNION ALL SELECT phrase, max(p_partkey) FILTER (p_partkey % 2 = 0), 2, NULL FROM named WHERE p_size > 25 GROUP BY phrase HAVING max(p_partkey) FILTER (p_partkey % 2 = 0) IS NOT NULL) SELECT phrase, first(freq ORDER BY p DESC, seen DESC NULLS LAST, freq DESC) AS freq FROM parts GROUP BY phrase"),
     "check_queue": (check_queue, f"WITH {COLLECTED} SELECT {_T} FROM collected WHERE verdict <> 'отбросить' ORDER BY source <> 'seed', CASE kind WHEN 'brand' THEN 0 WHEN 'target' THEN 1 ELSE 2 END, coalesce(freq, 0) <= 0, coalesce(freq, 0) DESC, phrase LIMIT 60"),
     "summarize_core": (summarize_core, f"WITH {COLLECTED} SELECT CASE WHEN grouping(kind) = 1 THEN 'all' ELSE kind END AS kind, count(*) AS total, count(*) FILTER (verdict = 'ядро') AS core, count(*) FILTER (verdict = 'периферия') AS edge, count(*) FILTER (verdict = 'отбросить') AS dropped FROM collected GROUP BY ROLLUP (kind)"),
     "coverage_guard": (coverage_guard, f"WITH {COLLECTED} SELECT count(*) AS rows, count(freq) AS measured, count(freq) * 2 >= count(*) AS save_allowed FROM collected"),
