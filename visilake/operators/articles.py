@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import keys as K
 from ..functions import lists as L
 from ..functions import words as WD
-from .ranks import _last_two
+from .ranks import newest_two
 
 
 def article_queries(articles: DataFrame) -> DataFrame:
@@ -86,7 +86,7 @@ def articles_latest(articles: DataFrame, checks: DataFrame) -> DataFrame:
     target = articles.withColumnRenamed("target_query", "query").select(*on)
     own = checks.where("error IS NULL").join(target, on, "left_semi")
     value = F.struct("checked_at", "id", "position", "domain_position", "ranking_url", "is_target")
-    both = _last_two(own, ["article_id", "query"], [F.desc("checked_at"), F.desc("id")], value)
+    both = newest_two(own, ["article_id", "query"], value)
     rows = articles.join(both.drop("query"), "article_id", "left")
     out = rows.select(
         *articles.columns,

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.internal import InternalFunction
 
 from ..functions import keys as K
 from ..functions import lists as L
@@ -143,17 +144,16 @@ def record_positions(snapshots: DataFrame, docs: DataFrame, domains: list[str],
 # --- history ------------------------------------------------------------------------
 
 
-def _last_two(rows: DataFrame, keys: list[str], order: list, value: Column) -> DataFrame:
-    """Newest and previous row per key.
+def newest_two(rows: DataFrame, keys: list[str], value: Column) -> DataFrame:
+    """Newest (cur) and previous (prev) value per key and the number of rows (measurements).
 
-    The rank filter reaches the map side (window group limit), so each task passes on at
-    most two rows per key; the full count is a separate pre-combined aggregate.
+    ``value`` is a struct that begins with what it is ordered by. The state of a key, its two greatest
+    values and a count, is merged like any aggregate: each task passes on one such state a
+    key, and the input is read and dealt once.
     """
-    window = W.partitionBy(*keys).orderBy(*order)
-    newest = rows.withColumn("_n", F.row_number().over(window)).where("_n <= 2").groupBy(*keys).agg(
-        F.max(F.when(F.col("_n") == 1, value)).alias("cur"), F.max(F.when(F.col("_n") == 2, value)).alias("prev")
-    )
-    return newest.join(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("measurements")), keys)
+    top = F.reverse(F.array_sort(InternalFunction.collect_top_k(value, 2, False)))
+    both = rows.groupBy(*keys).agg(top.alias("_top"), F.count(F.lit(1)).alias("measurements"))
+    return both.select(*keys, F.get("_top", F.lit(0)).alias("cur"), F.get("_top", F.lit(1)).alias("prev"), "measurements")
 
 
 def latest_positions(positions: DataFrame, domain: str, region=None, queries: DataFrame | None = None) -> DataFrame:
@@ -164,7 +164,7 @@ def latest_positions(positions: DataFrame, domain: str, region=None, queries: Da
     if queries is not None:
         rows = rows.withColumn("_q", K.squeezed("query")).join(queries.select(K.squeezed("query").alias("_q")).distinct(), "_q", "left_semi").drop("_q")
     value = F.struct("checked_at", "id", "position", "samples")
-    both = _last_two(rows, ["query", "region"], [F.desc("checked_at"), F.desc("id")], value)
+    both = newest_two(rows, ["query", "region"], value)
     delta = F.col("prev.position") - F.col("cur.position")
     found = F.filter(F.col("cur.samples.position"), lambda p: p.isNotNull())
     several = F.array_min(found) != F.array_max(found)
