@@ -184,3 +184,24 @@ def test_llms_txt(spark):
     for r in SF.llms_txt_findings(rows).collect():
         codes.setdefault(r.site, set()).add(r.code.removeprefix("llms-txt-"))
     assert codes == {"0": {"empty"}, "2": {"no-h1", "many-h1", "item-without-link", "section-without-list", "no-links"}, "3": {"no-summary", "heading-before-sections", "no-sections"}}
+
+
+def test_losing_deliveries_are_never_parsed(spark, monkeypatch):
+    """Of deliveries of a page a good one wins over a failed one, then the later one; only those asked for are read."""
+    doc = lambda u: f"<yandexsearch><response><found priority='all'>1</found><results><grouping><group><doc><url>{u}</url></doc></group></grouping></results></response></yandexsearch>"
+    at = lambda n: f"2024-01-{n:02}"
+    raw = [
+        (1, 0, at(1), doc("old")), (1, 0, at(2), doc("new")), (1, 0, at(2), doc("new")), (1, 1, at(1), doc("one")),
+        (2, 0, at(1), doc("good")), (2, 0, at(2), "<broken"), (2, 0, at(3), None), (2, 1, at(1), "x"), (2, 1, at(2), "<y"),
+        (3, 0, at(1), doc("only")), (3, 7, at(1), doc("too deep")), *[(4, 0, at(n), doc(f"u{n}")) for n in range(1, 20)],
+    ]
+    rows = spark.createDataFrame([(*r, "q", None) for r in raw], "fetch_id int, page_no int, fetched_at string, xml string, query string, region int")
+    parsed, read = [], SP.serp_docs_from_xml
+    monkeypatch.setattr(SP, "serp_docs_from_xml", lambda df, col="xml": (parsed.append(df.count()), read(df, col))[1])
+    pages = SP.read_deliveries(rows.repartition(3), 20)
+    assert parsed == [6, 2, 1]  # six pages, two whose newest delivery failed, one that failed again
+    found = {(r["fetch_id"], r["page_no"]): ([d["url"] for d in r["docs"]], r["error"] is None, r["fetched_at"]) for r in pages.collect()}
+    assert found == {(1, 0): (["new"], True, at(2)), (1, 1): (["one"], True, at(1)), (2, 0): (["good"], True, at(1)), (2, 1): ([], False, at(2)), (3, 0): (["only"], True, at(1)), (4, 0): (["u19"], True, at(19))}
+    merged = {r["snapshot_id"]: (r["error"] or "", [d["url"] for d in r["docs"]]) for r in SP.merge_serp_pages(pages, 20).collect()}
+    plain = {r["snapshot_id"]: (r["error"] or "", [d["url"] for d in r["docs"]]) for r in SP.merge_serp_pages(read(rows), 20).collect()}
+    assert merged == plain

@@ -108,6 +108,17 @@ def keyword_expansions(spark, sf):
     return rows
 
 
+def latest_keyword_snapshot(spark, sf):
+    """Parts as lines of one snapshot a size, with broken lines, blanks and refused answers; the newest size counts."""
+    p, key = B.table(spark, sf, "part"), F.col("p_partkey")
+    line = F.when(key % 13 == 0, F.lit('{"seed": "broken')).when(key % 17 == 0, F.lit(" ")).when(
+        key % 11 == 0, F.concat(F.lit('{"seed": "'), "p_name", F.lit('", "response": {"_error": "quota"}}'))
+    ).when(key % 7 == 0, F.concat(F.lit('{"seed": "'), "p_name", F.lit('"}'))).otherwise(
+        F.concat(F.lit(' {"seed": "'), "p_name", F.lit('", "response": {"totalCount": "'), key.cast("string"), F.lit('"}}')))
+    file = F.concat(F.lit("wordstat-2024-01-"), F.lpad(F.col("p_size").cast("string"), 2, "0"), F.lit(".jsonl"))
+    return DM.keyword_snapshot(p.select(file.alias("file"), key.alias("line_no"), line.alias("value")))
+
+
 def demand_dynamics(spark, sf):
     """Monthly order counts per customer nation as a payload, read back as a series."""
     monthly = (
@@ -155,6 +166,7 @@ QUERIES = {
     "flag_incomplete": (flag_incomplete, f"WITH {PAGED} SELECT snapshot_id, query, region, 2 AS pages_needed, pages_ok, error FROM gates"),
     "keyword_frequencies": (keyword_frequencies, "SELECT c_name AS phrase, CAST(c_nationkey AS VARCHAR) AS region, CASE WHEN c_custkey % 10 <> 3 THEN (c_custkey * 7) % 500 END AS freq, CASE WHEN c_custkey % 10 = 3 THEN 'quota' END AS error FROM customer"),
     "keyword_expansions": (keyword_expansions, "WITH c AS (SELECT *, CAST(c_nationkey AS VARCHAR) AS region FROM customer WHERE c_custkey % 10 <> 3) SELECT c_name AS seed, region, 'top' AS kind, 1 AS place, lower(c_mktsegment) || ' price' AS phrase, (c_custkey * 3) % 200 AS freq FROM c UNION ALL SELECT c_name, region, 'top', 2, lower(c_name), 0 FROM c UNION ALL SELECT c_name, region, 'association', 1, 'nation ' || c_nationkey, c_custkey % 90 FROM c"),
+    "latest_keyword_snapshot": (latest_keyword_snapshot, "SELECT p_name AS seed, arg_max(CASE WHEN p_partkey % 7 = 0 THEN 0 ELSE p_partkey END, p_partkey) AS freq FROM part WHERE p_size = (SELECT max(p_size) FROM part) AND p_partkey % 13 <> 0 AND p_partkey % 17 <> 0 AND p_partkey % 11 <> 0 GROUP BY p_name"),
     "demand_dynamics": (demand_dynamics, f"WITH {B.SNAPSHOTS} SELECT query AS phrase, strftime(fetched_at, '%Y-%m-01') AS date, count(*) AS count, CASE WHEN count(*) % 2 <> 0 THEN CAST('0.' || count(*) AS DOUBLE) END AS share FROM snapshots GROUP BY query, strftime(fetched_at, '%Y-%m-01')"),
     "demand_by_region": (demand_by_region, "SELECT c_mktsegment AS phrase, CAST(c_nationkey AS VARCHAR) AS region_id, count(*) AS count, CAST(0.5 AS DOUBLE) AS share, CAST(count(*) / 4.0 AS DOUBLE) AS affinity, any_value(n_name) AS label FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY c_mktsegment, c_nationkey"),
     "flatten_region_tree": (flatten_region_tree, "SELECT 'r' || r_regionkey AS id, r_name AS label, 1 AS level FROM region UNION ALL SELECT CAST(n_nationkey AS VARCHAR), n_name, 2 FROM nation"),

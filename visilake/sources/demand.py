@@ -50,27 +50,37 @@ def keyword_expansions_from_json(raw: DataFrame, payload: str = "response") -> D
     return parsed.select(*keep, F.inline(F.concat(kind("results", "top"), kind("associations", "association"))))
 
 
+def keyword_snapshot(lines: DataFrame) -> DataFrame:
+    """Demand by seed from the newest snapshot among stored lines, newest by name.
+
+    ``lines``: file, line_no (any order of the lines of a file), value (one JSON document). Unreadable
+    lines and error rows are left out; the last line of a seed counts; older files are read for
+    their names only.
+    """
+    newest = lines.where(F.col("file") == lines.agg(F.max("file")).scalar())
+    return _snapshot_rows(newest.select("value", F.struct("line_no").alias("at")))
+
+
 def latest_keyword_snapshot(spark, folder: str) -> DataFrame:
-    """Demand by seed from the newest JSONL file of a folder, newest by file name.
+    """:func:`keyword_snapshot` of the newest JSONL file of a folder.
 
-    Unreadable lines and error rows are left out; the last line of a seed counts. The
-    driver picks the newest path from a listing of names; older files stay unread.
+    The driver picks the newest path from a listing of names; older files stay unread.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "wordstat-*.jsonl").load(folder)
     newest = files.agg(F.max_by("path", F.element_at(F.split("path", "/"), -1))).first()[0]
-    schema = T.StructType([T.StructField("seed", T.StringType()), T.StructField("freq", T.LongType())])
     if newest is None:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], "seed string, freq long")
+    return _snapshot_rows(spark.read.text(newest).select("value", F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at")))
+
+
+def _snapshot_rows(lines: DataFrame) -> DataFrame:
+    """(seed, freq) from (value, at): the last good line of each seed."""
     row = "struct<seed:string,response:struct<_error:string,totalCount:string>>"
-    lines = spark.read.text(newest).select(
-        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"),
-        F.try_parse_json(F.trim("value")).isNotNull().alias("readable"),
-        F.from_json(F.trim("value"), row).alias("r"),
-    )
+    read = lines.select("at", F.try_parse_json(F.trim("value")).isNotNull().alias("readable"), F.from_json(F.trim("value"), row).alias("r"))
     return (
-        lines.where("readable AND r.response._error IS NULL")
+        read.where("readable AND r.response._error IS NULL")
         .groupBy(F.coalesce("r.seed", F.lit("")).alias("seed"))
-        .agg(F.max_by(_whole(F.col("r.response.totalCount")), F.struct("block", "line")).alias("freq"))
+        .agg(F.max_by(_whole(F.col("r.response.totalCount")), "at").alias("freq"))
     )
 
 

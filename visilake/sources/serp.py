@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 from xml.parsers import expat
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import keys as K
 from ..functions import lists as L
+from ..session import checkpointed
 from . import xml
 
 PAGE_DOC = T.StructType(
@@ -149,6 +152,36 @@ def serp_docs_from_xml(raw: DataFrame, xml_col: str = "xml") -> DataFrame:
     return parsed.select(*[c for c in parsed.columns if c != "_page"], "_page.error", "_page.found_all", "_page.docs")
 
 
+def read_deliveries(raw: DataFrame, n: int, xml_col: str = "xml") -> DataFrame:
+    """Pages a depth of ``n`` needs, parsed: of several deliveries of one page the one that counts.
+
+    A good delivery wins over a failed one, then the later one. What was delivered is ranked on
+    narrow keys; then the newest delivery of each page is fetched by a semi join and parsed, and only
+    pages whose delivery failed have their next one parsed. Deliveries that lose are never parsed, and payloads
+    are never sorted. Feed the result to :func:`merge_serp_pages`.
+    """
+    slot = ["fetch_id", "page_no", "_asked"]
+    one = [*slot, "fetched_at", "_print"]
+    raw = raw.where(F.col("page_no") < pages_for(n)).withColumns({"_asked": F.xxhash64("query", "region"), "_print": F.xxhash64(xml_col)})
+    newest = W.partitionBy(*slot).orderBy(F.desc("fetched_at"), "_print")
+    waiting = checkpointed(raw.select(*one).distinct().withColumn("_turn", F.row_number().over(newest)))
+    read, turn = [], 1
+    while True:
+        mine = raw.join(waiting.where(F.col("_turn") == turn).drop("_turn"), one, "left_semi").dropDuplicates(one)
+        pages = checkpointed(serp_docs_from_xml(mine, xml_col))
+        read.append(pages)
+        failed = pages.where("error IS NOT NULL").select(*slot)
+        waiting = checkpointed(waiting.where(F.col("_turn") > turn).join(failed, slot, "left_semi"))
+        if waiting.isEmpty():
+            break
+        turn += 1
+    good = [pages.where("error IS NULL") for pages in read]
+    none = read[0].where("error IS NOT NULL")  # the newest of those that all failed
+    for pages in good[1:]:
+        none = none.join(pages.select(*slot), slot, "left_anti")
+    return reduce(DataFrame.unionByName, [*good, none]).drop("_asked", "_print")
+
+
 def page_docs(pages: DataFrame) -> DataFrame:
     """Documents of single pages with their own running and organic positions."""
     numbered = _numbered(F.col("docs"))
