@@ -12,6 +12,7 @@ from ..operators import ranks as R
 from ..operators import serp as S
 from ..session import checkpointed
 from ..plans.actions import newest_snapshots
+from .ranks import scored
 
 
 def _articles(spark, sf):
@@ -124,7 +125,8 @@ def replaced_articles(spark, sf):
 
 
 def query_is_taken(spark, sf):
-    asked = B.snapshots(spark, sf).select("query").distinct().unionByName(B.table(spark, sf, "part").select(F.col("p_name").alias("query")).distinct())
+    """Queries and the names of larger parts are asked for, smaller parts are work in progress."""
+    asked = B.snapshots(spark, sf).select("query").distinct().unionByName(B.table(spark, sf, "part").where("p_size >= 10").select(F.col("p_name").alias("query")).distinct())
     asked = asked.withColumn("exclude_id", F.when(F.length("query") % 2 == 0, F.lit("w-small ring")))
     work = B.table(spark, sf, "part").where("p_size < 10").select("p_name").distinct().select(
         F.concat(F.lit("w-"), "p_name").alias("art_id"), F.concat(F.substring_index("p_name", " ", -1), F.lit(" "), F.substring_index("p_name", " ", 1)).alias("topic")
@@ -215,7 +217,7 @@ def build_briefs(spark, sf):
     freq = B.snapshots(spark, sf).groupBy("query").agg(F.count(F.lit(1)).alias("freq"))
     docs = checkpointed(_newest(spark, sf))
     snaps = docs.select("snapshot_id", "query", "region", "fetched_at", "error").distinct()
-    out = BR.build_briefs(docs, snaps, _expansions(spark, sf), freq, B.AS_OF, 10, "nation-3.example", PATTERNS, SALES, FORMATS, CASES, PRICE)
+    out = BR.build_briefs(docs, snaps, _expansions(spark, sf), freq, B.AS_OF, 10, "nation-3.example", PATTERNS, SALES, FORMATS, CASES, "(?i)" + PRICE)
     return out.select("snapshot_id", "query", "region", "freq", "score", "band", "our_position", F.size("top_pages").alias("top_pages"), F.size("related").alias("related"), F.size("gaps").alias("gaps"), F.size("advice").alias("advice"))
 
 
@@ -224,6 +226,24 @@ _GAPS = """concat_ws(',', 'no_digits:0', CASE WHEN dated >= 3 AND datediff('day'
  CASE WHEN cases = 0 THEN 'no_cases:0' END, CASE WHEN home * 2 > pages THEN 'homepages:' || home END,
  CASE WHEN greatest(offer, standard) > 0 AND greatest(offer, standard) * 2 >= pages THEN 'commercial:' || greatest(offer, standard) END,
  CASE WHEN exact * 3 <= pages THEN 'no_exact_title:' || exact END, CASE WHEN price_asked IS NOT NULL AND priced = 0 THEN 'price_unanswered:0' END)"""
+_STALE = "dated >= 3 AND datediff('day', median_modified, TIMESTAMP '2000-06-01 12:00:00') / 365.25 >= 2"
+TOLD = BRIEFS + scored(10).removeprefix(B.docs_cte("nation")) + f""",
+fmt AS (
+  SELECT snapshot_id, arg_max(label, (hits, label)) AS format FROM (SELECT snapshot_id, unnest(['size', 'metal', 'hot']) AS label, unnest([size, metal, hot]) AS hits FROM facts)
+  WHERE hits >= {L.MIN_PATTERN_PAGES} GROUP BY snapshot_id
+),
+freqs AS (SELECT query, count(*) AS freq FROM snapshots GROUP BY query),
+told AS (
+  SELECT f.snapshot_id, f.query, format, c.our_position, c.score, c.band, q.freq, pages, {_GAPS} AS gaps,
+    concat_ws(',', CASE WHEN our_position > 0 THEN 'update_own_page' END, CASE WHEN format IS NOT NULL THEN 'take_format' ELSE 'no_settled_format' END, 'put_number_in_title',
+      CASE WHEN {_STALE} THEN 'give_fresh_data' END, CASE WHEN cases = 0 THEN 'build_on_own_case' END, CASE WHEN home * 2 > pages THEN 'answer_closer_than_homepage' END,
+      CASE WHEN greatest(offer, standard) > 0 AND greatest(offer, standard) * 2 >= pages THEN 'answer_not_sell' END, CASE WHEN exact * 3 <= pages THEN 'exact_h1' END,
+      CASE WHEN price_asked IS NOT NULL AND priced = 0 THEN 'give_prices' END,
+      CASE WHEN q.freq IS NULL THEN 'no_frequency' WHEN c.score IS NULL THEN NULL WHEN c.band = '{L.BAND_LOW}' THEN 'take' WHEN c.band = '{L.BAND_HIGH}' THEN 'enter_by_refinements' ELSE 'plan_with_refinements' END,
+      CASE WHEN q.freq < {L.LOW_FREQ} THEN 'low_demand' END) AS advice
+  FROM facts f LEFT JOIN asked a ON a.query = f.query LEFT JOIN fmt ON fmt.snapshot_id = f.snapshot_id LEFT JOIN competition c ON c.snapshot_id = f.snapshot_id LEFT JOIN freqs q ON q.query = f.query
+)"""
+_COUNT = "CAST(len(string_split({}, ',')) AS INTEGER)".format
 QUERIES = {
     "article_queries": (article_queries, f"WITH {ARTICLES} SELECT article_id, place, query FROM pairs"),
     "queries_to_measure": (queries_to_measure, f"WITH {ARTICLES} SELECT DISTINCT query FROM pairs"),
@@ -233,11 +253,15 @@ QUERIES = {
     "article_history": (article_history, f"WITH {MEASURED} SELECT * EXCLUDE (target) REPLACE ({D('checked_at')} AS checked_at) FROM measured WHERE article_id = 7 ORDER BY measured.checked_at DESC, snapshot_id DESC LIMIT 50"),
     "article_effectiveness": (article_effectiveness, f"WITH {REPORT} SELECT project_id, count(*) AS articles, count(checked_at) AS measured, count(*) FILTER (verdict = 'works') AS works, count(*) FILTER (verdict = 'coming') AS coming, count(*) FILTER (verdict = 'replaced') AS replaced, count(*) FILTER (verdict = 'missing') AS missing, count(*) FILTER (verdict = 'no_data') AS no_data FROM report GROUP BY project_id"),
     "replaced_articles": (replaced_articles, f"WITH {REPORT} SELECT article_id, url, target_query AS query, ranking_url, domain_position FROM report WHERE verdict = 'replaced'"),
-    "query_is_taken": (query_is_taken, f"WITH {REPORT}, asked AS (SELECT DISTINCT query FROM snapshots UNION ALL SELECT DISTINCT p_name FROM part), a AS (SELECT query, list_aggregate(list_sort(regexp_extract_all(lower(query), '[0-9a-z]+')), 'string_agg', ' ') AS stem_key, CASE WHEN length(query) % 2 = 0 THEN 'w-small ring' END AS ex FROM asked), r AS (SELECT *, list_aggregate(list_sort(regexp_extract_all(lower(target_query), '[0-9a-z]+')), 'string_agg', ' ') AS stem_key FROM report), w AS (SELECT DISTINCT 'w-' || p_name AS art_id, list_aggregate(list_sort(regexp_extract_all(lower(p_name), '[0-9a-z]+')), 'string_agg', ' ') AS stem_key FROM part WHERE p_size < 10), c AS (SELECT stem_key, count(*) AS claimed, count(DISTINCT ranking_url) FILTER (ranking_url IS NOT NULL) AS ranking FROM r GROUP BY stem_key), j AS (SELECT a.query, a.stem_key, coalesce(c.claimed, 0) AS claimed, (SELECT count(*) FROM w WHERE w.stem_key = a.stem_key AND w.art_id IS DISTINCT FROM a.ex) AS in_work, coalesce(c.ranking, 0) AS ranking FROM a LEFT JOIN c ON c.stem_key = a.stem_key) SELECT *, CASE WHEN claimed + in_work + ranking > 0 THEN 'taken' ELSE 'free' END AS verdict, concat_ws(',', CASE WHEN claimed > 0 THEN 'claimed' END, CASE WHEN in_work > 0 THEN 'in_work' END, CASE WHEN ranking > 0 THEN 'ranking' END) AS reasons FROM j"),
+    "query_is_taken": (query_is_taken, f"WITH {REPORT}, asked AS (SELECT DISTINCT query FROM snapshots UNION ALL SELECT DISTINCT p_name FROM part WHERE p_size >= 10), a AS (SELECT query, list_aggregate(list_sort(regexp_extract_all(lower(query), '[0-9a-z]+')), 'string_agg', ' ') AS stem_key, CASE WHEN length(query) % 2 = 0 THEN 'w-small ring' END AS ex FROM asked), r AS (SELECT *, list_aggregate(list_sort(regexp_extract_all(lower(target_query), '[0-9a-z]+')), 'string_agg', ' ') AS stem_key FROM report), w AS (SELECT DISTINCT 'w-' || p_name AS art_id, list_aggregate(list_sort(regexp_extract_all(lower(p_name), '[0-9a-z]+')), 'string_agg', ' ') AS stem_key FROM part WHERE p_size < 10), c AS (SELECT stem_key, count(*) AS claimed, count(DISTINCT ranking_url) FILTER (ranking_url IS NOT NULL) AS ranking FROM r GROUP BY stem_key), j AS (SELECT a.query, a.stem_key, coalesce(c.claimed, 0) AS claimed, (SELECT count(*) FROM w WHERE w.stem_key = a.stem_key AND w.art_id IS DISTINCT FROM a.ex) AS in_work, coalesce(c.ranking, 0) AS ranking FROM a LEFT JOIN c ON c.stem_key = a.stem_key) SELECT *, CASE WHEN claimed + in_work + ranking > 0 THEN 'taken' ELSE 'free' END AS verdict, concat_ws(',', CASE WHEN claimed > 0 THEN 'claimed' END, CASE WHEN in_work > 0 THEN 'in_work' END, CASE WHEN ranking > 0 THEN 'ranking' END) AS reasons FROM j"),
     "set_published": (set_published, f"WITH {ARTICLES}, d AS (SELECT lower(replace(p_brand, '#', '-')) || '/' || p_size AS key, '2025-' || lpad(CAST(max(p_partkey % 12 + 1) AS VARCHAR), 2, '0') || '-01' AS new FROM part GROUP BY 1) SELECT article_id, url, CASE WHEN d.key IS NOT NULL AND active THEN d.new ELSE published_at END AS published_at, published_at AS published_before, d.key IS NOT NULL AND active AS changed FROM articles a LEFT JOIN d ON d.key = split_part(a.key, '/', 2) || '/' || split_part(a.key, '/', 3)"),
     "title_patterns": (title_patterns, f"WITH {BRIEFS} SELECT snapshot_id, query, label, hits AS pages, pages AS \"of\" FROM (SELECT snapshot_id, query, pages, unnest(['size', 'metal', 'hot', 'offer', 'standard']) AS label, unnest([size, metal, hot, offer, standard]) AS hits FROM facts) WHERE hits >= 3"),
     "related_queries": (related_queries, f"WITH {BRIEFS} SELECT query, CAST(rank AS INTEGER) AS rank, upper(phrase[1]) || split_part(phrase, ' ', 1)[2:] || ' ' || upper(split_part(phrase, ' ', 2)[1]) || split_part(phrase, ' ', 2)[2:] AS phrase, freq, kind FROM related"),
     "content_gaps": (content_gaps, f"WITH {BRIEFS} SELECT snapshot_id, f.query, {_GAPS} AS gaps FROM facts f LEFT JOIN asked a ON a.query = f.query"),
-    "brief_recommendations": (brief_recommendations, None),
-    "build_briefs": (build_briefs, None),
+    "brief_recommendations": (brief_recommendations, f"WITH {TOLD} SELECT snapshot_id, query, format, our_position, advice FROM told"),
+    "build_briefs": (build_briefs, f"""WITH {TOLD},
+known AS (SELECT DISTINCT d.snapshot_id, d.query, d.region FROM docs d JOIN newest n ON n.snapshot_id = d.snapshot_id),
+counted AS (SELECT query, count(*) AS related FROM related GROUP BY query)
+SELECT k.snapshot_id, k.query, k.region, t.freq, t.score, coalesce(t.band, '{L.BAND_NONE}') AS band, t.our_position, CAST(t.pages AS INTEGER) AS top_pages, CASE WHEN t.snapshot_id IS NOT NULL THEN CAST(r.related AS INTEGER) END AS related, {_COUNT('gaps')} AS gaps, {_COUNT('advice')} AS advice
+FROM known k LEFT JOIN told t ON t.snapshot_id = k.snapshot_id LEFT JOIN counted r ON r.query = k.query"""),
 }

@@ -300,6 +300,12 @@ def ai_page_facts(spark, sf):
 
 
 def ai_readiness(spark, sf):
+    """All readiness findings; why a page did not answer is told in words, which are left out."""
+    told = F.when(F.col("code") == "page-unavailable", "").otherwise(F.col("evidence"))
+    return ready_findings(spark, sf).withColumn("evidence", told)
+
+
+def ready_findings(spark, sf):
     """Robots, llms.txt and page findings of every crawled site."""
     facts = checkpointed(H.ai_page_facts(_facts(spark, sf)).withColumn("is_home", F.col("url") == F.col("site")))
     robots = _robots(spark, sf)
@@ -311,6 +317,21 @@ def ai_readiness(spark, sf):
     return RD.ai_readiness(facts, files, robots.select("site", "paths")).select("site", "severity", "code", "url", "evidence", "severity_rank")
 
 
+#: every readiness finding; needs FACTS and the sites of SITES
+READY = SITES.removeprefix(B.CRAWL) + """,
+walked AS (SELECT site, n, unnest(p) AS path, generate_subscripts(p, 1) AS i FROM (SELECT site, n, CASE WHEN a = '/' AND b = '/' THEN ['/'] WHEN a = '/' THEN ['/', b] WHEN b = '/' THEN ['/', a] ELSE ['/', a, b] END AS p FROM site_list)),
+closed_paths AS (
+  SELECT w.site, b.bot, b.severity, string_agg(path, ', ' ORDER BY i) AS paths, bool_or(path = '/') AS whole, min(a.line) FILTER (a.line > 0) AS line
+  FROM walked w CROSS JOIN bots b JOIN (SELECT DISTINCT site, bot, path, line FROM access WHERE line <> 0) a USING (site, bot, path) GROUP BY w.site, b.bot, b.severity
+),
+ready AS (
+  SELECT site, 'critical' AS severity, 'robots-txt-forbidden' AS code, site || 'robots.txt' AS url, 'HTTP 403' AS evidence FROM site_list WHERE n = 5
+  UNION ALL SELECT site, 'major', 'llms-txt-missing', site || 'llms.txt', 'HTTP 404' FROM site_list WHERE n % 2 = 1
+  UNION ALL SELECT site, 'major', 'page-unavailable', norm_url, coalesce(CAST(status AS VARCHAR), '') FROM facts WHERE status IS DISTINCT FROM 200
+  UNION ALL SELECT site, 'minor', 'jsonld-missing', norm_url, '0 blocks' FROM facts WHERE status = 200
+  UNION ALL SELECT site, 'minor', 'faq-schema-missing', site, '0 of ' || n FROM site_list
+  UNION ALL SELECT site, severity, 'robots-blocks-' || lower(bot), site || 'robots.txt', bot || ': ' || CASE WHEN whole THEN 'whole site' ELSE paths END || coalesce(' by line ' || line, '') FROM closed_paths
+)"""
 _SHARED = FACTS + """,
 retitled AS (SELECT *, CASE WHEN page_id % 3 = 0 THEN 'Catalogue of ' || regexp_extract(norm_url, '^https?://([^/]+)', 1) ELSE title END AS shared FROM ok WHERE shown),
 grouped AS (SELECT *, trim(regexp_replace(lower(shared), '\\s+', ' ', 'g')) AS value FROM retitled),
@@ -337,5 +358,5 @@ QUERIES = {
     "sitemap_findings": (sitemap_findings, f"WITH {MAPS} SELECT site, 'major' AS severity, 'sitemap-too-large' AS code, url, 'dtd declared' AS evidence FROM opened WHERE refused UNION ALL SELECT site, 'minor', 'sitemap-foreign-host', 'https://elsewhere.test/' || page_id || '.xml', 'another domain, not read' FROM crawl WHERE page_id % 5 = 0"),
     "llms_txt_findings": (llms_txt_findings, f"WITH {LLMS} SELECT site, severity, code, md5(evidence) AS evidence FROM found"),
     "ai_page_facts": (ai_page_facts, f"WITH {B.CRAWL} SELECT norm_url AS url, CASE WHEN page_id % 4 < 2 THEN 1 ELSE 0 END AS jsonld_blocks, CASE WHEN page_id % 4 = 0 THEN 'Corporation,FAQPage,Organization' ELSE '' END AS types, CASE WHEN page_id % 4 = 1 THEN 1 ELSE 0 END AS errors, CASE WHEN page_id % 4 = 2 THEN 'FAQPage' ELSE '' END AS micro, page_id % 4 IN (0, 2) AS faq, CASE WHEN page_id % 4 = 1 THEN 'page.md' ELSE '' END AS markdown FROM crawl"),
-    "ai_readiness": (ai_readiness, None),
+    "ai_readiness": (ai_readiness, f"WITH {FACTS}{READY} SELECT site, severity, code, url, CASE WHEN code = 'page-unavailable' THEN '' ELSE evidence END AS evidence, CASE severity WHEN 'critical' THEN 0 WHEN 'major' THEN 1 ELSE 2 END AS severity_rank FROM ready"),
 }

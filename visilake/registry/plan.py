@@ -136,8 +136,8 @@ def pages_in_both(spark, sf):
 
 
 def _articles(spark, sf):
-    """One page per query below 60, and a second one in another word order for every seventh."""
-    e = B.owner_events(spark, sf).where("k < 60").select(F.col("host_id").alias("site"), "k").distinct()
+    """One page per query, and a second one in another word order for every seventh."""
+    e = B.owner_events(spark, sf).select(F.col("host_id").alias("site"), "k").distinct()
     first = e.select("site", F.concat(F.lit("https://site.example/page-"), (F.col("k") % 41).cast("string"), F.lit("/")).alias("url"), F.concat(F.lit("query "), F.col("k").cast("string")).alias("target_query"))
     second = e.where("k % 7 = 0").select("site", F.concat(F.lit("/post-"), F.col("k").cast("string")).alias("url"), F.concat(F.col("k").cast("string"), F.lit(" query")).alias("target_query"))
     return checkpointed(first.unionByName(second).withColumn("created_at", F.lit("2024-01-01").cast("timestamp")))
@@ -172,8 +172,8 @@ def cannibalization_actions(spark, sf):
 
 CANNIBAL = LATEST + "," + B.docs_cte("nation") + """,
 arts AS (
-  SELECT DISTINCT host_id AS site, '/page-' || (k % 41) AS page, k % 41 AS no, 'query ' || k AS q, k || ' query' AS stem, 'https://site.example/page-' || (k % 41) || '/' AS url, '/page-' || (k % 41) || '/' AS path FROM owner_events WHERE k < 60
-  UNION ALL SELECT DISTINCT host_id, '/post-' || k, NULL, k || ' query', k || ' query', '/post-' || k, '/post-' || k FROM owner_events WHERE k < 60 AND k % 7 = 0
+  SELECT DISTINCT host_id AS site, '/page-' || (k % 41) AS page, k % 41 AS no, 'query ' || k AS q, k || ' query' AS stem, 'https://site.example/page-' || (k % 41) || '/' AS url, '/page-' || (k % 41) || '/' AS path FROM owner_events
+  UNION ALL SELECT DISTINCT host_id, '/post-' || k, NULL, k || ' query', k || ' query', '/post-' || k, '/post-' || k FROM owner_events WHERE k % 7 = 0
 ),
 disputed AS (SELECT site, stem FROM arts GROUP BY site, stem HAVING count(DISTINCT page) > 1),
 stray AS (
@@ -255,7 +255,7 @@ def _findings(spark, sf):
 
 
 def finding_actions(spark, sf):
-    ready = AUDIT.ai_readiness(spark, sf).drop("severity_rank").withColumn("measured_at", F.lit("2024-01-31").cast("timestamp"))
+    ready = AUDIT.ready_findings(spark, sf).drop("severity_rank").withColumn("measured_at", F.lit("2024-01-31").cast("timestamp"))
     return _flat(P.finding_actions(_findings(spark, sf), ready))
 
 
@@ -263,40 +263,45 @@ def finding_actions_audit(spark, sf):
     return P.finding_actions(_findings(spark, sf)).groupBy("site", "section", "rule", "k1").agg(F.sum("count").alias("findings"), F.count(F.lit(1)).alias("items"))
 
 
-def _actions(spark, sf):
-    inputs = Inputs(spark, sf)
-    parts = P.page_actions(inputs.items).unionByName(P.cannibalization_actions(inputs.evidence, inputs.latest))
-    return parts.unionByName(P.gap_actions(*inputs.gaps))
-
-
-def plan_ranked(spark, sf):
-    plan = P.action_plan(_actions(spark, sf), 10)
-    return plan.select("site", "place", "section", "rule", "url", "query", "count", "k1", "k2")
-
-
 def _one_key(column):
-    """Nations and crawled hosts under the keys of the owner's sites."""
+    """The key of an owner's site by its number."""
     return F.concat(F.lit("https:site-"), column.cast("string"), F.lit(".example:443"))
 
 
-def plan_all_sections(spark, sf):
-    """The whole plan: each shared input stored once, every section under one site key."""
+def _owner_of(host):
+    """Crawled hosts belong to the ten sites by a hash of their address."""
+    return _one_key(F.conv(F.substring(F.md5(host), 1, 4), 16, 10).cast("int") % 10)
+
+
+def _whole_plan(spark, sf, limit):
+    """(actions, plan) of all seven sections, every section under the key of an owner's site; the actions are stored."""
     inputs = Inputs(spark, sf)
-    cand, docs, sites, articles, _, pages, demand = inputs.gaps
+    cand, docs, sites, articles, owner, pages, demand = inputs.gaps
     number = _sites(spark, sf).select("site", _one_key(F.col("no")).alias("key"))
     keyed = lambda df: df.join(number, "site").drop("site").withColumnRenamed("key", "site")
-    by_host = lambda df: df.withColumn("site", _one_key(F.length("site") % 10)).withColumn("measured_at", F.lit("2024-01-31").cast("timestamp"))
-    ready = AUDIT.ai_readiness(spark, sf).drop("severity_rank")
-    actions, plan = P.build_plan(
-        keyed(sites), inputs.items, inputs.latest.select("site", "query", "shows"), inputs.evidence, keyed(cand), docs, keyed(articles), keyed(pages), keyed(demand),
-        by_host(checkpointed(AUDIT._all(spark, sf))), by_host(checkpointed(ready)), limit=40,
+    by_host = lambda df: df.withColumn("site", _owner_of(F.col("site"))).withColumn("measured_at", F.lit("2024-01-31").cast("timestamp"))
+    queries = inputs.latest.select("site", "query", F.col("shows").cast("long").alias("shows")).unionByName(keyed(owner).select("site", "query", F.col("shows").cast("long").alias("shows")))
+    actions, _ = P.build_plan(
+        keyed(sites), inputs.items, queries, inputs.evidence, keyed(cand), docs, keyed(articles), keyed(pages), keyed(demand),
+        by_host(checkpointed(AUDIT._all(spark, sf))), by_host(checkpointed(AUDIT.ready_findings(spark, sf))), limit=limit,
     )
-    return plan.groupBy("section").agg(F.count(F.lit(1)).alias("items"), F.countDistinct("site").alias("sites"))
+    actions = checkpointed(actions)
+    return actions, P.action_plan(actions, limit)
+
+
+def plan_ranked(spark, sf):
+    _, plan = _whole_plan(spark, sf, 10)
+    return plan.select("site", "place", "section", "rule", "url", "query", "count", "k1", "k2")
+
+
+def plan_all_sections(spark, sf):
+    """Every item of every section with its place."""
+    _, plan = _whole_plan(spark, sf, 1 << 30)
+    return plan.select("site", "place", "section", "rule", "url", "query", "count", F.size("evidence").cast("bigint").alias("evidence"), "k1", "k2", "k3", "k4", "tie")
 
 
 def plan_hidden(spark, sf):
-    actions = checkpointed(_actions(spark, sf))
-    return P.hidden_counts(actions, P.action_plan(actions, 10))
+    return P.hidden_counts(*_whole_plan(spark, sf, 10))
 
 
 def plan_missing(spark, sf):
@@ -329,8 +334,35 @@ _CANNIBAL_ACTIONS = """SELECT g.site, 'cannibalization' AS section, 'cannibaliza
   LEFT JOIN (SELECT host_id AS site, query, max(shows) AS shows FROM latest GROUP BY ALL) l ON l.site = g.site AND l.query = lower(g.query)
   WHERE pages >= 2 AND rules <> 'serp'"""
 _GAP_ACTIONS = "SELECT site, 'competitor_gaps' AS section, 'rival_in_results' AS rule, first(url ORDER BY position, domain) AS url, query, count(*) AS count, least(count(*), 3) AS evidence, -CAST(max(freq) AS DOUBLE) AS k1, CAST(0 AS DOUBLE) AS k2, CAST(0 AS DOUBLE) AS k3, CAST(0 AS DOUBLE) AS k4, query || ' ' || region AS tie FROM standing GROUP BY site, query, region"
+_PATH = "coalesce(nullif(regexp_extract({0}, '^[^:/?#]*://[^/?#]*([^?#]*)', 1), ''), '/')".format
+
+
+def _finding_items(site):
+    """SQL of the findings' items, sites named by the expression ``site``; needs FACTS, READY and every."""
+    rank = "CASE severity WHEN 'critical' THEN 0 WHEN 'major' THEN 1 ELSE 2 END"
+    main = ", ".join(f"'{c}'" for c in L.READINESS_MAIN)
+    return f"""
+found_rows AS (SELECT {site} AS site, severity, code, url, {_PATH('url')} AS path, {rank} AS rank FROM every WHERE code NOT IN {L.AUDIT_INFO_CODES}),
+ready_rows AS (
+  SELECT {site} AS site, severity, code, url, {_PATH('url')} AS path, {rank} AS rank, CASE WHEN code LIKE 'robots%' THEN 0 WHEN code LIKE 'llms%' THEN 1 WHEN code LIKE 'jsonld%' THEN 2 ELSE 3 END AS kind,
+         CASE WHEN contains(evidence, 'whole site') THEN 0 ELSE 1 END AS part, code IN {L.READINESS_INDEXING} AS indexing,
+         code LIKE 'robots-blocks-%' OR code IN ({main}) OR (code = 'jsonld-missing' AND severity <> 'minor') AS ai
+  FROM ready WHERE code <> '{L.READINESS_SKIP[0]}'
+),
+finding_items AS (
+  SELECT site, 'indexing' AS section, 'audit:' || code AS rule, url, CAST(NULL AS VARCHAR) AS query, 1 AS count, 1 AS evidence, CAST(rank AS DOUBLE) AS k1, CAST(-1 AS DOUBLE) AS k2, CAST(0 AS DOUBLE) AS k3, CAST(0 AS DOUBLE) AS k4, code || ' ' || path AS tie FROM found_rows WHERE severity = 'critical'
+  UNION ALL SELECT site, 'other', 'audit:' || code, first(url ORDER BY path, url), NULL, count(*), least(count(*), 5), any_value(rank), -count(*), 0, 0, code || ' ' || min(path) FROM found_rows WHERE severity <> 'critical' GROUP BY site, severity, code
+  UNION ALL SELECT site, CASE WHEN indexing THEN 'indexing' ELSE 'ai_search' END, 'readiness:' || code, url, NULL, 1, 1, rank, kind, part, 0, code FROM ready_rows WHERE indexing OR ai
+  UNION ALL SELECT site, 'other', 'readiness:' || code, first(url ORDER BY path, url), NULL, count(*), least(count(*), 5), any_value(rank), any_value(kind), 1, 0, code FROM ready_rows WHERE NOT indexing AND NOT ai GROUP BY site, severity, code
+)"""
+
+
+_FOUND = f"{AUDIT.FACTS}{AUDIT.READY}, {AUDIT._RULE_ROWS}, {AUDIT._EVERY}"
+_OWNER = "'https:site-' || (CAST('0x' || substr(md5(site), 1, 4) AS INTEGER) % 10) || '.example:443'"
+_GAPS_BY_OWNER = f"SELECT g.* REPLACE ('https:site-' || n_nationkey || '.example:443' AS site) FROM ({_GAP_ACTIONS}) g JOIN nation ON n_name = g.site"
 WHOLE = CANNIBAL + "," + GAP_REST + f""",
-every_action AS ({_PAGE_ACTIONS} UNION ALL {_CANNIBAL_ACTIONS} UNION ALL {_GAP_ACTIONS}),
+{_FOUND.lstrip()},{_finding_items(_OWNER)},
+every_action AS ({_PAGE_ACTIONS} UNION ALL {_CANNIBAL_ACTIONS} UNION ALL {_GAPS_BY_OWNER} UNION ALL SELECT * FROM finding_items),
 placed AS (
   SELECT *, row_number() OVER (PARTITION BY site ORDER BY list_position(['indexing', 'quick_wins', 'snippet', 'cannibalization', 'ai_search', 'competitor_gaps', 'other'], section), k1, k2, k3, k4, tie, rule, url) AS place
   FROM every_action
@@ -345,7 +377,7 @@ QUERIES = {
     "cannibalization_actions": (cannibalization_actions, f"WITH {CANNIBAL} {_CANNIBAL_ACTIONS}"),
     "gap_rivals": (gap_rivals, f"WITH {GAPS} SELECT * FROM rivals"),
     "gap_actions": (gap_actions, f"WITH {GAPS} {_GAP_ACTIONS}"),
-    "finding_actions": (finding_actions, None),
+    "finding_actions": (finding_actions, f"WITH {_FOUND},{_finding_items('site')} SELECT * FROM finding_items"),
     "finding_actions_audit": (finding_actions_audit, f"WITH {AUDIT.FACTS}, {AUDIT._RULE_ROWS}, {AUDIT._EVERY} SELECT site, CASE WHEN severity = 'critical' THEN 'indexing' ELSE 'other' END AS section, 'audit:' || code AS rule, CAST(CASE severity WHEN 'critical' THEN 0 WHEN 'major' THEN 1 ELSE 2 END AS DOUBLE) AS k1, count(*) AS findings, CASE WHEN severity = 'critical' THEN count(*) ELSE 1 END AS items FROM every WHERE code NOT IN ('noindex-not-checked', 'robots-disallow-not-checked') GROUP BY site, severity, code"),
     "plan_ranked": (plan_ranked, f"WITH {WHOLE} SELECT site, CAST(place AS INTEGER) AS place, section, rule, url, query, count, k1, k2 FROM placed WHERE place <= 10"),
     "plan_hidden": (plan_hidden, f"WITH {WHOLE} SELECT site, section, count(*) AS total, count(*) FILTER (place > 10) AS hidden FROM placed GROUP BY site, section HAVING count(*) FILTER (place > 10) > 0"),
@@ -366,7 +398,7 @@ UNION ALL SELECT site, 'no_ranks', NULL FROM known WHERE r IS NULL
 UNION ALL SELECT site, 'no_snapshots', NULL FROM known WHERE s IS NULL
 UNION ALL SELECT site, 'queries_without_page', no_page FROM known WHERE no_page > 0
 UNION ALL SELECT site, 'queries_without_demand', no_demand FROM known WHERE no_demand > 0"""),
-    "plan_all_sections": (plan_all_sections, None),
+    "plan_all_sections": (plan_all_sections, f"WITH {WHOLE} SELECT site, CAST(place AS INTEGER) AS place, section, rule, url, query, count, evidence, k1, k2, k3, k4, tie FROM placed"),
     "reusable_audits": (reusable_audits, "WITH r AS (SELECT 'https://c-' || o_custkey || '.example/' AS url, o_orderkey AS id, o_orderdate, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders WHERE o_orderstatus <> 'P') SELECT url, id, strftime(o_orderdate, '%Y-%m-%d') AS started_at, 30 AS pages, id % 9 AS findings, CAST(datediff('day', o_orderdate, TIMESTAMP '2001-08-02') AS DOUBLE) AS age_days, datediff('day', o_orderdate, TIMESTAMP '2001-08-02') <= 7 AS reusable FROM r WHERE rn = 1"),
     "list_audits": (list_audits, "SELECT o_orderkey AS id, 'c-' || o_custkey AS url, strftime(o_orderdate, '%Y-%m-%d') AS started_at FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 20"),
 }

@@ -120,14 +120,16 @@ def _points(name, expr, weight):
     return f"round({expr} * {weight} * 100, 1) AS {name}_points, round({expr}, 3) AS {name}"
 
 
-SCORED = B.docs_cte("nation") + f""",
+def scored(top):
+    """SQL of the scores over the first ``top`` sites."""
+    return B.docs_cte("nation") + f""",
 factors AS (
   SELECT snapshot_id, count(*) AS docs_analysed, avg(least(title_hlwords / 2.0, 1.0)) AS title_fit,
          least(log10(greatest(median(domain_doccount), 1) + 1) / 3, 1.0) AS depth_coverage,
          avg(CASE WHEN regexp_matches(domain, '(^|\\.)(vk\\.com|t\\.me)$') THEN 1 ELSE 0 END) AS portal_share,
          avg(CASE WHEN url_depth = 0 THEN 1 ELSE 0 END) AS homepage_share,
          avg(CASE WHEN modified >= TIMESTAMP '1998-06-01 12:00:00' THEN 1 ELSE 0 END) AS freshness
-  FROM docs WHERE error IS NULL AND NOT is_wizard AND organic_position <= 5 GROUP BY snapshot_id
+  FROM docs WHERE error IS NULL AND NOT is_wizard AND organic_position <= {top} GROUP BY snapshot_id
 ),
 points AS (
   SELECT snapshot_id, docs_analysed, {", ".join(_points(n, n, w) for n, w in L.WEIGHTS.items())} FROM factors
@@ -148,6 +150,9 @@ competition AS (
 )"""
 
 
+SCORED = scored(5)
+
+
 def _competition(spark, sf):
     return S.competition_score(B.docs(spark, sf, "nation"), B.AS_OF, 5, B.snapshots(spark, sf), "nation-3.example")
 
