@@ -13,7 +13,7 @@ What moves is kept small without losing a window:
 * a document's windows under a gram are told to others unless it is the largest that holds the gram,
   and judged unless it is the smallest; both sides are hashed, the first counted by Spark with the
   smallest document a window starts in, the second joined to that;
-* texts travel compressed, and are dealt by document once; Spark reuses that exchange.
+* texts are dealt by document once; Spark reuses that exchange.
 
 Counts are pre-aggregated, so a passage in a third of all documents is one row a task. Each count
 joins back to rows, never a group to a list; the counts are dealt anew for that, so that Spark can
@@ -34,7 +34,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -125,32 +124,17 @@ class Windows:
         return (hashed >> _U(64 - bits)).view(np.int64), (check >> _U(48)).astype(np.uint16).view(np.int16)
 
 
-def _packed(rows: DataFrame) -> DataFrame:
-    """Rows with their ``text`` as compressed bytes in ``packed``."""
-    names = [c for c in rows.columns if c != "text"]
-
-    def pack(batches):
-        press = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            texts = batch.column("text").cast(pa.large_binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array([press.compress(t.as_buffer()) for t in texts], pa.binary())], names=[*names, "packed"])
-
-    return rows.mapInArrow(pack, ", ".join(f"{n} long" for n in names) + ", packed binary")
-
-
 def _sliced(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[bytes]]]:
     """Consecutive rows whose texts fill a slice, or one long text."""
-    unpack = zstandard.ZstdDecompressor()
-    start, size, texts = 0, 0, []
-    for i, packed in enumerate(batch.column("packed")):
-        text = unpack.decompress(packed.as_buffer())
+    texts = batch.column("text").cast(pa.large_binary()).to_pylist()
+    start, size = 0, 0
+    for i, text in enumerate(texts):
         if size and size + len(text) > SLICE_BYTES:
-            yield start, i, texts
-            start, size, texts = i, 0, []
+            yield start, i, texts[start:i]
+            start, size = i, 0
         size += len(text) + 1
-        texts.append(text)
-    if texts:
-        yield start, start + len(texts), texts
+    if start < len(texts):
+        yield start, len(texts), texts[start:]
 
 
 def _least_grams(texts: DataFrame, key: list[str], size: int, gram: int) -> DataFrame:
@@ -199,7 +183,7 @@ def _windows(texts: DataFrame, key: list[str], size: int, gram: int, bits: int,
 
 
 def _kept(rows: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n_words, removed, kept_text) from (doc_id, packed, copied, places)."""
+    """(doc_id, n_words, removed, kept_text) from (doc_id, text, copied, places)."""
     schema = "doc_id long, n_words long, removed array<struct<start: long, end: long>>, kept_text string"
     arrow = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("removed", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept_text", pa.string())])
 
@@ -239,7 +223,7 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, doc_id:
     narrow = stored(named.select("doc_id", "row_key", F.md5("text").alias("same")), "keys")
     texts_of = narrow.groupBy("doc_id").agg(F.min("same").alias("a"), F.max("same").alias("b"))
     key = ["doc_id"] if texts_of.where("a <> b").isEmpty() else ["doc_id", "row_key"]
-    named = _packed(named.select(*key, "text"))
+    named = named.select(*key, "text")
     first = narrow.groupBy("same").agg(F.min("doc_id").alias("first"))
     told = narrow.join(first, "same").select(*key, (F.col("doc_id") > F.col("first")).alias("copied")).distinct()
     told = stored(told, "copies")
@@ -251,14 +235,14 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, doc_id:
     shared = counted.select(F.bitwise_not("inverse").alias("gram"), "least", "most")
     does = F.when(F.col("doc_id") < F.col("most"), TELLS).otherwise(0) + F.when(F.col("doc_id") > F.col("least"), ASKS).otherwise(0)
     marked = grams.join(shared, "gram").groupBy(*key).agg(F.collect_set(F.col("gram") * 4 + does).alias("grams"))
-    asked = texts.join(marked, key).select(*key, "packed", "grams")
+    asked = texts.join(marked, key).select(*key, "text", "grams")
     told_by = _windows(asked, key, size, gram, bits, TELLS)
     begun = told_by.groupBy(F.bitwise_not("hash").alias("inverse"), "check").agg(F.min("doc_id").alias("first"))
     again = _windows(asked, key, size, gram, bits, ASKS).join(begun.select(F.bitwise_not("inverse").alias("hash"), "check", "first"), ["hash", "check"]).where("doc_id > first")
     again = again.groupBy(*key).agg(F.collect_set("pos").alias("places"))
     fate = again.select(*key, F.lit(False).alias("copied"), "places").unionByName(told.where("copied").select(*key, "copied", F.expr("cast(null as array<int>)").alias("places")))
-    judged = named.join(fate, key, "left").select("doc_id", "packed", "copied", "places")
-    unnamed = _packed(rows.where(F.col("doc_id").isNull()).select("doc_id", "text")).select("doc_id", "packed", F.lit(False).alias("copied"), F.expr("cast(null as array<int>)").alias("places"))
+    judged = named.join(fate, key, "left").select("doc_id", "text", "copied", "places")
+    unnamed = rows.where(F.col("doc_id").isNull()).select("doc_id", "text", F.lit(False).alias("copied"), F.expr("cast(null as array<int>)").alias("places"))
     return _kept(judged.unionByName(unnamed), size)
 
 
