@@ -131,3 +131,16 @@ def test_empty_table(spark, tmp_path):
     table(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert cp.run(spark, str(tmp_path)).collect() == []
+
+
+def test_stages_take_extra_columns_and_very_long_texts(spark, folder):
+    long = made_up(77, 60_000)
+    rows = [(1, made_up(1, 80), "a"), (2, long, "a"), (3, long + " end", "b"), (4, made_up(4, 40) + "\n" + made_up(900, 30) + " " + made_up(5, 40), "a"), (5, long[:200_000] + " " + made_up(901, 30) + " " + made_up(6, 9000), "c"), (None, made_up(8, 30), None)]
+    docs = table(spark, rows).selectExpr(
+        "*", "1 AS row_name", "2 AS row_key", "'x' AS name", "3 AS node", "4 AS hash", "5 AS spans", "6 AS item_id", "7 AS start", "8 AS lang_pred", "9 AS score", "10 AS print", "11 AS size", "12 AS secret", "13 AS secrets")
+    for name, stage in cp.STAGES[:-1]:
+        kept = stage(spark, docs, folder)
+        assert kept.columns == list(cp.COLUMNS), name
+        ids = sorted((r["doc_id"] or 0) for r in kept.collect())
+        assert ids == {"near_copies": [0, 1, 2, 4, 5], "leaks": [0, 1, 2, 3]}.get(name, [0, 1, 2, 3, 4, 5]), name
+    assert sorted((r["doc_id"] or 0) for r in cp.STAGES[-1][1](spark, docs, folder).collect()) == [0, 1, 2, 3, 4, 5]

@@ -1,4 +1,8 @@
-"""Helpers shared by the document operators: stored steps and a distributed total order."""
+"""Helpers shared by the document operators: stored steps and a distributed total order.
+
+Steps lie in a folder of the application inside the shared one; ``session.remove_run`` removes them
+when all results that rest on them are written.
+"""
 
 from __future__ import annotations
 
@@ -8,11 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import shared_folder
+from ..session import run_folder
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str = "step") -> DataFrame:
