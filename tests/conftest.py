@@ -5,11 +5,12 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from visilake.session import local_session
+from visilake.session import local_session, remove_run
 
 
 @pytest.fixture(scope="session")
 def spark():
     session = local_session(cpus=4, shuffle_partitions=4, memory="6g")
     yield session
+    remove_run(session)
     session.stop()

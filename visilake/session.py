@@ -25,8 +25,8 @@ DEFAULTS = {
 }
 
 
-def local_session(cpus: int = 8, shuffle_partitions: int | None = None, memory: str = "12g") -> SparkSession:
-    """A single-JVM session for tests and the benchmark."""
+def local_session(cpus: int = 8, shuffle_partitions: int | None = None, memory: str = "12g", folder: str = LOCAL_FOLDER) -> SparkSession:
+    """A single-JVM session for tests and the benchmark; stored steps go to ``folder``."""
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("visilake")
@@ -34,7 +34,7 @@ def local_session(cpus: int = 8, shuffle_partitions: int | None = None, memory:
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cpus))
         .config(DEAL_CONF, str(cpus))
-        .config(CHECKPOINT_CONF, LOCAL_FOLDER)
+        .config(CHECKPOINT_CONF, folder)
     )
     for key, value in DEFAULTS.items():
         builder = builder.config(key, value)
@@ -63,6 +63,17 @@ def shared_folder(spark: SparkSession) -> str:
     return LOCAL_FOLDER
 
 
+def run_folder(spark: SparkSession) -> str:
+    """Where this application stores its steps, inside the shared folder."""
+    return f"{shared_folder(spark)}/steps-{spark.sparkContext.applicationId}"
+
+
+def remove_run(spark: SparkSession) -> bool:
+    """Remove the steps this application has stored; no frame that reads one may be used afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage through reliable storage in the shared folder."""
     context = df.sparkSession.sparkContext
