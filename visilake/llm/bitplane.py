@@ -14,7 +14,8 @@ pieces combine by the linearity of crc32.
 
 Null and empty texts hold just the end id. Rows of equal id are ordered by a hash of their text;
 equal rows are interchangeable; a null id sorts first. A tokenizer file that only the driver can
-see must be sent to the executors first. A worker keeps the ids of a bounded number of words.
+see must be sent to the executors first. A worker keeps the ids of a bounded number of words. Very long
+texts are encoded in slices to the same ids. An empty table gives no rows; columns of other names play no part.
 """
 
 from __future__ import annotations

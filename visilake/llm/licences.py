@@ -10,7 +10,8 @@ of it is found: each holds the phrase's rarest word.
 
 The work is row-local: one pass for the frequencies of the few notice words, one for the scan.
 Null and empty texts have no words and no labels. Repeated rows get equal answers, a word that
-fills a long document costs a constant per occurrence, and other columns stay untouched.
+fills a long document costs a constant per occurrence, and other columns stay untouched. An empty
+table gives no rows.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ order by range blocks, and the asked-for prefixes alone move to their askers.
 
 Null texts count as empty. Texts without a word share one signature, which equals only its like.
 Next goes by descending id, then by a hash of the text; equal rows count as one document in that
-order and each row is returned; a null id comes last. A single document is its own next.
+order and each row is returned; a null id comes last. A single document is its own next. Very long texts
+are read whole. An empty table gives no rows; columns of other names play no part.
 """
 
 from __future__ import annotations

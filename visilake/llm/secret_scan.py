@@ -17,6 +17,7 @@ documents) are pre-aggregated by (hash, owner) and (hash, repository) before the
 
 Null text counts as empty, with no spans; a null owner counts as one owner of its own. Equal rows
 get equal answers, rows of one id with different texts are kept apart, other columns stay untouched.
+Very long texts are scanned whole. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ differ from the target by half a document at each end. Texts never move: only (i
 checksum) rows are dealt by range; a partition's total joins the totals of those before it.
 
 Null text counts as empty (size 1). Rows of equal id are ordered by checksum and size, equal
-rows are interchangeable. A null id sorts first. An empty table gives no rows.
+rows are interchangeable. A null id sorts first. A very long text is one row of its size and may fill
+more than a shard's share alone. An empty table gives no rows; columns of other names play no part.
 """
 
 from __future__ import annotations

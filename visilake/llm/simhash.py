@@ -23,7 +23,8 @@ is compared under the first key it shares, and not at all once its points are jo
 
 Null and empty texts have fingerprint zero and link like any other. Rows of equal id are separate
 rows; a null id never becomes a component's id unless all its rows have none. Visits multiply
-with the depth of the tree by about 1.4 a level at radius 2, so work grows a little under n^1.5.
+with the depth of the tree by about 1.4 a level at radius 2, so work grows a little under n^1.5. Very
+long texts are read whole. An empty table gives no rows; columns of other names play no part.
 """
 
 from __future__ import annotations
