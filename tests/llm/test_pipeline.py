@@ -144,3 +144,17 @@ def test_stages_take_extra_columns_and_very_long_texts(spark, folder):
         ids = sorted((r["doc_id"] or 0) for r in kept.collect())
         assert ids == {"near_copies": [0, 1, 2, 4, 5], "leaks": [0, 1, 2, 3]}.get(name, [0, 1, 2, 3, 4, 5]), name
     assert sorted((r["doc_id"] or 0) for r in cp.STAGES[-1][1](spark, docs, folder).collect()) == [0, 1, 2, 3, 4, 5]
+
+
+def test_language_drops_what_is_far_from_every_profile(spark, folder):
+    rows = [(i, made_up(i, 60), "a") for i in range(40)]
+    strange = ["Съешь же ещё этих мягких французских булок да выпей чаю " * 3, "いろはにほへと ちりぬるを わかよたれそ " * 5]
+    rows += [(100 + i, t, "a") for i, t in enumerate(strange)] + [(200, "Съешь", "a"), (201, "いろは 123", "a"), (202, made_up(3, 30) + " Съешь же ещё", "a"), (203, made_up(4, 2).upper() + "!!", "a")]
+    kept = sorted(r["doc_id"] for r in cp.keep_known_languages(spark, table(spark, rows), folder).collect())
+    assert kept == [*range(40), 200, 201, 202, 203]
+
+
+def test_short_benchmark_items_are_no_leak(spark, tmp_path):
+    spark.createDataFrame([(1, "Paris"), (2, "two words"), (3, "three short words")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, "in Paris there are two words", "a"), (2, "here: Three  short\nwords.", "a"), (3, "three short wordsmiths", "a")]
+    assert sorted(r["doc_id"] for r in cp.drop_benchmark_leaks(spark, table(spark, rows), str(tmp_path)).collect()) == [1, 3]
