@@ -14,6 +14,7 @@ def values(spark, column, inputs):
     return [r[0] for r in rows.orderBy("i").select(column.alias("out")).collect()]
 
 
+# Golden pairs whose keys must meet, and pairs whose keys must stay apart.
 SAME = [
     ("сквозная аналитика", "сквозные аналитики"),
     ("система сквозной аналитики", "аналитика система сквозной"),
@@ -30,11 +31,14 @@ DIFFERENT = [
     ("сквозная аналитика", "сквозная аналитика метрики"),
     ("брендинг жк", "брендинг жк москва"),
 ]
+#: the same on other words
+OWN_SAME = [("купить окна", "окно купить"), ("доставка цветов", "Цветы  доставка"), ("ремонт квартир", "квартира: ремонты"), ("steel rings", "rings steel")]
+OWN_DIFFERENT = [("ремонт квартир", "ремонт домов"), ("доставка цветов", "доставка"), ("steel rings", "steel ring 24")]
 
 
 def test_word_forms_meet_and_stay_apart(spark):
     pairs = spark.createDataFrame(
-        [(a, b, True) for a, b in SAME] + [(a, b, False) for a, b in DIFFERENT], "a string, b string, same boolean"
+        [(a, b, True) for a, b in SAME + OWN_SAME] + [(a, b, False) for a, b in DIFFERENT + OWN_DIFFERENT], "a string, b string, same boolean"
     )
     wrong = pairs.where(W.same_query("a", "b") != F.col("same")).collect()
     assert wrong == []

@@ -86,6 +86,11 @@ def registrable_domain(col: ColumnOrName) -> Column:
     return let(host_of(col), _registered)
 
 
+def registered_of(host: Column) -> Column:
+    """:func:`registrable_domain` of a host, as :func:`host_of` gives it."""
+    return _registered(host)
+
+
 def _registered(host: Column) -> Column:
     two = F.substring_index(host, ".", -2)
     return (
@@ -105,7 +110,12 @@ def host_spellings(domain: str) -> tuple[str, ...]:
 
 
 def domain_matches(url: ColumnOrName, domain: str, mode: str = "site") -> Column:
-    """Does the address belong to the literal ``domain``.
+    """Does the address belong to the literal ``domain``; see :func:`host_matches`."""
+    return let(host_of(url), lambda host: host_matches(host, domain, mode))
+
+
+def host_matches(host: Column, domain: str, mode: str = "site") -> Column:
+    """Does a host, as :func:`host_of` gives it, belong to the literal ``domain``.
 
     ``host``: the same host. ``site``: the same registered domain; where the domain is
     itself a subdomain, only that host and its children. Both spellings of an
@@ -116,7 +126,6 @@ def domain_matches(url: ColumnOrName, domain: str, mode: str = "site") -> Column
     names = [n for n in host_spellings(domain) if n]
     if not names:
         return F.lit(False)
-    host = host_of(url)
     if mode == "host":
         return host.isin(*names)
     hits = []
@@ -125,7 +134,7 @@ def domain_matches(url: ColumnOrName, domain: str, mode: str = "site") -> Column
         ip = ":" in name or (len(labels) == 4 and all(p.isdigit() for p in labels))
         keep = 3 if ".".join(labels[-2:]) in L.TWO_LABEL_SUFFIXES else 2
         if ip or len(labels) <= keep:
-            hits.append(registrable_domain(url) == name)
+            hits.append(_registered(host) == name)
         else:
             hits.append((host == name) | F.endswith(host, F.lit("." + name)))
     found = hits[0]
@@ -140,8 +149,13 @@ def domain_matches_column(url: ColumnOrName, domain: ColumnOrName, mode: str = "
     Both spellings of an internationalised domain are tried. Inside a lambda function, where no
     Python runs, pass the two as columns made by :func:`spellings_of`.
     """
-    one, two = spellings or spellings_of(domain)
-    return _matches_host(url, one, mode) | _matches_host(url, two, mode)
+    return host_matches_column(host_of(url), spellings or spellings_of(domain), mode)
+
+
+def host_matches_column(host: Column, spellings: tuple[Column, Column], mode: str = "site") -> Column:
+    """:func:`host_matches` for a domain given by its two spellings in columns."""
+    one, two = spellings
+    return _matches_host(host, one, mode) | _matches_host(host, two, mode)
 
 
 def spellings_of(domain: ColumnOrName) -> tuple[Column, Column]:
@@ -149,15 +163,12 @@ def spellings_of(domain: ColumnOrName) -> tuple[Column, Column]:
     return host_to_unicode(host_of(domain)), host_to_ascii(host_of(domain))
 
 
-def _matches_host(url: ColumnOrName, ours: Column, mode: str) -> Column:
-    host = host_of(url)
+def _matches_host(host: Column, ours: Column, mode: str) -> Column:
     known = (host != "") & (ours != "")
     if mode == "host":
         return known & (host == ours)
     whole_site = _registered(ours) == ours
-    return known & F.when(whole_site, registrable_domain(url) == ours).otherwise(
-        (host == ours) | F.endswith(host, F.concat(F.lit("."), ours))
-    )
+    return known & F.when(whole_site, _registered(host) == ours).otherwise((host == ours) | F.endswith(host, F.concat(F.lit("."), ours)))
 
 
 def same_site(left: ColumnOrName, right: ColumnOrName) -> Column:

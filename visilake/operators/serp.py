@@ -124,7 +124,7 @@ def top_domains(docs: DataFrame, region=None, since=None, limit: int = 25) -> Da
         by_query.groupBy("domain")
         .agg(
             F.sum("n").alias("hits"), F.min("best").alias("best"),
-            F.round(F.sum("total") / F.sum("n"), 1).alias("avg_position"), F.count(F.lit(1)).alias("queries"),
+            F.round(F.sum("total") / F.sum("n"), 1).alias("avg_position"), F.count("query").alias("queries"),
         )
         .orderBy(F.desc("hits"), "avg_position", "domain")
         .limit(limit)

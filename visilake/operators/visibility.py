@@ -33,19 +33,23 @@ def _distinct_sources(sources: Column) -> Column:
         names = F.transform(k, lambda x: x["key"])
         firsts = F.filter(k, lambda x, i: F.array_position(names, x["key"]) == i + 1)
 
+        # each address is taken apart once; what follows works on its hosts
+        parted = F.transform(firsts, lambda x: F.struct(
+            x["key"].alias("key"), x["s"].alias("s"), K.host_of(x["s"]["url"]).alias("host"), K.host_of(x["s"]["hint"]).alias("hinted")))
+
         def one(x: Column, i: Column) -> Column:
             s = x["s"]
-            by_hint = K.registrable_domain(s["hint"])
             return F.struct(
                 (i + 1).cast("int").alias("position"),
                 s["url"].alias("url"),
                 F.trim(s["title"]).alias("title"),
-                F.when(by_hint != "", by_hint).otherwise(K.registrable_domain(s["url"])).alias("domain"),
+                K.registered_of(F.when(x["hinted"] != "", x["hinted"]).otherwise(x["host"])).alias("domain"),
                 F.when(F.exists(k, lambda y: (y["key"] == x["key"]) & F.coalesce(y["s"]["used"], F.lit(False))), F.lit(True))
                 .otherwise(s["used"]).alias("used"),
+                x["host"].alias("host"),
             )
 
-        return F.transform(firsts, one)
+        return F.transform(parted, one)
 
     return let(keyed, fold)
 
@@ -59,11 +63,11 @@ def resolve_citations(answers: DataFrame, domain: str | None = None, mode: str =
     if domain is None:
         answers = _with_spellings(answers)
 
-    def ours_in(col: Column, how: str) -> Column:
-        return K.domain_matches(col, domain, how) if domain is not None else K.domain_matches_column(col, "domain", how, (F.col("_unicode"), F.col("_ascii")))
+    def ours_in(host: Column, how: str) -> Column:
+        return K.host_matches(host, domain, how) if domain is not None else K.host_matches_column(host, (F.col("_unicode"), F.col("_ascii")), how)
 
     def mark(s: Column) -> Column:
-        by_url = (s["url"] != "") & ~is_redirect(s["url"]) & ours_in(s["url"], mode)
+        by_url = (s["url"] != "") & ~is_redirect(s["url"]) & ours_in(s["host"], mode)
         return F.struct(
             *[s[f].alias(f) for f in ("position", "url", "title", "domain", "used")],
             (by_url | ((s["domain"] != "") & ours_in(s["domain"], mode))).alias("ours"),
@@ -105,7 +109,7 @@ def rival_domains(resolved: DataFrame, n: int = 3) -> DataFrame:
         F.filter(
             "sources",
             lambda s: F.coalesce(s["used"], F.lit(True)) & (s["domain"] != "") & (s["domain"] != F.col("domain"))
-            & ~K.domain_matches_column(s["domain"], "domain", spellings=(F.col("_unicode"), F.col("_ascii"))),
+            & ~K.host_matches_column(s["domain"], (F.col("_unicode"), F.col("_ascii"))),
         ),
         lambda s: s["domain"],
     )

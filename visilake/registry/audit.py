@@ -124,8 +124,8 @@ def links_to_check(spark, sf):
     return AU.links_to_check(_stored(spark, sf), 20).select("site", "n", "source_url")
 
 
-def _all(spark, sf):
-    return AU.audit_findings(_stored(spark, sf), _sitemap(spark, sf), _disallowed(spark, sf))
+def _all(spark, sf, facts=None):
+    return AU.audit_findings(_stored(spark, sf) if facts is None else facts, _sitemap(spark, sf), _disallowed(spark, sf))
 
 
 def audit_summary(spark, sf):
@@ -305,9 +305,10 @@ def ai_readiness(spark, sf):
     return ready_findings(spark, sf).withColumn("evidence", told)
 
 
-def ready_findings(spark, sf):
+def ready_findings(spark, sf, facts=None):
     """Robots, llms.txt and page findings of every crawled site."""
-    facts = checkpointed(H.ai_page_facts(_facts(spark, sf)).withColumn("is_home", F.col("url") == F.col("site")))
+    read = H.ai_page_facts(_facts(spark, sf) if facts is None else facts).withColumn("is_home", F.col("url") == F.col("site"))
+    facts = checkpointed(read) if facts is None else read
     robots = _robots(spark, sf)
     llms = B.crawl(spark, sf).groupBy("site").agg(F.count(F.lit(1)).alias("n"))
     kind = F.when(F.col("n") % 2 == 0, 200).otherwise(404)

@@ -31,7 +31,7 @@ def url_keys(spark, sf):
 
 def text_keys(spark, sf):
     d = B.documents(spark, sf)
-    return d.select("doc_id", F.md5(K.clean_text("text", 160)).alias("clean"), K.word_count("text").cast("bigint").alias("words"), F.md5(WD.stem_key("text")).alias("stem_key"))
+    return d.select("doc_id", F.md5(K.clean_text("text", 160)).alias("clean"), F.md5(K.clean_text("text", 0)).alias("whole"), K.word_count("text").cast("bigint").alias("words"), F.md5(WD.stem_key("text")).alias("stem_key"))
 
 
 def contains_query(spark, sf):
@@ -66,7 +66,7 @@ _LONG = "list_filter(regexp_extract_all(lower({}), '[0-9a-z]+(-[0-9a-z]+)*'), la
 QUERIES = {
     "domain_keys": (domain_keys, f"WITH p AS (SELECT page_id, {_HOST} AS h FROM pages) SELECT page_id, h AS domain, h AS host, regexp_extract(h, '([^.]+\\.[^.]+)$', 1) AS registrable, page_id % 3 = 0 AS portal, regexp_matches(h, '(^|\\.)example\\.com$') AS in_site, h = 'blog.tionsh.example.net' AS same_host, regexp_matches(h, '(^|\\.)example\\.org$') AS same_site FROM pages JOIN p USING (page_id)"),
     "url_keys": (url_keys, f"SELECT page_id, {U} AS normal, regexp_replace(regexp_replace(regexp_replace({U}, '\\?utm_source=[^&]*$', ''), '(://[^/]+/[^?]*[^/?])/+(\\?|$)', '\\1\\2'), '(://[^/]+/)/+$', '\\1') AS dedup, coalesce(nullif(rtrim(lower({_PATH}), '/'), ''), '/') AS path_key, {_PATH} AS path, {_HOST} || rtrim({_PATH}, '/') AS article_key, CAST(len(list_filter(string_split({_PATH}, '/'), lambda s: s <> '')) AS INTEGER) AS depth, true AS crawlable FROM pages"),
-    "text_keys": (text_keys, f"""WITH c AS (SELECT doc_id, text, trim(regexp_replace(regexp_replace(text, '[`|«»"<>*“”„\\n]', ' ', 'g'), ' +', ' ', 'g')) AS t FROM documents) SELECT doc_id, md5(CASE WHEN length(t) > 160 THEN rtrim(left(t, 160)) || '…' ELSE t END) AS clean, len(regexp_extract_all(text, '[\\p{{L}}\\p{{Nl}}\\p{{No}}]+|\\p{{Nd}}+')) AS words, md5(coalesce({_STEMS.format('text')}, '')) AS stem_key FROM c"""),
+    "text_keys": (text_keys, f"""WITH c AS (SELECT doc_id, text, trim(regexp_replace(regexp_replace(text, '[`|«»"<>*“”„\\n]', ' ', 'g'), ' +', ' ', 'g')) AS t FROM documents) SELECT doc_id, md5(CASE WHEN length(t) > 160 THEN rtrim(left(t, 160)) || '…' ELSE t END) AS clean, md5(t) AS whole, len(regexp_extract_all(text, '[\\p{{L}}\\p{{Nl}}\\p{{No}}]+|\\p{{Nd}}+')) AS words, md5(coalesce({_STEMS.format('text')}, '')) AS stem_key FROM c"""),
     "contains_query": (contains_query, f"WITH d AS (SELECT doc_id, list_distinct({_LONG.format('text')}) AS t, list_distinct({_LONG.format(chr(39).join(['split_part(text, ', '.', ', 1)']))}) AS q FROM documents) SELECT doc_id, len(q) > 0 AND list_has_all(t, q) AS own, list_has_all(t, ['thand', 'erst']) AS other FROM d"),
     "canonical_forms": (canonical_forms, f"WITH r AS (SELECT p_name || ' ' || p_type AS phrase, p_size FROM part UNION ALL SELECT p_type || ' ' || p_name, p_size FROM part) SELECT {_STEMS.format('phrase')} AS stem_key, first(phrase ORDER BY p_size <> 50, length(phrase), phrase) AS canonical FROM r GROUP BY 1"),
     "modtime_age": (modtime_age, f"WITH a AS (SELECT l_linenumber, CASE WHEN l_linenumber <> 7 THEN epoch(TIMESTAMP '{B.AS_OF}' - l_shipdate) / 86400.0 END AS age FROM lineitem) SELECT l_linenumber, count(*) AS lines, count(age) AS dated, CAST(max(age) AS DOUBLE) AS oldest, CAST(min(age) AS DOUBLE) AS youngest FROM a GROUP BY l_linenumber"),

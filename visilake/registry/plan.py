@@ -249,14 +249,15 @@ GAPS += GAP_REST
 # --- findings and the whole plan ----------------------------------------------------------
 
 
-def _findings(spark, sf):
-    rows = AUDIT._all(spark, sf)
+def _findings(spark, sf, facts=None):
+    rows = AUDIT._all(spark, sf, facts)
     return checkpointed(rows).withColumn("measured_at", F.lit("2024-01-31").cast("timestamp"))
 
 
 def finding_actions(spark, sf):
-    ready = AUDIT.ready_findings(spark, sf).drop("severity_rank").withColumn("measured_at", F.lit("2024-01-31").cast("timestamp"))
-    return _flat(P.finding_actions(_findings(spark, sf), ready))
+    facts = AUDIT._stored(spark, sf)
+    ready = AUDIT.ready_findings(spark, sf, facts).drop("severity_rank").withColumn("measured_at", F.lit("2024-01-31").cast("timestamp"))
+    return _flat(P.finding_actions(_findings(spark, sf, facts), ready))
 
 
 def finding_actions_audit(spark, sf):
@@ -280,10 +281,11 @@ def _whole_plan(spark, sf, limit):
     number = _sites(spark, sf).select("site", _one_key(F.col("no")).alias("key"))
     keyed = lambda df: df.join(number, "site").drop("site").withColumnRenamed("key", "site")
     by_host = lambda df: df.withColumn("site", _owner_of(F.col("site"))).withColumn("measured_at", F.lit("2024-01-31").cast("timestamp"))
+    facts = AUDIT._stored(spark, sf)  # pages are parsed once
     queries = inputs.latest.select("site", "query", F.col("shows").cast("long").alias("shows")).unionByName(keyed(owner).select("site", "query", F.col("shows").cast("long").alias("shows")))
     actions, _ = P.build_plan(
         keyed(sites), inputs.items, queries, inputs.evidence, keyed(cand), docs, keyed(articles), keyed(pages), keyed(demand),
-        by_host(checkpointed(AUDIT._all(spark, sf))), by_host(checkpointed(AUDIT.ready_findings(spark, sf))), limit=limit,
+        by_host(checkpointed(AUDIT._all(spark, sf, facts))), by_host(checkpointed(AUDIT.ready_findings(spark, sf, facts))), limit=limit,
     )
     actions = checkpointed(actions)
     return actions, P.action_plan(actions, limit)

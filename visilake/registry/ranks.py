@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import bindings as B
 from ..functions import lists as L
 from ..operators import ranks as R
+from ..operators import rollups as RU
 from ..operators import serp as S
 from ..session import checkpointed
 from ..sinks import warehouse as WH
@@ -177,6 +181,25 @@ def top_domains(spark, sf):
     return S.top_domains(B.docs(spark, sf, "nation"), region=3, since="1996-01-01", limit=10)
 
 
+def top_domains_rollup(spark, sf):
+    """The same from daily roll-ups."""
+    docs = B.docs(spark, sf, "nation")
+    return RU.top_domains_since(RU.daily_rollup(docs, RU.query_codes(docs)), region=3, since="1996-01-01", limit=10)
+
+
+def domains_since(spark, sf):
+    """Every domain's reach from four moments on, from one stored roll-up."""
+    docs = B.docs(spark, sf, "nation")
+    codes = checkpointed(RU.query_codes(docs))
+    rollup = checkpointed(RU.daily_rollup(docs, codes))
+    parts = [RU.domains_since(rollup, None, since, docs, codes).withColumn("since", F.lit(since)) for since in SINCE]
+    return reduce(DataFrame.unionByName, parts)
+
+
+#: moments at and inside a day
+SINCE = ("1992-01-01", "1995-03-15 12:00:00", "1997-07-01", "2001-01-01")
+
+
 def domain_queries(spark, sf):
     return _day(S.domain_queries(B.docs(spark, sf, "nation"), "nation-7.example", None, None), "checked_at")
 
@@ -256,6 +279,8 @@ QUERIES = {
     "latest_competition": (latest_competition, f"WITH {SCORED} SELECT lower(trim(query)) AS query_key, region, query, score, band, our_position, {D('calculated_at')} AS calculated_at FROM (SELECT *, row_number() OVER (PARTITION BY lower(trim(query)), region ORDER BY calculated_at DESC, snapshot_id DESC) AS rn FROM competition WHERE error IS NULL) WHERE rn = 1"),
     "serp_competitors": (serp_competitors, f"WITH {B.docs_cte('nation')} SELECT domain, CAST(count(*) AS BIGINT) AS appearances, count(DISTINCT query) AS queries, min(position) AS best_position, round(avg(position), 1) AS avg_position, false AS is_portal FROM docs WHERE error IS NULL AND NOT is_wizard AND organic_position <= 5 GROUP BY domain"),
     "serp_competitor_queries": (serp_competitor_queries, f"WITH {B.docs_cte('nation')} SELECT domain, query, min(position) AS best_position, count(*) AS appearances FROM docs WHERE error IS NULL AND NOT is_wizard AND organic_position <= 5 GROUP BY domain, query"),
+    "top_domains_rollup": (top_domains_rollup, f"WITH {B.docs_cte('nation')} SELECT domain, count(*) AS hits, min(position) AS best, round(avg(position), 1) AS avg_position, count(DISTINCT query) AS queries FROM docs WHERE error IS NULL AND region = 3 AND fetched_at >= TIMESTAMP '1996-01-01' GROUP BY domain ORDER BY hits DESC, avg_position, domain LIMIT 10"),
+    "domains_since": (domains_since, f"WITH {B.docs_cte('nation')}, moments AS (SELECT unnest({list(SINCE)}) AS since) SELECT since, domain, count(*) AS hits, min(position) AS best, round(avg(position), 1) AS avg_position, count(DISTINCT query) AS queries FROM docs JOIN moments ON fetched_at >= CAST(since AS TIMESTAMP) WHERE error IS NULL GROUP BY since, domain"),
     "top_domains": (top_domains, f"WITH {B.docs_cte('nation')} SELECT domain, count(*) AS hits, min(position) AS best, round(avg(position), 1) AS avg_position, count(DISTINCT query) AS queries FROM docs WHERE error IS NULL AND region = 3 AND fetched_at >= TIMESTAMP '1996-01-01' GROUP BY domain ORDER BY hits DESC, avg_position, domain LIMIT 10"),
     "domain_queries": (domain_queries, f"WITH {B.docs_cte('nation')} SELECT query, min(position) AS best_position, first(position ORDER BY fetched_at DESC, snapshot_id DESC, position) AS last_position, strftime(max(fetched_at), '%Y-%m-%d') AS checked_at, count(*) AS hits FROM docs WHERE error IS NULL AND domain = 'nation-7.example' GROUP BY query"),
     "competitor_gap": (competitor_gap, f"WITH {B.docs_cte('nation')}, seen AS (SELECT domain, query, min(position) AS best, first(position ORDER BY fetched_at DESC, snapshot_id DESC, position) AS last FROM docs WHERE error IS NULL AND region = 3 AND domain IN ('nation-7.example', 'nation-3.example') GROUP BY domain, query) SELECT t.query, t.last AS their_position, o.last AS our_position, CASE WHEN o.last IS NULL THEN 'missing' WHEN o.last < t.last THEN 'we' WHEN o.last > t.last THEN 'they' ELSE 'equal' END AS ahead FROM seen t LEFT JOIN seen o ON o.query = t.query AND o.domain = 'nation-3.example' WHERE t.domain = 'nation-7.example'"),
