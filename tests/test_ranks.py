@@ -139,13 +139,13 @@ def test_the_newest_two_are_one_state_of_one_read(spark, tmp_path):
     path = str(tmp_path / "p")
     spark.createDataFrame(rows, "id int, query string, region int, checked_at timestamp, position int").repartition(6).write.parquet(path)
     found = R.newest_two(spark.read.parquet(path), ["query", "region"], F.struct("checked_at", "id", "position"))
+    plan = found._jdf.queryExecution().executedPlan().toString()  # before it runs
     want = {}
     for key in {(q, r) for _, q, r, _, _ in rows}:
         mine = sorted(((t is not None, t, i, p) for i, q, r, t, p in rows if (q, r) == key), key=lambda x: (x[0], x[1] or dt.datetime.min, x[2]), reverse=True)
         want[key] = ([m[2] for m in mine[:2]], len(mine))
     got = {(r["query"], r["region"]): ([x["id"] for x in (r["cur"], r["prev"]) if x is not None], r["measurements"]) for r in found.collect()}
     assert got == want
-    plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning") == 1 and "Window" not in plan and "Join" not in plan
     one = R.newest_two(spark.read.parquet(path).limit(1), ["query"], F.struct("checked_at", "id")).first()
     assert one["prev"] is None and one["measurements"] == 1
