@@ -206,3 +206,34 @@ def test_the_plan_holds_every_section(spark):
     assert {r["section"] for r in actions.select("section").collect()} == set(L.SECTIONS)
     assert [r["section"] for r in plan.orderBy("place").collect()] == ["indexing", "quick_wins", "snippet", "cannibalization", "ai_search", "competitor_gaps"]
     assert {(r["section"], r["hidden"]) for r in P.hidden_counts(actions, plan).collect()} == {("competitor_gaps", 1), ("other", 1)}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_what_articles_and_snapshots_make_is_not_dealt_again(spark):
+    docs = spark.createDataFrame([(1, "q", 1, "r1", DAY, None, 2, False, "https://e.ru/a", "e.ru")], "snapshot_id long, query string, region int, run_id string, fetched_at timestamp, error string, position int, is_wizard boolean, url string, domain string")
+    pairs = spark.createDataFrame([(1, "https://e.ru/a", "q")], "article_id long, url string, query string")
+    plan = _plan(A.measure_articles(pairs, docs))
+    first = min(plan.index(join) for join in ("SortMergeJoin", "BroadcastHashJoin", "ShuffledHashJoin") if join in plan)
+    assert "Exchange" not in plan[:first] and "host" not in plan[first:].split("\n")[0]
+
+
+def test_odd_articles_and_pages_are_measured(spark):
+    rows = [("https://e.ru/a", "e.ru", 3, False), ("https://e.ru/a", "e.ru", 2, False), ("https://e.ru/b", "e.ru", 1, True), (None, "www.e.ru", 4, False), ("https://e.ru/c", "e.ru", None, False)]
+    docs = spark.createDataFrame([(1, "q", 1, "r1", DAY, None, place, wizard, url, domain) for url, domain, place, wizard in rows] + [(2, "w", 1, "r1", DAY, "timeout", 1, False, "https://e.ru/a", "e.ru")],
+                                 "snapshot_id long, query string, region int, run_id string, fetched_at timestamp, error string, position int, is_wizard boolean, url string, domain string")
+    pairs = spark.createDataFrame([(1, "https://e.ru/a", "q"), (1, "https://e.ru/a", "q"), (2, "https://e.ru/c/", "q"), (3, None, "q"), (4, "https://e.ru/a", "w"), (5, "https://e.ru/a", None)], "article_id long, url string, query string")
+    got = sorted((r["article_id"], r["position"] or 0, r["ranking_url"] or "", r["error"] or "") for r in A.measure_articles(pairs, docs).collect())
+    assert got == [(1, 2, "https://e.ru/c", ""), (1, 2, "https://e.ru/c", ""), (2, 0, "https://e.ru/c", ""), (3, 0, "", ""), (4, 0, "", "timeout")]
+
+
+def test_checks_are_one_state_before_they_meet_their_articles(spark):
+    checks = spark.createDataFrame([(1, "q", i, DAY + dt.timedelta(i), i, i, "u", True, None) for i in range(1, 4)] + [(1, "other", 9, DAY, 9, 9, "u", True, None)],
+                                   "article_id long, query string, id long, checked_at timestamp, position int, domain_position int, ranking_url string, is_target boolean, error string")
+    articles = spark.createDataFrame([(1, "q"), (2, "q")], "article_id long, target_query string")
+    report = A.articles_latest(articles, checks)
+    assert {(r["article_id"], r["position"], r["previous"], r["measurements"]) for r in report.collect()} == {(1, 3, 2, 3), (2, None, None, 0)}
+    plan = report._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan[plan.index("LeftSemi"):]
