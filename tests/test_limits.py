@@ -237,3 +237,21 @@ def test_checks_are_one_state_before_they_meet_their_articles(spark):
     assert {(r["article_id"], r["position"], r["previous"], r["measurements"]) for r in report.collect()} == {(1, 3, 2, 3), (2, None, None, 0)}
     plan = report._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" in plan[plan.index("LeftSemi"):]
+
+
+def test_lines_meet_as_plain_columns(spark, tmp_path):
+    from visilake import bindings as B
+
+    tables = {
+        "region": ([(1, "WEST")], "r_regionkey int, r_name string"), "nation": ([(1, "N_1", 1)], "n_nationkey int, n_name string, n_regionkey int"),
+        "supplier": ([(7, 1), (None, 1)], "s_suppkey long, s_nationkey int"),
+        "part": ([(3, "small ring", "T", "Brand#1", 9), (3, "small ring", "T", "Brand#1", 9)], "p_partkey long, p_name string, p_type string, p_brand string, p_size int"),
+        "lineitem": ([(1, 1, 99, 7, "N", "F", DAY), (1, 2, 3, 7, "N", "F", DAY), (1, 3, 3, None, "R", "F", DAY)], "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_returnflag string, l_linestatus string, l_shipdate timestamp"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    found = B.page_lines(spark, str(tmp_path), "nation")
+    # a line of an unknown part keeps its place, a part that comes twice gives two rows
+    assert [(r["position"], r["organic_position"], r["url"], r["title"]) for r in found.collect()] == [(2, 2, "https://n-1.example/brand-1/9", "small ring T")] * 2
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "https://" in plan[: plan.index("RepartitionByExpression")] and "https://" not in plan[plan.index("RepartitionByExpression"):]
