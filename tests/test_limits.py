@@ -255,3 +255,9 @@ def test_lines_meet_as_plain_columns(spark, tmp_path):
     assert [(r["position"], r["organic_position"], r["url"], r["title"]) for r in found.collect()] == [(2, 2, "https://n-1.example/brand-1/9", "small ring T")] * 2
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "https://" in plan[: plan.index("RepartitionByExpression")] and "https://" not in plan[plan.index("RepartitionByExpression"):]
+
+
+def test_documents_are_numbered_once_a_snapshot(spark):
+    pages = SP.serp_docs_from_xml(spark.createDataFrame([("f", 0, "q", 1, DAY, "<x/>")], "fetch_id string, page_no int, query string, region int, fetched_at timestamp, xml string"))
+    plan = SP.merge_serp_pages(pages, 20)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(trim(") == 1

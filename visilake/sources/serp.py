@@ -6,14 +6,16 @@ import re
 from functools import reduce
 from xml.parsers import expat
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import keys as K
 from ..functions import lists as L
+from ..functions.keys import let
 from ..session import checkpointed
 from . import xml
 
@@ -89,8 +91,9 @@ class _ResultPage:
                 self.doc["hlwords"] += 1
 
     def text(self, data):
-        for _, _, parts in self.capture:
-            parts.append(data)
+        if self.capture:
+            for _, _, parts in self.capture:
+                parts.append(data)
 
     def end(self, tag):
         if self.capture and self.capture[-1][0] == len(self.path):
@@ -141,9 +144,15 @@ def _read_page(payload: str | None) -> dict:
         return {"error": f"{type(problem).__name__}: {problem}", "found_all": 0, "docs": []}
 
 
-@F.pandas_udf(PAGE)
-def _parse_pages(payloads: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_read_page(p) for p in payloads], columns=PAGE.fieldNames())
+#: payloads taken out of a batch at once
+PAYLOADS = 500
+
+
+@F.arrow_udf(PAGE)
+def _parse_pages(payloads: pa.Array) -> pa.Array:
+    kind = to_arrow_type(PAGE)
+    parts = [pa.array([_read_page(p) for p in payloads.slice(at, PAYLOADS).to_pylist()], kind) for at in range(0, len(payloads), PAYLOADS)]
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
 
 
 def serp_docs_from_xml(raw: DataFrame, xml_col: str = "xml") -> DataFrame:
@@ -195,10 +204,13 @@ def pages_for(n: int) -> int:
 
 
 def _numbered(docs: Column) -> Column:
-    """Running position, and position among sites only."""
+    """Running position, and position among sites only; ``docs`` is worked out once."""
+    return let(let(docs, lambda d: F.struct(d.alias("docs"), d["is_wizard"].alias("wizards"))), lambda both: _with_places(both["docs"], both["wizards"]))
 
+
+def _with_places(docs: Column, wizards: Column) -> Column:
     def number(doc: Column, i: Column) -> Column:
-        organic = F.size(F.filter(F.slice(docs, F.lit(1), i + 1), lambda d: ~d["is_wizard"]))
+        organic = F.size(F.filter(F.slice(wizards, F.lit(1), i + 1), lambda w: ~w))
         return F.struct(
             (i + 1).cast("int").alias("position"),
             F.when(~doc["is_wizard"], organic).alias("organic_position"),
@@ -211,12 +223,17 @@ def _numbered(docs: Column) -> Column:
 
 
 def _first_of_each_url(docs: Column) -> Column:
-    """A repeated address keeps its slot in the numbering and is listed once."""
-    addresses = F.transform(docs, lambda d: K.squeezed(d["url"]))
-    return F.filter(
-        docs,
-        lambda d, i: (K.squeezed(d["url"]) == "") | (F.array_position(addresses, K.squeezed(d["url"])) == i + 1),
-    )
+    """A repeated address keeps its slot in the numbering and is listed once.
+
+    ``docs`` and their addresses are worked out once, not once a document.
+    """
+
+    def firsts(both: Column) -> Column:
+        address = lambda i: F.get(both["addresses"], i)
+        return F.filter(both["docs"], lambda d, i: (address(i) == "") | (F.array_position(both["addresses"], address(i)) == i + 1))
+
+    keyed = lambda docs: F.struct(docs.alias("docs"), F.transform(docs, lambda d: K.squeezed(d["url"])).alias("addresses"))
+    return let(let(docs, keyed), firsts)
 
 
 def _page_slots(pages: DataFrame, n: int) -> tuple[DataFrame, list[str]]:
