@@ -261,3 +261,27 @@ def test_documents_are_numbered_once_a_snapshot(spark):
     pages = SP.serp_docs_from_xml(spark.createDataFrame([("f", 0, "q", 1, DAY, "<x/>")], "fetch_id string, page_no int, query string, region int, fetched_at timestamp, xml string"))
     plan = SP.merge_serp_pages(pages, 20)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("lower(trim(") == 1
+
+
+def test_page_facts_are_objects_of_few_pages_at_a_time(monkeypatch):
+    import pyarrow as pa
+
+    from visilake.sources import html as H
+
+    alive, most, read = [0], [0], H._read
+
+    class Facts(dict):
+        def __init__(self, *a):
+            super().__init__(*a)
+            alive[0] += 1
+            most[0] = max(most[0], alive[0])
+
+        def __del__(self):
+            alive[0] -= 1
+
+    monkeypatch.setattr(H, "_read", lambda url, html: Facts(read(url, html)))
+    n = 2 * H.PAGES + 7
+    pages = [f"<title>t{i}</title><meta property='og:type' content='o{i}'><a href='/x{i}'>w</a>" if i % 5 else None for i in range(n)]
+    facts = H._page_facts.func(pa.array([f"https://e.ru/{i}" for i in range(n)]), pa.array(pages, pa.string())).to_pylist()
+    assert [f["title"] for f in facts] == [f"t{i}" if i % 5 else None for i in range(n)] and facts[1]["og"] == [("og:type", "o1")] and facts[1]["hrefs"] == ["https://e.ru/x1"]
+    assert most[0] <= H.PAGES
