@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keys as K
 from ..functions.keys import let
-from ..sources.answers import is_redirect
+from ..sources.answers import is_redirect_host
 
 
 def _with_spellings(rows: DataFrame) -> DataFrame:
@@ -67,7 +67,7 @@ def resolve_citations(answers: DataFrame, domain: str | None = None, mode: str =
         return K.host_matches(host, domain, how) if domain is not None else K.host_matches_column(host, (F.col("_unicode"), F.col("_ascii")), how)
 
     def mark(s: Column) -> Column:
-        by_url = (s["url"] != "") & ~is_redirect(s["url"]) & ours_in(s["host"], mode)
+        by_url = (s["url"] != "") & ~is_redirect_host(s["host"]) & ours_in(s["host"], mode)
         return F.struct(
             *[s[f].alias(f) for f in ("position", "url", "title", "domain", "used")],
             (by_url | ((s["domain"] != "") & ours_in(s["domain"], mode))).alias("ours"),
@@ -102,9 +102,17 @@ def resolve_citations(answers: DataFrame, domain: str | None = None, mode: str =
     )
 
 
-def rival_domains(resolved: DataFrame, n: int = 3) -> DataFrame:
-    """Domains of the used sources other than ours, most frequent first, ``n`` per answer."""
-    resolved = _with_spellings(resolved)
+def rival_domains(resolved: DataFrame, n: int = 3, domain: str | None = None) -> DataFrame:
+    """Domains of the used sources other than ours, most frequent first, ``n`` per answer.
+
+    ``domain`` is the literal the citations were resolved for, or None to use the ``domain``
+    column, whose spellings are worked out in a pass of their own over the answers.
+    """
+    if domain is None:
+        resolved = _with_spellings(resolved)
+    else:
+        names = K.host_spellings(domain)
+        resolved = resolved.withColumns({"_unicode": F.lit(names[0]), "_ascii": F.lit(names[-1])})
     others = F.transform(
         F.filter(
             "sources",

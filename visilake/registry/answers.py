@@ -108,7 +108,7 @@ def _answers(spark, sf):
 
 
 def _resolved(spark, sf):
-    return V.rival_domains(V.resolve_citations(_answers(spark, sf), DOMAIN))
+    return V.rival_domains(V.resolve_citations(_answers(spark, sf), DOMAIN), domain=DOMAIN)
 
 
 def ai_answers(spark, sf):

@@ -188,7 +188,11 @@ def _openai(raw: Column) -> Column:
 
 def is_redirect(url: Column) -> Column:
     """The address leads to the site only through the provider."""
-    host = K.host_of(url)
+    return let(K.host_of(url), is_redirect_host)
+
+
+def is_redirect_host(host: Column) -> Column:
+    """:func:`is_redirect` of a host, as ``host_of`` gives it."""
     hit = F.lit(False)
     for name in REDIRECT_HOSTS:
         hit = hit | (host == name) | F.endswith(host, F.lit("." + name))
