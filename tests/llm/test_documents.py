@@ -544,3 +544,27 @@ def test_long_runs_take_the_best_path_uncut(spark, monkeypatch):
     assert [pieces._fold(w) for w in words] == list(pieces._solve(words))
     decoded = lattice.decode(lattice.encode(table(spark, list(enumerate(texts))), model), model).collect()
     assert {r["doc_id"]: r["decoded"] for r in decoded} == dict(enumerate(texts))
+
+
+def test_a_long_text_leaves_no_powers_behind(monkeypatch):
+    monkeypatch.setattr(windows, "KEPT_POWERS", 1 << 10)
+    monkeypatch.setattr(windows, "_tables", {})
+    long, short = windows._power_tables(3, 5000), windows._power_tables(3, 500)
+    assert len(long[0]) == 5000 and (long[0][:500] == short[0]).all() and len(windows._tables[3][0]) == 500
+
+
+def test_a_worker_holds_little_for_a_slice():
+    import tracemalloc
+
+    import public_tokenizers
+
+    words = [w + str(i) for i, w in enumerate(prose(1, 20_000).split())][:20_000]
+    pieces = lattice.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    text = b"seven letters in words of a slice " * (bitplane.SLICE_BYTES // 34)
+    for work, most in ((lambda: sum(map(len, pieces.solve(words))), 60e6), (lambda: len(bitplane.spans([text])[1]), 130e6)):
+        windows._tables.clear()
+        tracemalloc.start()
+        work()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < most, peak

@@ -37,7 +37,7 @@ from .windows import _BYTE_BASES, _SPACE, _mixed, _rolled
 
 BLOCK = 1 << 16
 END_ID = 2
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 20
 SCHEMA = (
     "part int, chunk int, first long, n_ids int, plane_sizes array<int>, planes binary, "
     "docs array<struct<doc_id: long, start: long, n_tokens: long>>"

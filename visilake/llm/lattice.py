@@ -46,8 +46,8 @@ KNOWN_IDS = 1 << 22
 _LETTER, _MARK = "A-Za-zÀ-ÖØ-öø-ÿ", ".,;:!?|"
 PATTERN = f"{SIGN}?[{_LETTER}]+(?=[{_MARK}])|{SIGN}?[^{SIGN}\n]+|{SIGN}|\n"
 NEVER = -1e8
-SLICE_CHARS = 1 << 20
-SOLVED_AT_ONCE = 20_000
+SLICE_CHARS = 1 << 19
+SOLVED_AT_ONCE = 6_000
 _BASE = 0x8CB92BA72F3D8DD7
 _U = np.uint64
 

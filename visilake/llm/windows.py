@@ -68,9 +68,13 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: powers a worker keeps; a longer text's are let go with it
+KEPT_POWERS = 1 << 21
 
 
 def _power_tables(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    if n > KEPT_POWERS + 1:
+        return _powers(base, n)
     if base not in _tables or len(_tables[base][0]) < n:
         _tables[base] = _powers(base, n)
     return _tables[base]
