@@ -568,3 +568,5 @@ def test_a_worker_holds_little_for_a_slice():
         peak = tracemalloc.get_traced_memory()[1]
         tracemalloc.stop()
         assert peak < most, peak
+    # a dictionary of words takes some 200 bytes each
+    assert 200 * lattice._model(public_tokenizers.path("piece_bpe_32k.model"))[1].known_words <= 70e6

@@ -42,6 +42,8 @@ SIGN = "▁"
 WORD = 64
 BLOCK = 1 << 14
 KNOWN_IDS = 1 << 22
+#: words a worker keeps; as keys of a dictionary they take some 200 bytes each
+KNOWN_WORDS = 200_000
 #: no piece holds a letter before one of these marks (checked), so a cut there loses no path
 _LETTER, _MARK = "A-Za-zÀ-ÖØ-öø-ÿ", ".,;:!?|"
 PATTERN = f"{SIGN}?[{_LETTER}]+(?=[{_MARK}])|{SIGN}?[^{SIGN}\n]+|{SIGN}|\n"
@@ -196,7 +198,7 @@ def _model(model: str) -> tuple[Pieces, WordTable]:
     """A worker's pieces and known words of a model."""
     if model not in _loaded:
         pieces = Pieces(model)
-        _loaded[model] = pieces, WordTable(pieces.solve, [])
+        _loaded[model] = pieces, WordTable(pieces.solve, [], KNOWN_WORDS)
     return _loaded[model]
 
 
