@@ -6,8 +6,12 @@ when all results that rest on them are written.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Callable, Hashable
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -30,6 +34,29 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+_held: list[Any] = [None, None]
+
+
+def worker_tables(key: Hashable = None, make: Callable[[], Any] = lambda: None) -> Any:
+    """A worker's tables named ``key``, made once; it drops those of the operator before. No key: it keeps none.
+
+    Workers live on from stage to stage, so what one operator keeps would add to what the next needs.
+    """
+    if _held[0] != key:
+        _held[:] = None, None
+        give_back()
+        _held[:] = key, make()
+    return _held[1]
+
+
+def give_back() -> None:
+    """Free memory of a worker goes back to the system, at the end of a task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim:
+        trim(0)
+
+
 def in_blocks(df: DataFrame, *order: Column | str) -> DataFrame:
     """Rows dealt by range of ``order`` with their ``block`` number, stored.
 

@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .base import give_back, worker_tables
 from .windows import _mixed, _rolled
 
 Q = 8
@@ -41,7 +42,9 @@ SEGMENT = 96
 STEP = 32
 SHORTEST = 32
 BLOCK_CHARS = 8_000_000
-SLICE_CHARS = 1 << 19
+SLICE_CHARS = 1 << 18
+#: documents whose texts are Python objects at a time
+SLICE_ROWS = 256
 #: folded code points of a long text that its next piece has again: more than a region and its bands span
 OVERLAP = 4 * SEGMENT
 _BASE = 0x9FB21C651E98DF25
@@ -53,9 +56,8 @@ _folds: list[np.ndarray] = []
 def _fold() -> tuple[np.ndarray, np.ndarray]:
     """Lower case of every code point that has a single one, and which are white space."""
     if not _folds:
-        low = [c.lower() for c in map(chr, range(0x110000))]
-        _folds.append(np.array([ord(x) if len(x) == 1 else i for i, x in enumerate(low)], np.uint32))
-        _folds.append(np.array([chr(i).isspace() for i in range(0x110000)]))
+        _folds.append(np.fromiter((ord(x) if len(x := chr(i).lower()) == 1 else i for i in range(0x110000)), np.uint32, 0x110000))
+        _folds.append(np.fromiter((chr(i).isspace() for i in range(0x110000)), bool, 0x110000))
     return _folds[0], _folds[1]
 
 
@@ -211,15 +213,9 @@ def align(item: np.ndarray, region: np.ndarray, free_start: bool) -> tuple[int,
     return end, int(row[end])
 
 
-_known: dict[int, Items] = {}
-
-
 def _items(name: int, chosen: list[tuple[int, str]], rate: float) -> Items:
     """A worker's index of a block of items; it keeps the last one."""
-    if name not in _known:
-        _known.clear()
-        _known[name] = Items(chosen, rate)
-    return _known[name]
+    return worker_tables(("items", name), lambda: Items(chosen, rate))
 
 
 def _pieces(texts: list[str]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, np.ndarray, bool, bool]]:
@@ -310,10 +306,13 @@ def find(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, doc_id: str
 
         def search(batches, chosen=chosen, name=hash((rate, *chosen))):
             items = _items(name, chosen, rate)
-            for batch in batches:
-                hits = matches(items, batch.column(1).to_pylist())
-                numbers = [pa.array([h[i] for h in hits], pa.int32() if i == 4 else pa.int64()) for i in range(5)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(numbers[0]), *numbers[1:]], names=["doc_id", "item_id", "start", "end", "edits"])
+            for whole in batches:
+                for at in range(0, whole.num_rows, SLICE_ROWS):
+                    batch = whole.slice(at, SLICE_ROWS)
+                    hits = matches(items, batch.column(1).to_pylist())
+                    numbers = [pa.array([h[i] for h in hits], pa.int32() if i == 4 else pa.int64()) for i in range(5)]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(numbers[0]), *numbers[1:]], names=["doc_id", "item_id", "start", "end", "edits"])
+            give_back()
 
         found.append(rows.mapInArrow(search, schema))
     out = found[0]

@@ -24,9 +24,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .base import give_back, worker_tables
+
 PROFILE = 300
 TRAIN_DOCS = 4000
-SLICE_CHARS = 1 << 20
+SLICE_CHARS = 1 << 18
 HELD_OUT = 5
 
 _letters: np.ndarray | None = None
@@ -35,7 +37,7 @@ _letters: np.ndarray | None = None
 def _is_letter() -> np.ndarray:
     global _letters
     if _letters is None:
-        _letters = np.array([chr(c).isalpha() for c in range(0x110000)])
+        _letters = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
     return _letters
 
 
@@ -142,12 +144,14 @@ def train_profiles(rows: DataFrame, size: int = PROFILE) -> dict[str, list[int]]
     """Language to its n-gram keys in rank order, from (lang, text) rows; ``size`` keys a language."""
 
     def count(batches):
+        worker_tables()
         for batch in batches:
             names, codes = np.unique(batch["lang"].to_numpy(dtype=object).astype(str), return_inverse=True)
             for first, last, texts in _slices(batch["text"].tolist()):
                 owner, key, n = gram_counts(texts, codes[first:last])
                 # owners may repeat in a slice; equal keys are already together
                 yield pd.DataFrame({"lang": names[owner.astype(np.int64)], "gram": key.astype(np.int64), "n": n})
+        give_back()
 
     counted = rows.mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = W.partitionBy("lang").orderBy(F.desc("n"), "gram")
@@ -191,10 +195,13 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], size: int = PROFIL
         return pd.DataFrame({"lang_pred": lang, "score": score, "margin": margin})
 
     @F.pandas_udf("struct<lang_pred string, score double, margin double>")
-    def guess(column: pd.Series) -> pd.DataFrame:
-        texts = column.fillna("").tolist()
-        parts = [judge(part) for _, _, part in _slices(texts)]
-        return pd.concat(parts, ignore_index=True) if parts else judge([])
+    def guess(columns: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        worker_tables()
+        for column in columns:
+            texts = column.fillna("").tolist()
+            parts = [judge(part) for _, _, part in _slices(texts)]
+            yield pd.concat(parts, ignore_index=True) if parts else judge([])
+        give_back()
 
     added = ("lang_pred", "score", "margin")
     kept = docs.select(*[F.col(c) for c in docs.columns if c not in added], guess(F.col(text)).alias("_guess"))

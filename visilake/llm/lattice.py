@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import whole_text
+from .base import give_back, whole_text, worker_tables
 from .windows import _power_tables
 from .wordtable import WordTable
 
@@ -49,6 +49,8 @@ _LETTER, _MARK = "A-Za-zÀ-ÖØ-öø-ÿ", ".,;:!?|"
 PATTERN = f"{SIGN}?[{_LETTER}]+(?=[{_MARK}])|{SIGN}?[^{SIGN}\n]+|{SIGN}|\n"
 NEVER = -1e8
 SLICE_CHARS = 1 << 19
+#: documents whose texts are Python objects at a time
+SLICE_ROWS = 512
 SOLVED_AT_ONCE = 6_000
 _BASE = 0x8CB92BA72F3D8DD7
 _U = np.uint64
@@ -191,15 +193,14 @@ class Pieces:
         return iter(out)
 
 
-_loaded: dict[str, tuple[Pieces, WordTable]] = {}
-
-
 def _model(model: str) -> tuple[Pieces, WordTable]:
     """A worker's pieces and known words of a model."""
-    if model not in _loaded:
+
+    def load() -> tuple[Pieces, WordTable]:
         pieces = Pieces(model)
-        _loaded[model] = pieces, WordTable(pieces.solve, [], KNOWN_WORDS)
-    return _loaded[model]
+        return pieces, WordTable(pieces.solve, [], KNOWN_WORDS)
+
+    return worker_tables(("pieces", model), load)
 
 
 def words_of(text: str) -> list[str]:
@@ -213,19 +214,22 @@ def encode(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "tex
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _model(model)[1]
-        for batch in batches:
-            if len(table.ids) > KNOWN_IDS:
-                table.reset()
-            texts, at = batch.column("text").to_pylist(), 0
-            while at < len(texts):  # slices of bounded size, or one long document
-                end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end]) <= SLICE_CHARS):
-                    size += len(texts[end])
-                    end += 1
-                ids, counts = table.encode([words_of(t) for t in texts[at:end]])
-                cuts = pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, end - at), pa.ListArray.from_arrays(cuts, pa.array(ids.astype(np.int32)))], schema=schema)
-                at = end
+        for whole in batches:
+            for first in range(0, whole.num_rows, SLICE_ROWS):
+                batch = whole.slice(first, SLICE_ROWS)
+                if len(table.ids) > KNOWN_IDS:
+                    table.reset()
+                texts, at = batch.column("text").to_pylist(), 0
+                while at < len(texts):  # slices of bounded size, or one long document
+                    end, size = at, 0
+                    while end < len(texts) and (end == at or size + len(texts[end]) <= SLICE_CHARS):
+                        size += len(texts[end])
+                        end += 1
+                    ids, counts = table.encode([words_of(t) for t in texts[at:end]])
+                    cuts = pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32())
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, end - at), pa.ListArray.from_arrays(cuts, pa.array(ids.astype(np.int32)))], schema=schema)
+                    at = end
+        give_back()
 
     return rows.mapInArrow(look_up, "doc_id long, ids array<int>")
 

@@ -39,14 +39,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import stored, whole_text
+from .base import give_back, stored, whole_text, worker_tables
 
 SEED = 42
 SAMPLE = 20_000
 SHARD_POINTS = 4096
 LEAF_POINTS = 256
 SLICE_SHINGLES = 1 << 15
-SLICE_MEMBERS = 1 << 22
+SLICE_MEMBERS = 1 << 20
+#: pairs a shard compares at a time
+SLICE_PAIRS = 1 << 18
 FILTER_BITS = 1 << 24
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -116,13 +118,16 @@ def set_fingerprints(docs: DataFrame, words: int, blocks: int, keys: int, doc_id
     """(doc_id, node, print, keys) of every document's set of shingles; ``node`` names the set."""
 
     @F.pandas_udf("struct<node long, print array<long>, keys array<long>>")
-    def make(column: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t in column:
-            h = np.unique(shingle_hashes(t, words))
-            node = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED)], np.uint64).view(np.int64)[0]
-            rows.append((node, fingerprint(h, blocks), least_hashes(h, keys)))
-        return pd.DataFrame(rows, columns=["node", "print", "keys"])
+    def make(columns: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        worker_tables()
+        for column in columns:
+            rows = []
+            for t in column:
+                h = np.unique(shingle_hashes(t, words))
+                node = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED)], np.uint64).view(np.int64)[0]
+                rows.append((node, fingerprint(h, blocks), least_hashes(h, keys)))
+            yield pd.DataFrame(rows, columns=["node", "print", "keys"])
+        give_back()
 
     return docs.select(F.col(doc_id).alias("doc_id"), make(whole_text(text)).alias("_p")).select("doc_id", "_p.node", "_p.print", "_p.keys")
 
@@ -193,7 +198,7 @@ def _pairs(points: np.ndarray, more: np.ndarray, home: np.ndarray, radius: int,
         here, asked = at[part[stays[part] & home[at[part]]]], at[part]
         if not len(here):
             continue
-        step = max(1, (1 << 20) // len(here))
+        step = max(1, SLICE_PAIRS // len(here))
         for k in range(0, len(asked), step):
             q = asked[k : k + step]
             i, j = np.nonzero(np.bitwise_count(points[q][:, None] ^ points[here][None, :]) <= radius)
@@ -338,6 +343,7 @@ def similar_links(points: DataFrame, texts: Callable[[DataFrame], DataFrame], wo
         return home, _first_met(_pairs(np.ascontiguousarray(prints[:, 0]), prints[:, 1:], home, radius, total), before, home) if home.any() else iter(())
 
     def meet(table: pa.Table) -> pa.Table:
+        worker_tables()
         home, pairs = bounded(table)
         seen = np.zeros(len(home), bool)
         for a, b in pairs:
@@ -345,6 +351,7 @@ def similar_links(points: DataFrame, texts: Callable[[DataFrame], DataFrame], wo
         return table.filter(pa.array(seen))
 
     def verify(table: pa.Table) -> pa.Table:
+        worker_tables()
         table = table.sort_by([("home", "descending"), ("node", "ascending")])  # the same forest whatever order rows arrive in
         sets = [np.unique(shingle_hashes(t, words)) for t in table.column("text").to_pylist()]
         root, node = _similar_forest(sets, bounded(table)[1], least), table.column("node").to_numpy()
